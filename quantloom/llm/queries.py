@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from quantloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quantloom.llm.media import op8_media
 from quantloom.llm.mixing import OP6_SQL, op6_mixing
+from quantloom.llm.simhash import op10_simhash
+from quantloom.llm.substring_dedup import op1_substring_dedup
 from quantloom.llm.token_store import op4_token_store
 
 
 def queries() -> dict:
-    return {"op4_token_store": op4_token_store, "op6_mixing": op6_mixing, "op8_media": op8_media}
+    return {
+        "op1_substring_dedup": op1_substring_dedup, "op4_token_store": op4_token_store, "op6_mixing": op6_mixing,
+        "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_line_dedup": OP9_SQL}
