@@ -8,9 +8,11 @@ the end and decompresses only the frames it wants.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ from quantloom.llm.common import fresh_path, materialize, small_batches, table
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
 NO_ID = -(1 << 63)
 END_ID = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+#: Visible characters of the Latin blocks, for which the library's normal form and Python's agree.
+LATIN = re.compile("[!-~\xa1-\xac\xae-\u024e]+")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -59,42 +63,43 @@ class WordEncoder:
         self.simple = SPLIT.replace("\\", "\\\\") in spec and '"ByteLevel"' in spec and '"Lowercase"' in spec and '"NFC"' in spec
 
     def piece(self, word: str) -> bytes:
-        if (got := self.pieces.get(word)) is None:
-            mapped = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[word] = got
+        mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(self.pieces) >= CACHE_WORDS:
+            self.pieces.clear()
+        self.pieces[word] = got
         return got
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        whole = []
+        whole, cache, piece, known = [], self.cache, self.piece, self.pieces.get
         for word in words:
             text = word.decode()
-            if self.simple and b"<|" not in word and all("!" <= c < "ɏ" and c not in "\x7f\xa0\x85\xad" for c in text):
-                normal = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-                if "̇" not in normal and "\x80" not in normal:
-                    self.cache[word] = b"".join(map(self.piece, self.pattern.findall(normal)))
+            if self.simple and LATIN.fullmatch(text) and b"<|" not in word:
+                if not text.isascii():
+                    text = unicodedata.normalize("NFC", text).lower()
+                if text.isalpha():
+                    cache[word] = known(text) or piece(text)
+                    continue
+                if "\u0307" not in text:
+                    cache[word] = b"".join([known(x) or piece(x) for x in self.pattern.findall(text)])
                     continue
             whole.append(word)
         for word, got in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
-            self.cache[word] = np.array(got.ids, "<u4").tobytes()
+            cache[word] = array("I", got.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode() for t in texts]
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
         if new := set().union(*split).difference(self.cache):
             self.learn(list(new))
-        if any(w not in self.cache for w in new):
-            raise RuntimeError("word cache too small for one batch")
         cache, out = self.cache, []
         for words in split:
             try:
                 out.append(b"".join(map(cache.__getitem__, words)))
             except KeyError:  # the cache was emptied meanwhile
-                self.learn([w for w in set(words) if w not in cache])
+                self.learn(list(set(words)))
                 out.append(b"".join(map(cache.__getitem__, words)))
         return out
 
