@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from quantloom.llm.chat_tree import OP5_SQL, op5_chat_tree
 from quantloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quantloom.llm.media import op8_media
 from quantloom.llm.mixing import OP6_SQL, op6_mixing
+from quantloom.llm.permutation_index import op7_permutation_index
+from quantloom.llm.piece_codec import op2_sentencepiece
 from quantloom.llm.simhash import op10_simhash
 from quantloom.llm.substring_dedup import op1_substring_dedup
 from quantloom.llm.token_store import op4_token_store
+from quantloom.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
     return {
-        "op1_substring_dedup": op1_substring_dedup, "op4_token_store": op4_token_store, "op6_mixing": op6_mixing,
-        "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_simhash": op10_simhash,
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_toxicity": op3_toxicity,
+        "op4_token_store": op4_token_store,
+        "op5_chat_tree": op5_chat_tree,
+        "op6_mixing": op6_mixing,
+        "op7_permutation_index": op7_permutation_index,
+        "op8_media": op8_media,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op5_chat_tree": OP5_SQL, "op6_mixing": OP6_SQL, "op9_line_dedup": OP9_SQL}
