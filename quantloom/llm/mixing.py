@@ -12,6 +12,7 @@ from quantloom.llm.common import WORD, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKET_ROWS = 50_000
+BROADCAST_ROWS = 100_000
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: int, cap: float = CAP) -> list[float]:
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
         f"{key} string, mix_source_size long, mix_target double, __mix_rate double, __mix_buckets long",
     )
     plan = plan.withColumn("__mix_offset", _hex_number(F.col(key)) / F.lit(16777216.0))
-    dealt = sized.join(plan, key).withColumn(
+    dealt = sized.join(F.broadcast(plan) if len(found) <= BROADCAST_ROWS else plan, key).withColumn(
         bucket, F.coalesce(_hex_number(F.col(id_col).cast("string")), F.lit(0)) % F.col("__mix_buckets"))
     counts = dealt.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__mix_rows"))
     before = counts.withColumn(
