@@ -1 +1,199 @@
-"""Queries."""
+"""Ingestion: text and calendar normal forms, state transitions, entity resolution, pages, facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quantloom.functions import calendar
+from quantloom.functions.numeric import power_of_ten_ratio, ratio, round_half, to_number
+from quantloom.functions.text import company_key, jaccard, normalize_text, tokens
+from quantloom.operators import state
+from quantloom.operators.html import HtmlTables, links
+from quantloom.operators.resolve import resolve
+from quantloom.plans.registry import query
+from quantloom.sources import domain
+from quantloom.sources.domain import Tables, with_tables
+
+
+@query("text_normalize", """
+SELECT doc_id, md5(trim(regexp_replace(replace(regexp_replace(translate(x, 'يىكۀةأإؤ۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', 'ییکههااو01234567890123456789'), chr(8204), '', 'g'), chr(160), ' '), '\\s+', ' ', 'g'))) AS company_id
+FROM (SELECT doc_id, '  شركت' || chr(8204) || ' نمونه ۱۲ ' || source AS x FROM documents)""")
+def text_normalize(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("  شركت‌ نمونه ۱۲ "), F.col("source"))
+    return t("documents").select("doc_id", company_key(name).alias("company_id"))
+
+
+@query("number_parse", """
+SELECT l_orderkey, l_linenumber, sum(x)::BIGINT AS total, count(*) AS n
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN -floor(l_extendedprice) ELSE floor(l_extendedprice) END AS x FROM lineitem) GROUP BY 1, 2""")
+def number_parse(t: Tables) -> DataFrame:
+    """Numbers written with Persian digits, separators, and parentheses for minus, read again."""
+    shown = F.translate(F.format_number(F.floor("l_extendedprice"), 0), "0123456789,", "۰۱۲۳۴۵۶۷۸۹٬")
+    shown = F.when(F.col("l_quantity") > 25, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+    return t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(to_number(shown)).cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+_JALALI_SQL = """
+n AS (SELECT DISTINCT o_orderdate::DATE AS day, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 719528 + 355668 - 1 AS d0 FROM orders),
+a AS (SELECT *, -1595 + 33 * (d0 // 12053) + 4 * ((d0 % 12053) // 1461) AS y0, (d0 % 12053) % 1461 AS d1 FROM n),
+b AS (SELECT *, CASE WHEN d1 > 365 THEN y0 + (d1 - 1) // 365 ELSE y0 END AS y, CASE WHEN d1 > 365 THEN (d1 - 1) % 365 ELSE d1 END AS d2 FROM a),
+c AS (SELECT day, y, CASE WHEN d2 < 186 THEN 1 + d2 // 31 ELSE 7 + (d2 - 186) // 30 END AS m, CASE WHEN d2 < 186 THEN 1 + d2 % 31 ELSE 1 + (d2 - 186) % 30 END AS d FROM b)"""
+
+
+@query("jalali_convert", f"""WITH{_JALALI_SQL}
+SELECT day, format('{{:04d}}/{{:02d}}/{{:02d}}', y, m, d) AS jalali, day AS back FROM c""")
+def jalali_convert(t: Tables) -> DataFrame:
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    text = calendar.key_text(*calendar.date_to_jalali(F.col("day")))
+    return days.withColumn("jalali", text).withColumn("back", calendar.jalali_to_date(*calendar.parts(F.col("jalali"))))
+
+
+@query("jalali_month_end", f"""WITH{_JALALI_SQL}
+SELECT y::INT AS y, m::INT AS m, max(day) AS last_seen, max(d)::INT AS last_day FROM c GROUP BY 1, 2""")
+def jalali_month_end(t: Tables) -> DataFrame:
+    """The last order day of each Jalali month; none lies after the month's end."""
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    y, m, d = calendar.date_to_jalali(F.col("day"))
+    ends = days.select("day", y.alias("y"), m.alias("m"), d.alias("d")).filter(F.col("day") <= calendar.jalali_month_end(F.col("y"), F.col("m")))
+    return ends.groupBy("y", "m").agg(F.max("day").alias("last_seen"), F.max("d").alias("last_day"))
+
+
+@query("unit_ratio", with_tables("interim", then="""
+SELECT company_id, jyear, jmonth, CASE WHEN abs(log10(abs(nullif(a, 0)) / abs(nullif(b, 0))) - floor(log10(abs(nullif(a, 0)) / abs(nullif(b, 0))) + 0.5)) <= 0.1 AND sign(a) = sign(b)
+       THEN pow(10e0, floor(log10(abs(nullif(a, 0)) / abs(nullif(b, 0))) + 0.5)) END AS unit
+FROM (SELECT company_id, jyear, jmonth, net_profit AS a, net_profit * CASE company_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 1e3 ELSE 13e2 END AS b FROM interim)"""))
+def unit_ratio(t: Tables) -> DataFrame:
+    k = F.col("company_id") % 3
+    b = F.col("net_profit") * F.when(k == 0, 1.0).when(k == 1, 1000.0).otherwise(1300.0)
+    return domain.interim_reports(t).select("company_id", "jyear", "jmonth", power_of_ten_ratio(F.col("net_profit"), b).alias("unit"))
+
+
+def old_and_new(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A price table up to 2000, and a later batch that overlaps it, with nulls."""
+    rows = domain.market_prices(t).select("company_id", "day", "close", F.when(F.col("volume") > 20, F.col("volume")).alias("volume"))
+    return rows.filter("day < DATE'2000-01-01'"), rows.filter("day >= DATE'1999-01-01'").withColumns({"close": F.col("close") + 1, "volume": F.coalesce("volume", F.lit(0.0))})
+
+
+_STATE_SQL = """
+old AS (SELECT company_id, day, close, CASE WHEN volume > 20 THEN volume END AS volume FROM market WHERE day < DATE '2000-01-01'),
+new AS (SELECT company_id, day, close + 1 AS close, CASE WHEN volume > 20 THEN volume ELSE 0 END AS volume FROM market WHERE day >= DATE '1999-01-01')"""
+_KEYS = ("company_id", "day")
+
+
+@query("merge_upsert", with_tables("market", then=f"-- more{_STATE_SQL}\nSELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (company_id, day)"))
+def merge_upsert(t: Tables) -> DataFrame:
+    return state.merge_upsert(*old_and_new(t), _KEYS)
+
+
+@query("fill_nulls", with_tables("market", then=f"""-- more{_STATE_SQL}
+SELECT company_id, day, coalesce(o.close, n.close) AS close, coalesce(o.volume, n.volume) AS volume FROM old o FULL JOIN new n USING (company_id, day)"""))
+def fill_nulls(t: Tables) -> DataFrame:
+    return state.fill_nulls(*old_and_new(t), _KEYS)
+
+
+@query("insert_absent", with_tables("market", then=f"-- more{_STATE_SQL}\nSELECT * FROM old UNION ALL SELECT * FROM new ANTI JOIN old USING (company_id, day)"))
+def insert_absent(t: Tables) -> DataFrame:
+    return state.insert_absent(*old_and_new(t), _KEYS)
+
+
+@query("keyed_delete", with_tables("market", then=f"-- more{_STATE_SQL}\nSELECT * FROM old ANTI JOIN new USING (company_id, day)"))
+def keyed_delete(t: Tables) -> DataFrame:
+    return state.delete_keys(*old_and_new(t), _KEYS)
+
+
+@query("replace_children", with_tables("market", then=f"-- more{_STATE_SQL}\nSELECT * FROM old WHERE company_id % 2 = 1 UNION ALL SELECT * FROM new WHERE company_id % 2 = 0"))
+def replace_children(t: Tables) -> DataFrame:
+    """The days of companies with even numbers are replaced as a whole."""
+    old, new = old_and_new(t)
+    return state.replace_children(old, new.filter("company_id % 2 = 0"), ["company_id"])
+
+
+@query("versioned_upsert", with_tables("monthly", then="""-- more
+base AS (SELECT company_id, report_key, value3, sha256('=' || value3::BIGINT) AS content_hash FROM monthly),
+later AS (SELECT company_id, report_key, value3 + CASE WHEN company_id % 2 = 0 THEN 1 ELSE 0 END AS value3 FROM monthly)
+SELECT company_id, report_key, count(DISTINCT h) AS versions FROM (
+  SELECT company_id, report_key, content_hash AS h FROM base UNION ALL SELECT company_id, report_key, sha256('=' || value3::BIGINT) FROM later) GROUP BY 1, 2"""))
+def versioned_upsert(t: Tables) -> DataFrame:
+    """Reports come again, half of them changed: how many versions each has."""
+    rows = domain.monthly_sales(t).select("company_id", "report_key", F.col("value3").cast("long").alias("value3"))
+    current = rows.withColumn("content_hash", state.content_hash("value3"))
+    again = rows.withColumn("value3", F.col("value3") + F.when(F.col("company_id") % 2 == 0, 1).otherwise(0))
+    keys = ["company_id", "report_key"]
+    _, versions = state.versioned_upsert(current, current.select(*keys, "content_hash"), again, keys, ["value3"])
+    return versions.groupBy(*keys).agg(F.countDistinct("content_hash").alias("versions"))
+
+
+@query("skip_complete", with_tables("market", then="""
+SELECT s_suppkey AS company_id FROM supplier WHERE s_suppkey NOT IN (
+  SELECT company_id FROM market GROUP BY 1 HAVING count(*) >= 30 AND max(day) >= DATE '2001-10-15')"""))
+def skip_complete(t: Tables) -> DataFrame:
+    """Companies that still want a backfill: fewer than 30 days, or none of late."""
+    done = domain.market_prices(t).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last")).filter("n >= 30 AND last >= DATE'2001-10-15'")
+    return state.delete_keys(domain.companies(t).select("company_id"), done, ["company_id"])
+
+
+@query("source_fallback", with_tables("market", then=f"-- more{_STATE_SQL}\nSELECT company_id, day, close FROM new UNION ALL SELECT company_id, day, close FROM old ANTI JOIN new USING (company_id, day)"))
+def source_fallback(t: Tables) -> DataFrame:
+    old, new = old_and_new(t)
+    return state.fallback(new.select(*_KEYS, "close"), old.select(*_KEYS, "close"), _KEYS)
+
+
+@query("completeness_coverage", with_tables("interim", then="""
+SELECT company_id, count(*) AS reports, count(*) FILTER (net_profit_ly IS NOT NULL AND net_profit_fyprev IS NOT NULL) AS complete, count(DISTINCT jyear) AS years FROM interim GROUP BY 1"""))
+def completeness_coverage(t: Tables) -> DataFrame:
+    full = F.col("net_profit_ly").isNotNull() & F.col("net_profit_fyprev").isNotNull()
+    return domain.interim_reports(t).groupBy("company_id").agg(F.count(F.lit(1)).alias("reports"), F.count_if(full).alias("complete"), F.countDistinct("jyear").alias("years"))
+
+
+@query("entity_resolution", """
+SELECT p_partkey AS name_id, min(s_suppkey) AS company_id, 'exact' AS how FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) + 1 GROUP BY 1""")
+def entity_resolution(t: Tables) -> DataFrame:
+    """Perturbed names of companies, each found again by its label."""
+    known = domain.companies(t)
+    n = known.agg(F.count(F.lit(1)).alias("n"))
+    asked = t("part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("name_id"), (F.col("p_partkey") % F.col("n") + 1).alias("company_id"))
+    asked = asked.join(known, "company_id").select("name_id", F.concat(F.lit("  "), F.upper("company_name"), F.lit("‏ ")).alias("name"))
+    return resolve(asked, known).select("name_id", "company_id", "how")
+
+
+@query("token_jaccard", """
+SELECT p_partkey, CASE WHEN a = b THEN 1e0 ELSE 0e0 END AS same FROM (SELECT p_partkey, lower(p_name) AS a, lower(p_name) AS b FROM part)""")
+def token_jaccard(t: Tables) -> DataFrame:
+    a, b = tokens(F.col("p_name"), ()), tokens(F.upper("p_name"), ())
+    return t("part").select("p_partkey", jaccard(a, b).alias("same"))
+
+
+@query("three_way_facts", """
+SELECT n_name AS ticker, r_name AS form, count(*) AS facts, sum(floor(c_acctbal * 100.0 + 0.5)) AS total
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2""")
+def three_way_facts(t: Tables) -> DataFrame:
+    rows = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return rows.groupBy(F.col("n_name").alias("ticker"), F.col("r_name").alias("form")).agg(
+        F.count(F.lit(1)).alias("facts"), F.sum(F.floor(F.col("c_acctbal") * 100.0 + 0.5).cast("double")).alias("total"))
+
+
+@query("eav_facts_pivot", with_tables("interim", then="""
+SELECT company_id, jyear, jmonth, max(revenue) AS revenue, max(net_profit) AS net_profit, max(operating_profit) AS operating_profit FROM interim GROUP BY 1, 2, 3"""))
+def eav_facts_pivot(t: Tables) -> DataFrame:
+    """Reports taken apart into facts, one a metric, and put together again."""
+    metrics = ["revenue", "net_profit", "operating_profit"]
+    facts = domain.interim_reports(t).unpivot(["company_id", "jyear", "jmonth"], metrics, "metric", "value")
+    return facts.groupBy("company_id", "jyear", "jmonth").pivot("metric", metrics).agg(F.max("value"))
+
+
+@query("html_link_harvest", """
+SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1, 2""")
+def html_link_harvest(t: Tables) -> DataFrame:
+    return t("pages").select("page_id", F.explode(links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("html_table_extract", """
+SELECT page_id, 0 AS table_no, r AS row_no, c AS col_no, CASE WHEN r = 0 THEN 'period' WHEN c = 0 THEN 'total' ELSE page_id::VARCHAR END AS cell
+FROM pages, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(r, c)""")
+def html_table_extract(t: Tables) -> DataFrame:
+    """A table with a spanning header and a hidden cell, put on each page, as rows."""
+    body = F.concat(F.lit("<table><tr><th colspan=2>period</th></tr><tr><td>total</td><td style='display: none'>x</td><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"))
+    pages = t("pages").select("page_id", body.alias("html"))
+    t.spark.udtf.register("html_tables", HtmlTables)
+    return t.spark.sql("SELECT p.page_id, h.table_no, h.row_no, h.col_no, h.cell FROM {pages} p, LATERAL html_tables(p.html) h", pages=pages)
