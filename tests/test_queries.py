@@ -12,10 +12,15 @@ from tests.conftest import SMALL
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
+def cell(v):
+    if isinstance(v, (list, np.ndarray)):
+        return tuple(v)
+    return None if pd.isna(v) else str(pd.Timestamp(v).date()) if hasattr(v, "year") else v
+
+
 def plain(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    frame = frame.where(frame.notna(), None).map(lambda v: str(pd.Timestamp(v).date()) if hasattr(v, "year") else tuple(v) if isinstance(v, (list, np.ndarray)) else v)
-    return sorted(map(tuple, frame.values.tolist()), key=lambda row: [(v is None, str(v)) for v in row])
+    rows = [tuple(map(cell, row)) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False)]
+    return sorted(rows, key=lambda row: [(v is None, str(v)) for v in row])
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
