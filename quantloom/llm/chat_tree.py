@@ -36,63 +36,120 @@ def formatted(role: Column, text: Column) -> tuple[Column, Column, Column]:
 TURN = re.compile(re.escape(START) + r"((?:\\.|[^\\\n])*)\n(.*?)" + re.escape(END) + "\n", re.S)
 
 
+NO_CONV = -(1 << 63)
+
+
+def _in_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each conversation whole and in order; a task streams through it."""
+    return rows.repartition("conv").sortWithinPartitions("conv", *columns)
+
+
+def _with_nodes(rows: DataFrame) -> DataFrame:
+    """conv, at, role, text, node and parent: a node's key is a digest of its parent's key and its own turn."""
+    names = ["conv", "at", "role", "text", "node", "parent"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, at, key = None, 0, None
+        for batch in batches:
+            ats, nodes, parents = [], [], []
+            for own, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "text"))):
+                if own != conv:
+                    conv, at, key = own, 0, None
+                at += 1
+                parents.append(key)
+                key = hashlib.sha256(f"{key or ''}{len(role)}:{role}\n{text}".encode()).hexdigest()[:32]
+                ats.append(at)
+                nodes.append(key)
+            yield pa.RecordBatch.from_arrays([batch.column("conv"), pa.array(ats, pa.int64()), batch.column("role"), batch.column("text"),
+                                              pa.array(nodes, pa.string()), pa.array(parents, pa.string())], names)
+
+    return _in_order(rows, ["turn", "role", "text"]).mapInArrow(task, "conv long, at long, role string, text string, node string, parent string")
+
+
+def _with_paths(rows: DataFrame) -> DataFrame:
+    """node, path, segment, inside of the nodes that a conversation stands for: the segments from the root on, the last
+    of them, and the characters of it before the node."""
+    names, kinds = ["node", "path", "segment", "inside"], [pa.string(), pa.list_(pa.string()), pa.string(), pa.int64()]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, path, inside = None, [], 0
+        for batch in batches:
+            out = []
+            for own, node, head, stands, size in zip(*(batch.column(c).to_pylist() for c in ("conv", "node", "head", "stands", "n_chars"))):
+                if own != conv:
+                    conv, path, inside = own, [], 0
+                if head:
+                    path, inside = [*path, node], 0
+                if stands:
+                    out.append((node, path, node if head else path[-1], inside))
+                inside += size
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    return _in_order(rows, ["at"]).mapInArrow(task, "node string, path array<string>, segment string, inside long")
+
+
 def build_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The tree's nodes, and where each turn of each conversation lies.
 
-    A node stands for a role and text after the same turns before; its key chains the digests of all of them, so
-    conversations meet in a node exactly as long as they agree. Nodes: node, parent, depth, role, formatted, n_chars,
-    loss_from, loss_to (within formatted; both null unless the role is assistant), start, stop, position, subtree_stop,
-    ancestors (starts and stops of the intervals on the path to it). start and stop are places in the emitted sequence,
-    all trees depth first; position is the place within the conversation, so siblings have equal position ids. A token
-    attends to its own node up to itself and to its ancestors' intervals; as a key it is seen from queries in
-    [start, subtree_stop). The second table holds conv, at (number of the turn), node.
+    A node stands for a role and text after the same turns before; its key chains their digests, so conversations meet
+    in a node exactly as long as they agree. Nodes: node, parent, depth, role, formatted, n_chars, loss_from, loss_to
+    (within formatted; both null unless the role is assistant), start, stop, position, subtree_stop, ancestors. start and
+    stop are places in the emitted sequence, all trees depth first; position is the place within the conversation, so
+    siblings have equal position ids. A token attends to its own node up to itself and to the ancestors' intervals, which
+    are given as one run a segment; as a key it is seen from queries in [start, subtree_stop). The second table holds conv, at
+    (number of the turn), node.
 
+    Nodes between two forks form a segment; paths name segments, not nodes, so a long conversation costs what it holds.
     Turns are in order of turn, then role, then text; repeated rows are repeated turns. Null role or text counts as empty.
-    Turns of a null conversation id make up one conversation, a null turn number comes first. A first turn, or a whole
-    conversation, that very many share is one row after the partial aggregation of each task; nothing is grouped by tree.
+    Turns of a null conversation id make up one conversation, known as the least 64-bit integer; a null turn number comes
+    first. A first turn, or a whole conversation, that very many share is one row after the partial aggregation of each
+    task; nothing is grouped by tree. A single conversation is streamed through one task, in bounded memory.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
+    rows = turns.select(F.coalesce(F.col(conv_col).cast("long"), F.lit(NO_CONV)).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                         text(role_col).alias("role"), text(text_col).alias("text"))
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.lit("\n"), F.col("text")).cast("binary"), 256)
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("digest", F.substring(digest, 1, 32))
-    path = F.collect_list("digest").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumn("chain", F.aggregate(path, F.array().cast("array<string>"), lambda keys, d: F.concat(keys, F.array(
-        F.substring(F.sha2(F.concat(F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit("")), d).cast("binary"), 256), 1, 32)))))
-    placed = materialize(placed.select("conv", "at", "role", "text", "chain", F.element_at("chain", -1).alias("node")), "chat-turns")
-
+    placed = materialize(_with_nodes(rows), "chat-turns")
     shown, low, high = formatted(F.col("role"), F.col("text"))
-    merged = placed.groupBy("node").agg(
-        F.min("at").alias("depth"), F.min("chain").alias("chain"), F.min("role").alias("role"), F.min("text").alias("text"))
     speaks = F.col("role") == "assistant"
-    merged = merged.select(
-        "node", "depth", "chain", "role", shown.alias("formatted"), F.length(shown).cast("long").alias("n_chars"),
-        F.when(speaks, low).alias("loss_from"), F.when(speaks, high).alias("loss_to"))
-    # a parent's chain is the beginning of its children's, so the order of chains is depth first
-    laid = merged.repartitionByRange(F.col("chain").asc()).sortWithinPartitions("chain").withColumn("part", F.spark_partition_id())
-    laid = materialize(laid, "chat-nodes")
+    merged = placed.groupBy("node").agg(F.count(F.lit(1)).alias("users"), F.min("conv").alias("first"), F.min("at").alias("depth"),
+                                        F.min("parent").alias("parent"), F.min("role").alias("role"), F.min("text").alias("text"))
+    merged = materialize(merged.select(
+        "node", "users", "first", "depth", "parent", "role", shown.alias("formatted"), F.length(shown).cast("long").alias("n_chars"),
+        F.when(speaks, low).alias("loss_from"), F.when(speaks, high).alias("loss_to")), "chat-nodes")
+    above = merged.select(F.col("node").alias("parent"), F.col("users").alias("above"))
+    # a node that all users of its parent share, and no other, goes on with the parent's segment
+    heads = merged.join(above, "parent", "left").select("node", "first", "n_chars", (F.coalesce("above", F.lit(-1)) != F.col("users")).alias("head"))
+    walked = placed.select("conv", "at", "node").join(heads, "node").select(
+        "conv", "at", "node", "head", "n_chars", (F.col("first") == F.col("conv")).alias("stands"))
+    paths = materialize(_with_paths(walked), "chat-paths")
+    # a segment's path is the beginning of those behind it, so the order of paths is depth first
+    order = [F.col("path").asc(), F.col("inside").asc()]
+    laid = paths.join(merged.select("node", "n_chars"), "node").repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = materialize(laid.withColumn("part", F.spark_partition_id()), "chat-order")
     sums = laid.groupBy("part").agg(F.sum("n_chars").alias("chars")).collect()  # a row a partition
     before, total = [], 0
     for part, chars in sorted(sums):
         before.append((part, total))
         total += chars
     offsets = laid.sparkSession.createDataFrame(before, "part int, before long")
-    within = Window.partitionBy("part").orderBy("chain")
-    laid = laid.join(F.broadcast(offsets), "part").withColumn("stop", F.col("before") + F.sum("n_chars").over(within)).withColumn(
-        "start", F.col("stop") - F.col("n_chars"))
-    laid = materialize(laid.drop("part", "before"), "chat-places")
-    upward = laid.select("node", "n_chars", F.explode("chain").alias("above"))
-    subtree = upward.groupBy("above").agg(F.sum("n_chars").alias("subtree"))
-    above = upward.select("node", "above").join(laid.select(F.col("node").alias("above"), F.col("start").alias("s"), F.col("stop").alias("e")), "above")
-    paths = above.filter("node <> above").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ancestors"), F.sum(F.col("e") - F.col("s")).alias("position"))
-    nodes = laid.join(subtree.withColumnRenamed("above", "node"), "node").join(paths, "node", "left").select(
-        "node", F.when(F.size("chain") > 1, F.element_at("chain", -2)).alias("parent"), "depth", "role", "formatted", "n_chars",
-        "loss_from", "loss_to", "start", "stop", F.coalesce("position", F.lit(0).cast("long")).alias("position"),
-        (F.col("start") + F.col("subtree")).alias("subtree_stop"),
-        F.coalesce("ancestors", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("ancestors"))
+    within = Window.partitionBy("part").orderBy("path", "inside")
+    laid = laid.join(F.broadcast(offsets), "part").withColumn("stop", F.col("before") + F.sum("n_chars").over(within))
+    laid = materialize(laid.select("node", "path", "segment", "inside", "n_chars", "stop"), "chat-places")
+    segments = materialize(laid.groupBy("segment").agg(
+        F.min("path").alias("path"), F.min(F.col("stop") - F.col("n_chars")).alias("s"), F.max("stop").alias("e")), "chat-segments")
+    up = segments.select("segment", F.col("e").alias("own_e"), F.col("s").alias("own_s"), F.explode("path").alias("over"))
+    spans = up.groupBy("over").agg(F.sum(F.col("own_e") - F.col("own_s")).alias("subtree")).withColumnRenamed("over", "segment")
+    over = up.filter("segment <> over").select("segment", "over").join(segments.select(F.col("segment").alias("over"), "s", "e"), "over")
+    over = over.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ancestors"), F.sum(F.col("e") - F.col("s")).alias("chars"))
+    known = segments.select("segment", "s").join(spans, "segment").join(over, "segment", "left")
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    start = F.col("stop") - F.col("n_chars")
+    own = F.when(F.col("inside") > 0, F.array(F.struct(F.col("s").alias("s"), start.alias("e")))).otherwise(none)
+    places = laid.join(known, "segment").select(
+        "node", start.alias("start"), "stop", (F.coalesce("chars", F.lit(0)) + F.col("inside")).alias("position"),
+        (start + F.col("subtree") - F.col("inside")).alias("subtree_stop"), F.concat(F.coalesce("ancestors", none), own).alias("ancestors"))
+    nodes = merged.drop("users", "first").join(places, "node")
     return nodes, placed.select("conv", "at", "node")
 
 
@@ -125,7 +182,7 @@ def read_back(nodes: DataFrame, places: DataFrame) -> DataFrame:
             yield batch_of([closed(conv, state)])
 
     def closed(conv, s):
-        return conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
+        return None if conv == NO_CONV else conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
 
     def batch_of(done):
         return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kinds[i]) for i in range(6)], names)

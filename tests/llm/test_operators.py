@@ -213,18 +213,27 @@ def test_chat_tree_reads_back(spark):
         every = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
         assert got[conv][:4] == (len(turns), hashlib.sha256(every.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
     tree = {r["node"]: r for r in nodes.collect()}
-    assert len(tree) == 10 and max(r["stop"] for r in tree.values()) == sum(r["n_chars"] for r in tree.values())
+    assert len(tree) == 9 and max(r["stop"] for r in tree.values()) == sum(r["n_chars"] for r in tree.values())
     for r in tree.values():
         up, parent = [], r["parent"]
         while parent:
-            up.insert(0, (tree[parent]["start"], tree[parent]["stop"]))
+            up = [*range(tree[parent]["start"], tree[parent]["stop"]), *up]
             parent = tree[parent]["parent"]
-        assert [tuple(x) for x in r["ancestors"]] == up and r["position"] == sum(e - s for s, e in up)
+        assert [k for s, e in r["ancestors"] for k in range(s, e)] == up and r["position"] == len(up)
         assert all(tree[r["parent"]]["start"] < r["start"] < tree[r["parent"]]["subtree_stop"] for _ in [0] if r["parent"])
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_tree.read_back(*chat_tree.build_tree(empty)).count() == 0
 
 
+def test_a_long_conversation_costs_what_it_holds(spark):
+    turns = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(400)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(300)]
+    nodes, places = chat_tree.build_tree(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = nodes.orderBy("depth").collect()
+    assert len(rows) == 400 and [r["start"] for r in rows] == [0, *(r["stop"] for r in rows[:-1])]
+    assert all(len(r["ancestors"]) <= 2 and r["position"] == r["start"] and r["subtree_stop"] == rows[-1]["stop"] for r in rows)
+    assert places.count() == 700
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 100], [5, 2, 1], 120) == [30.0, 30.0, 60.0]
     assert mixing.water_fill([0, 0], [1, 2], 0) == [0.0, 0.0]
@@ -317,7 +326,7 @@ def test_media_formats():
     assert media.area_resize(gray, 5, 7) == pytest.approx(gray)
     assert media.area_resize(gray, 1, 1)[0, 0] == pytest.approx(gray.mean())
     small = media.area_resize(np.arange(12.0).reshape(2, 6), 1, 4)
-    assert small[0] == pytest.approx([3.33333333, 4.66666667 + 0.16666667, 6.16666667, 7.66666667])
+    assert small[0] == pytest.approx([(3 + 4 / 2) / 1.5, (4 / 2 + 5) / 1.5, (6 + 7 / 2) / 1.5, (7 / 2 + 8) / 1.5])
 
 
 def plain_lines(rows, size):
