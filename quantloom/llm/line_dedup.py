@@ -53,11 +53,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     line in a third of all documents is one row a task.
 
     Blank lines never match and stay. Null texts stay null and remove nothing; empty and short texts stay as they are.
-    Repeated rows are copies of one another, of which one stays. With drop_emptied, documents whose lines all went are
-    left out. An empty table gives no rows.
+    Rows that are equal in all columns are one place and stay or go alike; rows that differ in any column, if only in the
+    id, are copies, of which the first stays. With drop_emptied, documents whose lines all went are
+    left out. A column of docs by the new name is replaced. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    docs = docs.drop("line_dedup_removed")
+    small_batches(docs.sparkSession)
     plain = [f"c{i}" for i in range(len(docs.columns))]  # no column of docs can clash with ours
     text, key = docs.columns.index(text_col), plain[docs.columns.index(id_col)]
     rows = docs.toDF(*plain)

@@ -48,8 +48,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
     are taken in proportion whatever the offset.
 
     Null text: size 0. Null source: a source of its own, sorted last. Null ids share a bucket. Repeated rows count one by
-    one. An empty table gives no rows. The per-source totals, one row a source, pass through the driver.
+    one. Columns of docs by the new names are replaced. An empty table gives no rows. The per-source totals, one row a source, pass through the driver.
     """
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     key, bucket = "__mix_source", "__mix_bucket"
     name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("null"))
     sized = docs.withColumns({

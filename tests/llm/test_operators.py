@@ -259,6 +259,8 @@ def test_mix(documents, nothing, mixed_rows, bucket_rows):
     assert all(r["mix_size"] == len((r["text"] or "").split()) for r in rows if "\x1c" not in (r["text"] or ""))
     assert mixing.mix(documents, bucket_rows=bucket_rows).collect() is not None
     assert mixing.mix(nothing).count() == 0
+    again = mixing.mix(mixing.mix(documents))
+    assert again.columns == mixing.mix(documents).columns and again.count() == len(mixed_rows)
 
 
 def test_permutation_index(spark):
