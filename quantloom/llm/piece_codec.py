@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import small_batches, table
+from quantloom.llm.common import small_batches, table, worker_state
 
 MARK = "▁"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 250_000
+JOINED_UNITS = 128
 #: Kinds of pieces in the model's protobuf, fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -41,11 +42,12 @@ def build_tokenizer(model):
     else:
         vocab = {p: i for i, (p, _) in enumerate(pieces)}
         merges = []
-        for rank, (piece, score) in enumerate(pieces):
-            if model.pieces[rank].type == NORMAL and len(piece) > 1:
-                merges += [(-score, rank, vocab[piece[:k]], piece[:k], piece[k:]) for k in range(1, len(piece)) if piece[:k] in vocab and piece[k:] in vocab]
-        merges.sort()
-        core = models.BPE(vocab, [(a, b) for *_, a, b in merges], unk_token=pieces[model.trainer_spec.unk_id][0], fuse_unk=True, byte_fallback=bytes_too)
+        for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][1], i)):
+            piece = pieces[i][0]
+            if model.pieces[i].type == NORMAL and len(piece) > 1:
+                cuts = [k for k in range(1, len(piece)) if piece[:k] in vocab and piece[k:] in vocab]
+                merges += [(piece[:k], piece[k:]) for k in sorted(cuts, key=lambda k: vocab[piece[:k]])]
+        core = models.BPE(vocab, merges, unk_token=pieces[model.trainer_spec.unk_id][0], fuse_unk=True, byte_fallback=bytes_too)
     out = Tokenizer(core)
     spec = model.normalizer_spec
     steps = [normalizers.Precompiled(spec.precompiled_charsmap)] if spec.precompiled_charsmap else []
@@ -70,33 +72,48 @@ class PieceCodec:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.proto = parse_model(path)
-        self.whole = build_tokenizer(self.proto)
+        proto = parse_model(path)
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
-        spec = self.proto.normalizer_spec
-        names = [p.piece for p in self.proto.pieces]
-        crossing = any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in names)
-        self.by_unit = not crossing and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
-        self.units = build_tokenizer(self.proto)
-        self.units.normalizer = None
+        spec = proto.normalizer_spec
+        self.prefix = spec.add_dummy_prefix
+        crossing = any(MARK in p.piece.lstrip(MARK) or ("\n" in p.piece and len(p.piece) > 1) for p in proto.pieces)
+        self.by_unit = not crossing and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and self.prefix
+        self.whole = build_tokenizer(proto)
+        self.line_end = self.judge.encode("x\n")[len(self.judge.encode("x")):]
+        self.by_unit = self.by_unit and len(self.line_end) == 1
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.cache: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.pieces = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else
-                       self.proto.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
-                       for p in self.proto.pieces]
+                       proto.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
+                       for p in proto.pieces]
 
     def learn(self, units: list[str]) -> None:
-        if len(self.cache) + len(units) > CACHE_UNITS:
-            self.cache.clear()
-            self.odd.clear()
-        ours = self.units.encode_batch_fast(units, add_special_tokens=False)
-        theirs = self.judge.encode(["\n" + u for u in units], num_threads=1)  # a line end in front keeps units apart
-        front = len(self.judge.encode("\n"))
-        for unit, mine, other in zip(units, ours, theirs):
-            if mine.ids != other[front:]:
-                self.odd.add(unit)
-            self.cache[unit] = array("I", other[front:]).tobytes()
+        """Encode new units with both libraries, many a text: a line end in front of each keeps them apart."""
+        words = [u for u in units if u and u != "\n"]
+        texts = ["\n" + "\n".join(words[at:at + JOINED_UNITS]) for at in range(0, len(words), JOINED_UNITS)]
+        ours = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.judge.encode(texts, num_threads=1)
+        at = 0
+        for mine, other in zip(ours, theirs):
+            for got, want in zip(self.apart(mine), self.apart(other)):
+                if got != want:
+                    self.odd.add(words[at])
+                self.cache[words[at]] = want
+                at += 1
+        self.cache["\n"], self.cache[""] = array("I", self.line_end).tobytes(), b""
+
+    def apart(self, ids: list[int]) -> list[bytes]:
+        """The ids after each line end."""
+        (end,) = self.line_end
+        places = [k for k, x in enumerate(ids) if x == end]
+        whole = array("I", ids).tobytes()
+        return [whole[4 * (a + 1):4 * b] for a, b in zip(places, [*places[1:], len(ids)])]
+
+    def units(self, text: str) -> list[str]:
+        if "  " in text or MARK in text or text[:1] == " ":
+            return self.split.findall(MARK + text.replace(" ", MARK))
+        return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
         """Little-endian ids of each text, and whether both libraries agreed on all of it. Null counts as empty."""
@@ -105,33 +122,27 @@ class PieceCodec:
             mine = self.whole.encode_batch_fast(texts, add_special_tokens=False)
             theirs = self.judge.encode(texts, num_threads=1)
             return [array("I", x).tobytes() for x in theirs], [m.ids == t for m, t in zip(mine, theirs)]
-        split = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if new := set().union(*split).difference(self.cache):
+        split = [self.units(t) if t else [] for t in texts]
+        need = set().union(*split)
+        new = need.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_UNITS:
+            self.cache.clear()
+            self.odd.clear()
+            new = need
+        if new:
             self.learn(list(new))
-        out, same, cache = [], [], self.cache
-        for units in split:
-            try:
-                out.append(b"".join(map(cache.__getitem__, units)))
-            except KeyError:  # the cache was emptied meanwhile
-                self.learn(list(set(units)))
-                out.append(b"".join(map(cache.__getitem__, units)))
-            same.append(not self.odd or self.odd.isdisjoint(units))
-        return out, same
+        known = self.cache.__getitem__
+        return [b"".join(map(known, units)) for units in split], [not self.odd or self.odd.isdisjoint(units) for units in split]
 
     def decode(self, ids: bytes) -> str:
         pieces = self.pieces
         text = b"".join([pieces[i] for i in array("I", ids)]).decode(errors="replace")
-        return text[1:] if self.proto.normalizer_spec.add_dummy_prefix and text[:1] == " " else text
-
-
-_codecs: dict[str, PieceCodec] = {}
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 def codec(path: str) -> PieceCodec:
     """One codec a Python worker, kept between tasks."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return worker_state(("pieces", path), lambda: PieceCodec(path))
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
