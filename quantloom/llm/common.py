@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base or base.startswith("file:") else f"file://{base}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # a plain path belongs to the cluster's own file system
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -43,8 +50,27 @@ def text_key(col: str = "text") -> tuple:
     return F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Long texts: hand Python workers fewer rows at a time than Spark's default of 10,000."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What an operator keeps in a Python worker between tasks: made once, and in place of any other operator's, whose
+    memory goes back to the machine first. Workers outlive stages, so what they hold would add up."""
+    if key not in _state:
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _state[key] = make()
+        gc.collect()
+    return _state[key]

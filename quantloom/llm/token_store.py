@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import fresh_path, materialize, small_batches, table
+from quantloom.llm.common import fresh_path, materialize, small_batches, table, worker_state
 
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
 NO_ID = -(1 << 63)
@@ -71,8 +71,6 @@ class WordEncoder:
         return got
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         whole, cache, piece, known = [], self.cache, self.piece, self.pieces.get
         for word in words:
             text = word.decode()
@@ -92,26 +90,19 @@ class WordEncoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode() for t in texts]
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        if new := set().union(*split).difference(self.cache):
+        need = set().union(*split)
+        new = need.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+            new = need
+        if new:
             self.learn(list(new))
-        cache, out = self.cache, []
-        for words in split:
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:  # the cache was emptied meanwhile
-                self.learn(list(set(words)))
-                out.append(b"".join(map(cache.__getitem__, words)))
-        return out
-
-
-_encoders: dict[str, WordEncoder] = {}
+        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder a Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_state(("words", path), lambda: WordEncoder(path))
 
 
 class FrameWriter:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import materialize, small_batches, table
+from quantloom.llm.common import materialize, small_batches, table, worker_state
 
 TRAIN_ROWS = 16_000
 FEATURES = 600
@@ -19,7 +20,7 @@ MIN_DOCS = 5
 STRENGTH = 10.0
 GRADES = 4
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 REJECT = 0.5
 
 
@@ -173,9 +174,6 @@ class Scorer:
         return scores
 
 
-_scorers: list[Scorer] = []
-
-
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with p_toxic (the chance of a grade over 0), severity (the expected grade) and grade (the likeliest).
 
@@ -186,13 +184,12 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", prefix:
     names = [prefix + c for c in ("p_toxic", "severity", "grade")]
     docs = docs.drop(*names)
     at = docs.columns.index(text_col)
-    sent = spark.sparkContext.broadcast(model)  # at most FEATURES weights
+    sent, number = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # at most FEATURES weights
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _scorers or _scorers[0].model != sent.value:
-            _scorers[:] = [Scorer(sent.value)]
+        scorer = worker_state(("toxicity", number), lambda: Scorer(sent.value))
         for batch in batches:
-            above = sent.value.above(_scorers[0](batch.column(at).to_pylist()))
+            above = sent.value.above(scorer(batch.column(at).to_pylist()))
             grades = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
             made = [pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(grades.argmax(axis=1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
