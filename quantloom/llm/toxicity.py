@@ -17,7 +17,7 @@ from quantloom.llm.common import materialize, small_batches, table, worker_state
 TRAIN_ROWS = 16_000
 FEATURES = 600
 MIN_DOCS = 5
-STRENGTH = 10.0
+STRENGTH = 8.0
 GRADES = 4
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 100_000
