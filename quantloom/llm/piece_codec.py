@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from quantloom.llm.common import small_batches, table, worker_state
 
 MARK = "▁"
-CACHE_UNITS = 250_000
+CACHE_UNITS = 200_000
+TEXTS_AT_ONCE = 100
 JOINED_UNITS = 128
 #: Kinds of pieces in the model's protobuf, fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -116,8 +117,18 @@ class PieceCodec:
         return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
-        """Little-endian ids of each text, and whether both libraries agreed on all of it. Null counts as empty."""
-        texts = [t or "" for t in texts]
+        """Little-endian ids of each text, and whether both libraries agreed on all of it. Null counts as empty.
+
+        Texts are taken a few at a time, so that what a batch holds besides its texts stays small."""
+        ids: list[bytes] = []
+        same: list[bool] = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            some = self._encode([t or "" for t in texts[at:at + TEXTS_AT_ONCE]])
+            ids += some[0]
+            same += some[1]
+        return ids, same
+
+    def _encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         if not self.by_unit:
             mine = self.whole.encode_batch_fast(texts, add_special_tokens=False)
             theirs = self.judge.encode(texts, num_threads=1)
