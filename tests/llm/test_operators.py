@@ -7,11 +7,12 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 
-from quantloom.llm import chat_tree, line_dedup, media, mixing, permutation_index, piece_codec, simhash, substring_dedup, token_store, toxicity
+from quantloom.llm import chat_tree, line_dedup, media, mixing, near_copies, permutation_index, piece_codec, simhash, substring_dedup, token_store, toxicity
 
 #: Columns by names that operators use inside, rows repeated, nulls in every column.
 DOC_SCHEMA = "doc_id long, text string, source string, row string, id int, fp int, anchor int, key int, mask int, at int, gone int, part int"
@@ -427,3 +428,51 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 102), (102, 101)] + [(200, k) for k in range(201, 240)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(21)) and {got[k] for k in (100, 101, 102)} == {100} and {got[k] for k in range(200, 240)} == {200}
+
+
+def plain_shingles(text, words):
+    split = (text or "").encode().lower().split()
+    return {b" ".join(split[i:i + words]) for i in range(max(1, len(split) - words + 1))} if split else set()
+
+
+def near_texts():
+    """Texts of which some are copies with a few words changed, near 0.8 and on both sides of it, in chains too."""
+    rnd = random.Random(5)
+    out = [None, "", " \n", "one two", "One  two", "one two three"]
+    for _ in range(25):
+        own = [f"w{rnd.randint(0, 3000)}" for _ in range(rnd.randint(30, 300))]
+        for _ in range(rnd.randint(1, 6)):
+            out.append(" ".join(own))
+            for at in rnd.sample(range(len(own)), max(1, len(own) * rnd.choice([1, 2, 3, 4]) // 100)):
+                own[at] = f"x{rnd.randint(0, 10**6)}"
+    return out
+
+
+def test_near_copies_are_those_of_brute_force(spark, nothing):
+    texts = near_texts()
+    sets = [plain_shingles(t, 5) for t in texts]
+    parent, near, apart = list(range(len(texts))), 0, 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            both, whole = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or 10 * both >= 8 * whole:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+                near += both < 0.9 * whole
+            apart += 0.6 * whole <= both < 0.8 * whole
+    assert near >= 15 and apart >= 15
+    docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if root(i) == i]
+    assert corpus_pipeline.near_dedup(spark, nothing, "").count() == 0
+
+
+def test_near_copies_of_equal_ids(spark):
+    docs = docs_of(spark, [(None, "a b", None), (3, "A b", None), (3, "a b", None), (None, "c", None)])
+    assert sorted((r["doc_id"] or 0) for r in near_copies.keep_one(docs).collect()) == [0, 3]
