@@ -41,7 +41,7 @@ def winnow(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text",
-                drop_emptied: bool = False) -> DataFrame:
+                drop_emptied: bool = False, long_words: int | None = None) -> DataFrame:
     """docs with text_col cleaned, and line_dedup_removed, the number of lines deleted.
 
     A run of at least min_lines lines, blank ones aside, that has stood earlier, in an earlier document or further up in
@@ -52,6 +52,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     make up the whole run. Counts and least places combine before the shuffle, and no pair of places is formed, so a
     line in a third of all documents is one row a task.
 
+    With long_words, a run of fewer lines is deleted too if it holds so many words: each window of fewer lines with
+    long_words words or more is its own fingerprint, beside those of min_lines lines, and takes the same way.
+
     Blank lines never match and stay. Null texts stay null and remove nothing; empty and short texts stay as they are.
     Rows that are equal in all columns are one place and stay or go alike; rows that differ in any column, if only in the
     id, are copies, of which the first stays. With drop_emptied, documents whose lines all went are
@@ -69,12 +72,19 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
         for batch in batches:
             out = [[], [], [], [], []]
             for doc, row, body in zip(*(c.to_pylist() for c in batch.columns)):
-                _, _, hashes = line_hashes(body)
-                least, mixed = winnow(hashes, min_lines)
-                if len(least):
-                    for values, got in zip(out, (np.full(len(least), doc), np.full(len(least), row), np.arange(len(least)),
-                                                 hashes[least].view(np.int64), mixed.view(np.int64))):
-                        values.append(got)
+                lines, at, hashes = line_hashes(body)
+                words = np.concatenate([[0], np.cumsum([len(lines[i].encode().split()) for i in at])]) if long_words else None
+                for size in range(1 if long_words else min_lines, min_lines + 1):
+                    least, mixed = winnow(hashes, size)
+                    starts = np.arange(len(least))
+                    if size < min_lines:  # marks of their own, so that windows of other sizes don't count as partners
+                        starts = starts[words[size:] - words[:-size] >= long_words] if len(least) else starts
+                        least, mixed = least[starts], mixed[starts]
+                    marks = hashes[least] if size == min_lines else hashes[least] ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                    if len(least):
+                        for values, got in zip(out, (np.full(len(least), doc), np.full(len(least), row), starts * (min_lines + 1) + size,
+                                                     marks.view(np.int64), mixed.view(np.int64))):
+                            values.append(got)
             cols = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "row", "at", "mark", "window"])
 
@@ -96,8 +106,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
                     continue
                 lines, at, _ = line_hashes(body)
                 hit = np.zeros(len(at) + 1, np.int64)
-                np.add.at(hit, np.array(starts), 1)
-                np.add.at(hit, np.array(starts) + min_lines, -1)
+                starts, sizes = np.divmod(np.array(starts), min_lines + 1)  # at holds both
+                np.add.at(hit, starts, 1)
+                np.add.at(hit, starts + sizes, -1)
                 drop = set(at[np.cumsum(hit[:-1]) > 0].tolist())
                 left = [x for i, x in enumerate(lines) if i not in drop]
                 bodies.append("\n".join(left))

@@ -364,6 +364,17 @@ def test_line_dedup_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, body), (3, "five")]
 
 
+def test_long_passages_on_one_and_two_lines(spark):
+    long, half, rest = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 30), ("c", 25)))
+    rows = [(1, long, None), (2, f"head\n{long}", None), (3, f"x\n{half}\n\n {rest}\ny", None), (4, f"{half}\n{rest}\nz", None),
+            (5, f"{half}\nx", None), (6, f"head\n{long}\nx", None), (7, "", None), (None, f"x\n{long}", None), (8, None, None)]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: (r["text"], r["line_dedup_removed"]) for r in line_dedup.dedup_lines(docs, long_words=50).collect()}
+    assert got == {1: (long, 0), 2: ("head", 1), 3: (rows[2][1], 0), 4: ("z", 2), 5: (f"{half}\nx", 0), 6: ("x", 2), 7: ("", 0), None: ("x", 1), 8: (None, 0)}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {k: t for k, (t, _) in got.items()}
+    assert all(r["line_dedup_removed"] == 0 for r in line_dedup.dedup_lines(docs).collect())
+
+
 def plain_groups(values, budget):
     parent = list(range(len(values)))
 
