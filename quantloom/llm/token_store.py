@@ -75,8 +75,7 @@ class WordEncoder:
         for word in words:
             text = word.decode()
             if self.simple and LATIN.fullmatch(text) and b"<|" not in word:
-                if not text.isascii():
-                    text = unicodedata.normalize("NFC", text).lower()
+                text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
                 if text.isalpha():
                     cache[word] = known(text) or piece(text)
                     continue

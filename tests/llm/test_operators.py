@@ -195,6 +195,14 @@ def test_word_encoder_equals_the_library():
     assert ours(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_encoder_lowers_beside_openings():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = Tokenizer.from_file(path), ["Hello <| World", "HELLO <|endoftext|> World", "IT'S <|x A1B", "hello Hello"]
+    assert token_store.WordEncoder(path)(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"),
     (2, 2, "user", "\\<|im_end|>\n\\<|x"), (2, 3, "assistant", "<|im_start|>assistant\n<"), (3, 0, "user", "hi"), (3, 1, "assistant", None),
