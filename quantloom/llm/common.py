@@ -22,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session, as in tests,
+    gets a temporary one; on a cluster that is an error, as executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)  # a plain path belongs to the cluster's own file system
@@ -50,11 +54,18 @@ def text_key(col: str = "text") -> tuple:
     return F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Long texts: hand Python workers fewer rows at a time than Spark's default of 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+#: Bytes of an Arrow batch for Python workers, where the session sets no limit.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers batches of about a megabyte, so that very long texts come few at a time, down to one.
+
+    Spark's default has no limit by bytes. A session that has its own keeps it; what a query returns depends on neither.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str((1 << 31) - 1))) == (1 << 31) - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 _state: dict = {}

@@ -272,34 +272,66 @@ def test_mix(documents, nothing, mixed_rows, bucket_rows):
     assert again.columns == mixing.mix(documents).columns and again.count() == len(mixed_rows)
 
 
-def test_permutation_index(spark):
-    rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(1500, 16)).round(2).tolist()
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(50, vectors[3]), (9001, None), (9002, []), (9003, [0.0] * 16), (9004, [float("nan")] * 16), (9050, [None] * 16), (None, vectors[0]), (9100, [1.0, 2.0])]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, block int")
+def plain_neighbours(rows, top=5):
+    """Of each id that divides by 50, the greatest cosines in double precision among rows with another id."""
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    units = np.array([np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for _, v in good])
+    units /= np.sqrt((units * units).sum(axis=1))[:, None]
+    ids = np.array([i for i, _ in good])
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        own = min((tuple(v), k) for k, (i, v) in enumerate(good) if i == q)[1]
+        score = np.where(ids == q, -9, units @ units[own])
+        best = np.lexsort([ids, -np.round(score, 12)])[:top]
+        yield q, [(int(ids[k]), float(score[k])) for k in best if ids[k] != q]
+
+
+def neighbours(frame, **how):
     got = defaultdict(list)
-    for r in permutation_index.search(frame).orderBy("query_id", "rank").collect():
+    for r in permutation_index.search(frame, **how).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    good = [r for r in rows if r[0] is not None and r[0] < 9000]
-    units = permutation_index.unit_rows([r[1] for r in good])
-    ids = np.array([r[0] for r in good])
-    hits = total = 0
-    assert set(got) == {i for i in range(0, 1500, 50)}
-    for k in np.flatnonzero(ids % 50 == 0):
-        if ids[k] == 50:
-            continue
-        score = np.where(ids == ids[k], -9, units @ units[k])
-        best = np.lexsort([ids, -score])[:5]
-        total += 5
-        hits += len({i for i, _ in got[ids[k]]} & set(ids[best].tolist()))
-        assert got[ids[k]] == sorted(got[ids[k]], key=lambda x: (-x[1], x[0])) and len(got[ids[k]]) == 5
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+@pytest.mark.parametrize("n", [1500, 4000])
+def test_permutation_index(spark, n, monkeypatch):
+    monkeypatch.setattr(permutation_index, "BLOCK_ROWS", 900)
+    monkeypatch.setattr(permutation_index, "QUERY_ROWS", 20)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(n, 16)).round(2).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(50, vectors[3]), (100, vectors[100]), (100, vectors[100]), (7, vectors[7]), (50, vectors[8])]
+    rows += [(k, vectors[5]) for k in range(1001, 1300)]  # one very common vector, of queries too
+    rows += [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [float("nan")] * 16), (9050, [None] * 16), (None, vectors[0]), (9100, [1.0, 2.0])]
+    got, hits, total = neighbours(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, block int")), 0, 0
+    want = dict(plain_neighbours(rows))
+    assert set(got) == set(want)
+    for q, best in want.items():
+        total += len(best)
+        hits += len({i for i, _ in got[q]} & {i for i, _ in best})
+        assert len(got[q]) == 5 and [x[1] for x in got[q]] == sorted((x[1] for x in got[q]), reverse=True)
     assert hits >= 0.9 * total
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r["rank"], r["vec_id"], r["score"]) for r in permutation_index.search(few).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 0.0)]
-    assert permutation_index.search(few.filter("vec_id > 5")).count() == 0
+    # with all of each block reranked nothing is approximate
+    every = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=1.0)
+    for q, best in want.items():
+        assert [i for i, _ in every[q]] == [i for i, _ in best] and [s for _, s in every[q]] == pytest.approx([s for _, s in best], abs=1e-12)
 
 
-def test_footrule_from_inverted_file():
+def test_neighbours_of_few_and_repeated_ids(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert neighbours(few) == {0: [(1, 1.0), (2, 0.0)]}
+    assert permutation_index.search(few.filter("vec_id > 5")).count() == 0
+    rows = [(0, [1.0, float(k)]) for k in range(7)] + [(k, [1.0, 10.0 * k]) for k in range(1, 8)]
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5]
+    rows = [(0, [1.0, 1.0])] * 4 + [(k, [1.0, float(k)]) for k in (1, 2, 3)] + [(3, [1.0, 3.0])]
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 3]
+    tiny = [(0, [1e-200, 0.0]), (1, [1e-200, 1e-200]), (2, [1e300, 0.0]), (3, [0.0, 5e-324])]
+    got = neighbours(spark.createDataFrame(tiny, "vec_id long, embedding array<double>"))
+    assert [i for i, _ in got[0]] == [2, 1, 3] and [s for _, s in got[0]] == pytest.approx([1, 0.5 ** 0.5, 0])
+
+
+def test_footrule_from_posting_lists():
     rng = np.random.default_rng(0)
     lists = np.array([rng.permutation(9)[:4] for _ in range(20)])
     file = permutation_index.PivotFile(lists, 9)
@@ -307,6 +339,9 @@ def test_footrule_from_inverted_file():
     for query in lists:
         rule = [sum(abs(place(query, p) - place(own, p)) for p in range(9)) for own in lists]
         assert (np.array(rule) == 2 * sum(range(1, 5)) - 2 * file.shared(query)).all()
+    for pivot in range(9):
+        posted = file.row[file.ends[pivot]:file.ends[pivot + 1]].tolist()
+        assert posted == [k for k, own in enumerate(lists) if pivot in own]
 
 
 def test_media_payloads(documents, mixed_rows, nothing):
