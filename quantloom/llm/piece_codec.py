@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding with the tokenizers library, held against the sentencepiece library."""
+"""SentencePiece encoding and decoding by the tokenizers library; the sentencepiece library is what parity is judged by."""
 
 from __future__ import annotations
 
@@ -33,8 +33,10 @@ def parse_model(path: str):
 
 
 def build_tokenizer(model):
-    """A tokenizers pipeline of a parsed model: normaliser, space marker, unigram scores or BPE merges, byte fallback."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    """A tokenizers pipeline of a parsed model: normaliser, space marker, unigram scores or BPE merges, byte fallback.
+
+    Control pieces in a text are ordinary text, and decoding leaves their ids out."""
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     pieces = [(p.piece, p.score) for p in model.pieces]
     bytes_too = any(p.type == BYTE for p in model.pieces)
@@ -57,17 +59,25 @@ def build_tokenizer(model):
     if spec.add_dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * spec.add_dummy_prefix])
+    if model.trainer_spec.model_type == 1:  # names of bytes and controls are ordinary text: part them behind the first letter
+        names = {p.piece for p in model.pieces if p.type not in (NORMAL, USER) and len(p.piece) > 1}
+        after = "|".join(f"{re.escape(n[0])}(?={re.escape(n[1:])})" for n in sorted(names))
+        if names:
+            out.pre_tokenizer = pre_tokenizers.Split(Regex(after), "merged_with_previous")
+    unknown = decoders.Replace(pieces[model.trainer_spec.unk_id][0], model.trainer_spec.unk_surface)
+    out.decoder = decoders.Sequence([unknown, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * spec.add_dummy_prefix])
+    out.add_special_tokens([AddedToken(p.piece, special=True, normalized=False) for p in model.pieces if p.type == CONTROL])
+    out.encode_special_tokens = True
     return out
 
 
 class PieceCodec:
-    """Encodes and decodes with one model file, unit by unit.
+    """Encodes and decodes with the tokenizer rebuilt from one model file; the sentencepiece library only judges parity.
 
     A unit is a run of markers with the text up to the next marker. Where no piece goes on past such a border, or over a
     line end, a text's ids are its units' ids one after another; each new unit is encoded once, in a multithreaded
-    batch, and compared with the sentencepiece library, whose ids hold where the two differ. Models whose pieces do
-    cross borders, or that change text otherwise than by the marker, are encoded text by text.
+    batch, and compared with the sentencepiece library. Models whose pieces do cross borders, or that change text
+    otherwise than by the marker, are encoded and compared text by text.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,32 +86,31 @@ class PieceCodec:
         proto = parse_model(path)
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         spec = proto.normalizer_spec
-        self.prefix = spec.add_dummy_prefix
         crossing = any(MARK in p.piece.lstrip(MARK) or ("\n" in p.piece and len(p.piece) > 1) for p in proto.pieces)
-        self.by_unit = not crossing and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and self.prefix
+        self.by_unit = not crossing and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
         self.whole = build_tokenizer(proto)
-        self.line_end = self.judge.encode("x\n")[len(self.judge.encode("x")):]
-        self.by_unit = self.by_unit and len(self.line_end) == 1
+        ids = lambda x: self.whole.encode(x, add_special_tokens=False).ids
+        self.line_end = ids("x\n")[len(ids("x")):]
+        self.by_unit = self.by_unit and len(self.line_end) == 1 and self.judge.encode("x\n")[-1:] == self.line_end
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.cache: dict[str, bytes] = {}
         self.odd: set[str] = set()
-        self.pieces = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else
-                       proto.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
-                       for p in proto.pieces]
 
     def learn(self, units: list[str]) -> None:
-        """Encode new units with both libraries, many a text: a line end in front of each keeps them apart."""
+        """Encode new units, many a text: a line end in front of each keeps them apart; and hold them against the other
+        library's ids."""
         words = [u for u in units if u and u != "\n"]
-        texts = ["\n" + "\n".join(words[at:at + JOINED_UNITS]) for at in range(0, len(words), JOINED_UNITS)]
-        ours = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        groups = [words[at:at + JOINED_UNITS] for at in range(0, len(words), JOINED_UNITS)]
+        texts = ["\n" + "\n".join(g) for g in groups]
+        ours = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         theirs = self.judge.encode(texts, num_threads=1)
-        at = 0
-        for mine, other in zip(ours, theirs):
-            for got, want in zip(self.apart(mine), self.apart(other)):
-                if got != want:
-                    self.odd.add(words[at])
-                self.cache[words[at]] = want
-                at += 1
+        for group, mine, other in zip(groups, ours, theirs):
+            got, want = self.apart(mine.ids), self.apart(other)
+            if len(got) != len(group):  # a unit holds a line end's id otherwise
+                got = [array("I", e.ids[e.ids.index(self.line_end[0]) + 1:]).tobytes() for e in self.whole.encode_batch_fast(["\n" + w for w in group], add_special_tokens=False)]
+            self.cache.update(zip(group, got))
+            if got != want:
+                self.odd.update(w for k, (w, own) in enumerate(zip(group, got)) if len(want) != len(group) or own != want[k])
         self.cache["\n"], self.cache[""] = array("I", self.line_end).tobytes(), b""
 
     def apart(self, ids: list[int]) -> list[bytes]:
@@ -132,7 +141,7 @@ class PieceCodec:
         if not self.by_unit:
             mine = self.whole.encode_batch_fast(texts, add_special_tokens=False)
             theirs = self.judge.encode(texts, num_threads=1)
-            return [array("I", x).tobytes() for x in theirs], [m.ids == t for m, t in zip(mine, theirs)]
+            return [array("I", m.ids).tobytes() for m in mine], [m.ids == t for m, t in zip(mine, theirs)]
         split = [self.units(t) if t else [] for t in texts]
         need = set().union(*split)
         new = need.difference(self.cache)
@@ -145,10 +154,12 @@ class PieceCodec:
         known = self.cache.__getitem__
         return [b"".join(map(known, units)) for units in split], [not self.odd or self.odd.isdisjoint(units) for units in split]
 
-    def decode(self, ids: bytes) -> str:
-        pieces = self.pieces
-        text = b"".join([pieces[i] for i in array("I", ids)]).decode(errors="replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The texts of little-endian ids, by the rebuilt decoder, in a multithreaded batch."""
+        out: list[str] = []
+        for at in range(0, len(ids), TEXTS_AT_ONCE):
+            out += self.whole.decode_batch([array("I", x).tolist() for x in ids[at:at + TEXTS_AT_ONCE]], skip_special_tokens=True)
+        return out
 
 
 def codec(path: str) -> PieceCodec:
@@ -157,7 +168,7 @@ def codec(path: str) -> PieceCodec:
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """docs with piece_ids (array of int) and piece_parity (whether both libraries agreed).
+    """docs with piece_ids (array of int, from the tokenizers library) and piece_parity (whether sentencepiece agrees).
 
     Null text counts as empty, an empty text has no ids. Repeated rows are encoded alike. Columns of docs by the new
     names are replaced. An empty table gives no rows.
@@ -181,12 +192,19 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
-    """rows with piece_text, the text of the ids; null ids give a null text."""
+    """rows with piece_text, the text of the ids by the rebuilt decoder; a column by that name is replaced.
+
+    Null ids give a null text, no ids an empty one; ids of control pieces add nothing. Repeated rows decode alike, an
+    empty table gives no rows.
+    """
+    small_batches(rows.sparkSession)
+    rows = rows.drop("piece_text")
     at = rows.columns.index(ids_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else codec(model).decode(array("I", x).tobytes()) for x in batch.column(at).to_pylist()]
+            ids = batch.column(at).to_pylist()
+            texts = [None if x is None else t for x, t in zip(ids, codec(model).decode([array("I", x or ()).tobytes() for x in ids]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "piece_text"])
 
     return rows.mapInArrow(task, T.StructType([*rows.schema.fields, T.StructField("piece_text", T.StringType())]))
@@ -194,7 +212,12 @@ def decode_pieces(rows: DataFrame, model: str, ids_col: str = "piece_ids") -> Da
 
 def digest_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, n_pieces, ids_crc32, decoded_sha256, round_trip, parity: what encoding and decoding each text gives,
-    without the ids leaving the task."""
+    without the ids leaving the task.
+
+    Null text counts as empty: no pieces, an empty decoded text. Null ids and repeated rows come out as they are, one row
+    a row; other columns are ignored; an empty table gives no rows. A text that holds the space marker itself decodes
+    to spaces there, so it is no round trip.
+    """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip", "parity"]
@@ -203,7 +226,7 @@ def digest_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids, same = codec(model).encode(texts)
-            back = [codec(model).decode(x) for x in ids]
+            back = codec(model).decode(ids)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([(t or "") == b for t, b in zip(texts, back)]), pa.array(same)], names)

@@ -100,19 +100,70 @@ def pieces():
     return piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def test_pieces_agree_with_sentencepiece(pieces):
+def hard_texts(n=800):
     rnd = random.Random(2)
     letters = [*"ab the  \n\t.é😀한<s></s>▁\x00", "   ", " \n", "on", "tion", "<unk>", "<0x0A>"]
-    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(800)] + [None, "", "x " * 5000]
+    return ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(n)] + [None, "", "x " * 5000]
+
+
+def test_pieces_agree_with_sentencepiece(pieces):
+    texts = hard_texts()
     ids, same = pieces.encode(texts)
     assert [array("I", x).tolist() for x in ids] == pieces.judge.encode([t or "" for t in texts]) and all(same)
-    assert [pieces.decode(x) for x in ids] == [(t or "").replace("▁", " ") for t in texts]
+    assert pieces.decode(ids) == [(t or "").replace("▁", " ") for t in texts]
+    assert pieces.decode([array("I", [1, *array("I", x), 2]).tobytes() for x in ids[:50]]) == [(t or "").replace("▁", " ") for t in texts[:50]]
     assert [e.ids for e in pieces.whole.encode_batch([t or "" for t in texts if t], add_special_tokens=False)] == pieces.judge.encode([t for t in texts if t])
 
 
+def test_ids_and_texts_come_from_the_rebuilt_tokenizer(monkeypatch):
+    """With the other library's ids spoilt, ids stay and parity says so; with another decoder, texts change."""
+    from tokenizers import decoders
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    fine, spoilt = piece_codec.PieceCodec(path), piece_codec.PieceCodec(path)
+    judge = spoilt.judge
+
+    class Wrong:
+        def encode(self, texts, **how):
+            return [[9 if x == judge.piece_to_id("▁night") else x for x in ids] for ids in judge.encode(texts, **how)]
+
+    spoilt.judge = Wrong()
+    texts = ["a night", "a day", None, "night\nnight"]
+    assert spoilt.encode(texts)[0] == fine.encode(texts)[0]
+    assert fine.encode(texts)[1] == [True] * 4 and spoilt.encode(texts)[1] == [False, True, True, False]
+    spoilt.whole.decoder = decoders.Fuse()
+    assert spoilt.decode(fine.encode(texts)[0])[0] == "▁a▁night"
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_models(tmp_path, squeeze):
+    """A unigram model written out by hand: scores decide, bytes stand for what no piece covers."""
+    from sentencepiece import sentencepiece_model_pb2 as schema
+
+    model = schema.ModelProto()
+    kinds = {"<unk>": piece_codec.UNKNOWN, "<s>": piece_codec.CONTROL, "</s>": piece_codec.CONTROL}
+    names = [*kinds, *(f"<0x{b:02X}>" for b in range(256)), "▁", *"abehnot.", "on", "▁a", "▁the", "the", "th", "an", "▁an", "▁on", "ton", "bb"]
+    for k, name in enumerate(names):
+        kind = kinds.get(name) or (piece_codec.BYTE if name[:3] == "<0x" else piece_codec.NORMAL)
+        model.pieces.add(piece=name, score=0 if kind != piece_codec.NORMAL else -8 + 0.137 * len(name) * (k % 7) + 0.0131 * (k % 11), type=kind)
+    spec = model.trainer_spec
+    spec.model_type, spec.unk_id, spec.bos_id, spec.eos_id, spec.byte_fallback, spec.vocab_size = 1, 0, 1, 2, True, len(names)
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = "identity", True, squeeze
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    codec = piece_codec.PieceCodec(str(path))
+    assert codec.by_unit is not squeeze
+    texts = ["another one on the boat", "bbbb é 한", "", " ton ", "x"] if squeeze else hard_texts(300)
+    ids, same = codec.encode(texts)
+    assert [array("I", x).tolist() for x in ids] == codec.judge.encode([t or "" for t in texts]) and all(same)
+    assert codec.decode(ids) == [codec.judge.decode(array("I", x).tolist()) for x in ids]
+
+
 def test_piece_columns(documents, nothing, mixed_rows):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = piece_codec.decode_pieces(piece_codec.encode_pieces(documents, model), model).collect()
+    rows = piece_codec.decode_pieces(piece_codec.encode_pieces(documents.withColumn("piece_text", documents["row"]), model), model)
+    assert rows.columns == [*documents.columns, "piece_ids", "piece_parity", "piece_text"]
+    rows = rows.collect()
     assert len(rows) == len(mixed_rows) and all(r["piece_text"] == (r["text"] or "") for r in rows)
     assert piece_codec.encode_pieces(nothing, model).count() == 0
 
