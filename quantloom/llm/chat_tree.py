@@ -1,42 +1,83 @@
-"""Chat formatting: conversations that share first turns merge into a prefix tree, whose nodes are written once."""
+"""Chat formatting: conversations that share first turns merge into a prefix tree, whose tokens are emitted once."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize, table
+from quantloom.llm.common import join_split, materialize, small_batches, table, worker_state
 
 #: The template's control strings, fixed values.
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = "\\"
+PAGE = 4096
+NO_CONV = -(1 << 63)
+TURN = re.compile(r"((?:\\.|[^\\\n])*)\n(.*)", re.S)
 
 
-def escaped(text: Column) -> Column:
+def escape(text: str) -> str:
     """Text in which no control string is left: escape characters are doubled, and one parts < from |."""
-    return F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE * 2)), F.lit("<|"), F.lit(f"<{ESCAPE}|"))
+    return text.replace(ESCAPE, ESCAPE * 2).replace("<|", f"<{ESCAPE}|")
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def formatted(role: Column, text: Column) -> tuple[Column, Column, Column]:
-    """A turn's text in the template, and the code points of its content: from, to."""
-    head = F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit(ESCAPE + "\n")), F.lit("\n"))
-    body = escaped(text)
-    return F.concat(head, body, F.lit(END), F.lit("\n")), F.length(head), F.length(head) + F.length(body)
+class Template:
+    """Turns to token ids and back. A byte-level tokenizer's ids, and two more for the control strings."""
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-TURN = re.compile(re.escape(START) + r"((?:\\.|[^\\\n])*)\n(.*?)" + re.escape(END) + "\n", re.S)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # control strings of the file are ordinary text
+        self.start = self.tokenizer.get_vocab_size()
+        self.end = self.start + 1
+        self.line = self.ids(["\n"])[0]
+        self.heads: dict[str, tuple[int, list[int]]] = {}
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def text(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    def turns(self, roles: list[str], texts: list[str]) -> Iterator[tuple[list[int], int, int, int]]:
+        """Of each turn the ids, the characters of its formatted text, and the tokens of its content: from, to."""
+        shown = [escape(t) for t in texts]
+        for role, body, own in zip(roles, shown, self.ids(shown)):
+            if role not in self.heads:
+                head = escape(role).replace("\n", f"{ESCAPE}\n") + "\n"
+                self.heads = {role: (len(head), [self.start, *self.ids([head])[0]])} | (self.heads if len(self.heads) < 1000 else {})
+            size, head = self.heads[role]
+            yield [*head, *own, self.end, *self.line], len(START) + size + len(body) + len(END) + 1, len(head), len(head) + len(own)
+
+
+def template(path: str) -> Template:
+    return worker_state(("chat", path), lambda: Template(path))
 
-NO_CONV = -(1 << 63)
+
+@dataclass(frozen=True)
+class ChatTree:
+    """nodes, a row a node; leaves, a row a conversation: conv and the node of its last turn; pages, the emitted tokens.
+
+    nodes: node, parent, depth, role, n_chars, n_tokens, loss_from, loss_to (tokens of an assistant's content within the
+    node, else null), start, stop, position, subtree_stop, ancestors. pages: page, ids, loss: PAGE tokens each, in order,
+    and whether each token counts in the loss. tokenizer: the file the ids are of.
+    """
+
+    nodes: DataFrame
+    leaves: DataFrame
+    pages: DataFrame
+    tokenizer: str
 
 
 def _in_order(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,128 +107,218 @@ def _with_nodes(rows: DataFrame) -> DataFrame:
     return _in_order(rows, ["turn", "role", "text"]).mapInArrow(task, "conv long, at long, role string, text string, node string, parent string")
 
 
+def _with_tokens(merged: DataFrame, tokenizer: str) -> DataFrame:
+    """merged with ids, n_chars, low and high in place of text."""
+    kept = [c for c in merged.columns if c != "text"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in merged.schema.fields if f.name != "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(template(tokenizer).turns(batch.column("role").to_pylist(), batch.column("text").to_pylist()))
+            cols = [pa.array([m[0] for m in made], pa.list_(pa.int32())), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, "ids", "n_chars", "low", "high"])
+
+    return merged.mapInArrow(task, f"{kinds}, ids array<int>, n_chars long, low long, high long")
+
+
 def _with_paths(rows: DataFrame) -> DataFrame:
-    """node, path, segment, inside of the nodes that a conversation stands for: the segments from the root on, the last
-    of them, and the characters of it before the node."""
-    names, kinds = ["node", "path", "segment", "inside"], [pa.string(), pa.list_(pa.string()), pa.string(), pa.int64()]
+    """node, depth, path, taken, inside of the nodes that a conversation stands for.
+
+    path has the run of nodes on which each step from the root goes on, known by its first node, and how deep it leaves
+    the run before, negative, so that sorting by paths puts deeper branches first; taken has the tokens passed on each
+    run but the last, inside those on the last before the node.
+    """
+    names, step = ["node", "depth", "path", "taken", "inside"], pa.list_(pa.struct([("up", pa.int64()), ("run", pa.string())]))
+    kinds = [pa.string(), pa.int64(), step, pa.list_(pa.int64()), pa.int64()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, path, inside = None, [], 0
+        conv, path, taken, inside = None, [], [], 0
         for batch in batches:
             out = []
-            for own, node, head, stands, size in zip(*(batch.column(c).to_pylist() for c in ("conv", "node", "head", "stands", "n_chars"))):
+            for own, at, node, head, stands, size in zip(*(batch.column(c).to_pylist() for c in ("conv", "at", "node", "head", "stands", "n_tokens"))):
                 if own != conv:
-                    conv, path, inside = own, [], 0
+                    conv, path, taken, inside = own, [], [], 0
                 if head:
-                    path, inside = [*path, node], 0
+                    taken = [*taken, inside] if path else []
+                    path, inside = [*path, {"up": 1 - at, "run": node}], 0
                 if stands:
-                    out.append((node, path, node if head else path[-1], inside))
+                    out.append((node, at, path, taken, inside))
                 inside += size
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    return _in_order(rows, ["at"]).mapInArrow(task, "node string, path array<string>, segment string, inside long")
+    return _in_order(rows, ["at"]).mapInArrow(
+        task, "node string, depth long, path array<struct<up:bigint,run:string>>, taken array<bigint>, inside long")
 
 
-def build_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-               text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The tree's nodes, and where each turn of each conversation lies.
+def _numbered(paths: DataFrame) -> DataFrame:
+    """paths (with n_tokens) with start and stop, the places of each node's tokens in the order of path and inside."""
+    order = [F.col("path").asc(), F.col("inside").asc()]
+    laid = materialize(paths.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "chat-order")
+    sums = laid.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).collect()  # a row a partition
+    before, total = [], 0
+    for part, tokens in sorted(sums):
+        before.append((part, total))
+        total += tokens
+    offsets = laid.sparkSession.createDataFrame(before, "part int, before long")
+    stop = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("part").orderBy("path", "inside"))
+    return laid.join(F.broadcast(offsets), "part").withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n_tokens")).drop("part", "before")
+
+
+def _pages(nodes: DataFrame) -> DataFrame:
+    """The emitted sequence, cut into pages of PAGE tokens: page, ids, loss."""
+    names, kinds = ["page", "at", "ids", "loss"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for start, ids, low, high in zip(*(batch.column(c).to_pylist() for c in ("start", "ids", "loss_from", "loss_to"))):
+                loss = np.zeros(len(ids), bool)
+                loss[low or 0:high or 0] = True
+                at = start
+                while at < start + len(ids):
+                    page, end = at // PAGE, min(start + len(ids), (at // PAGE + 1) * PAGE)
+                    out.append((page, at, ids[at - start:end - start], loss[at - start:end - start].tolist()))
+                    at = end
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    cut = nodes.select("start", "ids", "loss_from", "loss_to").mapInArrow(task, "page long, at long, ids array<int>, loss array<boolean>")
+    parts = F.sort_array(F.collect_list(F.struct("at", "ids", "loss")))
+    whole = cut.groupBy("page").agg(parts.alias("parts"))
+    return whole.select("page", F.flatten("parts.ids").alias("ids"), F.flatten("parts.loss").alias("loss"))
+
+
+def build_tree(turns: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+               text_col: str = "text") -> ChatTree:
+    """The prefix tree of all conversations: its nodes, where each conversation ends, and its tokens in pages.
 
     A node stands for a role and text after the same turns before; its key chains their digests, so conversations meet
-    in a node exactly as long as they agree. Nodes: node, parent, depth, role, formatted, n_chars, loss_from, loss_to
-    (within formatted; both null unless the role is assistant), start, stop, position, subtree_stop, ancestors. start and
-    stop are places in the emitted sequence, all trees depth first; position is the place within the conversation, so
-    siblings have equal position ids. A token attends to its own node up to itself and to the ancestors' intervals, which
-    are given as one run a segment; as a key it is seen from queries in [start, subtree_stop). The second table holds conv, at
-    (number of the turn), node.
-
-    Nodes between two forks form a segment; paths name segments, not nodes, so a long conversation costs what it holds.
+    in a node exactly as long as they agree. Its tokens are emitted once, all trees depth first, and at a fork the child
+    that most conversations share comes first. start and stop are a node's places in the emitted sequence; position is its
+    first token's place within the conversation, so siblings have equal position ids. A token attends to its own node up
+    to itself and to the ancestors' intervals; as a key it is seen from queries in [start, subtree_stop). Nodes in
+    which the most shared child goes on are one run, so their interval is one, and as each further interval halves the
+    conversations at least, a node has at most one more than the binary logarithm of their number.
+
     Turns are in order of turn, then role, then text; repeated rows are repeated turns. Null role or text counts as empty.
     Turns of a null conversation id make up one conversation, known as the least 64-bit integer; a null turn number comes
     first. A first turn, or a whole conversation, that very many share is one row after the partial aggregation of each
-    task; nothing is grouped by tree. A single conversation is streamed through one task, in bounded memory.
+    task, and the join on it is split; nothing is grouped by tree. A single conversation is streamed through one task.
+    An empty table gives no nodes and no pages. Other columns are ignored.
     """
+    small_batches(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.coalesce(F.col(conv_col).cast("long"), F.lit(NO_CONV)).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                         text(role_col).alias("role"), text(text_col).alias("text"))
     placed = materialize(_with_nodes(rows), "chat-turns")
-    shown, low, high = formatted(F.col("role"), F.col("text"))
-    speaks = F.col("role") == "assistant"
     merged = placed.groupBy("node").agg(F.count(F.lit(1)).alias("users"), F.min("conv").alias("first"), F.min("at").alias("depth"),
                                         F.min("parent").alias("parent"), F.min("role").alias("role"), F.min("text").alias("text"))
-    merged = materialize(merged.select(
-        "node", "users", "first", "depth", "parent", "role", shown.alias("formatted"), F.length(shown).cast("long").alias("n_chars"),
-        F.when(speaks, low).alias("loss_from"), F.when(speaks, high).alias("loss_to")), "chat-nodes")
-    above = merged.select(F.col("node").alias("parent"), F.col("users").alias("above"))
-    # a node that all users of its parent share, and no other, goes on with the parent's segment
-    heads = merged.join(above, "parent", "left").select("node", "first", "n_chars", (F.coalesce("above", F.lit(-1)) != F.col("users")).alias("head"))
-    walked = placed.select("conv", "at", "node").join(heads, "node").select(
-        "conv", "at", "node", "head", "n_chars", (F.col("first") == F.col("conv")).alias("stands"))
-    paths = materialize(_with_paths(walked), "chat-paths")
-    # a segment's path is the beginning of those behind it, so the order of paths is depth first
-    order = [F.col("path").asc(), F.col("inside").asc()]
-    laid = paths.join(merged.select("node", "n_chars"), "node").repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = materialize(laid.withColumn("part", F.spark_partition_id()), "chat-order")
-    sums = laid.groupBy("part").agg(F.sum("n_chars").alias("chars")).collect()  # a row a partition
-    before, total = [], 0
-    for part, chars in sorted(sums):
-        before.append((part, total))
-        total += chars
-    offsets = laid.sparkSession.createDataFrame(before, "part int, before long")
-    within = Window.partitionBy("part").orderBy("path", "inside")
-    laid = laid.join(F.broadcast(offsets), "part").withColumn("stop", F.col("before") + F.sum("n_chars").over(within))
-    laid = materialize(laid.select("node", "path", "segment", "inside", "n_chars", "stop"), "chat-places")
-    segments = materialize(laid.groupBy("segment").agg(
-        F.min("path").alias("path"), F.min(F.col("stop") - F.col("n_chars")).alias("s"), F.max("stop").alias("e")), "chat-segments")
-    up = segments.select("segment", F.col("e").alias("own_e"), F.col("s").alias("own_s"), F.explode("path").alias("over"))
-    spans = up.groupBy("over").agg(F.sum(F.col("own_e") - F.col("own_s")).alias("subtree")).withColumnRenamed("over", "segment")
-    over = up.filter("segment <> over").select("segment", "over").join(segments.select(F.col("segment").alias("over"), "s", "e"), "over")
-    over = over.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ancestors"), F.sum(F.col("e") - F.col("s")).alias("chars"))
-    known = segments.select("segment", "s").join(spans, "segment").join(over, "segment", "left")
+    merged = materialize(_with_tokens(merged, tokenizer).withColumn("n_tokens", F.size("ids").cast("long")), "chat-nodes")
+    on = merged.filter("parent IS NOT NULL").groupBy("parent").agg(F.max(F.struct("users", "node")).alias("most")).select("most.node", F.lit(False).alias("on"))
+    heads = merged.select("node", "first", "n_tokens").join(on, "node", "left").select("node", "first", "n_tokens", F.coalesce("on", F.lit(True)).alias("head"))
+    walked = join_split(placed.select("conv", "at", "node"), heads, ["node"], ["conv"])
+    paths = _with_paths(walked.withColumn("stands", F.col("first") == F.col("conv")))
+    paths = materialize(paths, "chat-paths").join(merged.select("node", "n_tokens"), "node").withColumn("run", F.element_at("path", -1)["run"])
+    laid = materialize(_numbered(paths), "chat-places")
+
+    runs = materialize(laid.groupBy("run").agg(F.min("path").alias("path"), F.min("taken").alias("taken"), F.min("start").alias("s"), F.sum("n_tokens").alias("own")), "chat-runs")
+    whole = runs.select("own", F.explode("path.run").alias("run")).groupBy("run").agg(F.sum("own").alias("whole"))
+    whole = materialize(whole, "chat-whole")
+    hung = runs.filter(F.size("path") > 1).select("run", F.element_at("path", -2)["run"].alias("over"), (-F.element_at("path", -1)["up"]).alias("depth"))
+    hung = hung.join(whole, "run").groupBy(F.col("over").alias("run"), "depth").agg(F.sum("whole").alias("hung"))
+    above = runs.filter(F.size("path") > 1).select("run", F.posexplode("taken").alias("k", "tokens"), "path")
+    above = above.select("run", "k", "tokens", F.element_at("path", F.col("k") + 1)["run"].alias("over"))
+    above = join_split(materialize(above, "chat-above"), runs.select(F.col("run").alias("over"), "s"), ["over"], ["run"])
+    above = above.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s", (F.col("s") + F.col("tokens")).alias("e")))),
+                                                 lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("ancestors"))
+    known = runs.select("run", "s").join(whole, "run").join(above, "run", "left")
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    start = F.col("stop") - F.col("n_chars")
-    own = F.when(F.col("inside") > 0, F.array(F.struct(F.col("s").alias("s"), start.alias("e")))).otherwise(none)
-    places = laid.join(known, "segment").select(
-        "node", start.alias("start"), "stop", (F.coalesce("chars", F.lit(0)) + F.col("inside")).alias("position"),
-        (start + F.col("subtree") - F.col("inside")).alias("subtree_stop"), F.concat(F.coalesce("ancestors", none), own).alias("ancestors"))
-    nodes = merged.drop("users", "first").join(places, "node")
-    return nodes, placed.select("conv", "at", "node")
-
-
-def read_back(nodes: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from the nodes' text."""
-    found = places.join(nodes.select("node", "formatted", "loss_from", "loss_to"), "node")
-    dealt = found.repartition("conv").sortWithinPartitions("conv", "at").select("conv", "formatted", "loss_from", "loss_to")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    shallower = Window.partitionBy("run").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    places = laid.join(hung, ["run", "depth"], "left").withColumn("later", F.coalesce(F.sum("hung").over(shallower), F.lit(0))).join(known, "run")
+    own = F.when(F.col("inside") > 0, F.array(F.struct(F.col("s").alias("s"), F.col("start").alias("e")))).otherwise(none)
+    places = places.select(
+        "node", "start", "stop", (F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x) + F.col("inside")).alias("position"),
+        (F.col("s") + F.col("whole") - F.col("later")).alias("subtree_stop"), F.concat(F.coalesce("ancestors", none), own).alias("ancestors"))
+    speaks = F.col("role") == "assistant"
+    nodes = merged.join(places, "node").select(
+        "node", "parent", "depth", "role", "n_chars", "n_tokens", F.when(speaks, F.col("low")).alias("loss_from"), F.when(speaks, F.col("high")).alias("loss_to"),
+        "start", "stop", "position", "subtree_stop", "ancestors", "ids")
+    nodes = materialize(nodes, "chat-tree")
+    leaves = materialize(placed.groupBy("conv").agg(F.max_by("node", "at").alias("node")), "chat-leaves")
+    return ChatTree(nodes.drop("ids"), leaves, materialize(_pages(nodes), "chat-pages"), tokenizer)
+
+
+def read_back(tree: ChatTree) -> DataFrame:
+    """Rows conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from the emitted tokens.
+
+    A conversation is what its last turn's node attends to: the ancestors' intervals and the node's own, in order. They
+    are cut out of the pages; the ids are turned into text, and turns and loss parsed from that. Conversations that end
+    in one node are read once. The join with a page that very many conversations need is split.
+    """
+    small_batches(tree.pages.sparkSession)
+    last = tree.leaves.select("node").distinct().join(tree.nodes.select("node", "ancestors", "start", "stop"), "node")
+    spans = last.select("node", F.posexplode(F.concat("ancestors", F.array(F.struct(F.col("start").alias("s"), F.col("stop").alias("e"))))).alias("k", "span"))
+    wanted = spans.select("node", "k", F.col("span.s").alias("s"), F.col("span.e").alias("e"), F.explode(
+        F.sequence(F.floor(F.col("span.s") / PAGE), F.floor((F.col("span.e") - 1) / PAGE))).alias("page"))
+    found = join_split(materialize(wanted, "chat-wanted"), tree.pages, ["page"], ["node"])
+    low = F.greatest(F.col("s") - F.col("page") * PAGE, F.lit(0)).cast("int")
+    high = F.least(F.col("e") - F.col("page") * PAGE, F.lit(PAGE)).cast("int")
+    found = found.select("node", "k", "page", F.slice("ids", low + 1, high - low).alias("ids"), F.slice("loss", low + 1, high - low).alias("loss"))
+    dealt = found.repartition("node").sortWithinPartitions("node", "k", "page").select("node", "ids", "loss")
+    tokenizer, names = tree.tokenizer, ["node", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state = None, None
+        node, ids, loss = None, [], []  # ids and loss of the turn that has begun
+        turns: list[tuple] = []
+        states: dict[str, list] = {}
+        form = None
+
+        def finish() -> None:
+            shown = form.text([t[1] for t in turns])
+            counted = form.text([t[2] for t in turns])
+            for (own, _, _), turn, part in zip(turns, shown, counted):
+                state = states.setdefault(own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0])
+                role, body = TURN.fullmatch(turn).groups()
+                said = unescape(part)
+                state[0] += 1
+                state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
+                state[2] += len(said)
+                state[3].update(said.encode())
+                state[4] += len(START) + len(turn) + len(END) + 1
+            turns.clear()
+
+        def close() -> None:
+            """A turn is all from the start token up to the line end behind the end token."""
+            if ids[0] != form.start or ids[-2:] != [form.end, *form.line]:
+                raise ValueError(f"the tokens of node {node} are no turn")
+            turns.append((node, ids[1:-2], [x for x, y in zip(ids, loss) if y]))
+
+        def done(but: str | None) -> pa.RecordBatch:
+            rows = [(k, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]) for k, s in states.items() if k != but]
+            for r in rows:
+                del states[r[0]]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names)
+
         for batch in batches:
-            done = []
-            for own, shown, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                if state is None or own != conv:
-                    if state:
-                        done.append(closed(conv, state))
-                    conv, state = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in TURN.findall(shown):
-                    state[0] += 1
-                    state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                if low is not None:
-                    loss = unescape(shown[low:high])
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += len(shown)
-            yield batch_of(done)
-        if state:
-            yield batch_of([closed(conv, state)])
-
-    def closed(conv, s):
-        return None if conv == NO_CONV else conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
-
-    def batch_of(done):
-        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kinds[i]) for i in range(6)], names)
-
-    return dealt.mapInArrow(task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            form = template(tokenizer)
+            for own, some, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                cuts = sorted({0, len(some), *(k for k, x in enumerate(some) if x == form.start)})
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if ids and some[lo] == form.start:
+                        close()
+                        ids, loss = [], []
+                    node = own
+                    ids, loss = ids + some[lo:hi], loss + counts[lo:hi]
+            finish()
+            yield done(node)
+        if ids:
+            close()
+            finish()
+            yield done(None)
+
+    read = materialize(dealt.mapInArrow(task, "node string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "chat-read")
+    conv = F.when(F.col("conv") != NO_CONV, F.col("conv")).alias("conv_id")
+    return join_split(tree.leaves, read, ["node"], ["conv"]).select(conv, *names[1:])
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
@@ -198,8 +329,10 @@ def with_probe(turns: DataFrame) -> DataFrame:
 
 
 def op5_chat_tree(spark, sf_dir: str) -> DataFrame:
-    nodes, places = build_tree(with_probe(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
-    return read_back(nodes, places)
+    import public_tokenizers
+
+    turns = with_probe(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return read_back(build_tree(turns, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 #: What reading back must give, from the turns as they came.

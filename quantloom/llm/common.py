@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Rows of one key in one task that are never split.
+KEY_ROWS = 1000
+
+
+def join_split(many: DataFrame, one: DataFrame, keys: Sequence[str], deal: Sequence[str], how: str = "inner") -> DataFrame:
+    """many joined with one, as by many.join(one, keys, how), where a few keys may hold most rows of many.
+
+    Rows of a key with more rows than half an average partition are dealt over several tasks by a hash of the columns
+    deal, and one's rows of that key, of which there should be few, go to each. So there are at most twice as many such
+    keys as shuffle partitions; their list, which is broadcast, has that bound. Both inputs should be tables, as
+    many is read twice. Null keys match nothing.
+    """
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = many.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    least = F.greatest(F.lit(KEY_ROWS), F.ceil(F.col("__total") / (2 * parts)))
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("__n") > least).select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
+
+    def dealt(side: DataFrame) -> DataFrame:
+        same = [side[k] == hot[f"__k{i}"] for i, k in enumerate(keys)]
+        return side.join(F.broadcast(hot), same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+    left = dealt(many).withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*deal), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = dealt(one).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
 _state: dict = {}
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quantloom.llm import chat_tree, line_dedup, media, mixing, near_copies, permutation_index, piece_codec, simhash, substring_dedup, token_store, toxicity
+from quantloom.llm import chat_tree, common, line_dedup, media, mixing, near_copies, permutation_index, piece_codec, simhash, substring_dedup, token_store, toxicity
 
 #: Columns by names that operators use inside, rows repeated, nulls in every column.
 DOC_SCHEMA = "doc_id long, text string, source string, row string, id int, fp int, anchor int, key int, mask int, at int, gone int, part int"
@@ -261,37 +261,97 @@ TURNS = [
 ]
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+TURN_SCHEMA = "conv_id long, turn long, role string, text string, node string, page int"
+
+
+def turns_of(spark, turns):
+    return spark.createDataFrame([(*t, "x", 1) for t in turns], TURN_SCHEMA)
+
+
+def check_tree(tree):
+    """The nodes by key; their places, positions and intervals are what walking up from each says."""
+    nodes = {r["node"]: r for r in tree.nodes.collect()}
+    assert sorted(x for r in nodes.values() for x in range(r["start"], r["stop"])) == list(range(sum(r["n_tokens"] for r in nodes.values())))
+    below = defaultdict(int)
+    for r in nodes.values():
+        up, parent = [], r["parent"]
+        below[r["node"]] += r["n_tokens"]
+        while parent:
+            below[parent] += r["n_tokens"]
+            up = [*range(nodes[parent]["start"], nodes[parent]["stop"]), *up]
+            parent = nodes[parent]["parent"]
+        assert [k for s, e in r["ancestors"] for k in range(s, e)] == up and r["position"] == len(up)
+    for r in nodes.values():
+        assert r["subtree_stop"] == r["start"] + below[r["node"]]
+    return nodes
+
+
 def test_chat_tree_reads_back(spark):
-    nodes, places = chat_tree.build_tree(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))
-    got = {r["conv_id"]: tuple(r)[1:] for r in chat_tree.read_back(nodes, places).collect()}
+    tree = chat_tree.build_tree(turns_of(spark, TURNS), BYTE_BPE)
+    got = {r["conv_id"]: tuple(r)[1:] for r in chat_tree.read_back(tree).collect()}
     groups = defaultdict(list)
     for conv, turn, role, text in TURNS:
         groups[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    assert set(got) == set(groups)
     for conv, turns in groups.items():
         turns.sort()
         said = "".join(t for *_, r, t in turns if r == "assistant")
         every = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
         assert got[conv][:4] == (len(turns), hashlib.sha256(every.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
-    tree = {r["node"]: r for r in nodes.collect()}
-    assert len(tree) == 9 and max(r["stop"] for r in tree.values()) == sum(r["n_chars"] for r in tree.values())
-    for r in tree.values():
-        up, parent = [], r["parent"]
-        while parent:
-            up = [*range(tree[parent]["start"], tree[parent]["stop"]), *up]
-            parent = tree[parent]["parent"]
-        assert [k for s, e in r["ancestors"] for k in range(s, e)] == up and r["position"] == len(up)
-        assert all(tree[r["parent"]]["start"] < r["start"] < tree[r["parent"]]["subtree_stop"] for _ in [0] if r["parent"])
-    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat_tree.read_back(*chat_tree.build_tree(empty)).count() == 0
-
-
-def test_a_long_conversation_costs_what_it_holds(spark):
-    turns = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(400)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(300)]
-    nodes, places = chat_tree.build_tree(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    rows = nodes.orderBy("depth").collect()
-    assert len(rows) == 400 and [r["start"] for r in rows] == [0, *(r["stop"] for r in rows[:-1])]
-    assert all(len(r["ancestors"]) <= 2 and r["position"] == r["start"] and r["subtree_stop"] == rows[-1]["stop"] for r in rows)
-    assert places.count() == 700
+    assert len(check_tree(tree)) == 9
+    form = chat_tree.Template(BYTE_BPE)
+    pages = tree.pages.orderBy("page").collect()
+    ids, loss = [x for r in pages for x in r["ids"]], [x for r in pages for x in r["loss"]]
+    for r in tree.nodes.collect():
+        assert (ids[r["start"]], ids[r["stop"] - 2]) == (form.start, form.end)
+        assert sum(loss[r["start"]:r["stop"]]) == ((r["loss_to"] - r["loss_from"]) if r["role"] == "assistant" else 0)
+    empty = chat_tree.build_tree(turns_of(spark, []), BYTE_BPE)
+    assert chat_tree.read_back(empty).count() == 0 and empty.pages.count() == 0 and empty.nodes.count() == 0
+
+
+def test_reading_back_depends_on_the_emitted_order_and_intervals(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    tree = chat_tree.build_tree(turns_of(spark, TURNS), BYTE_BPE)
+    want = sorted(map(str, chat_tree.read_back(tree).collect()))
+    bare = replace(tree, nodes=tree.nodes.withColumn("ancestors", F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    assert sorted(map(str, chat_tree.read_back(bare).collect())) != want
+    with pytest.raises(Exception):
+        chat_tree.read_back(replace(tree, pages=tree.pages.withColumn("ids", F.reverse("ids")))).collect()
+    loud = replace(tree, pages=tree.pages.withColumn("loss", F.transform("loss", lambda x: ~x)))
+    assert sorted(map(str, chat_tree.read_back(loud).collect())) != want
+
+
+def test_trees_of_many_forks(spark, monkeypatch):
+    """Random trees, long conversations that others leave at each turn, and turns longer than a page."""
+    monkeypatch.setattr(chat_tree, "PAGE", 16)
+    rnd = random.Random(3)
+    turns = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(120)]
+    for k in range(60):  # leaves the first conversation at turn 2 * k
+        turns += [(100 + k, i, ("user", "assistant")[i % 2], f"t{i}" if i < 2 * k else f"own {k} {i}") for i in range(2 * k + rnd.randint(1, 3))]
+    for k in range(80):
+        turns += [(1000 + k, i, rnd.choice(["user", "assistant"]), rnd.choice(["a", "b é", "long " * 30])) for i in range(rnd.randint(1, 6))]
+    tree = chat_tree.build_tree(turns_of(spark, turns), BYTE_BPE)
+    nodes = check_tree(tree)
+    assert max(len(r["ancestors"]) for r in nodes.values()) <= 1 + np.log2(141)
+    groups = defaultdict(list)
+    for conv, turn, role, text in turns:
+        groups[conv].append((turn, role, text))
+    want = {conv: (len(ts), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in sorted(ts)).encode()).hexdigest()) for conv, ts in groups.items()}
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_tree.read_back(tree).collect()} == want
+
+
+def test_a_join_with_hot_keys_is_split(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 5)
+    many = common.materialize(spark.createDataFrame([(k % 7 if k > 400 else 3, k) for k in range(500)] + [(None, 1), (99, 1)], "key int, x int"), "many")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(7)] + [(None, "n")], "key int, v string")
+    for how in ("inner", "left"):
+        got = common.join_split(many, one, ["key"], ["x"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, many.join(one, "key", how).collect())) and got.columns == ["key", "x", "v"]
+    assert common.join_split(many.limit(0), one, ["key"], ["x"]).count() == 0
 
 
 def test_water_fill():
