@@ -11,6 +11,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import chat_tree, common, line_dedup, media, mixing, near_copies, permutation_index, piece_codec, simhash, substring_dedup, token_store, toxicity
 
@@ -313,8 +314,6 @@ def test_chat_tree_reads_back(spark):
 def test_reading_back_depends_on_the_emitted_order_and_intervals(spark):
     from dataclasses import replace
 
-    from pyspark.sql import functions as F
-
     tree = chat_tree.build_tree(turns_of(spark, TURNS), BYTE_BPE)
     want = sorted(map(str, chat_tree.read_back(tree).collect()))
     bare = replace(tree, nodes=tree.nodes.withColumn("ancestors", F.array().cast("array<struct<s:bigint,e:bigint>>")))
@@ -516,6 +515,28 @@ def test_line_dedup_of_repeated_rows(spark):
     body = "one\ntwo\nthree\nfour"
     out = line_dedup.dedup_lines(docs_of(spark, [(1, body, None), (2, body, None), (3, body + "\nfive", "x")]), drop_emptied=True).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, body), (3, "five")]
+    for key in (1, None):  # rows equal in all columns, one of which is a map
+        same = docs_of(spark, [(key, body, None)] * 3).withColumn("row", F.create_map(F.lit("a"), F.lit(1)))
+        assert sorted(r["text"] for r in line_dedup.dedup_lines(same).collect()) == ["", "", body]
+
+
+def test_winnowed_fingerprints():
+    rng = np.random.default_rng(2)
+    for n, window in ((0, 3), (2, 3), (3, 3), (200, 3), (200, 5), (50, 1)):
+        hashes = rng.integers(0, 40, n).astype(np.uint64)
+        place, first, many = line_dedup.winnow(hashes, window)
+        want = [(int(np.argmin(hashes[i:i + window])) + i, i) for i in range(n - window + 1)]
+        assert [(p, a + k) for p, a, m in zip(place.tolist(), first.tolist(), many.tolist()) for k in range(m)] == want
+        assert n < 200 or window == 1 or len(place) < 0.8 * len(want)  # fewer fingerprints than windows
+
+
+def test_line_dedup_rests_on_fingerprints_and_their_stretches(spark, monkeypatch):
+    """Without the join of fingerprints, or with stretches that aren't grown, runs stay."""
+    docs = docs_of(spark, [(k, f"a{k}\none\ntwo\nthree\nfour\nb{k}", None) for k in range(3)])
+    assert [r["line_dedup_removed"] for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 4, 4]
+    whole = line_dedup.winnow
+    monkeypatch.setattr(line_dedup, "winnow", lambda *how: tuple(x[:1] for x in whole(*how)))
+    assert [r["line_dedup_removed"] for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] != [0, 4, 4]
 
 
 def test_long_passages_on_one_and_two_lines(spark):
@@ -526,7 +547,7 @@ def test_long_passages_on_one_and_two_lines(spark):
     got = {r["doc_id"]: (r["text"], r["line_dedup_removed"]) for r in line_dedup.dedup_lines(docs, long_words=50).collect()}
     assert got == {1: (long, 0), 2: ("head", 1), 3: (rows[2][1], 0), 4: ("z", 2), 5: (f"{half}\nx", 0), 6: ("x", 2), 7: ("", 0), None: ("x", 1), 8: (None, 0)}
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {k: t for k, (t, _) in got.items()}
-    assert all(r["line_dedup_removed"] == 0 for r in line_dedup.dedup_lines(docs).collect())
+    assert sum(r["line_dedup_removed"] for r in line_dedup.dedup_lines(docs).collect()) == 0
 
 
 def plain_groups(values, budget):
