@@ -8,6 +8,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +96,17 @@ class PieceCodec:
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.cache: dict[str, bytes] = {}
         self.odd: set[str] = set()
+        self.prefix = spec.add_dummy_prefix
+        self.sizes, self.starts, self.flat = self.piece_bytes(proto)
+
+    def piece_bytes(self, proto) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each piece adds to a text, as the rebuilt decoder gives it behind another piece; byte pieces are their byte."""
+        anchor = next((i for i, p in enumerate(proto.pieces) if p.type == NORMAL), 0)
+        skip = len(self.whole.decode([anchor]))
+        texts = self.whole.decode_batch([[anchor, i] for i in range(len(proto.pieces))], skip_special_tokens=True)
+        table = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else t[skip:].encode() for p, t in zip(proto.pieces, texts)]
+        sizes = np.array([len(x) for x in table])
+        return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
 
     def learn(self, units: list[str]) -> None:
         """Encode new units, many a text: a line end in front of each keeps them apart; and hold them against the other
@@ -104,11 +116,14 @@ class PieceCodec:
         texts = ["\n" + "\n".join(g) for g in groups]
         ours = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         theirs = self.judge.encode(texts, num_threads=1)
-        for group, mine, other in zip(groups, ours, theirs):
+        alike = self.decoded_alike([array("I", e.ids).tobytes() for e in ours])
+        for group, mine, other, fine in zip(groups, ours, theirs, alike):
             got, want = self.apart(mine.ids), self.apart(other)
             if len(got) != len(group):  # a unit holds a line end's id otherwise
                 got = [array("I", e.ids[e.ids.index(self.line_end[0]) + 1:]).tobytes() for e in self.whole.encode_batch_fast(["\n" + w for w in group], add_special_tokens=False)]
             self.cache.update(zip(group, got))
+            if not fine:
+                self.odd.update(w for w, same in zip(group, self.decoded_alike(got)) if not same)
             if got != want:
                 self.odd.update(w for k, (w, own) in enumerate(zip(group, got)) if len(want) != len(group) or own != want[k])
         self.cache["\n"], self.cache[""] = array("I", self.line_end).tobytes(), b""
@@ -141,7 +156,8 @@ class PieceCodec:
         if not self.by_unit:
             mine = self.whole.encode_batch_fast(texts, add_special_tokens=False)
             theirs = self.judge.encode(texts, num_threads=1)
-            return [array("I", m.ids).tobytes() for m in mine], [m.ids == t for m, t in zip(mine, theirs)]
+            got = [array("I", m.ids).tobytes() for m in mine]
+            return got, [m.ids == t and fine for m, t, fine in zip(mine, theirs, self.decoded_alike(got))]
         split = [self.units(t) if t else [] for t in texts]
         need = set().union(*split)
         new = need.difference(self.cache)
@@ -155,12 +171,30 @@ class PieceCodec:
         return [b"".join(map(known, units)) for units in split], [not self.odd or self.odd.isdisjoint(units) for units in split]
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        """The texts of little-endian ids, by the rebuilt decoder, in a multithreaded batch."""
+        """The texts of little-endian ids: what the rebuilt decoder gives for each piece, put together; ids whose bytes
+        make up no text go through the decoder whole."""
         out: list[str] = []
         for at in range(0, len(ids), TEXTS_AT_ONCE):
-            out += self.whole.decode_batch([array("I", x).tolist() for x in ids[at:at + TEXTS_AT_ONCE]], skip_special_tokens=True)
+            some = ids[at:at + TEXTS_AT_ONCE]
+            pieces = np.frombuffer(b"".join(some), "<u4")
+            sizes = self.sizes[pieces]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            raw = self.flat[np.repeat(self.starts[pieces] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+            cuts = ends[np.cumsum([0, *(len(x) // 4 for x in some)])].tolist()
+            for own, a, b in zip(some, cuts, cuts[1:]):
+                text = raw[a:b].decode(errors="replace")
+                if "\ufffd" in text:
+                    text = self.whole.decode(array("I", own).tolist(), skip_special_tokens=True)
+                elif self.prefix and text[:1] == " ":
+                    text = text[1:]
+                out.append(text)
         return out
 
+    def decoded_alike(self, ids: list[bytes]) -> list[bool]:
+        """Whether putting pieces together gives what the rebuilt decoder gives for the whole."""
+        whole = self.whole.decode_batch([array("I", x).tolist() for x in ids], skip_special_tokens=True)
+        return [a == b for a, b in zip(self.decode(ids), whole)]
+
 
 def codec(path: str) -> PieceCodec:
     """One codec a Python worker, kept between tasks."""
@@ -168,7 +202,8 @@ def codec(path: str) -> PieceCodec:
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """docs with piece_ids (array of int, from the tokenizers library) and piece_parity (whether sentencepiece agrees).
+    """docs with piece_ids (array of int, from the tokenizers library) and piece_parity (whether sentencepiece gives
+    the same ids, and the rebuilt decoder's text of them is what decode gives).
 
     Null text counts as empty, an empty text has no ids. Repeated rows are encoded alike. Columns of docs by the new
     names are replaced. An empty table gives no rows.
