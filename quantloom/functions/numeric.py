@@ -42,13 +42,20 @@ def round_half(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / F.lit(scale)
 
 
+def round_away(x: Column, digits: int) -> Column:
+    """Rounded with halves away from zero."""
+    scale = float(10**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / F.lit(scale)
+
+
 def cents(x: Column) -> Column:
     """Whole hundredths as a double: sums of these are exact in any order."""
     return F.floor(x * 100.0 + 0.5).cast("double")
 
 
 def sigmoid(x: Column, scale: float = 10.0) -> Column:
-    return F.lit(1.0) / (1.0 + F.exp(-x / scale))
+    """Below -700 scales the exponential would leave the range of doubles; the result is 0 to 300 digits there."""
+    return F.lit(1.0) / (1.0 + F.exp(F.least(-x / scale, F.lit(700.0))))
 
 
 def power_of_ten_ratio(a: Column, b: Column, tolerance: float = 0.1) -> Column:
@@ -64,6 +71,20 @@ def comparable(a: Column, b: Column, factor: float = 100.0) -> Column:
     return (F.abs(a) <= F.abs(b) * factor) & (F.abs(b) <= F.abs(a) * factor)
 
 
+def operating_amount(profit: Column, revenue: Column, eps: Column, net_profit: Column) -> Column:
+    """An operating profit as an amount, where some reports give it a share.
+
+    It is a share's where it is below a thousandth of the revenue; without revenue, where it is below a twentieth of the
+    net profit and between a twentieth and a hundred times the EPS. Shares are what net profit and EPS, both positive,
+    imply; without them the value stays.
+    """
+    size, earns = F.abs(profit), F.coalesce((eps > 0) & (net_profit > 0), F.lit(False))
+    whole = profit * net_profit / eps
+    by_revenue = F.when((size < 0.001 * F.abs(revenue)) & earns, whole).otherwise(profit)
+    by_eps = F.when(earns & (size < 0.05 * net_profit) & (size < 100.0 * eps) & (size >= 0.05 * eps), whole).otherwise(profit)
+    return F.when(F.coalesce(F.abs(revenue) > 0, F.lit(False)), by_revenue).otherwise(by_eps)
+
+
 def ramp(x: Column, low: float, high: float, top: float) -> Column:
     """0 up to low, top from high on, linear between; null counts as 0."""
     return F.coalesce(clip((x - low) / (high - low) * top, 0.0, top), F.lit(0.0))

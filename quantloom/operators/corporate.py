@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import ratio
 
+PRICES = ("close", "last", "first", "high", "low", "yesterday")
+
+
+def _order() -> Window:
+    return Window.partitionBy("company_id").orderBy("day")
+
+
+def is_event(change_pct: Column, days: Column, threshold_pct: float = 12.0, limit_pct: float = 6.0, most: int = 6) -> Column:
+    """Whether a change, up or down, is beyond the threshold and beyond what daily limits allow over the gap: five trading
+    days in seven, whole ones, and one more; the allowance grows up to `most` days."""
+    gap = F.when(days > 0, F.least(F.lit(most), F.floor(days * 5 / F.lit(7.0)) + 1)).otherwise(1)
+    allowed = (F.pow(F.lit(1.0 + limit_pct / 100.0), gap) - 1.0) * 100.0
+    return F.abs(change_pct) > F.greatest(allowed, F.lit(abs(threshold_pct)))
 
-def find_events(prices: DataFrame, drop_pct: float = -12.0, allowance_pct: float = 6.0, last: int | None = None) -> DataFrame:
-    """Days whose close lies further below the one before than daily limits over the gap allow: company_id, day, factor."""
-    order = Window.partitionBy("company_id").orderBy("day")
-    days = prices.filter("close > 0").withColumns({"before": F.lag("close").over(order), "day_before": F.lag("day").over(order)})
+
+def find_events(prices: DataFrame, threshold_pct: float = 12.0, last: int | None = None) -> DataFrame:
+    """company_id, day, change_pct, factor of the days that are events against the row before; with last, among the latest
+    `last` rows of each company. A row whose close is null, or follows a close that is null or not above zero, is none."""
+    order = _order()
+    days = prices.withColumns({"before": F.lag("close").over(order), "gap": F.datediff("day", F.lag("day").over(order))})
     if last:
         days = days.withColumn("back", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("day")))).filter(F.col("back") <= last)
-    gap = F.least(F.lit(6.0), F.floor(F.datediff("day", "day_before") * F.lit(5.0) / 7.0) + 1.0)
-    change = ratio(F.col("close") - F.col("before"), F.col("before")) * 100.0
-    allowed = (F.pow(F.lit(1.0 + allowance_pct / 100.0), gap) - 1.0) * 100.0
-    return days.filter((change <= drop_pct) & (change < -allowed)).select("company_id", "day", ratio(F.col("close"), F.col("before")).alias("factor"))
+    change = (F.col("close") - F.col("before")) / F.col("before") * 100.0
+    return days.filter(F.col("before") > 0).withColumn("change_pct", change).filter(is_event(F.col("change_pct"), F.col("gap"), threshold_pct)).select(
+        "company_id", "day", "change_pct", (F.col("close") / F.col("before")).alias("factor"))
 
 
-def back_adjust(prices: DataFrame, events: DataFrame, least_effect: float = 0.02) -> DataFrame:
-    """prices with adjusted: each close times the factors of all later events, from the oldest on, rounded each time.
+def back_adjust(prices: DataFrame, threshold_pct: float = 12.0, least_effect: float = 0.02, columns: Sequence[str] = PRICES) -> DataFrame:
+    """prices with each of columns times the factors of all later events, from the oldest on, rounded half to even each
+    time; yesterday is then the adjusted close of the row before.
 
-    Rounding makes the steps depend on one another, so each row folds the ordered list of its instrument's events, which
-    is short beside its prices.
+    An event with a close of zero has no factor, and one that changes prices by less than least_effect is none. Values that
+    are null or not above zero stay. One sort of each instrument's rows serves all: its factors in order are one short
+    list, of which a row folds the part behind it.
     """
-    real = events.filter(F.abs(F.col("factor") - 1.0) >= least_effect)
-    listed = real.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("day", "factor"))).alias("events"))
-    later = F.filter(F.coalesce("events", F.array().cast("array<struct<day:date,factor:double>>")), lambda e: e["day"] > F.col("day"))
-    fold = F.aggregate(later, F.col("close"), lambda p, e: F.floor(p * e["factor"] + 0.5).cast("double"))
-    return prices.join(listed, "company_id", "left").withColumn("adjusted", fold).drop("events")
+    order = _order()
+    before = F.lag("close").over(order)
+    factor = F.col("close") / before
+    event = is_event((F.col("close") - before) / before * 100.0, F.datediff("day", F.lag("day").over(order)), threshold_pct)
+    real = F.when((before > 0) & (F.col("close") > 0) & event & (F.abs(factor - 1.0) >= least_effect), factor)
+    rows = prices.withColumn("__factor", real)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"__all": F.collect_list("__factor").over(whole), "__done": F.count("__factor").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    later = F.slice("__all", (F.col("__done") + 1).cast("int"), F.size("__all"))
+    fold = lambda c: F.aggregate(later, F.col(c).cast("double"), lambda x, f: F.when(x > 0, F.rint(x * f)).otherwise(x))
+    rows = rows.withColumns({c: fold(c) for c in columns})
+    if "yesterday" in columns:
+        last = F.lag("close").over(order)
+        redone = F.when(F.col("close").isNull(), F.col("yesterday")).otherwise(F.when(last > 0, last))
+        rows = rows.withColumn("yesterday", F.when(F.size("__all") > 0, redone).otherwise(F.col("yesterday")))
+    return rows.drop("__factor", "__all", "__done")
 
 
 def yesterday(prices: DataFrame, value: str = "close") -> DataFrame:
     """prices with the value of the day before and the change in percent; null starts anew."""
-    before = F.lag(value).over(Window.partitionBy("company_id").orderBy("day"))
+    before = F.lag(value).over(_order())
     return prices.withColumn("yesterday", before).withColumn("change_pct", ratio(F.col(value) - before, before) * 100.0)
+
+
+def price_index(prices: DataFrame) -> DataFrame:
+    """prices with log_index, the logarithm of the running product of daily returns, every day included.
+
+    Where a day opens at less than 85 % of the last close, a corporate event, its return is from the opening price on;
+    a fall of over 15 % without an opening price counts as no change. The first day, and days after a close that is not
+    above zero, count as no change too.
+    """
+    before = F.lag("close").over(_order())
+    opened = F.when(before > 0, F.col("first") / before)
+    raw = F.when(before > 0, F.col("close") / before - 1.0).otherwise(0.0)
+    own = F.when((opened < 0.85) & (F.col("first") > 0), F.col("close") / F.col("first") - 1.0).when(opened.isNull() & (raw < -0.15), 0.0).otherwise(raw)
+    rows = prices.withColumn("day_return", F.coalesce(F.when(F.abs(own) < float("inf"), own), F.lit(0.0)))
+    step = F.when(F.col("day_return") > -1.0, F.log(1.0 + F.col("day_return"))).otherwise(float("-inf"))
+    return rows.withColumn("log_index", F.sum(step).over(_order().rowsBetween(Window.unboundedPreceding, 0)))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.sources.store import written
+
 SENTINEL = 999999.0
 
 
@@ -38,20 +40,46 @@ class Factor:
     lower_is_better: bool = False
 
 
+def with_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str = "before", total: str | None = None) -> DataFrame:
+    """df with, for each row, the sum of value over the rows of its group (by) that stand before it in order, and with
+    total the sum over its group.
+
+    Groups are cut by ranges of by and order, which are written, so a group that holds everything is no single task; a
+    row for each group in each range passes through the driver. Few groups are meant, as for factors of a score.
+    """
+    cut = df.repartitionByRange(*map(F.col, by), *order).sortWithinPartitions(*map(F.col, by), *order)
+    laid = written(cut.withColumns({"__v": value, "__at": F.monotonically_increasing_id()}), "running").withColumn("__part", F.shiftright("__at", 33))
+    sums = laid.groupBy("__part", *by).agg(F.sum("__v").alias("v")).collect()
+    so_far: dict = {}
+    rows = []
+    for r in sorted(sums, key=lambda r: r["__part"]):
+        key = tuple(r[b] for b in by)
+        rows.append((r["__part"], *key, so_far.get(key, 0)))
+        so_far[key] = so_far.get(key, 0) + r["v"]
+    kind = laid.schema["__v"].dataType.simpleString()
+    keys = "".join(f", {b} {laid.schema[b].dataType.simpleString()}" for b in by)
+    ahead = df.sparkSession.createDataFrame([(*r, so_far[r[1:-1]]) for r in rows], f"__part long{keys}, __ahead {kind}, __total {kind}")
+    upto = Window.partitionBy("__part", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = laid.join(F.broadcast(ahead), ["__part", *by]).withColumn(name, F.col("__ahead") + F.coalesce(F.sum("__v").over(upto), F.lit(0)))
+    return out.select(*df.columns, name, *([F.col("__total").alias(total)] if total else []))
+
+
+def numbered_all(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with the place, from 1 on, of each row in the order of the whole table."""
+    return with_running(df, [], order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)
+
+
 def percentiles(df: DataFrame, key: str, factors: Mapping[str, Factor]) -> DataFrame:
     """df with `<factor>_rank` for each factor column: the mid-rank percentile among all rows.
 
     (2 * smaller + equal - 1) / (2 * (known - 1)), 0.5 where only one is known. Ranking each factor over all rows would
     put them all into one task once a factor. Here the factors become rows, equal values combine before the shuffle, and
-    the running counts go over the distinct values of a factor: one shuffle, parallel by factor.
+    the running counts over the distinct values of all factors go by ranges. df is read twice, so it should be a table.
     """
     names = list(factors)
     long = df.select(key, *names).unpivot([key], names, "factor", "value").filter("value IS NOT NULL")
     ties = long.groupBy("factor", "value").agg(F.count(F.lit(1)).alias("ties"))
-    running = Window.partitionBy("factor").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ties.withColumn("smaller", F.coalesce(F.sum("ties").over(running), F.lit(0)))
-    known = ties.groupBy("factor").agg(F.sum("ties").alias("known"))
-    placed = placed.join(F.broadcast(known), "factor")
+    placed = with_running(ties, ["factor"], [F.col("value").asc()], F.col("ties"), "smaller", "known")
     share = F.coalesce((2.0 * F.col("smaller") + F.col("ties") - 1.0) / F.nullif(2.0 * (F.col("known") - 1), F.lit(0.0)), F.lit(0.5))
     lower = [n for n, f in factors.items() if f.lower_is_better]
     flipped = F.when(F.col("factor").isin(*lower) & (F.col("known") > 1), 1.0 - share).otherwise(share) if lower else share

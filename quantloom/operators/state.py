@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.ranking import numbered_all
+
 
 def merge_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of new replace rows of old with their key; of rows of one side that share a key, one stays."""
@@ -36,14 +38,15 @@ def replace_children(old: DataFrame, new: DataFrame, parent: Sequence[str]) -> D
 
 
 def update_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Values of rows that new mentions are set, others stay; null in new keeps the old value."""
-    right = new.select(*keys, *(F.col(c).alias(f"__{c}") for c in values))
-    return old.join(right, list(keys), "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in values else c for c in old.columns))
+    """Values of rows that new mentions are set, to null too; other rows and values stay."""
+    right = new.select(*keys, *(F.col(c).alias(f"__{c}") for c in values), F.lit(True).alias("__said"))
+    pick = lambda c: F.when(F.col("__said"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+    return old.join(right, list(keys), "left").select(*(pick(c) if c in values else c for c in old.columns))
 
 
 def content_hash(*cols: str) -> Column:
-    """SHA-256 of the values' canonical text, null apart from empty."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in cols)), 256)
+    """SHA-256 of the values as canonical JSON: names in order, nulls written out."""
+    return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
 
 
 def versioned_upsert(current: DataFrame, versions: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -55,9 +58,10 @@ def versioned_upsert(current: DataFrame, versions: DataFrame, new: DataFrame, ke
 
 
 def with_new_ids(existing: DataFrame, new: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """new with ids that go on from the greatest one in use; new is a small batch."""
+    """new with ids that go on from the greatest one in use, in order, by ranges."""
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return new.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("__top") + F.row_number().over(Window.orderBy(*order))).drop("__top")
+    placed = numbered_all(new, [F.col(c).asc() for c in order], "__place")
+    return placed.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("__top") + F.col("__place")).drop("__top", "__place")
 
 
 def fallback(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import growth_pct, ratio, round_half
 from quantloom.operators.asof import asof_join
+from quantloom.operators.corporate import price_index
 from quantloom.plans.registry import query
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
@@ -143,12 +144,10 @@ def weight_config_compare(t: Tables) -> DataFrame:
 
 
 @query("adjusted_price_index", with_tables("market", then="""
-SELECT company_id, day, floor(exp(sum(ln(1e0 + r)) OVER (PARTITION BY company_id ORDER BY day)) * 1e6 + 5e-1) / 1e6 AS level
-FROM (SELECT *, CASE WHEN close / nullif(e, 0) - 1 < -15e-2 THEN 0e0 ELSE coalesce(close / nullif(e, 0) - 1e0, 0e0) END AS r
-      FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY day) AS e FROM market)) WHERE abs(r) < 0.5 OR r = 0"""))
+SELECT company_id, day, floor(r * 1e8 + 5e-1) / 1e8 AS day_return, floor(sum(ln(1e0 + r)) OVER (PARTITION BY company_id ORDER BY day) * 1e6 + 5e-1) / 1e6 AS log_index
+FROM (SELECT *, CASE WHEN e IS NULL OR e <= 0 THEN 0e0 WHEN first / e < 85e-2 AND first > 0 THEN close / first - 1e0 ELSE close / e - 1e0 END AS r
+      FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY day) AS e FROM market))"""))
 def adjusted_price_index(t: Tables) -> DataFrame:
-    """The running product of daily returns; drops of over 15 % are events and count as no change, wild rises are left out."""
-    order = Window.partitionBy("company_id").orderBy("day")
-    rows = domain.market_prices(t).withColumn("r", ratio(F.col("close"), F.lag("close").over(order)) - 1.0)
-    rows = rows.withColumn("r", F.when(F.col("r") < -0.15, 0.0).otherwise(F.coalesce("r", F.lit(0.0)))).filter("abs(r) < 0.5 OR r = 0")
-    return rows.select("company_id", "day", round_half(F.exp(F.sum(F.log(1.0 + F.col("r"))).over(order)), 6).alias("level"))
+    """Every day's return, adjusted for corporate events by the opening price, and the logarithm of their running product."""
+    rows = price_index(domain.market_prices(t))
+    return rows.select("company_id", "day", round_half(F.col("day_return"), 8).alias("day_return"), round_half(F.col("log_index"), 6).alias("log_index"))

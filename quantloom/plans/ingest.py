@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import calendar
 from quantloom.functions.numeric import power_of_ten_ratio, ratio, round_half, to_number
-from quantloom.functions.text import company_key, jaccard, normalize_text, tokens
+from quantloom.functions.text import company_key, normalize_text, tokens
 from quantloom.operators import state
 from quantloom.operators.html import HtmlTables, links
-from quantloom.operators.resolve import resolve
+from quantloom.operators.resolve import resolve, search, similar_pairs, tokens_for_match
 from quantloom.plans.registry import query
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
@@ -146,22 +146,138 @@ def completeness_coverage(t: Tables) -> DataFrame:
     return domain.interim_reports(t).groupBy("company_id").agg(F.count(F.lit(1)).alias("reports"), F.count_if(full).alias("complete"), F.countDistinct("jyear").alias("years"))
 
 
-@query("entity_resolution", """
-SELECT p_partkey AS name_id, min(s_suppkey) AS company_id, 'exact' AS how FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) + 1 GROUP BY 1""")
+# ---- entity resolution: parts ask for suppliers by perturbed names, so that every stage has rows -----------------------
+def _company_name(k: F.Column) -> F.Column:
+    word = lambda mark, n: F.concat(F.lit(mark), (n).cast("string"))
+    return F.concat_ws(" ", F.lit("شرکت supplier"), word("n", k % 10), word("m", F.floor(k / 10)), F.lit("house trade"))
+
+
+def _asked(t: Tables) -> DataFrame:
+    """name_id, k (the supplier meant), symbol, name: eight kinds of perturbation, the last beyond recognition."""
+    n = t("supplier").agg(F.count(F.lit(1)).alias("n"))
+    rows = t("part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("name_id"), (F.col("p_partkey") % F.col("n")).alias("k"))
+    kind, key, name = F.col("name_id") % 8, F.col("k").cast("string"), _company_name(F.col("k"))
+    symbol = F.when(kind == 0, F.concat(F.lit("o"), key)).when(kind == 1, F.concat(F.lit("q"), key)).when(kind == 3, name).when(kind == 4, F.concat(F.lit("t"), key)).otherwise("none")
+    mixed = F.concat_ws(" ", F.reverse(F.split(name, " ")))
+    shown = (F.when(kind == 2, F.concat(F.lit(" "), F.replace(name, F.lit("ک"), F.lit("ك")), F.lit("\u200f "))).when(kind == 5, F.regexp_replace(name, " trade$", ""))
+             .when(kind == 6, mixed).when(kind == 7, F.concat(F.lit("trade of many "), key)).otherwise("elsewhere"))
+    return rows.select("name_id", "k", symbol.alias("symbol"), shown.alias("name"))
+
+
+def _resolved(t: Tables) -> DataFrame:
+    companies = t("supplier").select(F.col("s_suppkey").alias("k")).withColumn("company_name", _company_name(F.col("k")))
+    overrides = companies.select(F.concat(F.lit("o"), F.col("k").cast("string")).alias("symbol"), F.md5(F.col("k").cast("string")).alias("value")).unionByName(
+        companies.select(F.concat(F.lit("q"), F.col("k").cast("string")).alias("symbol"), F.col("company_name").alias("value")))
+    symbols = companies.select(F.concat(F.lit("t"), F.col("k").cast("string")).alias("symbol"), F.col("k").cast("string").alias("company_id"))
+    return resolve(_asked(t).drop("k"), companies.select(F.col("k").cast("string").alias("company_id"), "company_name"), overrides, symbols)
+
+
+_NAME_SQL = "'شرکت supplier n' || {k} % 10 || ' m' || {k} // 10 || ' house trade'"
+_RESOLVE_SQL = f"""
+have AS (SELECT s_suppkey::VARCHAR AS company_id, {_NAME_SQL.format(k="s_suppkey")} AS name FROM supplier),
+cand AS (SELECT company_id, name, replace(name, 'شرکت ', '') AS own FROM have),
+meant AS (SELECT p_partkey AS name_id, p_partkey % (SELECT count(*) FROM supplier) AS k, p_partkey % 8 AS kind FROM part),
+asked AS (
+  SELECT name_id, CASE kind WHEN 0 THEN 'o' || k WHEN 1 THEN 'q' || k WHEN 3 THEN name WHEN 4 THEN 't' || k ELSE 'none' END AS symbol,
+         CASE kind WHEN 2 THEN name WHEN 5 THEN left(name, length(name) - 6) WHEN 6 THEN array_to_string(list_reverse(string_split(name, ' ')), ' ')
+              WHEN 7 THEN 'trade of many ' || k ELSE 'elsewhere' END AS name
+  FROM (SELECT *, {_NAME_SQL.format(k="k")} AS name FROM meant)),
+bare AS (SELECT *, array_to_string(list_filter(string_split(name, ' '), lambda w: w <> 'شرکت'), ' ') AS own FROM asked),
+near AS (
+  SELECT name_id, company_id, len(list_intersect(string_split(b.own, ' '), string_split(c.own, ' '))) * 1e0
+         / len(list_distinct(string_split(b.own || ' ' || c.own, ' '))) AS share,
+         contains(b.own, c.own) OR contains(c.own, b.own) AS held, len(string_split(b.own, ' ')) >= 2 AND length(b.own) >= 5 AS long
+  FROM bare b, cand c),
+ways AS (
+  SELECT name_id, 0 AS stage, md5(s_suppkey::VARCHAR) AS company_id, 'override(id)' AS how FROM asked JOIN supplier ON symbol = 'o' || s_suppkey
+  UNION ALL SELECT name_id, 1, s_suppkey::VARCHAR, 'override(name)' FROM asked JOIN supplier ON symbol = 'q' || s_suppkey
+  UNION ALL SELECT name_id, 2, company_id, 'exact-name' FROM asked a JOIN have h ON h.name = a.name
+  UNION ALL SELECT name_id, 3, company_id, 'symbol-equals-name' FROM asked a JOIN have h ON h.name = a.symbol
+  UNION ALL SELECT name_id, 4, s_suppkey::VARCHAR, 'stored-symbol' FROM asked JOIN supplier ON symbol = 't' || s_suppkey
+  UNION ALL SELECT name_id, 5, min(company_id), 'containment' FROM near WHERE held AND long GROUP BY 1
+  UNION ALL SELECT name_id, 6, min_by(company_id, (-share, company_id)), 'fuzzy' FROM near WHERE share >= 0.75 GROUP BY 1),
+resolved AS (SELECT name_id, company_id, how FROM ways QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY stage) = 1)"""
+
+
+@query("entity_resolution", f"WITH{_RESOLVE_SQL}\nSELECT * FROM resolved")
 def entity_resolution(t: Tables) -> DataFrame:
-    """Perturbed names of companies, each found again by its label."""
-    known = domain.companies(t)
-    n = known.agg(F.count(F.lit(1)).alias("n"))
-    asked = t("part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("name_id"), (F.col("p_partkey") % F.col("n") + 1).alias("company_id"))
-    asked = asked.join(known, "company_id").select("name_id", F.concat(F.lit("  "), F.upper("company_name"), F.lit("‏ ")).alias("name"))
-    return resolve(asked, known).select("name_id", "company_id", "how")
+    """Perturbed names and symbols, each matched by the first of seven stages that knows it."""
+    return _resolved(t)
+
+
+@query("match_histogram", f"WITH{_RESOLVE_SQL}\nSELECT split_part(how, '(', 1) AS how, count(*) AS n FROM resolved GROUP BY 1")
+def match_histogram(t: Tables) -> DataFrame:
+    return _resolved(t).groupBy(F.split_part("how", F.lit("("), F.lit(1)).alias("how")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("match_report", f"""WITH{_RESOLVE_SQL}
+SELECT (SELECT count(*) FROM asked) AS total, (SELECT count(*) FROM resolved) AS matched,
+       (SELECT count(*) FROM asked ANTI JOIN resolved USING (name_id)) AS unmatched, (SELECT count(DISTINCT name) FROM have) AS names""")
+def match_report(t: Tables) -> DataFrame:
+    """The summary that a run of matching reports."""
+    found, asked = _resolved(t), _asked(t)
+    names = t("supplier").select(_company_name(F.col("s_suppkey")).alias("name")).agg(F.countDistinct("name").alias("names"))
+    both = asked.select("name_id").join(found.select("name_id", "how"), "name_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("total"), F.count("how").alias("matched"), F.count_if(F.col("how").isNull()).alias("unmatched")).crossJoin(F.broadcast(names))
+
+
+@query("unmatched_by_score", f"""WITH{_RESOLVE_SQL}
+SELECT name_id, name, floor(share * 1e3 + 5e-1) / 1e3 AS score FROM asked ANTI JOIN resolved USING (name_id)
+JOIN (SELECT name_id, max(share) AS share FROM near GROUP BY 1) USING (name_id) WHERE share >= 0.1 ORDER BY score DESC, name_id LIMIT 200""")
+def unmatched_by_score(t: Tables) -> DataFrame:
+    """Names that no stage matched, with the similarity of the nearest company; the 200 nearest, a top-k report."""
+    lost = _asked(t).join(_resolved(t), "name_id", "left_anti").select("name_id", "name", tokens_for_match(F.col("name")).alias("words"))
+    words = lost.select(F.col("name").alias("a"), "words").distinct()
+    have = t("supplier").select(F.col("s_suppkey").alias("b"), tokens_for_match(_company_name(F.col("s_suppkey"))).alias("words"))
+    best = similar_pairs(words, have, 0.1).groupBy(F.col("a").alias("name")).agg(F.max("near").alias("near"))
+    return lost.join(best, "name").select("name_id", "name", round_half(F.col("near"), 3).alias("score")).orderBy(F.desc("score"), "name_id").limit(200)
+
+
+@query("symbol_search", f"""
+WITH listed AS (SELECT s_suppkey AS item_id, 'S' || s_suppkey || 'S' AS symbol, {_NAME_SQL.format(k="s_suppkey")} AS name FROM supplier),
+asked AS (
+  SELECT p_partkey AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'S' || k || 'S' WHEN 1 THEN 'n' || k % 10 || ' m' || k // 10 || ' house'
+         WHEN 2 THEN 'trade m' || k // 10 || ' n' || k % 10 || ' x' ELSE 'unheard of' END AS text
+  FROM (SELECT *, p_partkey % (SELECT count(*) FROM supplier) AS k FROM part)),
+pairs AS (
+  SELECT query_id, item_id, text = symbol OR text = name AS exact, contains(text, symbol) OR contains(symbol, text) OR (length(text) >= 4 AND (contains(name, text) OR contains(text, name))) AS sub,
+         len(list_intersect(string_split(text, ' '), list_filter(string_split(name, ' '), lambda w: w <> 'شرکت'))) * 1e0
+         / len(list_distinct(string_split(text || ' ' || replace(name, 'شرکت ', ''), ' '))) AS share FROM asked, listed),
+ways AS (
+  SELECT query_id, 0 AS stage, min(item_id) AS item_id, 'exact' AS how FROM pairs WHERE exact GROUP BY 1
+  UNION ALL SELECT query_id, 1, min(item_id), 'substring' FROM pairs WHERE sub GROUP BY 1
+  UNION ALL SELECT query_id, 2, min_by(item_id, (-share, item_id)), 'fuzzy' FROM pairs WHERE share >= 0.4 GROUP BY 1)
+SELECT query_id, item_id, how FROM ways QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY stage) = 1""")
+def symbol_search(t: Tables) -> DataFrame:
+    """What a user types, answered exactly, by a substring, or by similar words."""
+    n = t("supplier").agg(F.count(F.lit(1)).alias("n"))
+    k, kind = F.col("k"), F.col("query_id") % 4
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    typed = F.when(kind == 0, text("S", k, "S")).when(kind == 1, text("n", k % 10, " m", F.floor(k / 10), " house")).when(
+        kind == 2, text("trade m", F.floor(k / 10), " n", k % 10, " x")).otherwise("unheard of")
+    asked = t("part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % F.col("n")).alias("k")).select("query_id", typed.alias("text"))
+    key = F.col("s_suppkey")
+    return search(asked, t("supplier").select(key.alias("item_id"), text("S", key, "S").alias("symbol"), _company_name(key).alias("name")))
 
 
 @query("token_jaccard", """
-SELECT p_partkey, CASE WHEN a = b THEN 1e0 ELSE 0e0 END AS same FROM (SELECT p_partkey, lower(p_name) AS a, lower(p_name) AS b FROM part)""")
+WITH names AS (SELECT DISTINCT p_name AS name FROM part),
+asked AS (
+  SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ' new'
+         ELSE 'brand new ' || p_name || ' here' END AS text FROM part)
+SELECT p_partkey, min_by(name, (-share, name)) AS name, floor(max(share) * 1e4 + 5e-1) / 1e4 AS near FROM (
+  SELECT p_partkey, name, len(list_intersect(string_split(text, ' '), string_split(name, ' '))) * 1e0 / len(list_distinct(string_split(text || ' ' || name, ' '))) AS share FROM asked, names)
+WHERE share >= 0.4 GROUP BY 1""")
 def token_jaccard(t: Tables) -> DataFrame:
-    a, b = tokens(F.col("p_name"), ()), tokens(F.upper("p_name"), ())
-    return t("part").select("p_partkey", jaccard(a, b).alias("same"))
+    """The most similar name in the catalogue to each perturbed one, from 0.4 on."""
+    words = F.split("p_name", " ")
+    text = F.when(F.col("p_partkey") % 3 == 0, words[0]).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", words[1], words[0], F.lit("new"))).otherwise(
+        F.concat(F.lit("brand new "), F.col("p_name"), F.lit(" here")))
+    asked = t("part").select("p_partkey", text.alias("text"))
+    near = similar_pairs(asked.select(F.col("text").alias("a"), tokens(F.col("text"), ()).alias("words")).distinct(),
+                         t("part").select(F.col("p_name").alias("b"), tokens(F.col("p_name"), ()).alias("words")).distinct(), 0.4)
+    best = near.groupBy(F.col("a").alias("text")).agg(F.min_by("b", F.struct(-F.col("near"), "b")).alias("name"), F.max("near").alias("near"))
+    return asked.join(best, "text").select("p_partkey", "name", round_half(F.col("near"), 4).alias("near"))
 
 
 @query("three_way_facts", """

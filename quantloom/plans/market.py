@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import growth_pct, ratio, round_half, sigmoid
+from quantloom.functions.numeric import growth_pct, ratio, round_away, round_half, sigmoid
 from quantloom.operators.corporate import back_adjust, find_events, yesterday
 from quantloom.operators.indicators import Series, ema, rsi, technical
-from quantloom.operators.ranking import numbered, over_rows
+from quantloom.operators.ranking import numbered, numbered_all, over_rows
 from quantloom.plans.registry import query
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
@@ -106,14 +106,33 @@ def legacy_company_scores(t: Tables) -> DataFrame:
         zero("pe").alias("pe"), zero("price").alias("price"), F.coalesce("stable", F.lit(0)).alias("stable"), round_half(zero("operation"), 2).alias("operation"))
 
 
-@query("legacy_single_score", with_tables("monthly", "interim", then=f"""-- more{_LEGACY_SQL}
-SELECT company_id, {_r("stability", 2)} AS stability, {_r("3e-1 / (1 + exp(-sales_growth / 1e1)) + 2e-1 / (1 + exp(-stability / 1e1)) + 3e-1 / (1 + exp(-eps_level / 1e1)) + 2e-1 / (1 + exp(-eps_growth / 1e1))", 4)} AS final_score
-FROM sales JOIN eps USING (company_id) WHERE abs(eps_level) < 7000 OR eps_level > 0"""))
+def _away(x: str, digits: int) -> str:
+    return f"sign({x}) * floor(abs({x}) * {10**digits}e0 + 5e-1) / {10**digits}e0"
+
+
+def _sig(x: str) -> str:
+    return f"1e0 / (1e0 + exp(least(-({x}) / 1e1, 700e0)))"
+
+
+_SINGLE = (("sales_growth", 0.3), ("stability", 0.2), ("eps_level", 0.3), ("eps_growth", 0.2))
+
+
+@query("legacy_single_score", with_tables("monthly", "interim", "valuation", then=f"""-- more{_LEGACY_SQL},
+every AS (
+  SELECT coalesce(s.company_id, e.company_id) AS company_id, coalesce(sales_growth, 0e0) AS sales_growth, coalesce(stability, 0e0) AS stability,
+         coalesce(eps_level, 0e0) AS eps_level, coalesce(eps_growth, 0e0) AS eps_growth FROM sales s FULL JOIN eps e ON e.company_id = s.company_id),
+named AS (SELECT e.*, s_name AS company_name FROM every e LEFT JOIN supplier ON s_suppkey = e.company_id)
+SELECT n.company_id, {", ".join(f"{_away(c, 2)} AS {c}" for c, _ in _SINGLE)}, {_away("coalesce(v.pe, 0e0)", 2)} AS pe, {_away("coalesce(v.price, 0e0)", 2)} AS price,
+       {_away("0e0 + " + " + ".join(f"{w}e0 * ({_sig(c)})" for c, w in _SINGLE), 4)} AS final_score
+FROM named n LEFT JOIN valuation v ON v.company_name = n.company_name"""))
 def legacy_single_score(t: Tables) -> DataFrame:
-    both = _sales_growth(t).join(_profit_growth(profit_history(t)), "company_id").filter("abs(eps_level) < 7000 OR eps_level > 0")
-    parts = (("sales_growth", 0.3), ("stability", 0.2), ("eps_level", 0.3), ("eps_growth", 0.2))
-    score = sum((w * sigmoid(F.col(c)) for c, w in parts), F.lit(0.0))
-    return both.select("company_id", round_half(F.col("stability"), 2).alias("stability"), round_half(score, 4).alias("final_score"))
+    """Every company with sales or reports; what is missing counts as 0, P/E and price come by name."""
+    both = _sales_growth(t).join(_profit_growth(profit_history(t)), "company_id", "full_outer")
+    both = both.select("company_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c, _ in _SINGLE)).join(domain.companies(t), "company_id", "left")
+    both = both.join(domain.valuations(t).drop("company_id"), "company_name", "left")
+    score = sum((w * sigmoid(F.col(c)) for c, w in _SINGLE), F.lit(0.0))
+    return both.select("company_id", *(round_away(F.col(c), 2).alias(c) for c, _ in _SINGLE), *(round_away(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("pe", "price")),
+                       round_away(score, 4).alias("final_score"))
 
 
 @query("sales_wow", with_tables("monthly", then=f"""
@@ -191,37 +210,52 @@ def price_history(t: Tables) -> DataFrame:
 
 
 _EVENTS_SQL = """
-steps AS (SELECT *, lag(close) OVER d AS earlier, lag(day) OVER d AS day_before FROM market WHERE close > 0 WINDOW d AS (PARTITION BY company_id ORDER BY day)),
-events AS (
-  SELECT company_id, day, close / nullif(earlier, 0) AS factor
-  FROM steps WHERE (close - earlier) / nullif(earlier, 0) * 1e2 <= -12
-    AND (close - earlier) / nullif(earlier, 0) * 1e2 < -((pow(1.06e0, least(6e0, floor(date_diff('day', day_before, day) * 5e0 / 7e0) + 1)) - 1) * 1e2))"""
+steps AS (SELECT *, lag(close) OVER d AS earlier, date_diff('day', lag(day) OVER d, day) AS gap, row_number() OVER (PARTITION BY company_id ORDER BY day DESC) AS back
+          FROM market WINDOW d AS (PARTITION BY company_id ORDER BY day)),
+judged AS (
+  SELECT *, (close - earlier) / earlier * 1e2 AS change_pct, greatest(12e0, (pow(106e-2, least(6, CASE WHEN gap > 0 THEN gap * 5 // 7 + 1 ELSE 1 END)) - 1) * 1e2) AS allowed
+  FROM steps WHERE earlier > 0),
+events AS (SELECT company_id, day, back, change_pct, close / earlier AS factor, close FROM judged WHERE change_pct > allowed OR change_pct < -allowed)"""
 
 
-@query("corporate_events", with_tables("market", then=f"-- more{_EVENTS_SQL}\nSELECT company_id, day, {_r('factor', 6)} AS factor FROM events"))
+@query("corporate_events", with_tables("market", then=f"-- more{_EVENTS_SQL}\nSELECT company_id, day, {_r('change_pct', 2)} AS change_pct, {_r('factor', 6)} AS factor FROM events"))
 def corporate_events(t: Tables) -> DataFrame:
-    return find_events(domain.market_prices(t)).select("company_id", "day", round_half(F.col("factor"), 6).alias("factor"))
+    return find_events(domain.market_prices(t)).select("company_id", "day", round_half(F.col("change_pct"), 2).alias("change_pct"), round_half(F.col("factor"), 6).alias("factor"))
+
+
+@query("corporate_events_recent", with_tables("market", then=f"-- more{_EVENTS_SQL}\nSELECT company_id, day, {_r('change_pct', 2)} AS change_pct FROM events WHERE back BETWEEN 1 AND 14"))
+def corporate_events_recent(t: Tables) -> DataFrame:
+    """Events among each company's latest 14 rows, the report of a daily run."""
+    return find_events(domain.market_prices(t), last=14).select("company_id", "day", round_half(F.col("change_pct"), 2).alias("change_pct"))
+
+
+_SIX = ("close", "last", "first", "high", "low")
 
 
 @query("back_adjust", with_tables("market", then=f"""-- more{_EVENTS_SQL},
-real AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY day) AS k FROM events WHERE abs(factor - 1) >= 2e-2),
-walk AS (
-  SELECT m.company_id, m.day, m.close AS adjusted, coalesce(min(r.k), 0) AS k FROM market m LEFT JOIN real r ON r.company_id = m.company_id AND r.day > m.day GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT w.company_id, w.day, floor(w.adjusted * r.factor + 5e-1), w.k + 1 FROM walk w JOIN real r ON r.company_id = w.company_id AND r.k = w.k WHERE w.k > 0)
-SELECT company_id, day, max_by(adjusted, k) AS adjusted FROM walk GROUP BY 1, 2""").replace("WITH", "WITH RECURSIVE", 1))
+lists AS (SELECT company_id, list(day ORDER BY day) AS days, list(factor ORDER BY day) AS factors FROM events WHERE close > 0 AND abs(factor - 1) >= 2e-2 GROUP BY 1),
+later AS (
+  SELECT s.*, coalesce(len(days), 0) > 0 AS touched, coalesce(list_filter(factors, lambda f, i: days[i] > day), []) AS rest FROM steps s LEFT JOIN lists USING (company_id)),
+adjusted AS (
+  SELECT company_id, day, touched, earlier, {", ".join(f"CASE WHEN {c} > 0 THEN list_reduce(list_prepend({c}, rest), lambda p, f: CASE WHEN p > 0 THEN round_even(p * f, 0) ELSE p END) ELSE {c} END AS {c}" for c in _SIX)}
+  FROM later)
+SELECT company_id, day, {", ".join(_SIX)}, CASE WHEN NOT touched THEN earlier WHEN lag(close) OVER d > 0 THEN lag(close) OVER d END AS yesterday
+FROM adjusted WINDOW d AS (PARTITION BY company_id ORDER BY day)"""))
 def back_adjust_query(t: Tables) -> DataFrame:
-    prices = domain.market_prices(t)
-    return back_adjust(prices, find_events(prices)).select("company_id", "day", "adjusted")
+    rows = yesterday(domain.market_prices(t)).select("company_id", "day", *_SIX, "yesterday")
+    return back_adjust(rows)
 
 
 @query("chart_range_stats", with_tables("market", then="""
 SELECT company_id, floor((max_by(close, day) - min_by(close, day)) / nullif(min_by(close, day), 0) * 1e2 * 1e4 + 5e-1) / 1e4 AS range_return, max(close) AS highest, min(close) AS lowest,
-       max_by(day, (close, day)) AS best_day, min_by(day, (close, day)) AS worst_day FROM market GROUP BY 1"""))
+       max_by(day, (close - earlier, day)) FILTER (earlier IS NOT NULL) AS best_day, min_by(day, (close - earlier, day)) FILTER (earlier IS NOT NULL) AS worst_day
+FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY day) AS earlier FROM market) GROUP BY 1"""))
 def chart_range_stats(t: Tables) -> DataFrame:
+    """The return over the range, the greatest and least close, and the days of the greatest rise and fall."""
     first, last = F.min_by("close", "day"), F.max_by("close", "day")
-    at = F.struct("close", "day")
-    return domain.market_prices(t).groupBy("company_id").agg(
+    change = F.col("close") - F.lag("close").over(Window.partitionBy("company_id").orderBy("day"))
+    at = F.when(F.col("change").isNotNull(), F.struct("change", "day"))
+    return domain.market_prices(t).withColumn("change", change).groupBy("company_id").agg(
         round_half(ratio(last - first, first) * 100.0, 4).alias("range_return"), F.max("close").alias("highest"), F.min("close").alias("lowest"),
         F.max_by("day", at).alias("best_day"), F.min_by("day", at).alias("worst_day"))
 
@@ -237,8 +271,8 @@ def score_buckets(t: Tables) -> DataFrame:
 @query("nulls_last_sort", with_tables("valuation", then="SELECT company_id, pe, row_number() OVER (ORDER BY pe DESC NULLS LAST, company_id) AS place FROM valuation"))
 def nulls_last_sort(t: Tables) -> DataFrame:
     """The place of each row in a table sorted downwards, missing values last."""
-    order = Window.orderBy(F.col("pe").desc_nulls_last(), "company_id")
-    return domain.valuations(t).select("company_id", "pe", F.row_number().over(order).cast("long").alias("place"))
+    rows = domain.valuations(t).select("company_id", "pe")
+    return numbered_all(rows, [F.col("pe").desc_nulls_last(), F.col("company_id").asc()])
 
 
 @query("pe_refresh", with_tables("valuation", then="""

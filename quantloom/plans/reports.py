@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import comparable, ratio, round_half
+from quantloom.functions.numeric import ratio, round_half
 from quantloom.functions.text import csv_text
 from quantloom.operators import state
 from quantloom.plans.registry import query
-from quantloom.plans.score import DERIVED_SQL, MARKET_SQL, PROFIT_SQL, RANKED_SQL, SALES_SQL, _view, score_view
+from quantloom.plans.score import DERIVED_SQL, MARKET_SQL, PROFIT_SQL, RANKED_SQL, SALES_SQL, _view, reports, score_view
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
 
@@ -35,17 +35,11 @@ def company_detail_market(t: Tables) -> DataFrame:
     return detail(domain.market_prices(t).select("company_id", "day", "close", "volume", "trade_count"), 3, "day", 90)
 
 
-@query("op_unit_normalize", with_tables("interim", then="""
-SELECT company_id, jyear, jmonth, CASE WHEN given IS NULL THEN NULL WHEN abs(given) <= abs(net_profit) * 1e2 AND abs(net_profit) <= abs(given) * 1e2 THEN given
-       WHEN abs(given * capital) <= abs(net_profit) * 1e2 AND abs(net_profit) <= abs(given * capital) * 1e2 THEN floor(given * capital + 5e-1) END AS amount
-FROM (SELECT *, CASE WHEN company_id % 2 = 0 THEN operating_profit ELSE operating_profit / capital END AS given FROM interim)"""))
+@query("op_unit_normalize", with_tables("interim", then=f"-- more{PROFIT_SQL}\nSELECT company_id, jyear, jmonth, floor(op * 1e2 + 5e-1) / 1e2 AS op, floor(op_ly * 1e2 + 5e-1) / 1e2 AS op_ly FROM clean"))
 def op_unit_normalize(t: Tables) -> DataFrame:
-    """Operating profit that some reports give a share is brought to an amount, judged by the size of the net profit."""
-    given = F.when(F.col("company_id") % 2 == 0, F.col("operating_profit")).otherwise(F.col("operating_profit") / F.col("capital"))
-    rows = domain.interim_reports(t).withColumn("given", given)
-    amount = F.when(comparable(F.col("given"), F.col("net_profit")), F.col("given")).when(
-        comparable(F.col("given") * F.col("capital"), F.col("net_profit")), F.floor(F.col("given") * F.col("capital") + 0.5).cast("double"))
-    return rows.select("company_id", "jyear", "jmonth", amount.alias("amount"))
+    """Operating profit that some reports give a share, brought to an amount by revenue, else by EPS."""
+    rows = reports(domain.interim_reports(t))
+    return rows.select("company_id", "jyear", "jmonth", round_half(F.col("op"), 2).alias("op"), round_half(F.col("op_ly"), 2).alias("op_ly"))
 
 
 _FINAL = (SALES_SQL, PROFIT_SQL, MARKET_SQL, DERIVED_SQL, RANKED_SQL)
@@ -140,12 +134,6 @@ def latest_url_filter(t: Tables) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(top)).filter("rn = 1").select("page_id", "url")
 
 
-@query("match_histogram", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'jaccard' ELSE 'exact' END AS how, count(*) AS n FROM supplier GROUP BY 1")
-def match_histogram(t: Tables) -> DataFrame:
-    how = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("jaccard("), F.col("s_suppkey").cast("string"), F.lit(")"))).otherwise("exact")
-    return t("supplier").select(F.split_part(how, F.lit("("), F.lit(1)).alias("how")).groupBy("how").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("cash_flows_page", """
 SELECT o_orderkey, o_orderdate::DATE AS day, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200""")
 def cash_flows_page(t: Tables) -> DataFrame:

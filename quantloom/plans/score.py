@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import clip, comparable, growth_pct, pct_of, power_of_ten_ratio, ramp, ratio, round_half, within
-from quantloom.operators.ranking import SENTINEL, Factor, at_row, latest_per, numbered, over_rows, percentiles
+from quantloom.functions.numeric import clip, comparable, growth_pct, operating_amount, pct_of, power_of_ten_ratio, ramp, ratio, round_half, within
+from quantloom.operators.ranking import SENTINEL, Factor, at_row, numbered, over_rows, percentiles
 from quantloom.plans.registry import query
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
+from quantloom.sources.store import written
 
 AS_OF = (2001, 12)
 AS_OF_DATE = "2001-12-01"
@@ -38,25 +39,62 @@ def sales_summary(monthly: DataFrame) -> DataFrame:
         over_rows(F.avg, v, 1, 12).alias("avg12"), over_rows(F.stddev_samp, v, 1, 12).alias("sd12"), F.count(F.lit(1)).alias("sales_count"))
 
 
-def trailing_year(now: str, m: str = "jmonth"):
-    """Cumulative figure, plus the last full year, less the same months of last year; December is a full year."""
-    return F.when(F.col(m) == 12, F.col(now)).otherwise(F.col(now) + F.col(f"{now}_fyprev") - F.col(f"{now}_ly"))
-
-
-def profit_summary(interim: DataFrame) -> DataFrame:
-    """The latest report of each company with its trailing year, last year's, and the number of reports."""
-    keys = ["revenue", "net_profit", "operating_profit", "cash_flow"]
-    latest = latest_per(interim, ["company_id"], [F.desc("jyear"), F.desc("jmonth")])
-    counts = interim.groupBy("company_id").agg(F.count(F.lit(1)).alias("report_count"))
-    before = interim.select("company_id", (F.col("jyear") + 1).alias("jyear"), "jmonth", *(trailing_year(k).alias(f"{k}_ttm_prev") for k in ("net_profit", "operating_profit")))
-    return latest.withColumns({f"{k}_ttm": trailing_year(k) for k in keys}).join(before, ["company_id", "jyear", "jmonth"], "left").join(counts, "company_id")
+#: What a report holds beside its keys.
+REPORTED = ("eps", "p1", "op", "op_ly", "op_raw", "op_ly_raw", "op_fyprev", "revenue", "revenue_ly", "revenue_fyprev", "finance_costs", "other_non_op",
+            "npa", "npa_ly", "npa_fyprev", "cash_flow", "cash_flow_ly", "cash_flow_fyprev",
+            "total_assets", "current_assets", "total_liabilities", "current_liabilities", "total_equity")
+
+
+def reports(interim: DataFrame) -> DataFrame:
+    """Reports as they are filed: p1, the cumulative profit as EPS times capital, and the table's own amounts, npa, in another
+    unit, a power of ten for most companies; some without amounts, some without revenue, some with operating profit a
+    share. op and op_ly are that profit as an amount."""
+    c, k = F.col, F.col("company_id")
+    unit = F.when(k % 11 == 0, None).when(k % 3 == 0, 1e-3).when(k % 3 == 1, 1.0).otherwise(1e-3 / 1.3)
+    share = F.when(k % 5 == 0, c("capital")).otherwise(1.0)
+    own = lambda x: F.when(k % 7 != 0, c(x))
+    rows = interim.withColumns({"p1": c("net_profit"), **{f"npa{e}": c(f"net_profit{e}") * unit for e in ("", "_ly", "_fyprev")},
+                                "op_raw": c("operating_profit") / share, "op_ly_raw": c("operating_profit_ly") / share, "op_fyprev": c("operating_profit_fyprev") / share,
+                                **{x: own(x) for x in ("revenue", "revenue_ly", "revenue_fyprev")}})
+    rows = rows.withColumns({"op": operating_amount(c("op_raw"), c("revenue"), c("eps"), c("p1")), "op_ly": operating_amount(c("op_ly_raw"), c("revenue_ly"), c("eps"), c("p1"))})
+    return rows.select("company_id", "jyear", "jmonth", *REPORTED)
+
+
+def profit_summary(rows: DataFrame) -> DataFrame:
+    """The latest report of each company, p1, op and revenue of the same months and the full year one and two years before
+    it (lyp_, fy_, lyp2_, fy2_), and the number of reports: one shuffle, no self join. A company has a report a month."""
+    year, month, key = F.col("jyear"), F.col("jmonth"), F.col("jyear") * 100 + F.col("jmonth")
+    last = F.max(key).over(Window.partitionBy("company_id"))
+    rows = rows.withColumn("__last", last)
+    ly, lm = F.floor(F.col("__last") / 100), F.col("__last") % 100
+    at = {"": key == F.col("__last"), "lyp_": (year == ly - 1) & (month == lm), "fy_": (year == ly - 1) & (month == 12),
+          "lyp2_": (year == ly - 2) & (month == lm), "fy2_": (year == ly - 2) & (month == 12)}
+    pick = lambda when, c: F.max(F.when(when, F.col(c)))
+    return rows.groupBy("company_id").agg(
+        *(pick(at[""], c).alias(c) for c in ("jyear", "jmonth", *REPORTED)),
+        *(pick(when, c).alias(f"{n}{c}") for n, when in at.items() if n for c in ("p1", "op", "revenue")), F.count(F.lit(1)).alias("report_count"))
+
+
+def trailing(df: DataFrame) -> DataFrame:
+    """df with twelve-month figures: sr_, from one report's own columns (the months so far, plus the last full year, less the
+    same months of last year; December is a full year), and others from several reports, in the unit of p1."""
+    c, december = F.col, F.col("jmonth") == 12
+    single = lambda now, fy, ly: F.when(december, c(now)).otherwise(c(now) + c(fy) - c(ly))
+    alike = lambda a, b: (c(a) == 0) | (c(b) == 0) | comparable(c(a), c(b))
+    guarded = lambda now, fy, ly: F.when(december, c(now)).when(alike(fy, now) & alike(ly, now), c(now) + c(fy) - c(ly))
+    rows = df.withColumns({
+        "sr_np": single("npa", "npa_fyprev", "npa_ly"), "sr_op": single("op_raw", "op_fyprev", "op_ly_raw"), "sr_revenue": single("revenue", "revenue_fyprev", "revenue_ly"),
+        "sr_cash": single("cash_flow", "cash_flow_fyprev", "cash_flow_ly"), "np_p1": single("p1", "fy_p1", "lyp_p1"),
+        "np_prev": F.when(december, c("lyp_p1")).otherwise(c("lyp_p1") + c("fy2_p1") - c("lyp2_p1")),
+        "op_ttm": guarded("op", "fy_op", "lyp_op"), "revenue_ttm": single("revenue", "fy_revenue", "lyp_revenue"),
+        "op_prev": F.when(december, c("lyp_op")).when(alike("fy2_op", "lyp_op") & alike("lyp2_op", "lyp_op"), c("lyp_op") + c("fy2_op") - c("lyp2_op")),
+        "unit_ratio": F.coalesce(power_of_ten_ratio(c("npa_ly"), c("lyp_p1")), power_of_ten_ratio(c("npa"), c("p1")))})
+    return rows.withColumn("net_profit_ttm", F.coalesce("sr_np", "np_p1"))
 
 
 def market_summary(prices: DataFrame) -> DataFrame:
     """Latest price, returns by rows back, 30-row means and deviation, 90-row range. Returns follow descending days."""
     rows = numbered(prices, ["company_id"], [F.desc("day")])
-    from pyspark.sql import Window
-
     newer = F.lag("close").over(Window.partitionBy("company_id").orderBy(F.desc("day")))
     rows = rows.withColumn("change", ratio(F.col("close") - newer, newer) * 100.0)
     c = F.col("close")
@@ -69,38 +107,44 @@ def market_summary(prices: DataFrame) -> DataFrame:
 
 def base_metrics(t: Tables) -> DataFrame:
     """One row a company: everything that is known, joined once on the company."""
+    profit = trailing(profit_summary(reports(domain.interim_reports(t))))
     return domain.companies(t).join(sales_summary(domain.monthly_sales(t)), "company_id", "left").join(
-        profit_summary(domain.interim_reports(t)), "company_id", "left").join(market_summary(domain.market_prices(t)), "company_id", "left")
+        profit, "company_id", "left").join(market_summary(domain.market_prices(t)), "company_id", "left")
 
 
 def derived(base: DataFrame) -> DataFrame:
-    """Growth, margins, ratios, returns and ages; each null where its parts are missing or out of bounds."""
+    """Growth, margins, ratios, returns and ages; each null where its parts are missing or out of bounds.
+
+    Only figures of one unit are compared: the report's own twelve months with last year's times the unit ratio, where
+    there is one; else figures of p1; else the same months of two years."""
     c = F.col
-    unit = power_of_ten_ratio(c("net_profit_ttm"), c("net_profit_ttm"))
-    op, op_ly = c("operating_profit"), c("operating_profit_ly")
-    op_now, op_before = pct_of(op, c("revenue")), pct_of(op_ly, c("revenue_ly"))
-    last_eps = ratio(c("net_profit_ttm") * c("eps"), F.when(c("net_profit") > 0, c("net_profit")))
-    per_year = F.coalesce(c("revenue_ttm"), c("s12"))
+    share = lambda a, b, top=200: within(pct_of(a, b), -top, top)
+    op, revenue = c("op"), c("revenue")
+    like = lambda name: F.when(comparable(c(name), op), growth_pct(op, c(name)))
+    sales = F.coalesce(c("revenue_ttm"), c("s12"))
+    per_profit = lambda total, own: F.when((c("eps") > 0) & (c(own) > 0), c(total) * c("eps") / c(own))
     age = (F.lit(AS_OF[0]) - c("jyear")) * 12 + (F.lit(AS_OF[1]) - c("jmonth"))
-    return base.withColumns({
+    rows = base.withColumns({
         "sg_raw": growth_pct(c("s12"), c("p12")), "sg3_raw": growth_pct(c("s3"), c("p3")),
-        "st": 1.0 - ratio(c("sd12"), F.abs("avg12")),
-        "npg_raw": F.coalesce(growth_pct(c("net_profit_ttm"), c("net_profit_ttm_prev") * unit), growth_pct(c("net_profit"), c("net_profit_ly"))),
-        "opg_raw": F.coalesce(growth_pct(c("operating_profit_ttm"), c("operating_profit_ttm_prev")), F.when(comparable(op, op_ly), growth_pct(op, op_ly))),
-        "rg_raw": growth_pct(c("revenue"), c("revenue_ly")),
-        "om_raw": within(pct_of(c("operating_profit_ttm"), per_year), -200, 200), "nm_raw": within(pct_of(c("net_profit_ttm"), per_year), -200, 200),
-        "mt_raw": within(op_now, -200, 200) - within(op_before, -200, 200),
+        "st": 1.0 - ratio(F.coalesce("sd12", F.lit(0.0)), F.abs("avg12")),
+        "npg_raw": F.coalesce(growth_pct(c("sr_np"), c("np_prev") * c("unit_ratio")), growth_pct(c("np_p1"), c("np_prev")), growth_pct(c("p1"), c("lyp_p1"))),
+        "opg_raw": F.coalesce(growth_pct(c("op_ttm"), c("op_prev")), like("lyp_op"), like("op_ly")),
+        "rg_raw": growth_pct(revenue, c("revenue_ly")),
+        "om_raw": F.coalesce(share(c("sr_op"), c("sr_revenue")), share(c("op_ttm"), sales)), "nm_raw": F.coalesce(share(c("sr_np"), c("sr_revenue")), share(c("net_profit_ttm"), sales)),
+        "mt_raw": F.coalesce(share(op, revenue) - share(c("op_ly"), c("revenue_ly")), share(c("op_ttm"), sales) - share(c("op_prev"), c("p12"))),
         "coverage": F.when(ratio(op, F.abs("finance_costs")) > 0, within(ratio(op, F.abs("finance_costs")), 0, 10000)),
-        "non_operating": F.abs(pct_of(c("other_non_op"), op)),
-        "roe_raw": F.when(c("total_equity") > 0, within(ratio(c("net_profit_ttm"), c("total_equity")) * 100.0, -300, 300)),
+        "non_operating": ratio(F.abs("other_non_op"), F.abs(op)) * 100.0,
+        "roe_raw": F.when(c("total_equity") > 0, within(ratio(c("sr_np"), c("total_equity")) * 100.0, -300, 300)),
         "lev_raw": F.when(c("total_equity") > 0, within(ratio(c("total_liabilities"), c("total_equity")), 0, 50)),
         "cr_raw": F.when(c("current_liabilities") > 0, within(ratio(c("current_assets"), c("current_liabilities")), 0, 15)),
-        "cc_raw": F.when(c("net_profit_ttm") > 0, within(ratio(c("cash_flow_ttm"), c("net_profit_ttm")), -2, 5)),
-        "ttm_eps": F.when(c("eps") > 0, last_eps),
+        "cc_raw": F.when(c("sr_np") > 0, within(ratio(c("sr_cash"), c("sr_np")), -2, 5)),
+        "eps_single": per_profit("sr_np", "npa"), "eps_cross": per_profit("net_profit_ttm", "p1"),
         "return7": pct_of(c("price") - c("c7"), c("c7")), "return30": pct_of(c("price") - c("c30"), c("c30")), "return90": pct_of(c("price") - c("c90"), c("c90")),
         "position90": ratio(c("price") - c("low90"), F.abs(c("high90") - c("low90"))) * 100.0,
-        "report_age": age, "market_age": F.datediff(F.lit(AS_OF_DATE).cast("date"), "last_day")}).withColumn(
-            "pe_raw", F.when(F.col("price") > 0, ratio(F.col("price"), F.col("ttm_eps"))))
+        "report_age": age, "market_age": F.datediff(F.lit(AS_OF_DATE).cast("date"), "last_day")})
+    cross = F.when(c("eps_cross") > 0, ratio(c("price"), c("eps_cross")))
+    return rows.withColumn("ttm_eps", F.coalesce("eps_single", "eps_cross")).withColumn(
+        "pe_raw", F.when(c("price") > 0, F.when(c("eps_single").isNotNull(), ratio(c("price"), c("eps_single"))).otherwise(cross)))
 
 
 def tiers(x, *steps: tuple[float, float], at_most: bool = False):
@@ -153,7 +197,8 @@ def scores(df: DataFrame) -> DataFrame:
 
 def score_view(t: Tables) -> DataFrame:
     """The whole view, a row a company. Point lookups should read a written copy: ranks need all rows."""
-    return scores(penalties(percentiles(rank_keys(data_quality(derived(base_metrics(t)))), "company_id", FACTORS)))
+    keyed = written(rank_keys(data_quality(derived(base_metrics(t)))), "score-keys")
+    return scores(penalties(percentiles(keyed, "company_id", FACTORS)))
 
 
 # ---- the same in SQL ----------------------------------------------------------------------------------------------
@@ -179,10 +224,6 @@ def _clip(x: str, low, high) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN {inner} END"
 
 
-def _ttm(k: str) -> str:
-    return f"CASE WHEN jmonth = 12 THEN {k} ELSE {k} + {k}_fyprev - {k}_ly END"
-
-
 SALES_SQL = """
 sales_rows AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY report_key DESC) AS rn FROM monthly),
 sales AS (
@@ -190,13 +231,54 @@ sales AS (
          coalesce(sum(value3) FILTER (rn <= 3), 0) AS s3, coalesce(sum(value3) FILTER (rn BETWEEN 4 AND 6), 0) AS p3,
          avg(value3) FILTER (rn <= 12) AS avg12, stddev_samp(value3) FILTER (rn <= 12) AS sd12, count(*) AS sales_count
   FROM sales_rows GROUP BY 1)"""
+def _amount(op: str, revenue: str) -> str:
+    """Of the operating profit, as a share's or an amount."""
+    return f"""CASE WHEN {op} IS NULL THEN NULL
+       WHEN {revenue} IS NOT NULL AND abs({revenue}) > 0 THEN CASE WHEN abs({op}) < 1e-3 * abs({revenue}) AND eps > 0 AND p1 > 0 THEN {op} * p1 / eps ELSE {op} END
+       WHEN eps > 0 AND p1 > 0 AND abs({op}) < 5e-2 * p1 AND abs({op}) < 1e2 * eps AND abs({op}) >= 5e-2 * eps THEN {op} * p1 / eps ELSE {op} END"""
+
+
+def _single(now: str, fy: str, ly: str) -> str:
+    return f"CASE WHEN jmonth = 12 AND {now} IS NOT NULL THEN {now} WHEN {now} IS NOT NULL AND {fy} IS NOT NULL AND {ly} IS NOT NULL THEN {now} + {fy} - {ly} END"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"({a} = 0 OR {b} = 0 OR (abs({a}) <= abs({b}) * 1e2 AND abs({b}) <= abs({a}) * 1e2))"
+
+
+def _ten(a: str, b: str) -> str:
+    size = f"log10(abs({a}) / abs({b}))"
+    return f"CASE WHEN abs({b}) > 0 AND {a} * {b} > 0 AND abs({size} - floor({size} + 5e-1)) <= 1e-1 THEN pow(1e1, floor({size} + 5e-1)) END"
+
+
 PROFIT_SQL = f"""
-ttm AS (SELECT *, {", ".join(f"{_ttm(k)} AS {k}_ttm" for k in ("revenue", "net_profit", "operating_profit", "cash_flow"))},
-               row_number() OVER (PARTITION BY company_id ORDER BY jyear DESC, jmonth DESC) AS rn,
-               count(*) OVER (PARTITION BY company_id) AS report_count FROM interim),
-profit AS (
-  SELECT a.*, b.net_profit_ttm AS net_profit_ttm_prev, b.operating_profit_ttm AS operating_profit_ttm_prev
-  FROM ttm a LEFT JOIN ttm b ON b.company_id = a.company_id AND b.jyear = a.jyear - 1 AND b.jmonth = a.jmonth WHERE a.rn = 1)"""
+filed AS (
+  SELECT company_id, jyear, jmonth, eps, net_profit AS p1,
+         {", ".join(f"net_profit{e} * CASE WHEN company_id % 11 = 0 THEN NULL WHEN company_id % 3 = 0 THEN 1e-3 WHEN company_id % 3 = 1 THEN 1e0 ELSE 1e-3 / 13e-1 END AS npa{e}" for e in ("", "_ly", "_fyprev"))},
+         {", ".join(f"operating_profit{e} / CASE WHEN company_id % 5 = 0 THEN capital ELSE 1e0 END AS {n}" for e, n in (("", "op_raw"), ("_ly", "op_ly_raw"), ("_fyprev", "op_fyprev")))},
+         {", ".join(f"CASE WHEN company_id % 7 <> 0 THEN {c} END AS {c}" for c in ("revenue", "revenue_ly", "revenue_fyprev"))},
+         finance_costs, other_non_op, cash_flow, cash_flow_ly, cash_flow_fyprev, total_assets, current_assets, total_liabilities, current_liabilities, total_equity
+  FROM interim),
+clean AS (SELECT *, {_amount("op_raw", "revenue")} AS op, {_amount("op_ly_raw", "revenue_ly")} AS op_ly FROM filed),
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY jyear DESC, jmonth DESC) AS rn, count(*) OVER (PARTITION BY company_id) AS report_count FROM clean)
+  WHERE rn = 1),
+wide AS (
+  SELECT a.*, {", ".join(f"{t}.{c} AS {n}_{c}" for t, n in (("b", "lyp"), ("f", "fy"), ("d", "lyp2"), ("e", "fy2")) for c in ("p1", "op", "revenue"))}
+  FROM latest a LEFT JOIN clean b ON b.company_id = a.company_id AND b.jyear = a.jyear - 1 AND b.jmonth = a.jmonth
+                LEFT JOIN clean f ON f.company_id = a.company_id AND f.jyear = a.jyear - 1 AND f.jmonth = 12
+                LEFT JOIN clean d ON d.company_id = a.company_id AND d.jyear = a.jyear - 2 AND d.jmonth = a.jmonth
+                LEFT JOIN clean e ON e.company_id = a.company_id AND e.jyear = a.jyear - 2 AND e.jmonth = 12),
+sums AS (
+  SELECT *, {_single("npa", "npa_fyprev", "npa_ly")} AS sr_np, {_single("op_raw", "op_fyprev", "op_ly_raw")} AS sr_op,
+         {_single("revenue", "revenue_fyprev", "revenue_ly")} AS sr_revenue, {_single("cash_flow", "cash_flow_fyprev", "cash_flow_ly")} AS sr_cash,
+         {_single("p1", "fy_p1", "lyp_p1")} AS np_p1, {_single("revenue", "fy_revenue", "lyp_revenue")} AS revenue_ttm,
+         CASE WHEN jmonth = 12 THEN lyp_p1 WHEN fy2_p1 IS NOT NULL AND lyp2_p1 IS NOT NULL THEN lyp_p1 + fy2_p1 - lyp2_p1 END AS np_prev,
+         CASE WHEN jmonth = 12 THEN op WHEN {_alike("fy_op", "op")} AND {_alike("lyp_op", "op")} THEN op + fy_op - lyp_op END AS op_ttm,
+         CASE WHEN jmonth = 12 THEN lyp_op WHEN {_alike("fy2_op", "lyp_op")} AND {_alike("lyp2_op", "lyp_op")} THEN lyp_op + fy2_op - lyp2_op END AS op_prev,
+         coalesce({_ten("npa_ly", "lyp_p1")}, {_ten("npa", "p1")}) AS unit_ratio
+  FROM wide),
+profit AS (SELECT *, coalesce(sr_np, np_p1) AS net_profit_ttm FROM sums)"""
 MARKET_SQL = """
 price_rows AS (
   SELECT *, row_number() OVER d AS rn, (close - lag(close) OVER d) / nullif(lag(close) OVER d, 0) * 1e2 AS change
@@ -206,33 +288,43 @@ traded AS (
          max(close) FILTER (rn = 90) AS c90, avg(trade_value) FILTER (rn <= 30) AS avg_value, stddev_samp(change) FILTER (rn <= 30) AS volatility,
          max(high) FILTER (rn <= 90) AS high90, min(low) FILTER (rn <= 90) AS low90, max(day) AS last_day, count(*) AS market_count
   FROM price_rows GROUP BY 1)"""
-_COVER = "operating_profit / nullif(abs(finance_costs), 0)"
+_COVER = "op / nullif(abs(finance_costs), 0)"
+_SALES = "coalesce(revenue_ttm, s12)"
+
+
+def _share_of(a: str, b: str) -> str:
+    return _in(_pct(a, b), -200, 200)
+
+
+def _like(name: str) -> str:
+    return f"CASE WHEN abs({name}) <= abs(op) * 1e2 AND abs(op) <= abs({name}) * 1e2 THEN {_grow('op', name)} END"
+
+
 DERIVED_SQL = f"""
 base AS (
   SELECT s.s_suppkey AS company_id, s.s_name AS company_name, a.* EXCLUDE (company_id), p.* EXCLUDE (company_id), m.* EXCLUDE (company_id)
   FROM supplier s LEFT JOIN sales a ON a.company_id = s.s_suppkey LEFT JOIN profit p ON p.company_id = s.s_suppkey LEFT JOIN traded m ON m.company_id = s.s_suppkey),
 parts AS (
-  SELECT *, {_grow("s12", "p12")} AS sg_raw, {_grow("s3", "p3")} AS sg3_raw, 1 - sd12 / nullif(abs(avg12), 0) AS st,
-         coalesce({_grow("net_profit_ttm", "CASE WHEN net_profit_ttm <> 0 THEN net_profit_ttm_prev END")}, {_grow("net_profit", "net_profit_ly")}) AS npg_raw,
-         coalesce({_grow("operating_profit_ttm", "operating_profit_ttm_prev")},
-                  CASE WHEN abs(operating_profit) <= abs(operating_profit_ly) * 1e2 AND abs(operating_profit_ly) <= abs(operating_profit) * 1e2
-                       THEN {_grow("operating_profit", "operating_profit_ly")} END) AS opg_raw,
+  SELECT *, {_grow("s12", "p12")} AS sg_raw, {_grow("s3", "p3")} AS sg3_raw, 1 - coalesce(sd12, 0) / nullif(abs(avg12), 0) AS st,
+         coalesce({_grow("sr_np", "np_prev * unit_ratio")}, {_grow("np_p1", "np_prev")}, {_grow("p1", "lyp_p1")}) AS npg_raw,
+         coalesce({_grow("op_ttm", "op_prev")}, {_like("lyp_op")}, {_like("op_ly")}) AS opg_raw,
          {_grow("revenue", "revenue_ly")} AS rg_raw,
-         {_in(_pct("operating_profit_ttm", "coalesce(revenue_ttm, s12)"), -200, 200)} AS om_raw,
-         {_in(_pct("net_profit_ttm", "coalesce(revenue_ttm, s12)"), -200, 200)} AS nm_raw,
-         {_in(_pct("operating_profit", "revenue"), -200, 200)} - {_in(_pct("operating_profit_ly", "revenue_ly"), -200, 200)} AS mt_raw,
+         coalesce({_share_of("sr_op", "sr_revenue")}, {_share_of("op_ttm", _SALES)}) AS om_raw, coalesce({_share_of("sr_np", "sr_revenue")}, {_share_of("net_profit_ttm", _SALES)}) AS nm_raw,
+         coalesce({_share_of("op", "revenue")} - {_share_of("op_ly", "revenue_ly")}, {_share_of("op_ttm", _SALES)} - {_share_of("op_prev", "p12")}) AS mt_raw,
          CASE WHEN {_COVER} > 0 AND {_COVER} <= 10000 THEN {_COVER} END AS coverage,
-         abs({_pct("other_non_op", "operating_profit")}) AS non_operating,
-         CASE WHEN total_equity > 0 AND net_profit_ttm / total_equity * 1e2 BETWEEN -300 AND 300 THEN net_profit_ttm / total_equity * 1e2 END AS roe_raw,
+         abs(other_non_op) / nullif(abs(op), 0) * 1e2 AS non_operating,
+         CASE WHEN total_equity > 0 AND sr_np / total_equity * 1e2 BETWEEN -300 AND 300 THEN sr_np / total_equity * 1e2 END AS roe_raw,
          CASE WHEN total_equity > 0 AND total_liabilities / total_equity BETWEEN 0 AND 50 THEN total_liabilities / total_equity END AS lev_raw,
          CASE WHEN current_liabilities > 0 AND current_assets / current_liabilities BETWEEN 0 AND 15 THEN current_assets / current_liabilities END AS cr_raw,
-         CASE WHEN net_profit_ttm > 0 AND cash_flow_ttm / net_profit_ttm BETWEEN -2 AND 5 THEN cash_flow_ttm / net_profit_ttm END AS cc_raw,
-         CASE WHEN eps > 0 AND net_profit > 0 THEN net_profit_ttm * eps / net_profit END AS ttm_eps,
+         CASE WHEN sr_np > 0 AND sr_cash / sr_np BETWEEN -2 AND 5 THEN sr_cash / sr_np END AS cc_raw,
+         CASE WHEN eps > 0 AND npa > 0 THEN sr_np * eps / npa END AS eps_single, CASE WHEN eps > 0 AND p1 > 0 THEN net_profit_ttm * eps / p1 END AS eps_cross,
          {_pct("price - c7", "c7")} AS return7, {_pct("price - c30", "c30")} AS return30, {_pct("price - c90", "c90")} AS return90,
          (price - low90) / nullif(abs(high90 - low90), 0) * 1e2 AS position90,
          ({AS_OF[0]} - jyear) * 12 + ({AS_OF[1]} - jmonth) AS report_age, date_diff('day', last_day, DATE '{AS_OF_DATE}') AS market_age
   FROM base),
-derived AS (SELECT *, CASE WHEN price > 0 THEN price / nullif(ttm_eps, 0) END AS pe_raw FROM parts)"""
+derived AS (
+  SELECT *, coalesce(eps_single, eps_cross) AS ttm_eps,
+         CASE WHEN price > 0 AND eps_single IS NOT NULL THEN price / nullif(eps_single, 0) WHEN price > 0 AND eps_cross > 0 THEN price / eps_cross END AS pe_raw FROM parts)"""
 _OK = "pe_raw > 0 AND pe_raw <= 60"
 _KEYS = {n: _clip("non_operating" if n == "eq" else "return30" if n == "mo" else f"{n}_raw", *b) for n, b in BOUNDS.items()} | {
     "ic": _clip("coverage", None, 20), "lq": "avg_value", "lv": "volatility", "st": "st", "pe": f"CASE WHEN {_OK} THEN pe_raw ELSE 999999e0 END",
@@ -290,17 +382,18 @@ SELECT company_id, {_r("sg_rank", 4)} AS sg_rank FROM ranked ORDER BY sg_rank DE
 def sales_growth_top20(t: Tables) -> DataFrame:
     """The 20 companies whose sales of twelve reports grew most, by percentile; a top-k report."""
     grown = sales_summary(domain.monthly_sales(t)).select("company_id", round_half(clip(growth_pct(F.col("s12"), F.col("p12")), -150, 150), 6).alias("sg"))
-    ranked = percentiles(grown, "company_id", {"sg": Factor()})
+    ranked = percentiles(written(grown, "sales-growth"), "company_id", {"sg": Factor()})
     return ranked.orderBy(F.desc("sg_rank"), "company_id").limit(20).select("company_id", round_half(F.col("sg_rank"), 4).alias("sg_rank"))
 
 
-_TTM = ("revenue_ttm", "net_profit_ttm", "operating_profit_ttm", "net_profit_ttm_prev", "operating_profit_ttm_prev")
+_TTM = ("sr_np", "sr_op", "sr_revenue", "sr_cash", "np_p1", "np_prev", "op_ttm", "op_prev", "revenue_ttm", "net_profit_ttm", "op", "op_ly")
 
 
-@query("profit_ttm", with_tables("interim", then=f"-- more{PROFIT_SQL}\n{_rounded_sql(*_TTM, digits=2)}, report_count FROM profit"))
+@query("profit_ttm", with_tables("interim", then=f"-- more{PROFIT_SQL}\n{_rounded_sql(*_TTM, digits=2)}, unit_ratio, report_count FROM profit"))
 def profit_ttm(t: Tables) -> DataFrame:
-    df = profit_summary(domain.interim_reports(t))
-    return df.select("company_id", *(round_half(F.col(c), 2).alias(c) for c in _TTM), "report_count")
+    """Twelve-month figures by both sources, and the power of ten between these."""
+    df = trailing(profit_summary(reports(domain.interim_reports(t))))
+    return df.select("company_id", *(round_half(F.col(c), 2).alias(c) for c in _TTM), "unit_ratio", "report_count")
 
 
 _MARKET = ("price", "c7", "c30", "c90", "avg_value", "volatility", "high90", "low90")
@@ -347,7 +440,7 @@ def quant_score(t: Tables) -> DataFrame:
 _FLAGS = {"bad_pe": "NOT coalesce(pe_raw > 0 AND pe_raw <= 60, false)", "weak_sales": "coalesce(sg_raw < 0, false)", "weak_operating": "coalesce(opg_raw < 0, false)",
           "loss_maker": "coalesce(net_profit_ttm < 0, false)", "weak_coverage": "coalesce(coverage < 1.5, false)", "margin_contraction": "coalesce(mt_raw < -2, false)",
           "stale": "coalesce(report_age > 8 OR market_age > 14, true)", "enough_data": "coalesce(sales_count >= 12 AND report_count >= 4 AND market_count >= 30, false)"}
-_LABELS = ", ', ', ".join([]) or ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _FLAGS if n != "enough_data")
+_LABELS = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _FLAGS if n != "enough_data")
 
 
 @query("risk_labels", _view(SALES_SQL, PROFIT_SQL, MARKET_SQL, DERIVED_SQL, RANKED_SQL, then="SELECT company_id, " + ", ".join(f"{n}::INT AS {n}" for n in _FLAGS)

@@ -59,12 +59,13 @@ def interim_reports(t: Tables) -> DataFrame:
 
 
 def market_prices(t: Tables) -> DataFrame:
-    """Daily prices in cents: close is the day's mean unit price."""
+    """Daily prices in cents: close is the day's mean unit price, first and last are those of its first and last line."""
     unit = F.floor(F.col("l_extendedprice") * 100.0 / F.col("l_quantity") + 0.5).cast("double")
+    line = F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), unit.alias("unit"))
     value, volume = F.sum(cents(F.col("l_extendedprice"))), F.sum("l_quantity")
     return t("lineitem").groupBy(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("day")).agg(
         F.floor(value / volume + 0.5).cast("double").alias("close"), F.max(unit).alias("high"), F.min(unit).alias("low"),
-        value.alias("trade_value"), volume.alias("volume"), F.count(F.lit(1)).alias("trade_count"))
+        F.min(line)["unit"].alias("first"), F.max(line)["unit"].alias("last"), value.alias("trade_value"), volume.alias("volume"), F.count(F.lit(1)).alias("trade_count"))
 
 
 def valuations(t: Tables) -> DataFrame:
@@ -109,6 +110,8 @@ SQL = {
   SELECT l_suppkey AS company_id, l_shipdate::DATE AS day,
          floor(sum(floor(l_extendedprice * 100.0 + 0.5)) / sum(l_quantity) + 0.5) AS close,
          max(floor(l_extendedprice * 100.0 / l_quantity + 0.5)) AS high, min(floor(l_extendedprice * 100.0 / l_quantity + 0.5)) AS low,
+         min_by(floor(l_extendedprice * 100.0 / l_quantity + 0.5), (l_orderkey, l_linenumber, floor(l_extendedprice * 100.0 / l_quantity + 0.5))) AS first,
+         max_by(floor(l_extendedprice * 100.0 / l_quantity + 0.5), (l_orderkey, l_linenumber, floor(l_extendedprice * 100.0 / l_quantity + 0.5))) AS last,
          sum(floor(l_extendedprice * 100.0 + 0.5)) AS trade_value, sum(l_quantity) AS volume, count(*) AS trade_count
   FROM lineitem GROUP BY 1, 2""",
     "valuation": """

@@ -1,12 +1,14 @@
 """Column functions and operators on literal rows."""
 
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import calendar, numeric, text
-from quantloom.operators import asof, corporate, html, ranking, resolve, state
+from quantloom.operators import asof, corporate, html, ranking, state
 
 
 def one(spark, column, **values):
@@ -85,20 +87,93 @@ def test_merges_are_idempotent(spark):
     assert sorted((r["k"], r["w"]) for r in ids.collect()) == [(3, "p"), (4, "q")]
 
 
-def test_back_adjustment_rounds_each_event(spark):
-    prices = spark.sql("""SELECT 1 AS company_id, day, close FROM VALUES (DATE'2020-01-01', 1001.0D), (DATE'2020-01-02', 701.0D), (DATE'2020-01-03', 455.0D), (DATE'2020-01-04', 455.0D) AS t(day, close)""")
-    events = corporate.find_events(prices)
-    assert [(str(r["day"]), round(r["factor"], 4)) for r in events.orderBy("day").collect()] == [("2020-01-02", 0.7003), ("2020-01-03", 0.6491)]
-    out = corporate.back_adjust(prices, events).orderBy("day").collect()
-    assert [r["adjusted"] for r in out] == [455.0, 455.0, 455.0, 455.0]
+def price_rows(spark, closes, start=datetime.date(2020, 1, 1)):
+    """Rows of one company; a close is a number, or a number and the days since the row before."""
+    rows, day = [], start
+    for c in closes:
+        close, gap = c if isinstance(c, tuple) else (c, 1)
+        day += datetime.timedelta(days=gap)
+        rows.append((1, day, close))
+    return spark.createDataFrame(rows, "company_id int, day date, close double")
+
+
+@pytest.mark.parametrize(("closes", "want"), [
+    ([100.0, 150.0], [1]), ([100.0, 70.0], [1]), ([100.0, 88.0], []), ([100.0, 87.9], [1]), ([100.0, 112.1], [1]), ([100.0, 112.0], []),
+    ([100.0, 0.0, 90.0], [1]), ([100.0, None, 50.0], []), ([None, 100.0, 99.0], []), ([100.0, (119.0, 4)], []), ([100.0, (130.0, 4)], [1]),
+    ([100.0, (140.0, 90)], []), ([100.0, (143.0, 90)], [1]), ([100.0], []), ([], [])])
+def test_corporate_events(spark, closes, want):
+    """Both ways, beyond 12 % and beyond 6 % a trading day of the gap, six days at most."""
+    days = [r["day"] for r in price_rows(spark, closes).orderBy("day").collect()]
+    got = corporate.find_events(price_rows(spark, closes)).collect()
+    assert sorted(r["day"] for r in got) == [days[k] for k in want]
+
 
+def test_events_among_the_latest_rows(spark):
+    prices = price_rows(spark, [100.0, 50.0, 50.0, 80.0, 80.0])
+    assert corporate.find_events(prices).count() == 2 and corporate.find_events(prices, last=2).count() == 1
 
-def test_resolution_cascade(spark):
-    known = spark.sql("SELECT * FROM VALUES (1, 'alpha beta'), (2, 'gamma delta epsilon zeta'), (3, 'omega') AS t(company_id, company_name)")
-    names = spark.sql("SELECT * FROM VALUES (1, 'Alpha  Beta'), (2, 'alpha beta holding'), (3, 'zeta epsilon delta gamma'), (4, 'omega one'), (5, 'boss') AS t(name_id, name)")
-    over = spark.sql("SELECT 'boss' AS name, 3 AS company_id")
-    got = {r["name_id"]: (r["company_id"], r["how"]) for r in resolve.resolve(names, known, over).collect()}
-    assert got == {1: (1, "exact"), 2: (1, "contains"), 3: (2, "jaccard"), 5: (3, "override")}
+
+def test_back_adjustment_rounds_each_event(spark):
+    prices = price_rows(spark, [1001.0, 701.0, 455.0, 455.0]).withColumns({"low": F.col("close") - 1, "yesterday": F.lit(7.0)})
+    out = corporate.back_adjust(prices, columns=("close", "low", "yesterday")).orderBy("day").collect()
+    assert [r["close"] for r in out] == [455.0] * 4 and [r["yesterday"] for r in out] == [None, 455.0, 455.0, 455.0]
+    assert [r["low"] for r in out] == [round(round(1000 * 701 / 1001) * 455 / 701), round(700 * 455 / 701), 454.0, 454.0]
+    out = corporate.back_adjust(price_rows(spark, [5.0, 0.0, None, 4.0, 2.0]).withColumn("yesterday", F.lit(9.0)), columns=("close", "yesterday")).orderBy("day").collect()
+    assert [r["close"] for r in out] == [2.0, 0.0, None, 2.0, 2.0]  # 5 * 0.5 is half way to 3, and 2 is even
+    assert [r["yesterday"] for r in out] == [None, 2.0, 4.0, None, 2.0]
+    quiet = price_rows(spark, [100.0, 101.0]).withColumn("yesterday", F.lit(9.0))
+    assert [r["yesterday"] for r in corporate.back_adjust(quiet, columns=("close", "yesterday")).collect()] == [9.0, 9.0]
+
+
+def test_price_index_keeps_every_day(spark):
+    rows = [(1, datetime.date(2020, 1, k + 1), c, f) for k, (c, f) in enumerate([(100.0, 100.0), (160.0, 150.0), (80.0, 75.0), (40.0, None), (0.0, 38.0), (10.0, 9.0)])]
+    out = corporate.price_index(spark.createDataFrame(rows, "company_id int, day date, close double, first double")).orderBy("day").collect()
+    assert [round(r["day_return"], 6) for r in out] == [0.0, 0.6, round(80 / 75 - 1, 6), 0.0, -1.0, 0.0]
+    assert out[1]["log_index"] == pytest.approx(math.log(1.6)) and out[5]["log_index"] == -math.inf
+
+
+def test_resolve_reaches_each_stage(spark):
+    from quantloom.operators.resolve import resolve
+
+    md5 = "0123456789abcdef0123456789ABCDEF"
+    known = [("1", "gamma delta"), ("2", "شركت ابزار سازی"), ("3", "فولاد"), ("4", "one two three four"), ("5", "alpha beta"), ("6", "alpha beta"), ("7", None)]
+    names = [(1, "s1", "x"), (2, "s2", "y"), (3, "z", "شرکت ابزار‌ سازی "), (4, "فولاد", "q"), (5, "stored", "w"), (6, "n", "xgamma deltay"),
+             (7, "n", "two three four one five"), (8, "n", "one two nine ten"), (9, None, None), (10, "n", "alpha beta"), (11, "n", "gamma"), (12, "s3", "alpha beta"),
+             (13, "n", "gamma-delta (شرکت)")]
+    got = resolve(spark.createDataFrame(names, "name_id int, symbol string, name string"), spark.createDataFrame(known, "company_id string, company_name string"),
+                  spark.createDataFrame([("s1", md5), ("s2", "شرکت ابزار سازی"), ("s3", "nobody")], "symbol string, value string"),
+                  spark.createDataFrame([("stored", "5"), (None, "1"), ("n", None)], "symbol string, company_id string"))
+    assert {r["name_id"]: (r["company_id"], r["how"]) for r in got.collect()} == {
+        1: (md5, "override(id)"), 2: ("2", "override(name)"), 3: ("2", "exact-name"), 4: ("3", "symbol-equals-name"), 5: ("5", "stored-symbol"), 6: ("1", "containment"),
+        7: ("4", "fuzzy"), 10: ("5", "exact-name"), 12: ("5", "exact-name"), 13: ("1", "containment")}
+
+
+def test_similar_and_contained_pairs_are_those_of_brute_force(spark):
+    from quantloom.operators.resolve import contained_pairs, similar_pairs
+
+    rnd = random.Random(1)
+    sets = lambda n: [(k, [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 7))]) for k in range(n)]
+    left, right = sets(60), sets(80)
+    for least in (0.4, 0.75, 1.0):
+        want = {(a, b) for a, x in left for b, y in right if x and y and len(set(x) & set(y)) >= least * len(set(x) | set(y))}
+        got = similar_pairs(spark.createDataFrame(left, "a int, words array<string>"), spark.createDataFrame(right, "b int, words array<string>"), least).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    texts = lambda n, m: [(k, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, m)))) for k in range(n)]
+    inner, outer = texts(60, 7), texts(60, 12)
+    for n, small in ((5, 5), (3, 1)):
+        want = {(a, b) for a, x in inner for b, y in outer if len(x) >= small and x in y}
+        got = contained_pairs(spark.createDataFrame(inner, "a int, text string"), spark.createDataFrame(outer, "b int, text string"), n, small).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
+def test_symbol_search(spark):
+    from quantloom.operators.resolve import search
+
+    listed = spark.createDataFrame([(1, "ABC", "first metal works"), (2, "K", "second metal works"), (3, "XYZW", "third big company"), (4, None, "ABC")], "item_id int, symbol string, name string")
+    asked = [(1, "ABC"), (2, "second metal works"), (3, "XYZ"), (4, "aKa"), (5, "metal"), (6, "met"), (7, "third big one"), (8, "nothing"), (9, None), (10, "works metal x")]
+    got = search(spark.createDataFrame(asked, "query_id int, text string"), listed)
+    assert {r["query_id"]: (r["item_id"], r["how"]) for r in got.collect()} == {
+        1: (1, "exact"), 2: (2, "exact"), 3: (3, "substring"), 4: (2, "substring"), 5: (1, "substring"), 7: (3, "fuzzy"), 10: (1, "fuzzy")}
 
 
 def test_jaccard_threshold(spark):
@@ -116,6 +191,52 @@ def test_html_grid(spark):
     assert grid == {(0, 0): "a", (0, 1): "b", (0, 2): "b", (1, 0): "a", (1, 1): "c", (1, 2): "d", (2, 0): "1", (2, 1): "2", (2, 2): "3 4"}
 
 
+@pytest.mark.parametrize(("x", "digits", "want"), [(-2.5, 0, -3.0), (2.5, 0, 3.0), (-0.125, 2, -0.13), (1.005, 2, 1.0), (0.0, 2, 0.0)])
+def test_round_away_from_zero(spark, x, digits, want):
+    assert one(spark, numeric.round_away(F.lit(x), digits)) == want
+
+
+@pytest.mark.parametrize(("op", "revenue", "eps", "net", "want"), [
+    (5.0, 1e6, 10.0, 2000.0, 1000.0), (5000.0, 1e6, 10.0, 2000.0, 5000.0), (5.0, None, 10.0, 2000.0, 1000.0), (0.4, None, 10.0, 2000.0, 0.4),
+    (150.0, None, 10.0, 2000.0, 150.0), (5.0, 0.0, 10.0, 2000.0, 1000.0), (5.0, 1e6, -1.0, 2000.0, 5.0), (None, 1.0, 1.0, 1.0, None)])
+def test_operating_amount(spark, op, revenue, eps, net, want):
+    cols = [F.lit(x).cast("double") for x in (op, revenue, eps, net)]
+    assert one(spark, numeric.operating_amount(*cols)) == want
+
+
+def test_updates_write_nulls_and_hashes_do_not_collide(spark):
+    old = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k int, x string, y string")
+    new = spark.createDataFrame([(1, None)], "k int, x string")
+    assert sorted(map(tuple, state.update_by_key(old, new, ["k"], ["x"]).collect())) == [(1, None, "b"), (2, "c", "d")]
+    rows = spark.createDataFrame([("x|=y", "z"), ("x", "y|=z"), (None, "z"), ("", "z")], "a string, b string")
+    assert rows.select(state.content_hash("a", "b").alias("h")).distinct().count() == 4
+
+
+def test_running_sums_by_ranges(spark):
+    rows = spark.createDataFrame([(k % 3, k % 17, k) for k in range(400)], "g int, o int, v long")
+    got = ranking.with_running(rows, ["g"], [F.col("o").asc(), F.col("v").asc()], F.col("v"), "before", "whole").collect()
+    for r in got:
+        group = sorted((x % 17, x) for x in range(400) if x % 3 == r["g"])
+        assert r["before"] == sum(v for o, v in group if (o, v) < (r["o"], r["v"])) and r["whole"] == sum(v for _, v in group)
+    assert len(got) == 400 and ranking.with_running(rows.limit(0), ["g"], [F.col("o").asc()], F.col("v")).count() == 0
+
+
+def test_identifiers_units_and_links(spark):
+    say = lambda f, *xs: [one(spark, f(F.lit(x).cast("string"))) for x in xs]
+    assert say(text.is_identifier, "a_1", "1a", "a-b", None) == [True, False, False, False]
+    assert say(text.is_md5, "0" * 32, "F" * 32, "g" * 32, None) == [True, True, False, False]
+    assert say(text.currency_unit, "مبالغ به میلیون ريال", "هزار ریال", "ریال", "دلار", None) == ["million_rial", "thousand_rial", "rial", "unknown", "unknown"]
+    join = lambda b, x: one(spark, text.url_join(F.lit(b), F.lit(x)))
+    base = "https://a.example/b/c.html?q=1"
+    assert [join(base, x) for x in ("d", "/e", "//f/g", "http://h/", "?i=2")] == [
+        "https://a.example/b/d", "https://a.example/e", "https://f/g", "http://h/", "https://a.example/b/c.html?i=2"]
+    page = lambda u, k: one(spark, text.with_page(F.lit(u), F.lit(k)))
+    assert page("http://x/y?a=1&PageNumber=3&b=2", 7) == "http://x/y?a=1&PageNumber=7&b=2" and page("http://x/y", 2) == "http://x/y?PageNumber=2"
+    assert one(spark, text.percent_text(F.lit(2.5))) == "+2.5%" and one(spark, text.percent_text(F.lit(None).cast("double"))) == "–"
+    with pytest.raises(Exception, match="empty"):
+        one(spark, text.normalize_company_name(F.lit(" \u200c ")))
+
+
 def test_csv_and_compact(spark):
     assert one(spark, text.csv_text(F.lit('a "b"\nc'))) == "a 'b' c" and one(spark, text.compact_number(F.lit(2.5e6))) == "2.5M"
     assert one(spark, text.url_parameter(F.lit("http://x/y?a=1&i=77"), "i")) == "77"
