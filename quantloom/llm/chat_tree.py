@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import join_split, materialize, small_batches, table, worker_state
+from quantloom.llm.common import join_split, materialize, running, small_batches, table, worker_state
 
 #: The template's control strings, fixed values.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -150,20 +150,6 @@ def _with_paths(rows: DataFrame) -> DataFrame:
         task, "node string, depth long, path array<struct<up:bigint,run:string>>, taken array<bigint>, inside long")
 
 
-def _numbered(paths: DataFrame) -> DataFrame:
-    """paths (with n_tokens) with start and stop, the places of each node's tokens in the order of path and inside."""
-    order = [F.col("path").asc(), F.col("inside").asc()]
-    laid = materialize(paths.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "chat-order")
-    sums = laid.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).collect()  # a row a partition
-    before, total = [], 0
-    for part, tokens in sorted(sums):
-        before.append((part, total))
-        total += tokens
-    offsets = laid.sparkSession.createDataFrame(before, "part int, before long")
-    stop = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("part").orderBy("path", "inside"))
-    return laid.join(F.broadcast(offsets), "part").withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n_tokens")).drop("part", "before")
-
-
 def _pages(nodes: DataFrame) -> DataFrame:
     """The emitted sequence, cut into pages of PAGE tokens: page, ids, loss."""
     names, kinds = ["page", "at", "ids", "loss"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
@@ -218,7 +204,8 @@ def build_tree(turns: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn
     walked = join_split(placed.select("conv", "at", "node"), heads, ["node"], ["conv"])
     paths = _with_paths(walked.withColumn("stands", F.col("first") == F.col("conv")))
     paths = materialize(paths, "chat-paths").join(merged.select("node", "n_tokens"), "node").withColumn("run", F.element_at("path", -1)["run"])
-    laid = materialize(_numbered(paths), "chat-places")
+    laid = running(paths, [F.col("path").asc(), F.col("inside").asc()], {"start": "n_tokens"}, "chat-order")
+    laid = materialize(laid.withColumn("stop", F.col("start") + F.col("n_tokens")), "chat-places")
 
     runs = materialize(laid.groupBy("run").agg(F.min("path").alias("path"), F.min("taken").alias("taken"), F.min("start").alias("s"), F.sum("n_tokens").alias("own")), "chat-runs")
     whole = runs.select("own", F.explode("path.run").alias("run")).groupBy("run").agg(F.sum("own").alias("whole"))

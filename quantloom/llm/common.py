@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and tab to carriage return.
@@ -96,6 +96,29 @@ def join_split(many: DataFrame, one: DataFrame, keys: Sequence[str], deal: Seque
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def running(df: DataFrame, order: Sequence[Column], sums: dict[str, str | Column], name: str) -> DataFrame:
+    """df with, for each item of sums, a column by its name: the sum of its expression over all rows before in order.
+
+    Rows are dealt by ranges of order and written; each range's totals, a row a partition, pass through the driver, and
+    no task holds more than its range. Rows that tie keep the order that they were written in. df has few columns.
+    """
+    cast = lambda n, x: F.coalesce(x if isinstance(x, Column) else F.col(x), F.lit(0)).alias(f"__{n}")
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = materialize(cut.select("*", *(cast(n, x) for n, x in sums.items()), F.monotonically_increasing_id().alias("__at")), name)
+    laid = laid.withColumn("__part", F.shiftright("__at", 33))
+    totals = sorted(laid.groupBy("__part").agg(*(F.sum(f"__{n}").alias(n) for n in sums)).collect())
+    before, so_far = [], [type(x)() for x in totals[0][1:]] if totals else []
+    for part, *own in totals:
+        before.append((part, *so_far))
+        so_far = [a + b for a, b in zip(so_far, own)]
+    kinds = ", ".join(f"__b_{n} {laid.schema[f'__{n}'].dataType.simpleString()}" for n in sums)
+    offsets = df.sparkSession.createDataFrame(before, f"__part long, {kinds}")
+    upto = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    found = laid.join(F.broadcast(offsets), "__part").select(
+        *df.columns, *((F.col(f"__b_{n}") + F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0))).alias(n) for n in sums))
+    return found
+
+
 _state: dict = {}
 
 

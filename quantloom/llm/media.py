@@ -18,22 +18,32 @@ from quantloom.llm.common import materialize, small_batches, table
 
 ROW_BYTES = 192
 TAIL_BYTES = 16
+TILE_SIDE = 32
 
 
 def _netpbm_fields(data: bytes, count: int) -> tuple[list[int], int]:
     """The header's numbers after the magic, and where the samples begin; # starts a comment."""
     fields, at = [], 2
     while len(fields) < count:
-        m = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)").match(data, at)
+        m = re.compile(rb"(?:\s|#[^\n]*\n)*(\d{1,9})(?!\d)").match(data, at)
         if not m:
-            raise ValueError("Netpbm: a header number is missing")
+            raise ValueError("Netpbm: a header number is missing or out of range")
         fields.append(int(m[1]))
         at = m.end()
     return fields, at + 1
 
 
+def _samples(data: bytes, kind, count: int, at: int) -> np.ndarray:
+    """count samples from byte at on, after a look whether so many are there."""
+    if count <= 0 or at < 0 or count * np.dtype(kind).itemsize > len(data) - at:
+        raise ValueError("the header asks for more samples than there are, or for none")
+    return np.frombuffer(data, kind, count, at)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as an array (height, width, channels); P1 and P4 give 0 for black and 255 for white."""
+    """P1 to P6 as an array (height, width, channels) of 8 or, for maxima over 255, 16 bits, the maximum at the type's own.
+
+    P1 and P4 give 0 for black and 255 for white."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -41,16 +51,26 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     fields, at = _netpbm_fields(data, 2 if bitmap else 3)
     width, height, top = fields[0], fields[1], 1 if bitmap else fields[2]
     n = width * height * channels
+    if not 0 < top < 65536:
+        raise ValueError("Netpbm: the greatest sample is out of range")
     if kind == b"P4":
-        packed = np.frombuffer(data, np.uint8, -(-width // 8) * height, at).reshape(height, -1)
+        packed = _samples(data, np.uint8, -(-width // 8) * height, at).reshape(height, -1)
         samples = np.unpackbits(packed, axis=1)[:, :width]
     elif kind in (b"P5", b"P6"):
-        samples = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at)
+        samples = _samples(data, np.uint8 if top < 256 else ">u2", n, at)
     else:
-        plain = re.sub(rb"#[^\n]*", b"", data[at - 1:])
-        samples = np.array(re.findall(rb"[01]" if bitmap else rb"\d+", plain)[:n], dtype=np.int64)
+        found = re.findall(rb"[01]" if bitmap else rb"\d+", re.sub(rb"#[^\n]*", b"", data[at - 1:]))
+        if not 0 < n <= len(found):
+            raise ValueError("Netpbm: samples are missing")
+        samples = np.array([int(x[:6]) for x in found[:n]])
     samples = samples.reshape(height, width, channels)
-    return ((1 - samples) * 255).astype(np.uint8) if bitmap else samples.astype(np.uint8 if top < 256 else np.uint16)
+    if bitmap:
+        return ((1 - samples) * 255).astype(np.uint8)
+    if samples.max() > top:
+        raise ValueError("Netpbm: a sample is over the maximum")
+    full = 255 if top < 256 else 65535
+    samples = samples if top == full else (samples.astype(np.int64) * full + top // 2) // top
+    return samples.astype(np.uint8 if top < 256 else np.uint16)
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -59,19 +79,36 @@ def encode_ppm(pixels: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits a pixel as an array (height, width, 3), red first."""
+    """Uncompressed BMP of 8 (palette), 16, 24 or 32 bits a pixel, with bit fields too, as an array (height, width, 3),
+    red first."""
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     offset, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if bits not in (8, 24, 32) or packing not in (0, 3):
+    if header < 40 or bits not in (8, 16, 24, 32) or packing not in (0, 3) or (packing == 3 and bits not in (16, 32)):
         raise ValueError(f"BMP with {bits} bits a pixel and compression {packing} is not supported")
+    if width <= 0 or height == 0:
+        raise ValueError("BMP without pixels")
     stride = (width * bits // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)
+    rows = _samples(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
-        palette = np.frombuffer(data, np.uint8, offset - 14 - header, 14 + header).reshape(-1, 4)
-        return palette[rows[:, :width], 2::-1]
-    return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+        palette = _samples(data, np.uint8, (offset - 14 - header) // 4 * 4, 14 + header).reshape(-1, 4)
+        places = rows[:, :width]
+        if places.max() >= len(palette):
+            raise ValueError("BMP: a pixel is outside the palette")
+        return palette[places, 2::-1]
+    if bits == 24 or (bits == 32 and packing == 0):
+        return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+    masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)  # red, green, blue
+    pixels = np.ascontiguousarray(rows[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+    out = np.empty((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        if not mask:
+            raise ValueError("BMP: a bit field is empty")
+        low = (mask & -mask).bit_length() - 1
+        top = mask >> low
+        out[:, :, k] = (((pixels & mask) >> low) * 255 + top // 2) // top
+    return out
 
 
 def encode_bmp(pixels: np.ndarray) -> bytes:
@@ -104,7 +141,8 @@ def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def to_gray(pixels: np.ndarray) -> np.ndarray:
-    return pixels.mean(axis=2)
+    """The channels' mean, from 0 to 255 also for samples of 16 bits."""
+    return pixels.mean(axis=2) / (257 if pixels.dtype == np.uint16 else 1)
 
 
 def difference_hash(gray: np.ndarray) -> str:
@@ -119,22 +157,27 @@ def npy_tile(gray: np.ndarray, side: int) -> bytes:
     return out.getvalue()
 
 
-def text_to_ppm(text: str | None) -> tuple[int, bytes]:
-    """UTF-8 bytes, padded with spaces to a positive multiple of 192, as the samples of a 64 pixel wide PPM."""
+def text_to_media(text: str | None) -> tuple[int, bytes]:
+    """UTF-8 bytes, padded with spaces to a positive multiple of 192, as the samples of a picture 64 pixels wide: a PPM
+    where the rows are even in number, else a BMP."""
     raw = (text or "").encode()
     rows = max(1, -(-len(raw) // ROW_BYTES))
-    payload = raw.ljust(rows * ROW_BYTES, b" ")
-    return len(raw), b"P6\n64 %d\n255\n" % rows + payload
+    pixels = np.frombuffer(raw.ljust(rows * ROW_BYTES, b" "), np.uint8).reshape(rows, ROW_BYTES // 3, 3)
+    return len(raw), encode_bmp(pixels) if rows % 2 else encode_ppm(pixels)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A media column: one PPM a document, with the id and the length before padding. Null text counts as empty."""
+    """Rows doc_id, n_bytes, media: one picture a document, with the id and the length before padding.
+
+    Null text counts as empty, null ids stay null, repeated rows come out repeated, equal texts give equal pictures; other
+    columns of docs are left out; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [text_to_ppm(t) for t in batch.column(1).to_pylist()]
+            made = [text_to_media(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())],
                 ["doc_id", "n_bytes", "media"])
@@ -142,9 +185,14 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(task, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, tile_side: int | None = None) -> DataFrame:
+def media_features(media: DataFrame, tile_side: int | None = TILE_SIDE) -> DataFrame:
     """Decode each row of (doc_id, n_bytes, media): digests of samples and stored bytes, a difference hash, and an NPY
-    tile where tile_side is given. A null or malformed medium gives nulls, equal media equal values."""
+    tile of tile_side by tile_side grey samples, left out where that is None.
+
+    A null or malformed medium gives nulls in all of these, equal media give equal values. Null ids and repeated rows come
+    out as they are, other columns of media are left out, an empty table gives no rows.
+    """
+    small_batches(media.sparkSession)
     columns = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
                "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "tile": pa.binary()}
     names = [c for c in columns if c != "tile" or tile_side]
@@ -171,5 +219,7 @@ def media_features(media: DataFrame, tile_side: int | None = None) -> DataFrame:
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the length and digest of each NPY tile."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_features(materialize(store_texts(docs), "media"))
+    rows = media_features(materialize(store_texts(docs), "media"))
+    return rows.withColumns({"tile_bytes": F.octet_length("tile").cast("long"), "tile_sha256": F.sha2("tile", 256)}).drop("tile")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WORD, table
+from quantloom.llm.common import WORD, materialize, running, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -15,40 +15,42 @@ BUCKET_ROWS = 50_000
 BROADCAST_ROWS = 100_000
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], total: int, cap: float = CAP) -> list[float]:
-    """Share total by weight; what exceeds cap times a size goes to the others by weight, until none is above."""
-    caps = [cap * s for s in sizes]
-    order = sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i))
-    left, weight = total, sum(weights)
-    out = [0.0] * len(sizes)
-    for at, i in enumerate(order):
-        if caps[i] / weights[i] >= left / weight:
-            for j in order[at:]:
-                out[j] = min(left / weight * weights[j], float(caps[j]))
-            break
-        out[i] = float(caps[i])
-        left, weight = left - caps[i], weight - weights[i]
-    return out
-
-
-def _hex_number(text: Column) -> Column:
+def _fraction(text: Column) -> Column:
     """The first 24 bits of a text's MD5."""
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, bucket_rows: int = BUCKET_ROWS,
+def water_fill(sources: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """sources (key, size, n) with target: all sizes shared by weight; what exceeds cap times a size goes to the others by
+    weight, until none is above.
+
+    Weights repeat along the keys in order, "null" last. Up to some source, in order of cap over weight, all are full;
+    beyond it they share what is left. Running sums over the sources, which may be many, find where.
+    """
+    placed = running(sources, [(F.col("key") == "null").asc(), F.col("key").asc()], {"i": F.lit(1).cast("long")}, "mix-sources")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("i") % len(weights) + 1).cast("int"))
+    placed = placed.withColumn("weight", weight).withColumn("cap", F.col("size").cast("double") * cap)
+    placed = running(placed, [(F.col("cap") / F.col("weight")).asc(), F.col("i").asc()], {"caps": "cap", "weights": "weight", "pos": F.lit(1).cast("long")}, "mix-caps")
+    whole = placed.agg(F.sum("size").cast("double").alias("total"), F.sum("weight").alias("all"))
+    share = (F.col("total") - F.col("caps")) / (F.col("all") - F.col("weights"))
+    level = placed.crossJoin(F.broadcast(whole)).filter(F.col("cap") / F.col("weight") >= share).agg(F.min_by(share, "pos").alias("level"))
+    return placed.crossJoin(F.broadcast(level)).select("key", "size", "n", F.least(F.col("level") * F.col("weight"), F.col("cap")).alias("target"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, seed: str = "",
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Return docs with mix_size, mix_source_size, mix_target and mix_copies.
 
     Every document of a source has the same expected copies, target over source size. Their prefix sums run in a fixed
-    order, and a document is taken once for each whole number that its step crosses after one offset per source is
-    added. A source is cut into buckets of about bucket_rows by a hash of the id, so a source that holds a third of all
-    rows is many window groups; bucket totals carry the prefix sum on. Within a bucket the order is by size, downwards,
-    with every second stretch of one step's length turned round (balanced systematic sampling), so that long documents
-    are taken in proportion whatever the offset.
-
-    Null text: size 0. Null source: a source of its own, sorted last. Null ids share a bucket. Repeated rows count one by
-    one. Columns of docs by the new names are replaced. An empty table gives no rows. The per-source totals, one row a source, pass through the driver.
+    order, and a document is taken once for each whole number that its step crosses after one offset per source, drawn
+    by the seed and the source's name, is added. A source is cut into buckets of about bucket_rows by a hash of id and
+    text, so a source that holds a third of all rows is many window groups; bucket totals carry the prefix sum on. Within
+    a bucket the order is by size, downwards, with every second stretch of one step's length turned round (balanced
+    systematic sampling), so that long documents are taken in proportion whatever the offset.
+
+    Null text: size 0. Null source: a source of its own, sorted last. Null ids come first among equal sizes. Repeated
+    rows count one by one; ties of size and id are in order of a hash of the text, so reruns agree. Columns of docs by
+    the new names are replaced. An empty table gives no rows. Sources, however many, are handled as a table.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     key, bucket = "__mix_source", "__mix_bucket"
@@ -57,23 +59,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
         "mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")),
         key: name,
     })
-    found = sized.groupBy(key).agg(F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    found = sorted(found, key=lambda r: (r[key] == "null", r[key]))
-    spark = docs.sparkSession
-    sizes = [r["size"] for r in found]
-    shares = [float(weights[i % len(weights)]) for i in range(len(found))]
-    targets = water_fill(sizes, shares, sum(sizes), cap) if sum(sizes) else [0.0] * len(found)
-    plan = spark.createDataFrame(
-        [(r[key], r["size"], t, t / r["size"] if r["size"] else 0.0, -(-r["n"] // bucket_rows)) for r, t in zip(found, targets)],
-        f"{key} string, mix_source_size long, mix_target double, __mix_rate double, __mix_buckets long",
-    )
-    plan = plan.withColumn("__mix_offset", _hex_number(F.col(key)) / F.lit(16777216.0))
-    dealt = sized.join(F.broadcast(plan) if len(found) <= BROADCAST_ROWS else plan, key).withColumn(
-        bucket, F.coalesce(_hex_number(F.col(id_col).cast("string")), F.lit(0)) % F.col("__mix_buckets"))
+    found = sized.groupBy(F.col(key).alias("key")).agg(F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    plan = water_fill(found, weights, cap).select(
+        F.col("key").alias(key), F.col("size").alias("mix_source_size"), F.col("target").alias("mix_target"),
+        F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("__mix_rate"), F.ceil(F.col("n") / bucket_rows).alias("__mix_buckets"),
+        (_fraction(F.concat(F.lit(seed), F.col("key"))) / F.lit(16777216.0)).alias("__mix_offset"))
+    plan = materialize(plan, "mix-plan")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    dealt = sized.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, key).withColumn(
+        bucket, _fraction(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)) % F.col("__mix_buckets"))
     counts = dealt.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__mix_rows"))
     before = counts.withColumn(
         "__mix_before", F.sum("__mix_rows").over(Window.partitionBy(key).orderBy(bucket)) - F.col("__mix_rows"))
-    at = F.row_number().over(Window.partitionBy(key, bucket).orderBy(F.desc("mix_size"), F.col(id_col).asc_nulls_first()))
+    at = F.row_number().over(Window.partitionBy(key, bucket).orderBy(F.desc("mix_size"), F.col(id_col).asc_nulls_first(), F.xxhash64(text)))
     rate = F.col("__mix_rate")
     fraction = rate - F.floor(rate)
     step = F.greatest(F.lit(1), F.when(fraction > 0, F.floor(1.0 / F.greatest(fraction, F.lit(1e-9)) + 0.5)).otherwise(1)).cast("long")
@@ -97,6 +95,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 6))::BIGINT AS dealt,
          coalesce('s:' || source, 'null') AS k
   FROM documents),
 src AS (
@@ -120,7 +119,7 @@ plan AS (
          ('0x' || substr(md5(k), 1, 6))::BIGINT / 16777216.0::DOUBLE AS shift
   FROM ranked, level),
 dealt AS (
-  SELECT s.doc_id, s.size, p.*, coalesce(('0x' || substr(md5(s.doc_id::VARCHAR), 1, 6))::BIGINT, 0) % p.buckets AS bucket
+  SELECT s.doc_id, s.size, p.*, s.dealt % p.buckets AS bucket
   FROM sized s JOIN plan p USING (k)),
 ranked_docs AS (
   SELECT *, row_number() OVER (PARTITION BY k, bucket ORDER BY size DESC, doc_id NULLS FIRST) - 1 AS r,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import materialize, small_batches, table, text_key
+from quantloom.llm.common import join_split, materialize, small_batches, table, text_key
 
 LENGTH = 200
 GRAM = 50
@@ -263,12 +263,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     found = materialize(find_stretches(docs, length, gram), "repeat-stretches")
     common = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("many"), (F.min("content") != F.max("content")).alias("varied")).filter("many > 1").drop("many")
-    shared = materialize(found.join(common, "anchor"), "repeat-shared")
+    shared = materialize(join_split(found, common, ["anchor"], ["k1", "k2", "start"]).select(*found.columns, "varied"), "repeat-shared")
     plain = shared.filter(~F.col("varied")).select("k1", "k2", "start", "n")
     varied = shared.filter("varied")
     at = F.struct("k1", "k2", "start", "n", "off")
     contents = materialize(varied.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("at")), "repeat-contents")
-    copied = varied.join(contents.filter("many > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    copied = join_split(varied, contents.filter("many > 1").select("anchor", "content"), ["anchor", "content"], ["k1", "k2", "start"])
     heavy = contents.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor")
 
     wanted = contents.groupBy("at.k1", "at.k2").agg(F.collect_list(

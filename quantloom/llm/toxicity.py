@@ -85,29 +85,33 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES, grades: int = GRADES,
-          id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
-    """Fit on a bounded sample: the train_rows labelled documents whose ids have the least hashes.
+          strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
+    """Fit on a bounded sample: the train_rows labelled ids of least hashes.
 
-    Severity comes from the labels in two steps. Words and word beginnings are weighed by how much more often documents
-    labelled toxic hold them (at least MIN_DOCS documents); the `features` strongest are kept, by log odds times the root
-    of the toxic documents that hold them, which has to reach STRENGTH. A document labelled 0 has
-    grade 0. Those labelled 1 are graded 1 to grades - 1 by how many features they hold, and how often, which toxic
-    documents hold ten times as often, cut at equal parts of that sample. What reaches the driver is the kept features
-    of the sample, train_rows documents at most.
+    Words and word beginnings are weighed by how much more often documents labelled toxic hold them (at least MIN_DOCS
+    documents); the `features` strongest are kept, by log odds times the root of the toxic documents that hold them,
+    which has to reach strength. Labels say toxic or not; how severe is how much abusive wording a toxic document holds.
+    A document labelled 0 has grade 0. For those labelled 1 the sample is cut in two by a hash of the id; features that
+    toxic documents of the one half hold ten times as often are counted in the other half's documents, so none is graded
+    by features that its own label helped to find, and the counts, cut at equal parts, are grades 1 to grades - 1. What
+    reaches the driver is the kept features of the sample.
 
     Labels that are null or rows whose id is null take no part; an id labelled more than once counts as toxic if any
-    label says so. Without toxic or without clean labels the model predicts grade 0 for all.
+    label says so. Documents that share a labelled id are rows of the sample each, with that label. Null and empty texts
+    have no features. Without toxic or without clean labels, or without a feature that is strong enough, the model
+    predicts grade 0 for all. Other columns of both tables are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     marked = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).dropna()
     marked = marked.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(train_rows)
+    marked = marked.withColumn("half", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body in batch.column(1).to_pylist():
+            for body in batch.column(0).to_pylist():
                 found: dict[str, int] = {}
                 for word in words_of(body):
                     for feature in word_features(word):
@@ -115,33 +119,40 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
                 out.append((list(found), list(found.values())))
             cols = list(zip(*out)) or [[], []]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.int32())), batch.column(2)],
-                ["id", "feature", "count", "toxic"])
-
-    sample = texts.join(F.broadcast(marked), "id").select("id", "text", "toxic")
-    sample = materialize(sample.mapInArrow(
-        count, "id long, feature array<string>, count array<int>, toxic int"), "toxicity-sample")
-    totals = dict(sample.groupBy("toxic").count().collect())
-    if not totals.get(1) or not totals.get(0):
+                [pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.int32())), batch.column(1), batch.column(2)],
+                ["feature", "count", "toxic", "half"])
+
+    sample = texts.join(F.broadcast(marked), "id").select("text", "toxic", "half")
+    sample = sample.mapInArrow(count, "feature array<string>, count array<int>, toxic int, half int")
+    sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    totals = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}  # four rows
+    bad, good = ([totals.get((k, h), 0) for h in (0, 1)] for k in (1, 0))
+    if not sum(bad) or not sum(good):
         return OrdinalModel({}, (20.0,))
-    flat = sample.select("id", "toxic", F.explode(F.arrays_zip("feature", "count")).alias("f")).select(
-        "id", "toxic", F.col("f.feature").alias("feature"), F.col("f.count").alias("count"))
-    rates = flat.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).filter(F.col("n") >= MIN_DOCS)
-    odds = F.log(((F.col("bad") + 0.5) / totals[1]) / ((F.col("n") - F.col("bad") + 0.5) / totals[0]))
-    strength = F.col("odds") * F.sqrt("bad")
-    kept = rates.withColumn("odds", odds).filter(strength >= STRENGTH).orderBy(F.desc(strength), "feature").limit(features).select("feature", "odds").collect()
+    flat = sample.select("row", "toxic", "half", F.explode(F.arrays_zip("feature", "count")).alias("f")).select(
+        "row", "toxic", "half", F.col("f.feature").alias("feature"), F.col("f.count").alias("count"))
+    rates = flat.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"), F.sum("half").alias("n1"), F.sum(F.col("toxic") * F.col("half")).alias("bad1"))
+    rates = rates.filter(F.col("n") >= MIN_DOCS)
+    odds = lambda bad_n, n, bads, goods: F.log(((bad_n + 0.5) / (bads + 0.5)) / ((n - bad_n + 0.5) / (goods + 0.5)))
+    c = F.col
+    rates = rates.withColumns({
+        "odds": odds(c("bad"), c("n"), sum(bad), sum(good)), "odds0": odds(c("bad") - c("bad1"), c("n") - c("n1"), bad[0], good[0]),
+        "odds1": odds(c("bad1"), c("n1"), bad[1], good[1])})
+    weight = c("odds") * F.sqrt("bad")
+    kept = rates.filter(weight >= strength).orderBy(F.desc(weight), "feature").limit(features).select("feature", "odds0", "odds1").collect()
     if not kept:
         return OrdinalModel({}, (20.0,))
     names = [r["feature"] for r in kept]
-    strong = np.array([r["odds"] for r in kept]) > np.log(10)
+    strong = np.array([[r["odds0"], r["odds1"]] for r in kept]) > np.log(10)
     place = spark.createDataFrame(list(zip(names, range(len(names)))), "feature string, j int")
-    hits = flat.join(F.broadcast(place), "feature").select("id", "j", "count").toPandas()
-    people = sample.select("id", "toxic").toPandas()
-    at = {d: i for i, d in enumerate(people["id"])}
-    rows = hits["id"].map(at).to_numpy(np.int64)
+    hits = flat.join(F.broadcast(place), "feature").select("row", "j", "count").toPandas()
+    people = sample.select("row", "toxic", "half").toPandas()
+    at = {d: i for i, d in enumerate(people["row"])}
+    rows = hits["row"].map(at).to_numpy(np.int64)
     cols, counts = hits["j"].to_numpy(np.int64), hits["count"].to_numpy(np.float64)
-    toxic = people["toxic"].to_numpy()
-    evidence = np.bincount(rows, feature_values(counts) * strong[cols], len(people))
+    toxic, half = people["toxic"].to_numpy(), people["half"].to_numpy()
+    evidence = np.bincount(rows, feature_values(counts) * strong[cols, 1 - half[rows]], len(people))
     cuts = np.quantile(evidence[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
     target = np.where(toxic == 1, 1 + (evidence[:, None] > cuts).sum(axis=1), 0)
     weights, thresholds = fit_ordinal(rows, cols, feature_values(counts), target, len(names))
@@ -177,7 +188,8 @@ class Scorer:
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with p_toxic (the chance of a grade over 0), severity (the expected grade) and grade (the likeliest).
 
-    Null texts count as empty and get what the thresholds alone say. Columns of docs by the new names are replaced.
+    Null and empty texts get what the thresholds alone say; equal texts get equal values; rows, null ids and repeats among
+    them, come out as they are. Columns of docs by the new names are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
