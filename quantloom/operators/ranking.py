@@ -54,8 +54,8 @@ def with_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], valu
     rows = []
     for r in sorted(sums, key=lambda r: r["__part"]):
         key = tuple(r[b] for b in by)
-        rows.append((r["__part"], *key, so_far.get(key, 0)))
-        so_far[key] = so_far.get(key, 0) + r["v"]
+        rows.append((r["__part"], *key, so_far.get(key, type(r["v"])())))
+        so_far[key] = rows[-1][-1] + r["v"]
     kind = laid.schema["__v"].dataType.simpleString()
     keys = "".join(f", {b} {laid.schema[b].dataType.simpleString()}" for b in by)
     ahead = df.sparkSession.createDataFrame([(*r, so_far[r[1:-1]]) for r in rows], f"__part long{keys}, __ahead {kind}, __total {kind}")
