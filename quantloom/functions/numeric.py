@@ -90,11 +90,43 @@ def ramp(x: Column, low: float, high: float, top: float) -> Column:
     return F.coalesce(clip((x - low) / (high - low) * top, 0.0, top), F.lit(0.0))
 
 
+def _plain(text: Column) -> Column:
+    """Digits of one kind, no separators, one kind of minus."""
+    plain = F.translate(F.trim(text), "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩٫−–—", "01234567890123456789.---")
+    return F.regexp_replace(plain, "[,٬،\\s\u00a0]", "")
+
+
 def to_number(text: Column) -> Column:
     """A number from report text: Persian and Arabic digits, separators, parentheses as minus; null for junk and dashes."""
-    plain = F.translate(F.trim(text), "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩٫", "01234567890123456789.")
-    plain = F.regexp_replace(plain, "[,٬،\\s]", "")
+    plain = _plain(text)
     minus = plain.rlike("^\\(.*\\)$")
     bare = F.regexp_replace(plain, "[()]", "")
     value = F.when(bare.rlike("^[-+]?[0-9]+(\\.[0-9]+)?$"), bare.cast("double"))
     return F.when(minus, -value).otherwise(value)
+
+
+def to_amount(text: Column, junk: float | None = 0.0) -> Column:
+    """A number from a statement's cell: letters and signs about it are left out, parentheses about all of it are a minus;
+    dashes, blanks, null and what is no number are junk."""
+    plain = _plain(text)
+    minus = plain.rlike("^\\([+-]?[0-9]+(\\.[0-9]+)?\\)$")
+    bare = F.regexp_replace(plain, "[^0-9.+-]", "")
+    bare = F.when(minus, F.concat(F.lit("-"), F.regexp_replace(bare, "[+-]", ""))).otherwise(bare)
+    value = F.when(bare.rlike("^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$"), bare.cast("double"))
+    return F.coalesce(value, F.lit(junk).cast("double"))
+
+
+def to_whole(text: Column) -> Column:
+    """The first number in a text, cut to a whole one, as a bigint; a leading minus or parentheses make it negative; else null."""
+    plain = _plain(text)
+    first = F.regexp_extract(F.regexp_replace(plain, "[()]", ""), "-?[0-9]+(?:\\.[0-9]+)?", 0)
+    value = F.nullif(first, F.lit("")).try_cast("decimal(38,6)").try_cast("bigint")
+    return F.when((plain.startswith("-") | plain.rlike("^\\(.*\\)$")) & (value > 0), -value).otherwise(value)
+
+
+def to_decimal(text: Column) -> Column:
+    """A decimal of four digits; parentheses make it negative, blanks, dashes and junk are null."""
+    plain = _plain(text)
+    bare = F.regexp_replace(plain, "[()]", "")
+    value = F.when(bare.rlike("^[-+]?[0-9]+(\\.[0-9]+)?$"), bare).try_cast("decimal(30,4)")
+    return F.when(plain.rlike("^\\(.*\\)$"), -value).otherwise(value)

@@ -9,19 +9,22 @@ from quantloom.functions import calendar
 from quantloom.functions.numeric import power_of_ten_ratio, ratio, round_half, to_number
 from quantloom.functions.text import company_key, normalize_text, tokens
 from quantloom.operators import state
-from quantloom.operators.html import HtmlTables, links
+from quantloom.operators.html import links
 from quantloom.operators.resolve import resolve, search, similar_pairs, tokens_for_match
 from quantloom.plans.registry import query
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
 
 
-@query("text_normalize", """
-SELECT doc_id, md5(trim(regexp_replace(replace(regexp_replace(translate(x, 'يىكۀةأإؤ۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', 'ییکههااو01234567890123456789'), chr(8204), '', 'g'), chr(160), ' '), '\\s+', ' ', 'g'))) AS company_id
-FROM (SELECT doc_id, '  شركت' || chr(8204) || ' نمونه ۱۲ ' || source AS x FROM documents)""")
+_TEXT_SQL = """trim(regexp_replace(regexp_replace(replace(translate({x}, 'يىكۀةأإؤ۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', 'ییکههااو01234567890123456789'), chr(160), ' '),
+  '[' || chr(8204) || chr(8205) || chr(8206) || chr(8207) || chr(8234) || '-' || chr(8238) || chr(8294) || '-' || chr(8297) || ']', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"""
+
+
+@query("text_normalize", f"SELECT doc_id, md5({_TEXT_SQL.format(x='text')}) AS text_md5, md5({_TEXT_SQL.format(x="'  شركت' || chr(8204) || ' نمونه ۱۲ ' || source")}) AS company_id FROM documents")
 def text_normalize(t: Tables) -> DataFrame:
+    """Each whole text in normal form, and a company's key from a name that isn't."""
     name = F.concat(F.lit("  شركت‌ نمونه ۱۲ "), F.col("source"))
-    return t("documents").select("doc_id", company_key(name).alias("company_id"))
+    return t("documents").select("doc_id", F.md5(normalize_text(F.col("text"))).alias("text_md5"), company_key(name).alias("company_id"))
 
 
 @query("number_parse", """
@@ -302,14 +305,3 @@ def eav_facts_pivot(t: Tables) -> DataFrame:
 SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1, 2""")
 def html_link_harvest(t: Tables) -> DataFrame:
     return t("pages").select("page_id", F.explode(links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("html_table_extract", """
-SELECT page_id, 0 AS table_no, r AS row_no, c AS col_no, CASE WHEN r = 0 THEN 'period' WHEN c = 0 THEN 'total' ELSE page_id::VARCHAR END AS cell
-FROM pages, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(r, c)""")
-def html_table_extract(t: Tables) -> DataFrame:
-    """A table with a spanning header and a hidden cell, put on each page, as rows."""
-    body = F.concat(F.lit("<table><tr><th colspan=2>period</th></tr><tr><td>total</td><td style='display: none'>x</td><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"))
-    pages = t("pages").select("page_id", body.alias("html"))
-    t.spark.udtf.register("html_tables", HtmlTables)
-    return t.spark.sql("SELECT p.page_id, h.table_no, h.row_no, h.col_no, h.cell FROM {pages} p, LATERAL html_tables(p.html) h", pages=pages)

@@ -84,15 +84,16 @@ def sales2_wow(t: Tables) -> DataFrame:
 
 @query("facts_explode", """
 SELECT c_custkey AS company_id, tag, unit, count(*) AS n, sum(val)::BIGINT AS total FROM (
-  SELECT c_custkey, 'Assets' AS tag, 'USD' AS unit, unnest([c_custkey, c_custkey * 2]) AS val FROM customer
-  UNION ALL SELECT c_custkey, 'Shares', 'shares', c_custkey + 1 FROM customer) GROUP BY 1, 2, 3""")
+  SELECT c_custkey, 'Assets' AS tag, 'USD' AS unit, unnest([floor(c_acctbal * 100.0 + 0.5)::BIGINT, c_nationkey::BIGINT]) AS val FROM customer
+  UNION ALL SELECT c_custkey, 'Shares', 'shares', length(c_mktsegment) FROM customer) GROUP BY 1, 2, 3""")
 def facts_explode(t: Tables) -> DataFrame:
     """Nested facts JSON, taxonomy to tag to unit to points, as rows; points without a value are skipped."""
-    k = F.col("c_custkey").cast("string")
-    point = lambda v: F.concat(F.lit('{"fy":2020,"val":'), v, F.lit("}"))
-    twice = (F.col("c_custkey") * 2).cast("string")
-    text = F.concat(F.lit('{"us":{"Assets":{"units":{"USD":['), point(k), F.lit(","), point(twice), F.lit(',{"fy":2021}]}},"Shares":{"units":{"shares":['),
-                    point((F.col("c_custkey") + 1).cast("string")), F.lit("]}}}}"))
+    point = lambda v: F.struct(F.lit(2020).alias("fy"), v.cast("bigint").alias("val"))
+    none = F.struct(F.lit(2021).alias("fy"), F.lit(None).cast("bigint").alias("val"))
+    assets = F.array(point(F.floor(F.col("c_acctbal") * 100.0 + 0.5)), point(F.col("c_nationkey")), none)
+    units = lambda unit, points: F.struct(F.create_map(F.lit(unit), points).alias("units"))
+    tags = F.create_map(F.lit("Assets"), units("USD", assets), F.lit("Shares"), units("shares", F.array(point(F.length("c_mktsegment")))))
+    text = F.to_json(F.create_map(F.lit("us"), tags))
     kind = "map<string,map<string,struct<units:map<string,array<struct<fy:int,val:bigint>>>>>>"
     rows = t("customer").select(F.col("c_custkey").alias("company_id"), F.from_json(text, kind).alias("facts"))
     rows = rows.select("company_id", F.explode("facts").alias("taxonomy", "tags")).select("company_id", F.explode("tags").alias("tag", "body"))

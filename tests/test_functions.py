@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import calendar, numeric, text
-from quantloom.operators import asof, corporate, html, ranking, state
+from quantloom.operators import asof, corporate, html, ranking, state, statements
+from quantloom.sources import files
 
 
 def one(spark, column, **values):
@@ -181,14 +182,71 @@ def test_jaccard_threshold(spark):
     assert one(spark, text.jaccard(sets("abc"), sets("abcd"))) == 0.75 and one(spark, text.jaccard(sets("abc"), F.array().cast("array<string>"))) == 0.0
 
 
-def test_html_grid(spark):
-    page = """<table><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><th>c</th><th>d</th></tr>
-    <tr><td>1</td><td hidden>no</td><td style="display : none">no</td><td aria-hidden="true">no</td><td>2</td><td>3 <b>4</b></td></tr></table>"""
-    spark.udtf.register("html_tables", html.HtmlTables)
-    df = spark.createDataFrame([(page,), (None,), ("<table><td>x",)], "html string")
-    rows = spark.sql("SELECT h.* FROM {df} p, LATERAL html_tables(p.html) h", df=df).collect()
-    grid = {(r["row_no"], r["col_no"]): r["cell"] for r in rows if r["table_no"] == 0}
-    assert grid == {(0, 0): "a", (0, 1): "b", (0, 2): "b", (1, 0): "a", (1, 1): "c", (1, 2): "d", (2, 0): "1", (2, 1): "2", (2, 2): "3 4"}
+def test_html_cells(spark):
+    page = """<table class="a b"><thead><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><th>c</th><th>d</th></tr></thead>
+    <tr><td>1</td><td hidden>no</td><td style="display : none">no</td><td aria-hidden="TRUE">no</td><td style="visibility: hidden">no</td>
+    <td style="opacity:0">no</td><td colspan="2">2</td><td title="t">3 <b>4</b><span style="display:none">[5.00]</span></td></tr></table>"""
+    wide = f"<table><thead><tr><th colspan={10**9} rowspan={10**9}>w</th></tr></thead></table>"
+    nested = "<table><tr><td>out<table><tr><td>in</td></tr></table></td></tr></table>"
+    pages = spark.createDataFrame([(1, page, "x"), (2, None, "x"), (3, "<table><td>x", "x"), (4, wide, "x"), (5, nested, "x"), (6, "no table", "x")], "id int, html string, cell string")
+    rows = html.cells(pages).collect()
+    of = lambda k, part: {(r["table_no"], r["row_no"], r["col_no"]): r["cell"] for r in rows if r["id"] == k and r["part"] == part}
+    assert of(1, "head") == {(0, 0, 0): "a", (0, 0, 1): "b", (0, 0, 2): "b", (0, 1, 0): "a", (0, 1, 1): "c", (0, 1, 2): "d"}
+    assert of(1, "body") == {(0, 0, 0): "1", (0, 0, 1): "2", (0, 0, 2): "2", (0, 0, 3): "3 4 [5.00]"}
+    assert [(r["exact"], r["title"], r["class"]) for r in rows if r["id"] == 1 and r["part"] == "body" and r["col_no"] == 3] == [("5.00", "t", "a b")]
+    assert of(3, "body") == {(0, 0, 0): "x"} and len(of(4, "head")) == html.MOST_COLUMNS and of(5, "body") == {(0, 0, 0): "out in", (1, 0, 0): "in"}
+    assert {r["id"] for r in rows} == {1, 3, 4, 5} and html.cells(pages.limit(0)).count() == 0
+
+
+def test_statement_lines(spark):
+    """Exact titles come before partial ones, excluded parts and rows without digits are passed over, headers merge."""
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    table = ('<table class="rayanDynamicStatement"><thead><tr><th>شرح</th><th>حسابرسی شده</th><th>حسابرسی نشده</th><th>درصد تغییر</th></tr></thead><tbody>'
+             + row("جمع کل دارایی", "(۱٬۰۰۰)", "x2x", "9") + row("جمع دارایی ها", "—", "") + row("جمع دارایی ها", "7", "junk") + row("", "1", "2") + "</tbody></table>")
+    cells = html.cells(spark.createDataFrame([(1, table)], "id int, html string"))
+    assert sorted((r["col_no"], r["period"]) for r in statements.period_columns(statements.column_headers(cells, ["id"]), ["id"]).collect()) == [(1, 1), (2, 2)]
+    lines = {"total": statements.BALANCE["total_assets"], "partly": statements.Line((), ("جمع", "دارایی")), "none": statements.Line(("x",), ("جمع",), ("دارایی",))}
+    found = statements.find_lines(cells, ["id"], lines).first()
+    assert (found["total"]["v1"], found["total"]["v2"], found["total"]["v3"]) == (7.0, 0.0, None)
+    assert (found["partly"]["v1"], found["partly"]["v2"]) == (-1000.0, 2.0) and found["none"] is None
+    assert statements.income_statement(cells, ["id"]).count() == 0 and statements.monthly_report(cells, ["id"]).count() == 0
+
+
+@pytest.mark.parametrize(("given", "want"), [("(۱٬۲۳۴)", -1234.0), ("-", 0.0), ("x1", 1.0), ("", 0.0), (None, 0.0), ("1,234.5 ریال", 1234.5), ("−7", -7.0), ("1-2", 0.0)])
+def test_to_amount(spark, given, want):
+    assert one(spark, numeric.to_amount(F.lit(given).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("given", "want"), [("1431237513660.00", 1431237513660), ("(7)", -7), ("-3 B", -3), ("a5b6", 5), ("۱۲٬۰۰۰", 12000), ("-", None), (None, None), ("9" * 30, None)])
+def test_to_whole(spark, given, want):
+    assert one(spark, numeric.to_whole(F.lit(given).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("given", "want"), [("1403/01/01", "2024-03-20"), ("1403/12/30", "2025-03-20"), ("1402/12/30", None), ("1403/07/31", None), ("1403/13/01", None),
+                                             ("2024-02-30", None), ("2024-02-29 10:00", "2024-02-29"), ("1200/01/01", None), ("14030", None), (None, None)])
+def test_dates_in_either_calendar(spark, given, want):
+    got = one(spark, calendar.either_calendar(calendar.eight_digits(F.lit(given).cast("string"))))
+    assert (None if got is None else str(got)) == want
+
+
+def test_jalali_months(spark):
+    ago = lambda y, m, d, n: one(spark, calendar.jalali_months_ago(F.lit(y), F.lit(m), F.lit(d), n))
+    assert [ago(1403, 1, 31, 1), ago(1403, 7, 30, 1), ago(1403, 8, 15, 20), ago(1403, 4, 31, 7)] == ["1402/12/29", "1403/06/30", "1401/12/15", "1402/09/30"]
+    year, month = (one(spark, x) for x in calendar.add_jalali_months(F.lit(1403), F.lit(11), 14))
+    assert (year, month) == (1405, 1)
+    day = lambda x: one(spark, calendar.epoch_date(F.lit(x), 2030))
+    assert str(day("1700000000")) == "2023-11-14" and str(day("1700000000123")) == "2023-11-14" and day("1500") is None and day("1000000001") is None and day("x") is None
+
+
+def test_ingest_files(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{" شركت ": "x", "b": null}')
+    assert [tuple(r) for r in files.read_overrides(spark, f"file://{tmp_path}/o.json").collect()][0] == ("شرکت", "x")
+    (tmp_path / "l.json").write_text("[1, 2]")
+    assert files.read_overrides(spark, f"file://{tmp_path}/l.json").count() == 0
+    with pytest.raises(Exception, match="JSON object"):
+        files.read_documents(spark, f"file://{tmp_path}/l.json", "a int").collect()
+    (tmp_path / "t.txt").write_text("1;A;n\n2; ;n\n3;B\n\n")
+    assert [tuple(r) for r in files.read_fields(spark, f"file://{tmp_path}/t.txt", ["i", "t", "n"]).collect()] == [("1", "A", "n")]
 
 
 @pytest.mark.parametrize(("x", "digits", "want"), [(-2.5, 0, -3.0), (2.5, 0, 3.0), (-0.125, 2, -0.13), (1.005, 2, 1.0), (0.0, 2, 0.0)])
