@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +21,38 @@ TASK_ROWS = 20_000
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Majority bits of the XXH64 values of a text's word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 value of each word shingle of a text, repeats included; a text of fewer words is one shingle, one without
+    words has none."""
     split = (text or "").encode().lower().split()
     if not split:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(split)
     ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(words, len(split))
     view, digest = memoryview(line), xxhash.xxh64_intdigest
-    hashes = np.array([digest(view[a:b], SEED) for a, b in zip(starts[: len(split) - width + 1].tolist(), ends[width - 1:].tolist())], np.uint64)
+    return np.array([digest(view[a:b], SEED) for a, b in zip(starts[: len(split) - width + 1].tolist(), ends[width - 1:].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 16384):
         ones += np.unpackbits(hashes[at:at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Majority bits of the XXH64 values of a text's word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, out_col: str = "fp", text_col: str = "text") -> DataFrame:
-    """docs with out_col, the 64 bits as a long; null text counts as empty."""
+    """docs with out_col, the 64 bits as a long; a column by that name is replaced. Null text counts as empty; null ids and
+    repeated rows come out as they are; an empty table gives no rows."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,23 +86,19 @@ class Forest:
             a, b = high, low
 
 
-def trie_join(values: np.ndarray, budget: int, edges: np.ndarray | None = None, chunk: int = 1 << 16) -> np.ndarray:
-    """Group sorted distinct 64-bit values that chains of links within budget bits connect: a root position for each.
+def trie_walk(values: np.ndarray, budget: int, edges: np.ndarray, roots: np.ndarray, found: Callable, chunk: int = 1 << 16) -> None:
+    """Call found(i, j) with places of values within budget bits whose roots differ; it may return newer roots.
 
-    edges cut values into tries, each sorted for itself; by default all are one. A sorted array is a binary trie, a node
-    being the range of values that share leading bits. Pairs of nodes are walked down together with the bits that differ
-    so far; a pair goes when the budget is exceeded, or when both nodes already lie in one and the same group. Pairs
-    wait on a stack in pieces of bounded size, deepest first.
+    edges cut values into tries, each sorted for itself. A sorted array is a binary trie, a node being the range of values
+    that share leading bits. Pairs of nodes are walked down together with the bits that differ so far; a pair goes when
+    the budget is exceeded, or when both nodes already lie in one and the same group. Pairs wait on a stack in pieces of
+    bounded size, deepest first. Equal values are parted by their places.
     """
-    n, forest = len(values), Forest(len(values))
-    if n < 2:
-        return forest.roots()
-    edges = np.array([0, n]) if edges is None else edges
     first = edges[:-1], edges[1:], edges[:-1], edges[1:], np.zeros(len(edges) - 1, np.int64)
     ones: dict[int, np.ndarray] = {}
-    stack, since = [(BITS - 1, first)], 0
-    roots = forest.roots()
-    runs = np.arange(n)
+    stack = [(BITS - 1, first)]
+    runs_of = lambda r: np.concatenate([[0], np.cumsum(r[1:] != r[:-1])])
+    runs = runs_of(roots)
     while stack:
         bit, (a0, a1, b0, b1, cost) = stack.pop()
         if len(a0) > chunk:
@@ -109,21 +117,22 @@ def trie_join(values: np.ndarray, budget: int, edges: np.ndarray | None = None,
             near = (i < j) & (roots[i] != roots[j])
             i, j = i[near], j[near]
             near = np.bitwise_count(values[i] ^ values[j]) <= budget
-            forest.join(i[near], j[near])
-            since += int(near.sum())
-            if since > n // 8:
-                roots, since = forest.roots(), 0
-                runs = np.concatenate([[0], np.cumsum(roots[1:] != roots[:-1])])
+            newer = found(i[near], j[near])
+            if newer is not None:
+                roots, runs = newer, runs_of(newer)
         a0, a1, b0, b1, cost = (x[~small] for x in (a0, a1, b0, b1, cost))
         if not len(a0):
             continue
-        if bit not in ones:
-            ones[bit] = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1))]).astype(np.int32)
-        am, bm = a1 - (ones[bit][a1] - ones[bit][a0]), b1 - (ones[bit][b1] - ones[bit][b0])
         same = a0 == b0
+        if bit < 0:
+            am, bm, apart = (a0 + a1) // 2, (b0 + b1) // 2, 0
+        else:
+            if bit not in ones:
+                ones[bit] = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1))]).astype(np.int32)
+            am, bm, apart = a1 - (ones[bit][a1] - ones[bit][a0]), b1 - (ones[bit][b1] - ones[bit][b0]), 1
         parts = [
             (a0, am, b0, bm, cost, None), (am, a1, bm, b1, cost, None),
-            (a0, am, bm, b1, cost + 1, None), (am, a1, b0, bm, cost + 1, ~same),
+            (a0, am, bm, b1, cost + apart, None), (am, a1, b0, bm, cost + apart, ~same),
         ]
         nxt = []
         for x0, x1, y0, y1, c, only in parts:
@@ -132,10 +141,36 @@ def trie_join(values: np.ndarray, budget: int, edges: np.ndarray | None = None,
                 ok &= only
             ok &= ~((x1 - x0 == 1) & (y1 - y0 == 1) & (x0 == y0))
             nxt.append(tuple(x[ok] for x in (x0, x1, y0, y1, c)))
-        stack.append((bit - 1, tuple(np.concatenate([p[k] for p in nxt]) for k in range(5))))
+        stack.append((max(bit - 1, -1), tuple(np.concatenate([p[k] for p in nxt]) for k in range(5))))
+
+
+def trie_join(values: np.ndarray, budget: int, edges: np.ndarray | None = None) -> np.ndarray:
+    """Group sorted 64-bit values that chains of links within budget bits connect: a root position for each. edges cut values
+    into tries; by default all are one."""
+    n, forest, since = len(values), Forest(len(values)), 0
+
+    def found(i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
+        nonlocal since
+        forest.join(i, j)
+        since += len(i)
+        if since <= n // 8:
+            return None
+        since = 0
+        return forest.roots()
+
+    if n > 1:
+        trie_walk(values, budget, np.array([0, n]) if edges is None else edges, forest.roots(), found)
     return forest.roots()
 
 
+def trie_pairs(values: np.ndarray, roots: np.ndarray, budget: int, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of places of values, within a trie, that lie within budget bits and have different roots."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(values) > 1:
+        trie_walk(values, budget, edges, roots, lambda i, j: out.append((i, j)) if len(i) else None)
+    return out
+
+
 def blocks(bits: list[int], parts: int) -> list[list[int]]:
     """Cut bit numbers into runs of nearly equal length."""
     edges = [round(i * len(bits) / parts) for i in range(parts + 1)]
@@ -269,19 +304,6 @@ def link_documents(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, gr
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, budget: int = BUDGET, group_rows: int = GROUP_ROWS,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the least id (null last); of rows that share it, one stays."""
-    plain = [f"c{i}" for i in range(len(docs.columns))]  # no column of docs can clash with ours
-    text, key = plain[docs.columns.index(text_col)], plain[docs.columns.index(id_col)]
-    prints = fingerprints(docs.toDF(*plain).withColumn(text, F.col(text).cast("string")), words, "fp", text)
-    prints = materialize(prints.withColumn("row", F.monotonically_increasing_id()), "simhash-texts")
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("first"))
-    kept = first.join(_members(prints, budget, group_rows), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    out = prints.join(kept.select(F.col("first.row").alias("row")), "row", "left_semi").select(*plain).toDF(*docs.columns)
-    return out
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return link_documents(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

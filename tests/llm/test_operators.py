@@ -694,12 +694,22 @@ def test_simhash_components(documents, mixed_rows, group_rows):
     assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in rows) == want
 
 
-def test_keep_one(documents, nothing, mixed_rows):
-    kept = simhash.keep_one(documents, words=4)
-    assert kept.columns == documents.columns
-    values = np.array([plain_fingerprint(t, 4) for _, t, _ in mixed_rows], np.uint64)
-    assert kept.count() == len(set(plain_groups(values, 4)))
-    assert simhash.keep_one(nothing).count() == 0 and simhash.link_documents(nothing).count() == 0
+def test_trie_pairs():
+    rng = np.random.default_rng(4)
+    for n, budget in ((2, 4), (200, 22), (600, 6)):
+        base = rng.integers(0, 1 << 63, max(1, n // 10), dtype=np.uint64)
+        values = base[rng.integers(0, len(base), n)]
+        for _ in range(8):
+            values = np.where(rng.random(n) < 0.5, values ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)), values)
+        cut = n // 3  # two tries, values may repeat
+        values = np.concatenate([np.sort(values[:cut]), np.sort(values[cut:])])
+        roots = rng.integers(0, n // 2 + 1, n)
+        want = {(i, j) for lo, hi in ((0, cut), (cut, n)) for i in range(lo, hi) for j in range(i + 1, hi)
+                if roots[i] != roots[j] and (int(values[i]) ^ int(values[j])).bit_count() <= budget}
+        got = [(a, b) for i, j in simhash.trie_pairs(values, roots, budget, np.array([0, cut, n])) for a, b in zip(i.tolist(), j.tolist())]
+        assert set(got) == want and len(got) == len(want)
+    same = np.zeros(300, np.uint64)
+    assert sum(len(i) for i, _ in simhash.trie_pairs(same, np.arange(300), 0, np.array([0, 300]))) == 300 * 299 // 2
 
 
 def test_components_of_chains(spark):
@@ -745,7 +755,8 @@ def test_near_copies_are_those_of_brute_force(spark, nothing):
             apart += 0.6 * whole <= both < 0.8 * whole
     assert near >= 15 and apart >= 15
     docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
-    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    for kept in (near_copies.keep_one(docs, group_rows=7), corpus_pipeline.near_dedup(spark, docs, "")):
+        assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if root(i) == i]
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if root(i) == i]
     assert corpus_pipeline.near_dedup(spark, nothing, "").count() == 0
