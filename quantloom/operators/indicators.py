@@ -45,11 +45,21 @@ def rsi(gain: Column, loss: Column) -> Column:
     return F.when(loss == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + gain / F.nullif(loss, F.lit(0.0))))
 
 
-def ema(values: Column, span: int) -> Column:
-    """The running exponential means of an array."""
+def _step(last: Column, x: Column, span: int) -> Column:
+    """The next exponential mean; the first is the value itself."""
     alpha = 2.0 / (span + 1.0)
-    step = lambda out, x: F.concat(out, F.array(F.coalesce(alpha * x + (1.0 - alpha) * F.try_element_at(out, F.lit(-1)), x)))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+    return F.coalesce(alpha * x + (1.0 - alpha) * last, x)
+
+
+def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
+    """The last line (fast less slow exponential mean) and signal (the line's own mean) of an array, folded once."""
+    start = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("fast", "slow", "signal")))
+
+    def step(s: Column, x: Column) -> Column:
+        quick, late = _step(s["fast"], x, fast), _step(s["slow"], x, slow)
+        return F.struct(quick.alias("fast"), late.alias("slow"), _step(s["signal"], quick - late, signal).alias("signal"))
+
+    return F.aggregate(values, start, step, lambda s: F.struct((s["fast"] - s["slow"]).alias("macd"), s["signal"].alias("signal")))
 
 
 def technical(prices: DataFrame, by: str = "company_id", at: str = "day", close: str = "close", volume: str = "volume") -> DataFrame:
@@ -62,9 +72,7 @@ def technical(prices: DataFrame, by: str = "company_id", at: str = "day", close:
                              "volatility": s.deviation(F.col("change"), 20)})
     ends = days.groupBy(by).agg(F.max_by(F.struct(at, close, "ma20", "ma50", "last", "volume", "mean_volume", "gain", "loss", "volatility", "momentum", "trend"), "n").alias("e"),
                                 F.array_sort(F.collect_list(F.struct("n", price.alias("x")))).alias("x"))
-    line = F.zip_with(F.col("fast"), F.col("slow"), lambda a, b: a - b)
-    out = ends.select(by, "e.*", F.transform("x", lambda r: r["x"]).alias("x")).withColumns({"fast": ema(F.col("x"), 12), "slow": ema(F.col("x"), 26)})
-    out = out.withColumn("line", line).withColumn("signal", F.element_at(ema(F.col("line"), 9), -1)).withColumn("macd", F.element_at("line", -1))
+    out = ends.select(by, "e.*", macd(F.transform("x", lambda r: r["x"])).alias("m")).select("*", "m.macd", "m.signal")
     out = out.withColumn("rsi", rsi(F.col("gain"), F.col("loss")))
     votes = (F.col("ma20") > F.col("ma50"), F.col(close) > F.col("last"), F.col("volume") > F.col("mean_volume"),
              (F.col("rsi") > 30) & (F.col("rsi") < 70), F.col("macd") > F.col("signal"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import growth_pct, ratio, round_away, round_half, sigmoid
 from quantloom.operators.corporate import back_adjust, find_events, yesterday
-from quantloom.operators.indicators import Series, ema, rsi, technical
+from quantloom.operators.indicators import Series, macd, rsi, technical
 from quantloom.operators.ranking import numbered, numbered_all, over_rows
 from quantloom.plans.registry import query
 from quantloom.sources import domain
@@ -191,15 +191,32 @@ lines AS (
 @query("technical_macd", with_tables("market", then=f"""-- more{_EMA_SQL}
 SELECT company_id, {_r("max_by(fast - slow, i)", 4)} AS macd, {_r("max_by(signal, i)", 4)} AS signal FROM lines GROUP BY 1""").replace("WITH", "WITH RECURSIVE", 1))
 def technical_macd(t: Tables) -> DataFrame:
-    """The last MACD and signal values; each instrument's closes fold in order."""
+    """The last MACD and signal values; each instrument's closes fold in order, once."""
     closes = domain.market_prices(t).groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("day", "close"))).alias("x"))
-    lines = closes.select("company_id", F.transform("x", lambda r: r["close"]).alias("x")).withColumn("line", F.zip_with(ema(F.col("x"), 12), ema(F.col("x"), 26), lambda a, b: a - b))
-    return lines.select("company_id", round_half(F.element_at("line", -1), 4).alias("macd"), round_half(F.element_at(ema(F.col("line"), 9), -1), 4).alias("signal"))
-
-
-@query("technical_score")
+    last = closes.select("company_id", macd(F.transform("x", lambda r: r["close"])).alias("m"))
+    return last.select("company_id", round_half(F.col("m.macd"), 4).alias("macd"), round_half(F.col("m.signal"), 4).alias("signal"))
+
+
+@query("technical_score", with_tables("market", then=f"""-- more{_NUMBERED},{_EMA_SQL},
+waves AS (SELECT company_id, max_by(fast - slow, i) AS macd, max_by(signal, i) AS signal FROM lines GROUP BY 1),
+turns AS (
+  SELECT *, greatest(close - coalesce(earlier, close), 0e0) AS up, greatest(coalesce(earlier, close) - close, 0e0) AS down,
+         coalesce((close - earlier) / nullif(earlier, 0), 0e0) AS change FROM days),
+calc AS (
+  SELECT *, CASE WHEN i >= 20 THEN avg(close) OVER w20 ELSE 0e0 END AS ma20, CASE WHEN i >= 50 THEN avg(close) OVER w50 ELSE 0e0 END AS ma50,
+         CASE WHEN i >= 20 THEN avg(volume) OVER w20 ELSE 0e0 END AS mean_volume, CASE WHEN i >= 14 THEN avg(up) OVER w14 ELSE 0e0 END AS gain,
+         CASE WHEN i >= 14 THEN avg(down) OVER w14 ELSE 0e0 END AS loss, CASE WHEN i >= 20 THEN stddev_pop(change) OVER w20 ELSE 0e0 END AS volatility,
+         close - coalesce(lag(close, 10) OVER d, 0e0) AS momentum, CASE WHEN i >= 20 THEN regr_slope(close, i::DOUBLE) OVER w20 ELSE 0e0 END AS trend
+  FROM turns WINDOW d AS (PARTITION BY company_id ORDER BY day), w14 AS (PARTITION BY company_id ORDER BY day ROWS 13 PRECEDING),
+       w20 AS (PARTITION BY company_id ORDER BY day ROWS 19 PRECEDING), w50 AS (PARTITION BY company_id ORDER BY day ROWS 49 PRECEDING)),
+ends AS (SELECT *, CASE WHEN loss = 0 THEN 1e2 ELSE 1e2 - 1e2 / (1 + gain / nullif(loss, 0)) END AS rsi FROM calc QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY day DESC) = 1)
+SELECT company_id, day, close, {_r("rsi", 4)} AS rsi, {_r("macd", 4)} AS macd, {_r("signal", 4)} AS signal, {_r("volatility", 6)} AS volatility, momentum, {_r("trend", 3)} AS trend,
+       20e0 * ((ma20 > ma50)::INT + (close > coalesce(earlier, 0))::INT + (volume > mean_volume)::INT + (rsi > 30 AND rsi < 70)::INT + (macd > signal)::INT) AS score
+FROM ends JOIN waves USING (company_id)""").replace("WITH", "WITH RECURSIVE", 1))
 def technical_score(t: Tables) -> DataFrame:
-    return technical(domain.market_prices(t))
+    digits = {"rsi": 4, "macd": 4, "signal": 4, "volatility": 6, "trend": 3}
+    rows = technical(domain.market_prices(t))
+    return rows.withColumns({c: round_half(F.col(c), n) for c, n in digits.items()})
 
 
 @query("price_history", with_tables("market", then="""
