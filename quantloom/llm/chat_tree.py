@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import join_split, materialize, running, small_batches, table, worker_state
+from quantloom.llm.token_store import byte_alphabet
 
 #: The template's control strings, fixed values.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -28,7 +29,19 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", r"\1", text, flags=re.S) if ESCAPE in text else text
+
+
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of arrays."""
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def flat_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column without nulls, and the edges of its lists among them."""
+    edges = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[edges[0]:edges[-1]], edges - edges[0]
 
 
 class Template:
@@ -43,12 +56,22 @@ class Template:
         self.end = self.start + 1
         self.line = self.ids(["\n"])[0]
         self.heads: dict[str, tuple[int, list[int]]] = {}
+        byte = {c: b for b, c in byte_alphabet().items()}
+        pieces = sorted((i, p) for p, i in self.tokenizer.get_vocab().items())
+        table = [bytes([byte[c] for c in p]) if all(c in byte for c in p) else p.encode() for _, p in pieces] + [b"", b""]
+        self.sizes = np.array([len(x) for x in table])
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(table), np.uint8)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def text(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def text(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The texts of the ids between cuts. A byte-level tokenizer's tokens are bytes, control strings have none."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.flat[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        at = ends[cuts].tolist()
+        return [raw[a:b].decode() for a, b in zip(at, at[1:])]
 
     def turns(self, roles: list[str], texts: list[str]) -> Iterator[tuple[list[int], int, int, int]]:
         """Of each turn the ids, the characters of its formatted text, and the tokens of its content: from, to."""
@@ -115,7 +138,7 @@ def _with_tokens(merged: DataFrame, tokenizer: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = list(template(tokenizer).turns(batch.column("role").to_pylist(), batch.column("text").to_pylist()))
-            cols = [pa.array([m[0] for m in made], pa.list_(pa.int32())), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2, 3))]
+            cols = [lists([np.array(m[0], np.int32) for m in made], pa.int32()), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, "ids", "n_chars", "low", "high"])
 
     return merged.mapInArrow(task, f"{kinds}, ids array<int>, n_chars long, low long, high long")
@@ -152,20 +175,25 @@ def _with_paths(rows: DataFrame) -> DataFrame:
 
 def _pages(nodes: DataFrame) -> DataFrame:
     """The emitted sequence, cut into pages of PAGE tokens: page, ids, loss."""
-    names, kinds = ["page", "at", "ids", "loss"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+    names = ["page", "at", "ids", "loss"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for start, ids, low, high in zip(*(batch.column(c).to_pylist() for c in ("start", "ids", "loss_from", "loss_to"))):
-                loss = np.zeros(len(ids), bool)
+            flat, edges = flat_lists(batch.column("ids"))
+            pages, places, ids, losses = [], [], [], []
+            for k, (start, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "loss_from", "loss_to")))):
+                own = flat[edges[k]:edges[k + 1]]
+                loss = np.zeros(len(own), bool)
                 loss[low or 0:high or 0] = True
-                at = start
-                while at < start + len(ids):
-                    page, end = at // PAGE, min(start + len(ids), (at // PAGE + 1) * PAGE)
-                    out.append((page, at, ids[at - start:end - start], loss[at - start:end - start].tolist()))
+                at, stop = start, start + len(own)
+                while at < stop:
+                    end = min(stop, (at // PAGE + 1) * PAGE)
+                    pages.append(at // PAGE)
+                    places.append(at)
+                    ids.append(own[at - start:end - start])
+                    losses.append(loss[at - start:end - start])
                     at = end
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(places, pa.int64()), lists(ids, pa.int32()), lists(losses, pa.bool_())], names)
 
     cut = nodes.select("start", "ids", "loss_from", "loss_to").mapInArrow(task, "page long, at long, ids array<int>, loss array<boolean>")
     parts = F.sort_array(F.collect_list(F.struct("at", "ids", "loss")))
@@ -255,30 +283,24 @@ def read_back(tree: ChatTree) -> DataFrame:
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, ids, loss = None, [], []  # ids and loss of the turn that has begun
-        turns: list[tuple] = []
         states: dict[str, list] = {}
-        form = None
-
-        def finish() -> None:
-            shown = form.text([t[1] for t in turns])
-            counted = form.text([t[2] for t in turns])
-            for (own, _, _), turn, part in zip(turns, shown, counted):
-                state = states.setdefault(own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0])
-                role, body = TURN.fullmatch(turn).groups()
-                said = unescape(part)
+
+        def take(form: Template, ids: np.ndarray, loss: np.ndarray, starts: np.ndarray, nodes: list[str]) -> None:
+            """Add whole turns, each from a start token to the line end behind the end token, to their nodes' digests."""
+            ends = np.append(starts[1:], len(ids))
+            if (ids[ends - 2] != form.end).any() or (ids[ends - 1] != form.line[0]).any():
+                raise ValueError("the emitted tokens are not whole turns")
+            counted = np.concatenate([[0], np.cumsum(loss)])
+            said = form.text(ids[loss], np.append(counted[starts], counted[-1]))
+            for node, turn, part in zip(nodes, form.text(ids, np.append(starts, len(ids))), said):
+                state = states.setdefault(node, [0, hashlib.sha256(), 0, hashlib.sha256(), 0])
+                role, body = TURN.fullmatch(turn, 0, len(turn) - 1).groups()  # without the line end
+                part = unescape(part)
                 state[0] += 1
                 state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
-                state[2] += len(said)
-                state[3].update(said.encode())
-                state[4] += len(START) + len(turn) + len(END) + 1
-            turns.clear()
-
-        def close() -> None:
-            """A turn is all from the start token up to the line end behind the end token."""
-            if ids[0] != form.start or ids[-2:] != [form.end, *form.line]:
-                raise ValueError(f"the tokens of node {node} are no turn")
-            turns.append((node, ids[1:-2], [x for x, y in zip(ids, loss) if y]))
+                state[2] += len(part)
+                state[3].update(part.encode())
+                state[4] += len(START) + len(turn) + len(END)
 
         def done(but: str | None) -> pa.RecordBatch:
             rows = [(k, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]) for k, s in states.items() if k != but]
@@ -286,21 +308,28 @@ def read_back(tree: ChatTree) -> DataFrame:
                 del states[r[0]]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names)
 
+        ids, loss, last = np.empty(0, np.int32), np.empty(0, bool), None  # of the turn that has begun
         for batch in batches:
+            if not batch.num_rows:
+                continue
             form = template(tokenizer)
-            for own, some, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                cuts = sorted({0, len(some), *(k for k, x in enumerate(some) if x == form.start)})
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if ids and some[lo] == form.start:
-                        close()
-                        ids, loss = [], []
-                    node = own
-                    ids, loss = ids + some[lo:hi], loss + counts[lo:hi]
-            finish()
-            yield done(node)
-        if ids:
-            close()
-            finish()
+            flat, edges = flat_lists(batch.column("ids"))
+            own = batch.column("node").to_pylist()
+            begun = np.flatnonzero(flat == form.start)
+            nodes = [own[k] for k in np.searchsorted(edges, begun, "right") - 1]
+            starts = begun + len(ids)
+            if len(ids):
+                starts, nodes = np.concatenate([[0], starts]), [last, *nodes]
+            ids, loss = np.concatenate([ids, flat]), np.concatenate([loss, flat_lists(batch.column("loss"))[0]])
+            if not len(starts) or starts[0]:
+                raise ValueError("the emitted tokens begin within a turn")
+            keep, last = starts[-1], nodes[-1]
+            if keep:
+                take(form, ids[:keep], loss[:keep], starts[:-1], nodes[:-1])
+            ids, loss = ids[keep:], loss[keep:]
+            yield done(last)
+        if len(ids):
+            take(template(tokenizer), ids, loss, np.array([0]), [last])
             yield done(None)
 
     read = materialize(dealt.mapInArrow(task, "node string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "chat-read")

@@ -382,7 +382,12 @@ def test_trees_of_many_forks(spark, monkeypatch):
     for conv, turn, role, text in turns:
         groups[conv].append((turn, role, text))
     want = {conv: (len(ts), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in sorted(ts)).encode()).hexdigest()) for conv, ts in groups.items()}
-    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_tree.read_back(tree).collect()} == want
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for limit in (before, "300"):  # down to less than a turn a batch
+        spark.conf.set(key, limit)
+        assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_tree.read_back(tree).collect()} == want
+    spark.conf.set(key, before)
 
 
 def test_a_join_with_hot_keys_is_split(spark, monkeypatch):
