@@ -62,15 +62,16 @@ def forward_returns(t: Tables) -> DataFrame:
     return panel(t).filter("forward IS NOT NULL").select("company_id", "day", "forward")
 
 
-def rank_correlation(rows: DataFrame, by: str, x: str, y: str, least: int = 6) -> DataFrame:
+def rank_correlation(rows: DataFrame, by: str | list[str], x: str, y: str, least: int = 6) -> DataFrame:
     """Spearman's correlation of each group: average ranks, then Pearson; null where a side does not vary."""
+    by = [by] if isinstance(by, str) else by
     known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    mean_rank = lambda c: F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(by, c)) - 1) / F.lit(2.0)
-    ranked = known.select(by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
+    mean_rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / F.lit(2.0)
+    ranked = known.select(*by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
     varied = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
     spread = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)) - F.avg(c) * F.avg(c))
     ic = (F.avg(F.col("rx") * F.col("ry")) - F.avg("rx") * F.avg("ry")) / F.nullif(spread("rx") * spread("ry"), F.lit(0.0))
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, ic).alias("ic")).filter(F.col("n") >= least)
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, ic).alias("ic")).filter(F.col("n") >= least)
 
 
 _IC_SQL = """,
