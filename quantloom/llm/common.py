@@ -7,7 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/+", "file:///", full)
 
 
+#: The folders that this session's operators have written to, in order.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it operators write their tables as ever; on leaving, all that were written go, but those that were handed to
+    what the context gives, which returns its argument. For results that no longer depend on what they came from."""
+    since, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(path for path in _made[since:] if any(path.split("/")[-1] in f for f in df.inputFiles()))
+        return df
+
+    try:
+        yield keep
+    finally:
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _made[since:]:
+            if path not in kept:
+                path_of(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path_of(path), True)
+        _made[since:] = sorted(kept)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
