@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import calendar
-from quantloom.functions.numeric import ratio, round_half, to_decimal, to_whole
+from quantloom.functions.numeric import ratio, round_half, to_amount, to_decimal, to_whole
 from quantloom.functions.text import compact_number, is_identifier, is_md5, normalize_letters, normalize_name, percent_text, url_join, url_parameter, with_page
+from quantloom.operators import state
 from quantloom.operators.ranking import latest_per
 from quantloom.plans.market import profit_history, steady_growth
 from quantloom.plans.portfolio import _LIVE_SQL, _valued, live_prices, value_holdings
 from quantloom.plans.registry import query
-from quantloom.plans.score import AS_OF_DATE
+from quantloom.plans.score import AS_OF_DATE, DERIVED_SQL, FACTORS, MARKET_SQL, PROFIT_SQL, RANKED_SQL, SALES_SQL, WEIGHTS, _view, score_view
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
 from quantloom.sources.files import first_present, read_documents, read_fields, read_json, read_overrides
 from quantloom.sources.store import fresh_folder
 
+_FINAL = (SALES_SQL, PROFIT_SQL, MARKET_SQL, DERIVED_SQL, RANKED_SQL)
 #: Default and greatest number of rows of each list, fixed values.
 LIMITS = {"top": (20, 1000), "history": (365, 5000), "monthly": (24, 60), "market": (90, 250), "profit": (8, 20), "flows": (200, 2000), "search": (20, 50)}
 
@@ -339,3 +341,133 @@ def history_refresh(t: Tables) -> DataFrame:
     history = ends.select("person", F.col("hi").alias("day"), F.lit(1.0).alias("total")).unionByName(ends.filter("lo < hi").select("person", F.col("lo").alias("day"), F.lit(2.0).alias("total")))
     priced = t("orders").groupBy(F.col("o_custkey").alias("person")).agg(F.max(F.to_date("o_orderdate")).alias("day"), F.count(F.lit(1)).cast("double").alias("fresh"))
     return history.join(priced, ["person", "day"], "left").select("person", "day", F.coalesce("fresh", "total").alias("total"))
+
+
+# ---- projections of the score, lists and deletions ---------------------------------------------------------------------
+_WIDE = ("s12", "p12", "s3", "p3", "price", "c7", "c30", "c90", "avg_value", "volatility", "sr_np", "np_p1", "np_prev", "op_ttm", "op_prev", "net_profit_ttm", "eps", "ttm_eps", "pe_raw",
+         "sg_raw", "sg3_raw", "st", "npg_raw", "opg_raw", "rg_raw", "om_raw", "nm_raw", "mt_raw", "coverage", "non_operating", "roe_raw", "lev_raw", "cr_raw", "cc_raw", "return7", "return30",
+         "return90", "position90", *(f"{f}_rank" for f in FACTORS), *(f"{c}_penalty" for c in WEIGHTS), *(f"{c}_score" for c in WEIGHTS), "quant_score")
+
+
+@query("score_wide", _view(*_FINAL, then="SELECT company_id, company_name, " + ", ".join(f"floor({c} * 1e3 + 5e-1) / 1e3 AS {c}" for c in _WIDE)
+       + ", coalesce(sales_count, 0)::BIGINT AS sales_count, coalesce(report_count, 0)::BIGINT AS report_count, coalesce(market_count, 0)::BIGINT AS market_count FROM final"))
+def score_wide(t: Tables) -> DataFrame:
+    """The whole row of the score: figures, ratios, ranks, penalties, scores and counts."""
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sales_count", "report_count", "market_count")]
+    return score_view(t).select("company_id", "company_name", *(round_half(F.col(c), 3).alias(c) for c in _WIDE), *counts)
+
+
+@query("score_bands", _view(*_FINAL, then="""SELECT company_id,
+  CASE WHEN quant_score >= 60 THEN 'strong' WHEN quant_score >= 40 THEN 'good' WHEN quant_score >= 20 THEN 'middling' ELSE 'weak' END AS score_band,
+  CASE WHEN nm_raw IS NULL THEN 'none' WHEN nm_raw >= 20 THEN 'high' WHEN nm_raw >= 0 THEN 'low' ELSE 'loss' END AS margin_band,
+  CASE WHEN sg_raw IS NULL THEN 'none' WHEN sg_raw >= 30 THEN 'fast' WHEN sg_raw >= 0 THEN 'slow' ELSE 'shrinking' END AS growth_band,
+  concat_ws(', ', CASE WHEN NOT coalesce(pe_raw > 0 AND pe_raw <= 60, false) THEN 'bad_pe' END, CASE WHEN sg_raw < 0 THEN 'weak_sales' END,
+            CASE WHEN net_profit_ttm < 0 THEN 'loss_maker' END, CASE WHEN coalesce(report_age > 8 OR market_age > 14, true) THEN 'stale' END) AS labels FROM final"""))
+def score_bands(t: Tables) -> DataFrame:
+    """Bands of score, margin and growth, and the four labels of the short list."""
+    c = F.col
+    band = lambda x, *steps: _ladder(x, steps)
+    fine = F.coalesce((c("pe_raw") > 0) & (c("pe_raw") <= 60), F.lit(False))
+    labels = F.concat_ws(", ", F.when(~fine, "bad_pe"), F.when(c("sg_raw") < 0, "weak_sales"), F.when(c("net_profit_ttm") < 0, "loss_maker"),
+                         F.when(F.coalesce((c("report_age") > 8) | (c("market_age") > 14), F.lit(True)), "stale"))
+    return score_view(t).select("company_id", band(c("quant_score"), (60, "strong"), (40, "good"), (20, "middling"), (None, "weak")).alias("score_band"),
+                                band(c("nm_raw"), (20, "high"), (0, "low"), (None, "loss")).alias("margin_band"), band(c("sg_raw"), (30, "fast"), (0, "slow"), (None, "shrinking")).alias("growth_band"),
+                                labels.alias("labels"))
+
+
+def _ladder(x: Column, steps: tuple) -> Column:
+    """The name of the first bound that x reaches, "none" for null."""
+    out = F.lit(steps[-1][1])
+    for bound, name in reversed(steps[:-1]):
+        out = F.when(x >= bound, name).otherwise(out)
+    return F.when(x.isNull(), "none").otherwise(out)
+
+
+@query("monthly_projection", with_tables("monthly", then="""
+SELECT company_id, report_key, value1 / 1e6 AS produced, value2 / 1e6 AS sold, value3 / 1e6 AS amount, floor(value3 / 1e6 * 1000e0 * 1e2 + 5e-1) / 1e2 AS percentage,
+       CASE WHEN value3 > e THEN 1 WHEN value3 < e THEN -1 ELSE 0 END AS wow FROM (SELECT *, lag(value3) OVER (PARTITION BY company_id ORDER BY report_key) AS e FROM monthly)"""))
+def monthly_projection(t: Tables) -> DataFrame:
+    """Months in millions, with the amount in thousandths to two digits and the sign of its change."""
+    before = F.lag("value3").over(Window.partitionBy("company_id").orderBy("report_key"))
+    rows = domain.monthly_sales(t).withColumn("before", before)
+    sign = F.when(F.col("value3") > F.col("before"), 1).when(F.col("value3") < F.col("before"), -1).otherwise(0)
+    return rows.select("company_id", "report_key", *((F.col(f"value{k}") / 1e6).alias(n) for k, n in ((1, "produced"), (2, "sold"), (3, "amount"))),
+                       round_half(F.col("value3") / 1e6 * 1000.0, 2).alias("percentage"), sign.alias("wow"))
+
+
+@query("distinct_reports", """
+SELECT l_suppkey AS company_id, l_shipdate::DATE AS day, l_quantity AS value, max(s_name) AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3""")
+def distinct_reports(t: Tables) -> DataFrame:
+    """Reports of one company, day and value once, under the greatest of their names."""
+    rows = t("lineitem").select(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("value"))
+    return rows.join(domain.companies(t), "company_id").groupBy("company_id", "day", "value").agg(F.max("company_name").alias("name"))
+
+
+@query("names_count", "SELECT p_brand, count(DISTINCT p_name) AS names, count(DISTINCT lower(trim(p_type))) AS kinds FROM part GROUP BY 1")
+def names_count(t: Tables) -> DataFrame:
+    return t("part").groupBy("p_brand").agg(F.countDistinct("p_name").alias("names"), F.countDistinct(F.lower(F.trim("p_type"))).alias("kinds"))
+
+
+@query("portfolio_totals", with_tables("held", then=f"""-- more{_LIVE_SQL},
+valued AS (SELECT h.*, quantity * coalesce(price, 0) AS value FROM held h LEFT JOIN live l ON l.item_id = h.item_id AND price > 0)
+SELECT user_id, sum(cost) AS cost, sum(value) AS value, sum(value) - sum(cost) AS gain, floor((sum(value) - sum(cost)) / nullif(sum(cost), 0) * 1e2 * 1e4 + 5e-1) / 1e4 AS gain_pct,
+       count(*) FILTER (value > 0) AS priced, max(CASE WHEN p_name <> '' THEN p_name END) AS last_name FROM valued LEFT JOIN part ON p_partkey = item_id GROUP BY 1"""))
+def portfolio_totals(t: Tables) -> DataFrame:
+    """Each user's cost, market value and gain, and the last of the live names of what they hold."""
+    rows = value_holdings(domain.holdings(t), live_prices(t)).join(t("part").select(F.col("p_partkey").alias("item_id"), "p_name"), "item_id", "left")
+    gain = F.sum("value") - F.sum("cost")
+    return rows.groupBy("user_id").agg(F.sum("cost").alias("cost"), F.sum("value").alias("value"), gain.alias("gain"), round_half(ratio(gain, F.sum("cost")) * 100.0, 4).alias("gain_pct"),
+                                       F.count_if(F.col("value") > 0).alias("priced"), F.max(F.nullif("p_name", F.lit(""))).alias("last_name"))
+
+
+@query("price_deletions", with_tables("market", then="""
+SELECT company_id, count(*) AS kept, min(day) AS first_day FROM market WHERE day >= DATE '1997-01-01' AND company_id % 10 <> 3
+  AND NOT (company_id % 10 = 4 AND day IN (SELECT DISTINCT o_orderdate::DATE FROM orders WHERE o_totalprice > 400000)) GROUP BY 1"""))
+def price_deletions(t: Tables) -> DataFrame:
+    """Prices before a floor go, those of a list of companies go, and single days of others go."""
+    rows = domain.market_prices(t).select("company_id", "day")
+    listed = domain.companies(t).filter("company_id % 10 = 3").select("company_id")
+    days = t("orders").filter("o_totalprice > 400000").select(F.to_date("o_orderdate").alias("day")).distinct()
+    left = state.delete_keys(rows.filter("day >= DATE'1997-01-01'"), listed, ["company_id"])
+    some, rest = left.filter("company_id % 10 = 4"), left.filter("company_id % 10 <> 4")
+    left = rest.unionByName(state.delete_keys(some, days, ["day"]))
+    return left.groupBy("company_id").agg(F.count(F.lit(1)).alias("kept"), F.min("day").alias("first_day"))
+
+
+@query("full_replace", "SELECT s_suppkey AS id, s_name AS company_name, 7e0 AS pe FROM supplier WHERE s_suppkey % 2 = 0")
+def full_replace(t: Tables) -> DataFrame:
+    """A table is emptied and filled again: nothing of the old one stays."""
+    folder = f"{fresh_folder(t.spark, 'full-pe')}"
+    row = lambda df, pe: df.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("company_name"), F.lit(pe).alias("pe"))
+    row(t("supplier"), 5.0).write.parquet(folder)
+    row(t("supplier").filter("s_suppkey % 2 = 0"), 7.0).write.mode("overwrite").parquet(folder)
+    return t.spark.read.parquet(folder)
+
+
+@query("market_grid", """
+SELECT page_id, 'Supplier#' || lpad((page_id % 100)::VARCHAR, 9, '0') AS name, page_id * 10 AS price, page_id + 5e-1 AS pe FROM pages
+WHERE 'Supplier#' || lpad((page_id % 100)::VARCHAR, 9, '0') IN (SELECT s_name FROM supplier)""")
+def market_grid(t: Tables) -> DataFrame:
+    """Rows of a market watch: of each row's boxes the first, ninth and eighteenth are name, price and P/E; known names stay."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("Supplier#"), F.lpad((k % 100).cast("string"), 9, "0"))
+    boxes = [F.lit("x")] * 18
+    boxes[0], boxes[8], boxes[17] = name, F.format_number(k * 10, 0), F.concat(k.cast("string"), F.lit(".5"))
+    row = lambda cells: F.concat(F.lit('<div class="row">'), *(F.concat(F.lit("<div>"), c, F.lit("</div>")) for c in cells), F.lit("</div>"))
+    html = F.concat(row(boxes), row([F.lit("stranger"), *boxes[1:]]))
+    rows = t("pages").select("page_id", F.explode(F.filter(F.split(html, '<div class="row">'), lambda r: r != "")).alias("row"))
+    cells = F.regexp_extract_all("row", F.lit("<div>([^<]*)</div>"), 1)
+    found = rows.withColumn("c", cells).filter(F.size("c") >= 18).select(
+        "page_id", F.trim(F.col("c")[0]).alias("name"), to_whole(F.col("c")[8]).alias("price"), to_amount(F.col("c")[17]).alias("pe"))
+    return found.join(t("supplier").select(F.col("s_name").alias("name")), "name", "left_semi").select("page_id", "name", "price", "pe")
+
+
+@query("growth_ranking", with_tables("interim", then="""-- more
+history AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY jyear DESC, jmonth DESC) AS rn FROM interim)
+SELECT company_id, floor((net_profit - net_profit_ly) / nullif(abs(net_profit_ly), 0) * 1e2 * 1e4 + 5e-1) / 1e4 AS eps_growth FROM history WHERE rn = 1 ORDER BY eps_growth DESC NULLS LAST, company_id LIMIT 1000"""))
+def growth_ranking(t: Tables) -> DataFrame:
+    """Companies by growth of the last report against the year before; a top-k report, in a defined order."""
+    last = profit_history(t).filter("rn = 1").select("company_id")
+    rows = latest_per(domain.interim_reports(t), ["company_id"], [F.desc("jyear"), F.desc("jmonth")]).join(last, "company_id")
+    growth = round_half(ratio(F.col("net_profit") - F.col("net_profit_ly"), F.abs("net_profit_ly")) * 100.0, 4)
+    return rows.select("company_id", growth.alias("eps_growth")).orderBy(F.col("eps_growth").desc_nulls_last(), "company_id").limit(1000)
