@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from quantloom.streaming.upsert import current, upsert_stream, windowed_counts
@@ -12,6 +14,15 @@ def test_upsert_stream(spark, tmp_path):
     spark.createDataFrame([(2, 8.0, 3), (3, 9.0, 3)], "k int, v double, at int").coalesce(1).write.mode("append").parquet(source)
     upsert_stream(spark, source, first.schema, target, log, ["k"], "at").awaitTermination()
     assert sorted((r["k"], r["v"]) for r in current(spark, target).collect()) == [(1, 7.0), (2, 8.0), (3, 9.0)]
+    # a batch writes only the buckets of its keys, and of these two versions stay
+    written = sorted(p.parent.name for p in Path(target).glob("v=*/bucket=*"))
+    assert written == ["v=000000000"] * 2 + ["v=000000001"] * 2
+    for v in (4.0, 5.0):
+        spark.createDataFrame([(3, v, 9)], "k int, v double, at int").coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark, source, first.schema, target, log, ["k"], "at").awaitTermination()
+    assert sorted((r["k"], r["v"]) for r in current(spark, target).collect()) == [(1, 7.0), (2, 8.0), (3, 5.0)]
+    buckets = [p.name for p in Path(target).glob("v=*/bucket=*")]
+    assert max(buckets.count(b) for b in buckets) == 2
 
 
 def test_windowed_counts_stream_equals_batch(spark, tmp_path):
