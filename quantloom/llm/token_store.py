@@ -8,6 +8,7 @@ the end and decompresses only the frames it wants.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -34,6 +35,11 @@ CACHE_WORDS = 1_000_000
 #: Visible characters of the Latin blocks, for which the library's normal form and Python's agree.
 LATIN = re.compile("[!-~\xa1-\xac\xae-\u024e]+")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normal form and the split that words may be taken through one by one, as a tokenizer's file has them.
+NORMAL_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -59,8 +65,8 @@ class WordEncoder:
         self.letters = byte_alphabet()
         self.cache: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        spec = self.tokenizer.to_str()
-        self.simple = SPLIT.replace("\\", "\\\\") in spec and '"ByteLevel"' in spec and '"Lowercase"' in spec and '"NFC"' in spec
+        spec = json.loads(self.tokenizer.to_str())
+        self.simple = spec["normalizer"] == NORMAL_FORM and spec["pre_tokenizer"] == WORD_SPLIT
 
     def piece(self, word: str) -> bytes:
         mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
@@ -157,9 +163,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     file_no, path, n_docs, n_tokens, first_token.
 
     Rows are dealt by ranges of (id, hash of the text), so an id that many rows share is split too; each partition is
-    one file, streamed document by document. A repeated task writes the same file again under a name of its own and
-    moves it into place. Null text counts as empty, null ids come first and are stored as the least 64-bit integer.
-    Rows that share an id are all stored. An empty table gives no files.
+    one file, streamed document by document. Each attempt of a task writes a file by a name of its own, and the manifest
+    names those of the attempts that count, so nothing is moved or overwritten. Null text counts as empty, null ids come
+    first and are stored as the least 64-bit integer. Rows that share an id are all stored. An empty table gives no
+    files. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -175,16 +182,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         for batch in batches:
             if batch.num_rows and writer is None:
                 store.create_dir(root, recursive=True)
-                name = f"{root}/tokens-{part:06d}.zst"
-                writer = FrameWriter(store.open_output_stream(f"{name}.{attempt}.tmp"))
+                name = f"tokens-{part:06d}-{attempt}.zst"
+                writer = FrameWriter(store.open_output_stream(f"{root}/{name}", compression=None))  # else the name decides
             ids = encoder(tokenizer)(batch.column(1).to_pylist())
             for doc_id, got in zip(batch.column(0).to_pylist(), ids):
                 writer.add(doc_id, got + struct.pack("<I", end_id))
         if writer:
             writer.close()
-            store.move(f"{name}.{attempt}.tmp", name)
             yield pa.RecordBatch.from_pydict({
-                "file_no": pa.array([part], pa.int64()), "path": [f"{folder}/tokens-{part:06d}.zst"],
+                "file_no": pa.array([part], pa.int64()), "path": [f"{folder}/{name}"],
                 "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([sum(writer.counts)], pa.int64())})
 
     made = materialize(dealt.mapInArrow(task, "file_no long, path string, n_docs long, n_tokens long"), "token-manifest")
