@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import calendar
-from quantloom.functions.numeric import power_of_ten_ratio, ratio, round_half, to_number
+from quantloom.functions.numeric import power_of_ten_ratio, round_half, to_number
 from quantloom.functions.text import company_key, normalize_text, tokens
 from quantloom.operators import state
 from quantloom.operators.html import links
