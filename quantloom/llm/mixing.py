@@ -55,7 +55,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     key, bucket = "__mix_source", "__mix_bucket"
     name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("null"))
-    sized = docs.withColumns({
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sized = docs.withColumns({  # all that needs the text, so that it isn't shuffled where the result doesn't have it
+        "__mix_tie": F.xxhash64(text), "__mix_deal": _fraction(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)),
         "mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")),
         key: name,
     })
@@ -65,13 +67,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
         F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("__mix_rate"), F.ceil(F.col("n") / bucket_rows).alias("__mix_buckets"),
         (_fraction(F.concat(F.lit(seed), F.col("key"))) / F.lit(16777216.0)).alias("__mix_offset"))
     plan = materialize(plan, "mix-plan")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     dealt = sized.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, key).withColumn(
-        bucket, _fraction(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)) % F.col("__mix_buckets"))
+        bucket, F.col("__mix_deal") % F.col("__mix_buckets"))
     counts = dealt.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__mix_rows"))
     before = counts.withColumn(
         "__mix_before", F.sum("__mix_rows").over(Window.partitionBy(key).orderBy(bucket)) - F.col("__mix_rows"))
-    at = F.row_number().over(Window.partitionBy(key, bucket).orderBy(F.desc("mix_size"), F.col(id_col).asc_nulls_first(), F.xxhash64(text)))
+    at = F.row_number().over(Window.partitionBy(key, bucket).orderBy(F.desc("mix_size"), F.col(id_col).asc_nulls_first(), "__mix_tie"))
     rate = F.col("__mix_rate")
     fraction = rate - F.floor(rate)
     step = F.greatest(F.lit(1), F.when(fraction > 0, F.floor(1.0 / F.greatest(fraction, F.lit(1e-9)) + 0.5)).otherwise(1)).cast("long")
