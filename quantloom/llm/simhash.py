@@ -163,14 +163,6 @@ def trie_join(values: np.ndarray, budget: int, edges: np.ndarray | None = None)
     return forest.roots()
 
 
-def trie_pairs(values: np.ndarray, roots: np.ndarray, budget: int, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of places of values, within a trie, that lie within budget bits and have different roots."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    if len(values) > 1:
-        trie_walk(values, budget, edges, roots, lambda i, j: out.append((i, j)) if len(i) else None)
-    return out
-
-
 def blocks(bits: list[int], parts: int) -> list[list[int]]:
     """Cut bit numbers into runs of nearly equal length."""
     edges = [round(i * len(bits) / parts) for i in range(parts + 1)]

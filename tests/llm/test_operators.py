@@ -711,10 +711,12 @@ def test_trie_pairs():
         roots = rng.integers(0, n // 2 + 1, n)
         want = {(i, j) for lo, hi in ((0, cut), (cut, n)) for i in range(lo, hi) for j in range(i + 1, hi)
                 if roots[i] != roots[j] and (int(values[i]) ^ int(values[j])).bit_count() <= budget}
-        got = [(a, b) for i, j in simhash.trie_pairs(values, roots, budget, np.array([0, cut, n])) for a, b in zip(i.tolist(), j.tolist())]
+        got = []
+        simhash.trie_walk(values, budget, np.array([0, cut, n]), roots, lambda i, j: got.extend(zip(i.tolist(), j.tolist())))
         assert set(got) == want and len(got) == len(want)
-    same = np.zeros(300, np.uint64)
-    assert sum(len(i) for i, _ in simhash.trie_pairs(same, np.arange(300), 0, np.array([0, 300]))) == 300 * 299 // 2
+    got = []
+    simhash.trie_walk(np.zeros(300, np.uint64), 0, np.array([0, 300]), np.arange(300), lambda i, j: got.extend(i.tolist()))
+    assert len(got) == 300 * 299 // 2
 
 
 def test_components_of_chains(spark):
