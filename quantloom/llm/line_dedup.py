@@ -48,6 +48,13 @@ def winnow(hashes: np.ndarray, window: int, weights: np.ndarray | None = None, l
     return chosen[head], starts[head], np.diff(np.append(head, len(starts)))
 
 
+def may_be_long(lengths: list[int], lines: int, words: int) -> bool:
+    """Whether so many lines in a row have the characters that so many words and the blanks between them take at least."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    lines = min(lines, len(lengths))
+    return lines > 0 and int((ends[lines:] - ends[:-lines]).max()) >= 2 * words - lines
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text",
                 drop_emptied: bool = False, long_words: int | None = None) -> DataFrame:
     """docs with text_col cleaned, and line_dedup_removed, the number of lines deleted.
@@ -84,9 +91,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
             out: list[list] = [[] for _ in names]
             for doc, tie, row, body in zip(*(c.to_pylist() for c in batch.columns)):
                 lines, at, hashes = line_hashes(body)
-                words = np.array([len(lines[i].encode().split()) for i in at]) if long_words else None
                 signed = hashes.view(np.int64).tolist()
-                for size in range(1 if long_words else min_lines, min_lines + 1):
+                words, sizes = None, (min_lines,)
+                if long_words and len(body or "") >= 2 * long_words - min_lines and may_be_long([len(lines[i]) for i in at], min_lines - 1, long_words):
+                    words, sizes = np.array([len(lines[i].encode().split()) for i in at]), range(1, min_lines + 1)
+                for size in sizes:
                     own = np.uint64(0 if size == min_lines else size * SIZE_MIX & (1 << 64) - 1)  # sizes don't count as partners
                     place, first, many = winnow(hashes, size) if size == min_lines else winnow(hashes, size, words, long_words)
                     for values, got in zip(out, ([doc] * len(place), [tie] * len(place), [row] * len(place), first.tolist(), [size] * len(place),
