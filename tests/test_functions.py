@@ -75,6 +75,29 @@ def test_asof_join(spark):
     assert early["a", 4] == 1.0 and early["b", 1] == 7.0 and early["c", 1] is None
 
 
+@pytest.mark.parametrize("keys", [1, 4])
+def test_asof_join_hot_key(spark, keys):
+    """A key that holds nine tenths of all rows is cut into ranges; what stands at a cut comes from the ranges before it."""
+    rnd = random.Random(keys)
+    key = lambda: None if keys > 1 and rnd.random() < 0.03 else 0 if rnd.random() < 0.9 else rnd.randrange(keys)
+    seen = {(key(), rnd.randrange(50, 4000)): rnd.random() for _ in range(300)}
+    asks = [(key(), rnd.randrange(0, 5000), i) for i in range(3000)]
+    observed = spark.createDataFrame([(k, d, v) for (k, d), v in seen.items()], "k int, d int, v double")
+    probes = spark.createDataFrame(asks, "k int, d int, i int")
+
+    def plain(k, d, early=False):
+        past = [t for x, t in seen if x == k and t <= d]
+        ahead = [t for x, t in seen if x == k and t > d] if early else []
+        return seen[k, max(past)] if past else seen[k, min(ahead)] if ahead else None
+
+    joined = asof.asof_join(probes, observed, "k", "d", "v")
+    assert {r["i"]: r["v"] for r in joined.collect()} == {i: plain(k, d) for k, d, i in asks}
+    assert "hashpartitioning(k" not in joined._jdf.queryExecution().toString().split("Physical Plan")[1]
+    early = asof.asof_join(probes, observed, "k", "d", "v", or_earliest=True)
+    assert {r["i"]: r["v"] for r in early.collect()} == {i: plain(k, d, True) for k, d, i in asks}
+
+
+
 def test_merges_are_idempotent(spark):
     old = spark.sql("SELECT * FROM VALUES (1, 10, 'x'), (2, 20, NULL) AS t(k, v, w)")
     new = spark.sql("SELECT * FROM VALUES (2, 21, 'y'), (3, 30, 'z') AS t(k, v, w)")
