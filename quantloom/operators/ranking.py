@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.joins import spread_join
 from quantloom.sources.store import written
 
 SENTINEL = 999999.0
@@ -74,17 +75,20 @@ def percentiles(df: DataFrame, key: str, factors: Mapping[str, Factor]) -> DataF
 
     (2 * smaller + equal - 1) / (2 * (known - 1)), 0.5 where only one is known. Ranking each factor over all rows would
     put them all into one task once a factor. Here the factors become rows, equal values combine before the shuffle, and
-    the running counts over the distinct values of all factors go by ranges. df is read twice, so it should be a table.
+    the running counts over the distinct values of all factors go by ranges. A value that very many rows share is dealt over
+    several tasks, and the sentinel takes no part in the join. df is read several times, so it should be a table.
     """
     names = list(factors)
     long = df.select(key, *names).unpivot([key], names, "factor", "value").filter("value IS NOT NULL")
+    invalid = long.filter(F.col("value") >= SENTINEL).select(key, "factor", F.lit(0.0).alias("p"))  # needs no rank, and many share it
     ties = long.groupBy("factor", "value").agg(F.count(F.lit(1)).alias("ties"))
     placed = with_running(ties, ["factor"], [F.col("value").asc()], F.col("ties"), "smaller", "known")
     share = F.coalesce((2.0 * F.col("smaller") + F.col("ties") - 1.0) / F.nullif(2.0 * (F.col("known") - 1), F.lit(0.0)), F.lit(0.5))
     lower = [n for n, f in factors.items() if f.lower_is_better]
     flipped = F.when(F.col("factor").isin(*lower) & (F.col("known") > 1), 1.0 - share).otherwise(share) if lower else share
-    scored = placed.select("factor", "value", F.when(F.col("value") >= SENTINEL, F.lit(0.0)).otherwise(flipped).alias("p"))
-    wide = long.join(scored, ["factor", "value"]).groupBy(key).pivot("factor", names).agg(F.max("p"))
+    scored = placed.filter(F.col("value") < SENTINEL).select("factor", "value", flipped.alias("p"))
+    valid = spread_join(long.filter(F.col("value") < SENTINEL), scored, ["factor", "value"], [key]).select(key, "factor", "p")
+    wide = valid.unionAll(invalid).groupBy(key).pivot("factor", names).agg(F.max("p"))
     wide = wide.select(F.col(key).alias("__key"), *(F.col(n).alias(f"__{n}") for n in names))
     return df.join(wide, df[key] == wide["__key"], "left").drop("__key").select(
         *df.columns, *(F.coalesce(F.col(f"__{n}"), F.lit(f.missing)).alias(f"{n}_rank") for n, f in factors.items()))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import clip, pct_of, ratio, round_half, within
 from quantloom.operators.asof import asof_join
 from quantloom.operators.corporate import price_index
+from quantloom.operators.joins import spread_join
+from quantloom.operators.ranking import with_running
 from quantloom.plans.backtest import LAG_DAYS, STALE_DAYS, month_ends, rank_correlation
 from quantloom.plans.registry import query
 from quantloom.plans.score import PROFIT_SQL, reports, tiers
@@ -26,6 +31,18 @@ NEUTRAL = {"ic": 0.5, "eq": 0.5, "pe": 0.0, "ps": 0.0, "liq": 0.0}
 FACTORS = [n for names in WEIGHTS.values() for n in names]
 
 
+@dataclass(frozen=True)
+class Rule:
+    """How a factor is ranked: between which bounds values differ, whether less is better, and what a missing one gets."""
+
+    bounds: tuple[float | None, float | None] = (None, None)
+    less_is_better: bool = False
+    missing: float = 0.3
+
+
+RULES = {f: Rule((-CAPS[f], CAPS[f]) if f in CAPS else (None, None), f in LESS_IS_BETTER, NEUTRAL.get(f, 0.3)) for f in FACTORS}
+
+
 #: What is added to each price, in cents, so that days differ about as much as on an exchange with daily limits.
 BASE_PRICE = 3_000_000
 
@@ -122,32 +139,56 @@ def cross_sections(t: Tables) -> DataFrame:
                        (c("key2") - r("k")).alias("report_age"), r("n").alias("n_reports"), s("n").alias("n_sales"), c("p.i").alias("n_days"), F.lit(True).alias("priced"))
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """rows, a table, with the rank of each factor among the day's companies, four parts of the score, its data quality and the
-    score. Days with fewer than MIN_UNIVERSE companies are left out."""
+def ranks(rows: DataFrame, factors: Mapping[str, Rule]) -> DataFrame:
+    """rows, a table with a row a company and day, with the rank of each factor among the day's companies: the mid-rank share.
+
+    Days with fewer than MIN_UNIVERSE companies are left out. Equal values of a day combine, the counts below a value run on
+    by ranges of (day, factor, value), and a value that many companies share is dealt over several tasks.
+    """
+    c = F.col
+    many = rows.groupBy("day").agg(F.count(F.lit(1)).alias("__many")).filter(c("__many") >= MIN_UNIVERSE)
+    rows = rows.join(many.drop("__many"), "day")  # a row a day
+    keys = rows.select("company_id", "day", *(clip(c(f), *rule.bounds).alias(f) for f, rule in factors.items()))
+    long = keys.unpivot(["company_id", "day"], list(factors), "factor", "value").filter("value IS NOT NULL")
+    same = long.groupBy("day", "factor", "value").agg(F.count(F.lit(1)).alias("same"))
+    placed = with_running(same, ["day", "factor"], [c("value").asc()], c("same"), "below", "n")
+    p = (2.0 * c("below") + c("same") - 1.0) / F.nullif(2.0 * (c("n") - 1.0), F.lit(0.0))
+    lower = [f for f, rule in factors.items() if rule.less_is_better]
+    placed = placed.select("day", "factor", "value", F.when(c("n") == 1, 0.5).otherwise(F.when(c("factor").isin(*lower), 1.0 - p).otherwise(p)).alias("rank"))
+    long = spread_join(long, placed, ["day", "factor", "value"], ["company_id"])
+    wide = long.groupBy("company_id", "day").pivot("factor", list(factors)).agg(F.max("rank")).select("company_id", "day", *(c(f).alias(f"r_{f}") for f in factors))
+    return rows.join(wide, ["company_id", "day"], "left").withColumns({f"r_{f}": F.coalesce(f"r_{f}", F.lit(rule.missing)) for f, rule in factors.items()})
+
+
+def penalties(stale: Column) -> dict[str, Column]:
+    """What each part of the score loses; old prices and reports count where stale."""
     c = F.col
-    rows = rows.withColumn("__many", F.count(F.lit(1)).over(Window.partitionBy("day"))).filter(c("__many") >= MIN_UNIVERSE).drop("__many")
-    ranked = rows.select("company_id", "day", *(clip(c(f), -CAPS[f], CAPS[f]).alias(f) if f in CAPS else c(f) for f in FACTORS))
-    long = ranked.unpivot(["company_id", "day"], FACTORS, "factor", "value").filter("value IS NOT NULL")
-    group = Window.partitionBy("day", "factor")
-    n, below = F.count(F.lit(1)).over(group), F.rank().over(group.orderBy("value")) - 1
-    same = F.count(F.lit(1)).over(Window.partitionBy("day", "factor", "value"))
-    p = (2.0 * c("below") + c("same") - 1.0) / (2.0 * (c("n") - 1.0))
-    long = long.withColumns({"n": n, "below": below, "same": same}).withColumn(
-        "rank", F.when(c("n") == 1, 0.5).otherwise(F.when(c("factor").isin(*LESS_IS_BETTER), 1.0 - p).otherwise(p)))
-    wide = long.groupBy("company_id", "day").pivot("factor", FACTORS).agg(F.max("rank"))
-    wide = wide.select("company_id", "day", *(c(f).alias(f"r_{f}") for f in FACTORS))
-    rows = rows.join(wide, ["company_id", "day"], "left").withColumns({f"r_{f}": F.coalesce(f"r_{f}", F.lit(NEUTRAL.get(f, 0.3))) for f in FACTORS})
     flag = lambda x, worth: F.coalesce(F.when(x, worth), F.lit(0.0))
     ramp = F.coalesce(clip((c("eq") - 20.0) / 80.0, 0.0, 1.0) * 8.0, F.lit(0.0))
-    penalty = {"growth_s": flag(clip(c("sg12"), -150, 150) < -20, 6.0) + flag(clip(c("opg"), -250, 250) < -25, 5.0),
-               "prof_s": flag(c("ttm_np") < 0, 10.0) + flag(c("ic") < 1.5, 4.0) + flag(clip(c("mt"), -25, 25) < -2, 3.0) + ramp,
-               "val_s": F.when(c("pe").isNull(), 8.0).otherwise(0.0), "mkt_s": flag(c("price_age") > 14, 4.0) + flag(c("report_age") > 8, 3.0)}
-    dq = (tiers(c("n_sales"), (24, 0.28), (12, 0.16), (6, 0.09)) + tiers(c("n_reports"), (16, 0.28), (8, 0.16), (4, 0.09)) + tiers(c("n_days"), (90, 0.21), (30, 0.13), (10, 0.06))
-          + F.when(c("priced"), 0.09).otherwise(0.0) + tiers(c("report_age"), (5, 0.08), (8, 0.045), at_most=True) + tiers(c("price_age"), (7, 0.06), (14, 0.035), at_most=True))
-    parts = {name: F.greatest(sum((c(f"r_{f}") * float(w) for f, w in ws.items()), F.lit(0.0)) - penalty[name], F.lit(0.0)) for name, ws in WEIGHTS.items()}
-    rows = rows.withColumns({**parts, "dq": dq})
-    return rows.withColumn("score", round_half(c("dq") * sum((c(name) for name in WEIGHTS), F.lit(0.0)), 6))
+    return {"growth_s": flag(clip(c("sg12"), -150, 150) < -20, 6.0) + flag(clip(c("opg"), -250, 250) < -25, 5.0),
+            "prof_s": flag(c("ttm_np") < 0, 10.0) + flag(c("ic") < 1.5, 4.0) + flag(clip(c("mt"), -25, 25) < -2, 3.0) + ramp,
+            "val_s": F.when(c("pe").isNull(), 8.0).otherwise(0.0),
+            "mkt_s": F.when(stale, flag(c("price_age") > 14, 4.0) + flag(c("report_age") > 8, 3.0)).otherwise(0.0)}
+
+
+def with_quality(rows: DataFrame) -> DataFrame:
+    c = F.col
+    return rows.withColumn("dq", tiers(c("n_sales"), (24, 0.28), (12, 0.16), (6, 0.09)) + tiers(c("n_reports"), (16, 0.28), (8, 0.16), (4, 0.09))
+                           + tiers(c("n_days"), (90, 0.21), (30, 0.13), (10, 0.06)) + F.when(c("priced"), 0.09).otherwise(0.0)
+                           + tiers(c("report_age"), (5, 0.08), (8, 0.045), at_most=True) + tiers(c("price_age"), (7, 0.06), (14, 0.035), at_most=True))
+
+
+def part_scores(ranked: DataFrame, weight: Callable[[str], Column], stale: Column, parts: Mapping[str, Iterable[str]]) -> DataFrame:
+    """ranked with four parts of the score and the score: weighted ranks less penalties, none below zero, times data quality."""
+    lost = penalties(stale)
+    rows = ranked.withColumns({name: F.greatest(sum((F.col(f"r_{f}") * weight(f) for f in names), F.lit(0.0)) - lost[name], F.lit(0.0)) for name, names in parts.items()})
+    return rows.withColumn("score", round_half(F.col("dq") * sum((F.col(name) for name in parts), F.lit(0.0)), 6))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """rows, a table, with the ranks, four parts of the score, its data quality and the score by the fixed weights."""
+    fixed = {f: w for ws in WEIGHTS.values() for f, w in ws.items()}
+    return part_scores(with_quality(ranks(rows, RULES)), lambda f: F.lit(float(fixed[f])), F.lit(True), WEIGHTS)
 
 
 def portfolios(rows: DataFrame) -> DataFrame:
