@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantloom.sources.store import small_batches, written
+
 #: Columns that a cell may span, as browsers have it; rows are bounded by the table's own.
 MOST_COLUMNS = 1000
 EXACT = re.compile(r"\[([-\d.,]+)\]")
@@ -149,9 +151,17 @@ def cells(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.mapInArrow(task, schema)
 
 
+def parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """cells, written once: pages are parsed in batches bounded by bytes, and what reads the cells again and again, as a
+    statement's finder does, parses nothing."""
+    with small_batches(pages.sparkSession):
+        return written(cells(pages, html_col), "cells")
+
+
 def links(html: Column) -> Column:
-    """The targets of all links, in order."""
-    return F.regexp_extract_all(html, F.lit('<a[^>]*href="([^"]*)"'), 1)
+    """The targets of all links, in order, quoted either way or not at all."""
+    found = F.regexp_extract_all(html, F.lit("""<a\\s[^>]*?\\bhref\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)"""), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, """^["']|["']$""", ""))
 
 
 def element_text(html: Column, element: str) -> Column:

@@ -63,6 +63,11 @@ def _prices(t: Tables) -> DataFrame:
     return rows.select("company_id", "day", F.struct("close", "i", "log_index", "mom", "vol", "liq").alias("p"))
 
 
+#: What a report says itself of profits, cash and its balance sheet.
+FILED = ("npa", "npa_ly", "npa_fyprev", "op_raw", "op_ly_raw", "op_fyprev", "revenue_fyprev", "cash_flow", "cash_flow_ly", "cash_flow_fyprev",
+         "total_assets", "current_assets", "total_liabilities", "current_liabilities", "total_equity")
+
+
 def _reports(t: Tables) -> DataFrame:
     """company_id, day (of publication), r: each report with last year's and the year before's figures."""
     rows = reports(domain.interim_reports(t)).withColumn("k", F.col("jyear") * 12 + F.col("jmonth"))
@@ -72,7 +77,7 @@ def _reports(t: Tables) -> DataFrame:
     at = {"lyp": F.col("k") - 12, "fy": (F.col("jyear") - 1) * 12 + 12, "lyp2": F.col("k") - 24, "fy2": (F.col("jyear") - 2) * 12 + 12}
     rows = rows.withColumns({name: F.try_element_at("all", k) for name, k in at.items()})
     out = F.date_add(F.last_day(F.make_date("jyear", "jmonth", F.lit(1))), LAG_DAYS)
-    return rows.select("company_id", out.alias("day"), F.struct("k", "jmonth", "n", "eps", "p1", "op", "op_ly", "revenue", "revenue_ly", "finance_costs", "other_non_op", *at).alias("r"))
+    return rows.select("company_id", out.alias("day"), F.struct("k", "jmonth", "n", "eps", "p1", "op", "op_ly", "revenue", "revenue_ly", "finance_costs", "other_non_op", *FILED, *at).alias("r"))
 
 
 def _sales(t: Tables) -> DataFrame:
@@ -95,7 +100,8 @@ def cross_sections(t: Tables) -> DataFrame:
     """A row a company and month end: factors, ages and counts as known on that day, and returns over three horizons.
 
     Prices of the day and of all horizons are found in one as-of pass, reports and sales in one each. Reports are known
-    LAG_DAYS after their period; a price older than STALE_DAYS at a horizon gives no return.
+    LAG_DAYS after their period; a price older than STALE_DAYS at a horizon gives no return. The latest report itself is
+    in column r.
     """
     ends = month_ends(t).withColumn("key", F.year("day") * 12 + F.month("day"))  # a fixed list of days
     base = domain.companies(t).select("company_id").crossJoin(F.broadcast(ends))
@@ -136,7 +142,7 @@ def cross_sections(t: Tables) -> DataFrame:
                              "pe": F.when((c("pe_any") > 0) & (c("pe_any") <= 60), c("pe_any"))})
     rows = rows.withColumn("ps", F.when(c("nm12") > 0, c("pe") * c("nm12") / 100.0)).withColumn("ps", F.when(c("ps") <= 100, c("ps")))
     return rows.select("company_id", "day", "ttm_np", *(round_half(c(f), 6).alias(f) for f in FACTORS), *(round_half(c(f"fwd{h}"), 8).alias(f"fwd{h}") for h in HORIZONS), "price_age",
-                       (c("key2") - r("k")).alias("report_age"), r("n").alias("n_reports"), s("n").alias("n_sales"), c("p.i").alias("n_days"), F.lit(True).alias("priced"))
+                       (c("key2") - r("k")).alias("report_age"), r("n").alias("n_reports"), s("n").alias("n_sales"), c("p.i").alias("n_days"), F.lit(True).alias("priced"), "r")
 
 
 def ranks(rows: DataFrame, factors: Mapping[str, Rule]) -> DataFrame:
@@ -203,7 +209,7 @@ def portfolios(rows: DataFrame) -> DataFrame:
 
 
 def _section(t: Tables) -> DataFrame:
-    return written(cross_sections(t), "cross-sections")
+    return written(cross_sections(t).drop("r"), "cross-sections")
 
 
 _SERIES = (*FACTORS, *WEIGHTS, "dq", "score")

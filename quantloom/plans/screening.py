@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import calendar
 from quantloom.functions.numeric import ratio, round_half, to_amount, to_decimal, to_whole
 from quantloom.functions.text import compact_number, is_identifier, is_md5, normalize_letters, normalize_name, percent_text, url_join, url_parameter, with_page
-from quantloom.operators import state
+from quantloom.operators import elements, state
 from quantloom.operators.ranking import latest_per
 from quantloom.plans.market import profit_history, steady_growth
 from quantloom.plans.portfolio import _LIVE_SQL, _valued, live_prices, value_holdings
@@ -448,17 +448,21 @@ def full_replace(t: Tables) -> DataFrame:
 SELECT page_id, 'Supplier#' || lpad((page_id % 100)::VARCHAR, 9, '0') AS name, page_id * 10 AS price, page_id + 5e-1 AS pe FROM pages
 WHERE 'Supplier#' || lpad((page_id % 100)::VARCHAR, 9, '0') IN (SELECT s_name FROM supplier)""")
 def market_grid(t: Tables) -> DataFrame:
-    """Rows of a market watch: of each row's boxes the first, ninth and eighteenth are name, price and P/E; known names stay."""
+    """Rows of a market watch on pages with other markup: of a row's boxes, nested as they are, the first has the name, as a link,
+    the ninth the price and the eighteenth P/E; known names stay, and rows of fewer boxes give nothing."""
     k = F.col("page_id")
-    name = F.concat(F.lit("Supplier#"), F.lpad((k % 100).cast("string"), 9, "0"))
-    boxes = [F.lit("x")] * 18
-    boxes[0], boxes[8], boxes[17] = name, F.format_number(k * 10, 0), F.concat(k.cast("string"), F.lit(".5"))
-    row = lambda cells: F.concat(F.lit('<div class="row">'), *(F.concat(F.lit("<div>"), c, F.lit("</div>")) for c in cells), F.lit("</div>"))
-    html = F.concat(row(boxes), row([F.lit("stranger"), *boxes[1:]]))
-    rows = t("pages").select("page_id", F.explode(F.filter(F.split(html, '<div class="row">'), lambda r: r != "")).alias("row"))
-    cells = F.regexp_extract_all("row", F.lit("<div>([^<]*)</div>"), 1)
-    found = rows.withColumn("c", cells).filter(F.size("c") >= 18).select(
-        "page_id", F.trim(F.col("c")[0]).alias("name"), to_whole(F.col("c")[8]).alias("price"), to_amount(F.col("c")[17]).alias("pe"))
+    name = F.concat(F.lit("Supplier&#35;"), F.lpad((k % 100).cast("string"), 9, "0"))
+    boxes = [F.lit("x<br>y &amp; z")] * 18
+    boxes[0], boxes[8], boxes[17] = F.concat(F.lit("<a href='?i=1&amp;x=2'> "), name, F.lit("</a> <i>note")), F.concat(F.lit("<b>"), F.format_number(k * 10, 0), F.lit("</b>")), F.concat(k.cast("string"), F.lit(".<span>5</span>"))
+    # boxes two to nine stand in one another, those behind them don't
+    nested = [F.concat(F.lit("<div class=t1c>"), boxes[0], F.lit("</div>")), F.lit("<div id=a>" * 7), F.concat(F.lit('<div data-x="<div>">'), boxes[8], F.lit("</div>" * 8)),
+              *(F.concat(F.lit("<div class='t0c'>"), c, F.lit("</div>")) for c in boxes[9:])]
+    row = lambda cells: F.concat(F.lit("<div class='{c' onclick=\"mw.SelectRow(&quot;7&quot;)\">"), *cells, F.lit("</div></p>"))
+    grid = F.concat(F.coalesce("html", F.lit("")), F.lit("--></script></style><div class=main><div onclick='other()'><div>1</div></div>"), row(nested),
+                    row([F.lit("<div><a>stranger</a></div>"), *nested[1:]]), row(nested[:2]), F.lit("<div onclick=mw.SelectRow><div>unclosed"))
+    rows = elements.element_rows(t("pages").select("page_id", grid.alias("html")), "div", "onclick", r"mw\.SelectRow")
+    c = F.col("boxes")
+    found = rows.filter(F.size(c) >= 18).select("page_id", c[0]["link"].alias("name"), to_whole(c[8]["text"]).alias("price"), to_amount(c[17]["text"]).alias("pe"))
     return found.join(t("supplier").select(F.col("s_name").alias("name")), "name", "left_semi").select("page_id", "name", "price", "pe")
 
 

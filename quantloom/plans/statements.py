@@ -82,7 +82,7 @@ SELECT k AS page_id, CASE WHEN three THEN 3 ELSE 2 END::BIGINT AS n_periods, '14
        (k + 6)::DOUBLE AS net_profit_amount, -k::DOUBLE AS net_profit_amount_ly, CASE WHEN three THEN (k + 7)::DOUBLE END AS net_profit_amount_fyprev
 FROM p""")
 def income_statement(t: Tables) -> DataFrame:
-    rows = statements.income_statement(html.cells(income_pages(t)), ["page_id"])
+    rows = statements.income_statement(html.parsed(income_pages(t)), ["page_id"])
     return rows.withColumn("n_periods", F.col("n_periods").cast("long"))
 
 
@@ -93,7 +93,7 @@ SELECT page_id, metric, period::BIGINT AS period, value FROM (
 def income_facts(t: Tables) -> DataFrame:
     """The same pages as facts: a row for each of two metrics and the first two periods, also of pages that lack required lines."""
     lines = {name: statements.INCOME[name] for name in ("revenue", "net_profit")}
-    cells = html.cells(income_pages(t))
+    cells = html.parsed(income_pages(t))
     own = cells.join(statements.best_tables(cells, ["page_id"], statements.INCOME_MARKS), ["page_id", "table_no"])
     found = statements.find_lines(own, ["page_id"], lines)
     wide = found.select("page_id", *(F.col(f"{n}.v{p}").alias(f"{n}:{p}") for n in lines for p in (1, 2)))
@@ -122,7 +122,7 @@ def balance_and_cash(t: Tables) -> DataFrame:
     report = F.when(k % 2 == 0, fair).otherwise(poor)
     for name, value in (("ca", k * 2), ("ta", k * 3), ("cf", k)):
         report = F.replace(report, F.lit("{" + name + "}"), value.cast("string"))
-    cells = html.cells(_pages(t, report))
+    cells = html.parsed(_pages(t, report))
     both = statements.balance_sheet(cells, ["page_id"]).join(statements.cash_flow(cells, ["page_id"]), "page_id", "full_outer")
     return both.select("page_id", "total_assets", "current_assets", "total_equity_ly", "current_liabilities_ly", "total_liabilities", "operating_cash_flow", "operating_cash_flow_ly")
 
@@ -156,7 +156,7 @@ def monthly_report(t: Tables) -> DataFrame:
     product = F.replace(product, F.lit("{x14}"), persian(F.format_number(k * 10 + 1, 0)))
     pages = _pages(t, F.when(k % 3 == 0, product).when(k % 3 == 1, filled(SERVICE_PAGE, s=k + 1)).otherwise(TOTALLESS_PAGE))
     dates = pages.select("page_id", statements.normalize_text(html.element_text(F.col("html"), "ctl00_lblPeriodEndToDate")).alias("report_date"))
-    figures = statements.monthly_report(html.cells(pages), ["page_id"])
+    figures = statements.monthly_report(html.parsed(pages), ["page_id"])
     return figures.join(dates, "page_id").select("page_id", "report_date", "production", "sales_quantity", "sales_amount", "total")
 
 
@@ -174,6 +174,6 @@ def history_grid(t: Tables) -> DataFrame:
         f"<tr class='ev_modern'><td>2020/01/0{1 + r}</td><td></td><td>{{h{r}}}</td><td>1</td><td>-1.5 %</td><td>3</td><td>4</td><td>0.5</td><td>(7)</td>{plain(3)}"
         f"<td><span style='display:none'>[{{v}}.00]</span><div>1.2B</div></td><td title='{{k}}'>5 K</td><td>9</td><td>۱۳۹۸/۱۰/{11 + r}</td></tr>" for r in range(3))
     report = filled(HISTORY_PAGE.replace("{rows}", rows), h0=k * 100, h1=k * 100 + 1, h2=k * 100 + 2, v=F.lit(1234567890123) + k, k=k)
-    found = statements.price_history(html.cells(_pages(t, report)), ["page_id"])
+    found = statements.price_history(html.parsed(_pages(t, report)), ["page_id"])
     return found.select("page_id", "gregorian_date", "jalali_date", "high_price", round_half(F.col("closing_change_percent"), 4).alias("closing_change_percent"),
                         "trade_value", "volume", "last_change")
