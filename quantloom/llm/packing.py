@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from quantloom.llm.token_store import byte_alphabet
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHE_CHUNKS = 1_000_000
+CACHE_STRETCHES = 700_000
 #: Tokens of an Arrow batch of pieces.
 BATCH_TOKENS = 1 << 20
 #: The parts of a tokenizer's file under which a text may be cut before white space, and the split that they stand for.
@@ -33,55 +33,75 @@ SPLIT_BY_SPACE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What is or may be white space to the library or to Python.
 WHITE = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
-#: Where a text may be cut, and a blank or line feed before which it may not.
-CUT, LOOSE = re.compile(f"(?=[ \n][^{WHITE}])"), re.compile(f"[ \n](?![^{WHITE}])")
+#: Where a text may be cut.
+CUT = re.compile(f"(?=[ \n][^{WHITE}])")
 #: Stretches of characters whose kinds the library and Python agree on.
-LATIN = re.compile("[ \n]?[!-~\xa1-\xac\xae-\u024e]+")
+LATIN = re.compile(" ?[!-~\xa1-\xac\xae-\u024e]+")
 
 
-class ByteEncoder(dict):
+class Stretches(dict):
+    """The ids of stretches of text, each with `lead` before it, found when they are first asked for."""
+
+    def __init__(self, lead: str, find: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.lead, self.find = lead, find
+
+    def __missing__(self, stretch: str) -> bytes:
+        self[stretch] = ids = self.find(self.lead + stretch)
+        return ids
+
+
+class ByteEncoder:
     """Encodes whole texts with a byte-level BPE tokenizers file and remembers the ids of stretches between white space.
 
     The last white-space character before a visible one always starts a word of the file's split or is a word, and no word
     goes beyond it. So a text may be cut before each such blank or line feed, and its ids are those of the stretches one
-    after another. A stretch of Latin letters, digits and marks goes through the file's split and the library's BPE model;
-    any other, and all with a special token in them, through the library as it stands. Where a file normalises or splits
-    otherwise, texts are encoded whole.
+    after another; a line feed is a word, so the line after it starts anew. A stretch of Latin letters, digits and marks
+    goes through the file's split and the library's BPE model; any other, and all with a special token in them, through
+    the library as it stands. Where a file normalises or splits otherwise, texts are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_alphabet()
         spec = json.loads(self.tokenizer.to_str())
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.by_space = (spec["normalizer"] is None and spec["pre_tokenizer"] == SPLIT_BY_SPACE and spec["truncation"] is None and spec["padding"] is None
                          and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"]))
+        self.words, self.starts, self.spaced = Stretches("", self.word), Stretches("", self.stretch), Stretches(" ", self.stretch)
+        self.feed = self.stretch("\n")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        """The ids of a stretch, which is then remembered."""
-        if not LATIN.fullmatch(chunk) or any(t in chunk for t in self.special):
-            ids = self.whole(chunk)
-        else:
-            words = (chunk,) if chunk[0] == " " and chunk[1:].isalpha() else SPLIT.findall(chunk)
-            ids = array("I", [t.id for w in words for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        self[chunk] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def stretch(self, text: str) -> bytes:
+        if not LATIN.fullmatch(text) or self.special.search(text):
+            return self.whole(text)
+        if text.lstrip(" ").isalpha():
+            return self.words[text]
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
 
     def __call__(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_space:
             return self.whole(text)
-        if len(self) > CACHE_CHUNKS:
-            self.clear()
-        plain = "\0" not in text and not LOOSE.search(text)
-        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if plain else CUT.split(text)
-        return b"".join(map(self.__getitem__, chunks))
+        for known in (self.words, self.starts, self.spaced):
+            if len(known) > CACHE_STRETCHES:
+                known.clear()
+        flat = text.replace("\n", " ")
+        if not flat.isprintable() or "  " in flat or flat.startswith(" ") or flat.endswith(" "):
+            return b"".join(map(self.starts.__getitem__, CUT.split(text)))
+        starts, spaced, out = self.starts, self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out += [self.feed, starts[first], *map(spaced, rest)]
+        return b"".join(out[1:])
 
 
 def pieces_of(tokens: int, most: int) -> list[int]:
