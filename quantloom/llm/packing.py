@@ -57,8 +57,9 @@ class ByteEncoder:
     The last white-space character before a visible one always starts a word of the file's split or is a word, and no word
     goes beyond it. So a text may be cut before each such blank or line feed, and its ids are those of the stretches one
     after another; a line feed is a word, so the line after it starts anew. A stretch of Latin letters, digits and marks
-    goes through the file's split and the library's BPE model; any other, and all with a special token in them, through
-    the library as it stands. Where a file normalises or splits otherwise, texts are encoded whole.
+    goes through the file's split and the library's BPE model, any other through the library as it stands. Texts with a
+    special token in them, before which white space is split as at a text's end, are encoded whole, as are all texts where
+    a file normalises or splits otherwise.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,8 +68,7 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_alphabet()
         spec = json.loads(self.tokenizer.to_str())
-        added = [t["content"] for t in spec["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_space = (spec["normalizer"] is None and spec["pre_tokenizer"] == SPLIT_BY_SPACE and spec["truncation"] is None and spec["padding"] is None
                          and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"]))
         self.words, self.starts, self.spaced = Stretches("", self.word), Stretches("", self.stretch), Stretches(" ", self.stretch)
@@ -81,7 +81,7 @@ class ByteEncoder:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def stretch(self, text: str) -> bytes:
-        if not LATIN.fullmatch(text) or self.special.search(text):
+        if not LATIN.fullmatch(text):
             return self.whole(text)
         if text.lstrip(" ").isalpha():
             return self.words[text]
@@ -89,7 +89,7 @@ class ByteEncoder:
 
     def __call__(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
-        if not self.by_space:
+        if not self.by_space or any(t in text for t in self.special):
             return self.whole(text)
         for known in (self.words, self.starts, self.spaced):
             if len(known) > CACHE_STRETCHES:
