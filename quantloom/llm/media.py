@@ -62,7 +62,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         found = re.findall(rb"[01]" if bitmap else rb"\d+", re.sub(rb"#[^\n]*", b"", data[at - 1:]))
         if not 0 < n <= len(found):
             raise ValueError("Netpbm: samples are missing")
-        samples = np.array([int(x[:6]) for x in found[:n]])
+        samples = np.array([int(x.lstrip(b"0")[:6] or 0) for x in found[:n]])
     samples = samples.reshape(height, width, channels)
     if bitmap:
         return ((1 - samples) * 255).astype(np.uint8)
