@@ -98,8 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
     reaches the driver is the kept features of the sample.
 
     Labels that are null or rows whose id is null take no part; an id labelled more than once counts as toxic if any
-    label says so. Documents that share a labelled id are rows of the sample each, with that label. Null and empty texts
-    have no features. Without toxic or without clean labels, or without a feature that is strong enough, the model
+    label says so. Of documents that share a labelled id the text of the least hash is in the sample, so that many
+    rows of an id don't go beyond its bound. Null and empty texts have no features. Without toxic or without clean labels, or without a feature that is strong enough, the model
     predicts grade 0 for all. Other columns of both tables are ignored.
     """
     spark = docs.sparkSession
@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
                 [pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.int32())), batch.column(1), batch.column(2)],
                 ["feature", "count", "toxic", "half"])
 
-    sample = texts.join(F.broadcast(marked), "id").select("text", "toxic", "half")
+    sample = texts.join(F.broadcast(marked), "id").groupBy("id", "toxic", "half").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    sample = sample.select("text", "toxic", "half")
     sample = sample.mapInArrow(count, "feature array<string>, count array<int>, toxic int, half int")
     sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
     totals = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}  # four rows
