@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import join_split, materialize, small_batches, table
+from quantloom.llm.common import WORD, join_split, materialize, small_batches, table
 
 MIN_LINES = 3
 LONG_WORDS = 50
 SIZE_MIX = 0x9E3779B97F4A7C15
 
 
-def line_hashes(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The lines of a text, the places of those that aren't blank, and the hashes of these without outer white space."""
+def line_hashes(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of a text, the places of those that aren't blank, and two hashes of these without outer white space, of 64
+    and of 32 bits."""
     lines = (text or "").split("\n")
     bare = [x.strip(" \t\r\v\f") for x in lines]
     at = [i for i, x in enumerate(bare) if x]
-    return lines, np.array(at, np.int64), np.array([xxhash.xxh64_intdigest(bare[i].encode()) for i in at], np.uint64)
+    raw = [bare[i].encode() for i in at]
+    return lines, np.array(at, np.int64), np.array([*map(xxhash.xxh64_intdigest, raw)], np.uint64), np.array([*map(xxhash.xxh32_intdigest, raw)], np.uint32)
 
 
 def winnow(hashes: np.ndarray, window: int, weights: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
 
     Blank lines never match and stay. Null texts stay null and remove nothing; empty and short texts stay as they are.
     Repeated rows, with equal or different or null ids, are copies, of which the first stays. With drop_emptied,
-    documents whose lines all went are left out. A column of docs by the new name is replaced. An empty table gives no
+    documents of which only white space is left are left out. A stretch is known by two hashes of its lines. A column of docs by the new name is replaced. An empty table gives no
     rows.
     """
     docs = docs.drop("line_dedup_removed")
@@ -84,14 +86,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "line-texts")
     slim = rows.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(plain[text]).alias("tie"), "row",
                        F.col(plain[text]).alias("text"))
-    names, kinds = ["id", "tie", "row", "start", "size", "mark", "lines"], [*[pa.int64()] * 6, pa.list_(pa.int64())]
+    names, kinds = ["id", "tie", "row", "start", "size", "mark", "lines", "checks"], [*[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, tie, row, body in zip(*(c.to_pylist() for c in batch.columns)):
-                lines, at, hashes = line_hashes(body)
-                signed = hashes.view(np.int64).tolist()
+                lines, at, hashes, checks = line_hashes(body)
+                signed, checks = hashes.view(np.int64).tolist(), checks.view(np.int32).tolist()
                 words, sizes = None, (min_lines,)
                 if long_words and len(body or "") >= 2 * long_words - min_lines and may_be_long([len(lines[i]) for i in at], min_lines - 1, long_words):
                     words, sizes = np.array([len(lines[i].encode().split()) for i in at]), range(1, min_lines + 1)
@@ -100,21 +102,22 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
                     place, first, many = winnow(hashes, size) if size == min_lines else winnow(hashes, size, words, long_words)
                     for values, got in zip(out, ([doc] * len(place), [tie] * len(place), [row] * len(place), first.tolist(), [size] * len(place),
                                                  (hashes[place] ^ own).view(np.int64).tolist(),
-                                                 [signed[a:a + n + size - 1] for a, n in zip(first.tolist(), many.tolist())])):
+                                                 *([x[a:a + n + size - 1] for a, n in zip(first.tolist(), many.tolist())] for x in (signed, checks)))):
                         values += got
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    places = slim.mapInArrow(fingerprints, "id long, tie long, row long, start long, size long, mark long, lines array<bigint>")
+    places = slim.mapInArrow(fingerprints, "id long, tie long, row long, start long, size long, mark long, lines array<bigint>, checks array<int>")
     places = materialize(places, "line-places")
     marks = places.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
     near = join_split(places, marks, ["mark"], ["row", "start"])
+    part = lambda c, k: F.slice(c, k + 1, F.col("size").cast("int"))
     windows = F.transform(F.sequence(F.lit(0), F.size("lines") - F.col("size").cast("int")), lambda k: F.struct(
-        (F.col("start") + k).alias("start"), F.xxhash64("mark", F.slice("lines", k + 1, F.col("size").cast("int"))).alias("stretch")))
-    grown = near.select("id", "tie", "row", "size", F.explode(windows).alias("w")).select("id", "tie", "row", "w.start", "size", "w.stretch")
+        (F.col("start") + k).alias("start"), F.xxhash64("mark", part("lines", k)).alias("stretch"), F.xxhash64(part("checks", k), part("lines", k)).alias("check")))
+    grown = near.select("id", "tie", "row", "size", F.explode(windows).alias("w")).select("id", "tie", "row", "w.start", "size", "w.stretch", "w.check")
     grown = materialize(grown, "line-stretches")
     place = F.struct("id", "tie", "row", "start")
-    firsts = grown.groupBy("stretch").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("stretch", "first")
-    later = join_split(grown, firsts, ["stretch"], ["row", "start"]).filter(place != F.col("first"))
+    firsts = grown.groupBy("stretch", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("stretch", "check", "first")
+    later = join_split(grown, firsts, ["stretch", "check"], ["row", "start"]).filter(place != F.col("first"))
     cut = later.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("cut"))
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
                     bodies.append(body)
                     gone.append(0)
                     continue
-                lines, at, _ = line_hashes(body)
+                lines, at, *_ = line_hashes(body)
                 hit = np.zeros(len(at) + 1, np.int64)
                 np.add.at(hit, [r["start"] for r in runs], 1)
                 np.add.at(hit, [r["start"] + r["size"] for r in runs], -1)
@@ -141,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     schema = T.StructType([f for f in joined.schema.fields if f.name != "cut"] + [T.StructField("gone", T.LongType())])
     out = joined.mapInArrow(delete, schema)
     if drop_emptied:
-        out = out.filter((F.col("gone") == 0) | (F.trim(F.col(plain[text])) != ""))
+        out = out.filter((F.col("gone") == 0) | F.col(plain[text]).rlike(WORD))
     return out.toDF(*docs.columns, "line_dedup_removed")
 
 
