@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import materialize, small_batches, table
+from quantloom.llm.common import join_split, materialize, small_batches, table
 
 BITS = 64
 WORDS = 4
@@ -259,7 +259,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     roots = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
     roots = materialize(roots, name)
     while True:
-        near = both.join(roots.select(F.col("node").alias("v"), F.col("root").alias("near")), "v")
+        near = join_split(both, roots.select(F.col("node").alias("v"), F.col("root").alias("near")), ["v"], ["u"])
         best = near.groupBy("u").agg(F.min("near").alias("near"))
         seen = roots.join(best, roots["node"] == best["u"]).select("node", "root", F.least("root", "near").alias("low"))
         hook = seen.select(F.col("root").alias("node"), "low").union(seen.select("node", "low")).groupBy("node").agg(F.min("low").alias("low"))
