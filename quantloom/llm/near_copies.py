@@ -27,6 +27,8 @@ BANDS, ROWS = 24, 4
 #: Of 96 minima, pairs at 0.8 agree on 77 on average and, but for five in a million, on 60.
 LEAST_MINIMA = 60
 GROUP_ROWS = 4000
+#: Bytes of sets that a part of a group has, about.
+GROUP_BYTES = 32 << 20
 MIX = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -52,26 +54,27 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 
 def _sketches(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """docs with node, the hash of the set of shingles, keys, one a band, fp, the fingerprint, and sketch, a byte of each
+    """docs with set1 and set2, two hashes of the set of shingles, keys, one a band, fp, the fingerprint, and sketch, a byte of each
     minimum."""
     at = docs.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, prints, bytes_ = [], [], [], []
+            sets, others, keys, prints, bytes_ = [], [], [], [], []
             for text in batch.column(at).to_pylist():
                 hashes = shingle_hashes(text, words)
                 own = np.unique(hashes)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                sets.append(xxhash.xxh64_intdigest(own.tobytes()))
+                others.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                 prints.append(majority(hashes))
                 least = minima(own) if len(own) else np.empty(0, np.uint64)
                 keys.append(np.array([xxhash.xxh64_intdigest(least[k:k + ROWS].tobytes(), k) for k in range(0, len(least), ROWS)], np.uint64).view(np.int64))
                 bytes_.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64)),
-                 pa.array(bytes_, pa.binary())], [*batch.schema.names, "node", "keys", "fp", "sketch"])
+                [*batch.columns, *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sets, others)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                 pa.array(bytes_, pa.binary())], [*batch.schema.names, "set1", "set2", "keys", "fp", "sketch"])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("node", T.LongType()),
+    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("set1", T.LongType()), T.StructField("set2", T.LongType()),
                                                T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType()),
                                                T.StructField("sketch", T.BinaryType())]))
 
@@ -112,10 +115,12 @@ def _apart(members: DataFrame, budget: int, group_rows: int, least: float) -> Da
     at most one a member, which join what they connect.
 
     The trie self-join of a group's fingerprints proposes pairs within budget bits; those whose minima agree as often as
-    similar sets' do are decided at once by the sets, own, and a link prunes the walk further. A group of over group_rows
-    is cut into parts, and each two parts meet in a task, so no task holds more than two parts of a group.
+    similar sets' do are decided at once by the sets, own, and a link prunes the walk further. A group of over group_rows, or
+    whose sets take over GROUP_BYTES, is cut into parts, and each two parts meet in a task, so no task holds more than
+    two parts of a group.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+    bytes_ = F.sum(F.octet_length("own"))
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / group_rows, bytes_ / F.lit(GROUP_BYTES))).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     dealt = join_split(members, sizes, ["key"], ["node"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp", "node", "root", "sketch", "own")
@@ -154,6 +159,7 @@ def _apart(members: DataFrame, budget: int, group_rows: int, least: float) -> Da
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -161,12 +167,14 @@ def _apart(members: DataFrame, budget: int, group_rows: int, least: float) -> Da
             sets[:] = batch.column(7).to_pylist()
             cols = [*(c.to_numpy() for c in batch.columns[:6]), np.array([np.frombuffer(x, np.uint8) for x in batch.column(6).to_pylist()]), sets]
             held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            if len(held[0]) < group_rows:
+            size += sum(map(len, sets))
+            if len(held[0]) < group_rows and size < GROUP_BYTES:
                 continue
             change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
             if len(change):  # all but the last group are whole
                 yield links(*(x[:change[-1]] for x in held))
                 held = [x[change[-1]:] for x in held]
+                size = sum(map(len, held[7]))
         if held and len(held[0]):
             yield links(*held)
 
@@ -184,7 +192,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST, budget:
     """docs with one row of each group of near copies, that of the least id (null last); of rows that share it, one stays.
 
     Near copies are texts whose sets of word shingles have a Jaccard similarity of least or more, and a group is what
-    chains of them connect. Equal sets are one node. Nodes that share a band of least hashes make up a group. First each
+    chains of them connect. Rows of equal sets, by two hashes, are one node, known by its first row. Nodes that share a band of least hashes make up a group. First each
     is held against one node of each of its bands, so that a large group of near copies is linked without pairing it
     with itself; then the trie self-join of the SimHash fingerprints proposes the pairs within budget bits that are
     not linked yet, of which those go on whose least hashes agree as often as near copies' do. Each proposed pair is
@@ -197,15 +205,15 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST, budget:
     text, key = plain[docs.columns.index(text_col)], plain[docs.columns.index(id_col)]
     rows = docs.toDF(*plain).withColumn(text, F.col(text).cast("string"))
     rows = materialize(_sketches(rows, words, text).withColumn("row", F.monotonically_increasing_id()), "near-texts")
-    first = rows.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("first"))
-    first = materialize(first, "near-nodes")
-    alone = rows.select("row", "node", "keys", "fp").join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
+    first = rows.groupBy("set1", "set2").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("first"))
+    first = materialize(first.select(F.col("first.row").alias("node"), "first"), "near-nodes")
+    alone = rows.select(F.col("row").alias("node"), "keys", "fp").join(first.select("node"), "node", "left_semi")
     bands = materialize(alone.select("node", "fp", F.explode("keys").alias("key")), "near-keys")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("hub")).filter("n > 1")
     bands = materialize(join_split(bands, shared.select("key", F.col("hub.node").alias("hub")), ["key"], ["node"]), "near-bands")
     near = bands.select("node").distinct()
-    bodies = rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").join(near, "node", "left_semi")
-    bodies = materialize(bodies.select("node", F.col(text).alias("text"), "sketch"), "near-bodies")
+    bodies = rows.select(F.col("row").alias("node"), F.col(text).alias("text"), "sketch").join(near, "node", "left_semi")
+    bodies = materialize(bodies, "near-bodies")
     texts = bodies.select("node", "text")
 
     tried = bands.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
