@@ -772,3 +772,57 @@ def test_near_copies_are_those_of_brute_force(spark, nothing):
 def test_near_copies_of_equal_ids(spark):
     docs = docs_of(spark, [(None, "a b", None), (3, "A b", None), (3, "a b", None), (None, "c", None)])
     assert sorted((r["doc_id"] or 0) for r in near_copies.keep_one(docs).collect()) == [0, 3]
+
+
+def test_emptied_documents_go(spark):
+    """What line dedup leaves of a copy may be white space of any kind."""
+    lines = "\n".join(f"line {i} of a run" for i in range(4))
+    docs = docs_of(spark, [(0, lines, None), (1, f"{lines}\n", None), (2, f"\t\n{lines}", None), (3, f"\v\n{lines}\n \r", None), (4, f"{lines}\nown", None), (5, "\n", None), (6, "\t", None), (7, None, None)])
+    kept = line_dedup.dedup_lines(docs, drop_emptied=True)
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {0: lines, 4: "own", 5: "\n", 6: "\t", 7: None}
+
+
+def test_very_long_text_among_near_copies(spark):
+    """A text of 200,000 words and its near copy, a band of many members, all in parts bounded by bytes."""
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(200_000)]
+    near = [*long[:1000], "other", *long[1001:]]
+    base = [f"v{i}" for i in range(60)]
+    rows = [(0, " ".join(long), None), (1, " ".join(near), None)]
+    rows += [(i, " ".join([*base[:k], f"x{i}", *base[k + 1:]]), None) for i, k in enumerate([58, 59] * 300, 2)]
+    kept = near_copies.keep_one(docs_of(spark, rows), group_rows=50)
+    plain = [0]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t, _ in rows[2:]}
+    linked, todo = set(), [2]
+    while todo:
+        a = todo.pop()
+        linked.add(a)
+        todo += [b for b in sets if b not in linked and b not in todo and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert linked == set(sets)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*plain, 2]
+
+
+def test_training_is_bounded_with_repeated_ids(spark):
+    """Very many rows of one labelled id are one text of the sample."""
+    rows = [(i, "vile filth idiot" if i % 2 else f"a calm note {i}", None) for i in range(300)] + [(1, f"row {i} of one id", None) for i in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    kept: list[int] = []
+    real = common.materialize
+
+    def seen(df, name):
+        out = real(df, name)
+        if name == "toxicity-sample":
+            kept.append(out.count())
+        return out
+
+    toxicity.materialize, before = seen, toxicity.materialize
+    try:
+        toxicity.train(docs_of(spark, rows), labels)
+    finally:
+        toxicity.materialize = before
+    assert kept == [300]
+
+
+def test_netpbm_numbers_with_leading_zeros():
+    got = media.decode(b"P2 2 1 255 0000255 00000001")
+    assert np.asarray(got).reshape(-1).tolist() == [255, 1]
