@@ -160,7 +160,7 @@ def parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def links(html: Column) -> Column:
     """The targets of all links, in order, quoted either way or not at all."""
-    found = F.regexp_extract_all(html, F.lit("""<a\\s[^>]*?\\bhref\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)"""), 1)
+    found = F.regexp_extract_all(html, F.lit("""(?i)<a(?:\\s[^>]*?)?\\shref\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)"""), 1)
     return F.transform(found, lambda x: F.regexp_replace(x, """^["']|["']$""", ""))
 
 

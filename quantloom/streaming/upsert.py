@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.state import merge_upsert
+from quantloom.sources.buckets import bucket, current, drop_older, put
 
 
 def newest(batch: DataFrame, keys: Sequence[str], collected_at: str) -> DataFrame:
@@ -15,65 +15,29 @@ def newest(batch: DataFrame, keys: Sequence[str], collected_at: str) -> DataFram
     return batch.withColumn("__rn", F.row_number().over(top)).filter("__rn = 1").drop("__rn")
 
 
-BUCKETS = 64
-
-
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def upsert_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: Sequence[str], collected_at: str):
-    """Start a query that takes the Parquet files of source as they come and keeps the state under target up to date.
+def upsert_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: Sequence[str], collected_at: str, files_a_batch: int | None = None):
+    """Start a query that takes the Parquet files of source as they come and keeps the state under target up to date: of each key
+    the row that was collected last, whenever it arrives.
 
     The state is dealt by a hash of the keys into buckets. A batch reads and writes only the buckets that its rows fall
-    into, under target/v=<batch>/bucket=<n>, so a batch that is repeated after a failure writes the same folder again;
-    readers take the newest complete version of each bucket, and older ones but the one before are removed.
+    into, so a batch that is repeated after a failure writes the same folder again; readers take the newest complete
+    version of each bucket, and older ones but the one before are removed. A row that is older than the state's, or
+    comes a second time, changes nothing; of rows collected at the same time the greatest stays.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        arrived = newest(batch, keys, collected_at).withColumn("bucket", _bucket(keys)).persist()
-        touched = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]  # BUCKETS at most
+        arrived = newest(batch, keys, collected_at).persist()
+        touched = [r["bucket"] for r in arrived.select(bucket(keys).alias("bucket")).distinct().collect()]  # BUCKETS at most
         if touched:
             old = current(batch.sparkSession, target, number, touched)
-            state = arrived if old is None else merge_upsert(old.withColumn("bucket", _bucket(keys)), arrived, [*keys, "bucket"])
-            state.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number:09d}")
-            _drop_older(batch.sparkSession, target, number, touched)
+            put(arrived if old is None else newest(old.unionByName(arrived), keys, collected_at), target, number, keys)
+            drop_older(batch.sparkSession, target, number, touched)
         arrived.unpersist()
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, target: str) -> tuple:
-    """The file system, and of each bucket the numbers of its complete versions with their paths, newest first."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    store = make(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[int, list] = {}
-    if store.exists(make(target)):
-        for folder in (s.getPath() for s in store.listStatus(make(target)) if s.getPath().getName().startswith("v=")):
-            if store.exists(make(folder, "_SUCCESS")):
-                for part in (s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("bucket=")):
-                    found.setdefault(int(part.getName()[7:]), []).append((int(folder.getName()[2:]), part))
-    return store, {k: sorted(v, key=lambda x: -x[0]) for k, v in found.items()}
-
-
-def _drop_older(spark: SparkSession, target: str, number: int, touched: Sequence[int]) -> None:
-    store, found = _versions(spark, target)
-    for bucket in touched:
-        for _, path in [x for x in found.get(bucket, []) if x[0] < number][1:]:
-            store.delete(path, True)
-
-
-def current(spark: SparkSession, target: str, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
-    """The state after the last complete batch, or after the last one before a given batch; of some buckets, or all."""
-    _, found = _versions(spark, target)
-    paths = []
-    for bucket, versions in found.items():
-        kept = [path for n, path in versions if before is None or n < before]
-        if kept and (buckets is None or bucket in buckets):
-            paths.append(kept[0].toString())
-    return spark.read.parquet(*paths) if paths else None
-
-
 def windowed_counts(events: DataFrame, at: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts and sums by event type over tumbling windows; with a stream, events later than the watermark are left out."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

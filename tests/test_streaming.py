@@ -33,3 +33,13 @@ def test_windowed_counts_stream_equals_batch(spark, tmp_path):
     windowed_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     rows = lambda df: sorted((str(r["window"]), r["event_type"], r["n"]) for r in df.collect())
     assert rows(spark.table("counts")) == rows(windowed_counts(batch))
+
+
+def test_late_and_repeated_rows_change_nothing(spark, tmp_path):
+    source, target, log = (f"{tmp_path}/{x}" for x in ("in", "out", "log"))
+    kind = "k int, v double, at int"
+    for k, rows in enumerate(([(1, 5.0, 10), (2, 6.0, 10)], [(1, 4.0, 9), (2, 7.0, 11)], [(1, 5.0, 10), (2, 6.0, 10)], [(1, 5.5, 10)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark, source, spark.createDataFrame([], kind).schema, target, log, ["k"], "at").awaitTermination()
+        state = sorted((r["k"], r["v"], r["at"]) for r in current(spark, target).collect())
+        assert state == [(1, 5.5 if k == 3 else 5.0, 10), (2, 6.0, 10) if k == 0 else (2, 7.0, 11)]
