@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import COMPANY_WORDS, is_md5, jaccard, normalize_name, words_of
+from quantloom.operators.joins import spread_join
 from quantloom.sources.store import written
 
 GRAM = 5
@@ -37,7 +38,8 @@ def contained_pairs(inner: DataFrame, outer: DataFrame, n: int = GRAM, small: in
     rare = inner.filter(F.length("text") >= small).select("a", "text", F.explode(_grams(text, F.least(F.length("text"), F.lit(n)))).alias("gram")).join(often, "gram")
     # a text with a stretch that no outer text holds is in none; it may wait at another of its stretches all the same
     waits = rare.groupBy("a", "text").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return waits.join(posted, "gram").filter(F.col("whole").contains(F.col("text"))).select("a", "b").distinct()
+    # an inner text waits once and an outer text looks at a stretch once, so pairs come once
+    return spread_join(posted, waits, ["gram"], ["b"]).filter(F.col("whole").contains(F.col("text"))).select("a", "b")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -45,22 +47,57 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     Words are ordered by how many sets hold them, rarest first. Two such sets share a word among the first
     size - ceil(least * size) + 1 of each, so the join is on these alone, and a word that all names hold is hardly ever
-    among them.
+    among them. At their first common word, the words behind it bound how many they can share, and with it the
+    similarity that a pair can reach; pairs that can't reach least go no further.
     """
     each = {k: df.select(k, F.array_distinct("words").alias("words")).select(k, F.size("words").alias(f"n_{k}"), F.explode("words").alias("word")) for k, df in (("a", left), ("b", right))}
     often = each["a"].select("word").unionAll(each["b"].select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     def head(k: str) -> DataFrame:
         size, place = F.col(f"n_{k}"), F.row_number().over(Window.partitionBy(k).orderBy("n", "word"))
-        return each[k].join(often, "word").withColumn("place", place).filter(F.col("place") <= size - F.ceil(size * F.lit(least) - 1e-9) + 1).select(k, "word", size)
+        return each[k].join(often, "word").withColumn("place", place).filter(F.col("place") <= size - F.ceil(size * F.lit(least) - 1e-9) + 1).select(k, "word", size, (size - F.col("place")).alias(f"rest_{k}"))
 
-    a, b = head("a"), head("b")
-    pairs = a.join(b, "word").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9).select("a", "b").distinct()
+    shared = F.least("rest_a", "rest_b") + 1  # at most
+    pairs = spread_join(head("a"), head("b"), ["word"], ["a"]).filter(
+        (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9) & (shared >= F.lit(least) * (F.col("n_a") + F.col("n_b") - shared) - 1e-9)).select("a", "b").distinct()
     near = jaccard(F.col("left"), F.col("right"))
     both = pairs.join(left.select("a", F.col("words").alias("left")), "a").join(right.select("b", F.col("words").alias("right")), "b")
     return both.withColumn("near", near).filter(F.col("near") >= least).select("a", "b", "near")
 
 
+#: Words of a set whose subsets are listed: 2 to this power rows a set at most.
+FEW_WORDS = 8
+
+
+def nearest_sets(left: DataFrame, right: DataFrame, least: float, few: int = FEW_WORDS) -> DataFrame:
+    """Rows a, b, near of left (a, words): the set of right (b, words) of the greatest Jaccard similarity, from least on, the
+    smaller b of equals. Sets that share no word match nothing.
+
+    No pair of sets is formed. Of all sets of right that hold a subset of words only the smallest can be nearest to a
+    set that shares just these, so right is listed by subset, of which the smallest set stays, before the shuffle, and a
+    set of left looks up its own subsets. Both list only subsets of so many words that least can be reached. Sets of
+    over `few` words on either side go through similar_pairs instead.
+    """
+    sets = {k: df.select(k, F.array_sort(F.array_distinct("words")).alias("words")).withColumn("n", F.size("words")).filter("n > 0") for k, df in (("a", left), ("b", right))}
+
+    def subsets(k: str) -> DataFrame:
+        bits = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int"))
+        chosen = F.filter(bits, lambda i: F.bit_count(i) >= F.col("n") * F.lit(least) - 1e-9)
+        rows = sets[k].filter(F.col("n") <= few).select(k, "n", "words", F.explode(chosen).alias("i"))
+        held = F.filter("words", lambda w, at: F.getbit(F.col("i"), at) == 1)
+        return rows.select(k, "n", held.alias("subset"))
+
+    smallest = subsets("b").groupBy("subset").agg(F.min(F.struct("n", "b")).alias("r"))
+    met = spread_join(subsets("a"), smallest, ["subset"], ["a"])
+    size = F.size("subset")
+    near = met.select("a", F.col("r.b").alias("b"), (size / (F.col("n") + F.col("r.n") - size)).alias("near")).filter(F.col("near") >= F.lit(least) - 1e-12)
+    long = lambda k: sets[k].filter(F.col("n") > few).select(k, "words")
+    few_left = sets["a"].filter(F.col("n") <= few).select("a", "words")
+    for one, other in ((long("a"), right), (few_left, long("b"))):
+        near = near.unionByName(similar_pairs(one, other, least))
+    return near.groupBy("a").agg(F.min(F.struct((-F.col("near")).alias("far"), "b")).alias("r")).select("a", "r.b", (-F.col("r.far")).alias("near"))
+
+
 def resolve(names: DataFrame, known: DataFrame, overrides: DataFrame | None = None, symbols: DataFrame | None = None,
             threshold: float = 0.75, min_tokens: int = 2, min_chars: int = GRAM) -> DataFrame:
     """Rows name_id, company_id, how of the rows of names (name_id, symbol, name) that one of seven stages matches:
@@ -105,8 +142,8 @@ def resolve(names: DataFrame, known: DataFrame, overrides: DataFrame | None = No
     held = within.select(F.col("a").alias("name"), F.col("b").alias("company_id")).unionByName(around.select(F.col("b").alias("name"), F.col("a").alias("company_id")))
     held = written(held.groupBy("name").agg(F.min("company_id").alias("company_id")).withColumn("how", F.lit("containment")), "resolve-contained")
     last = rest.join(held.select("name"), "name", "left_anti").select(F.col("name").alias("a"), "words")
-    near = similar_pairs(last, cand.select(F.col("company_id").alias("b"), "words"), threshold)
-    near = near.groupBy("a").agg(F.min_by("b", F.struct(-F.col("near"), "b")).alias("company_id")).select(F.col("a").alias("name"), "company_id", F.lit("fuzzy").alias("how"))
+    near = nearest_sets(last, cand.select(F.col("company_id").alias("b"), "words"), threshold)
+    near = near.select(F.col("a").alias("name"), F.col("b").alias("company_id"), F.lit("fuzzy").alias("how"))
     late = left.join(held.unionByName(near), "name").select("symbol", "name", "company_id", "how")
     found = done.unionByName(late)
     same = asked["symbol"].eqNullSafe(found["symbol"]) & asked["name"].eqNullSafe(found["name"])
@@ -120,21 +157,27 @@ def search(queries: DataFrame, listed: DataFrame, least: float = 0.4, name_chars
 
     What one stage answers the next is not asked. Ties go to the smaller item_id. Null and empty texts find nothing.
     """
-    asked = queries.select("query_id", F.nullif(normalize_name(F.col("text")), F.lit("")).alias("text"))
-    texts = asked.select("text").filter("text IS NOT NULL").distinct()
+    asked = written(queries.select("query_id", F.nullif(normalize_name(F.col("text")), F.lit("")).alias("text")), "search-asked")
     both = listed.select("item_id", normalize_name(F.col("symbol")).alias("symbol"), normalize_name(F.col("name")).alias("name"))
+    # of items by one symbol or name only the least can be an answer
     own = both.select("item_id", F.lit(1).alias("least"), F.col("symbol").alias("own")).unionByName(
-        both.select("item_id", F.lit(name_chars).alias("least"), F.col("name").alias("own"))).filter("own <> ''")
+        both.select("item_id", F.lit(name_chars).alias("least"), F.col("name").alias("own"))).filter("own <> ''").groupBy("own", "least").agg(F.min("item_id").alias("item_id"))
+    own = written(own, "search-listed")
     best = lambda df: df.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    exact = best(texts.join(own.withColumnRenamed("own", "text"), "text")).withColumn("how", F.lit("exact"))
-    rest = texts.join(exact, "text", "left_anti")
+    exact = best(asked.select("text").filter("text IS NOT NULL").distinct().join(own.withColumnRenamed("own", "text"), "text"))
+    exact = written(exact.withColumn("how", F.lit("exact")), "search-exact")
+    rest = written(asked.select("text").filter("text IS NOT NULL").distinct().join(exact, "text", "left_anti"), "search-rest")
+
+    # a text of few characters is itself a stretch of what holds it: the least item a stretch, before any join
+    stretches = own.select("item_id", "least", F.explode(F.flatten(F.filter(F.array(*(_grams(F.col("own"), F.lit(k)) for k in (1, 2, 3))), lambda g: g.isNotNull()))).alias("text"))
+    short = best(rest.filter(F.length("text") <= 3).join(stretches.filter(F.length("text") >= F.col("least")).groupBy("text").agg(F.min("item_id").alias("item_id")), "text"))
     strings = own.select(F.struct("item_id", "least").alias("item"), F.col("own").alias("text"))
-    within = contained_pairs(rest.select(F.col("text").alias("a"), "text"), strings.withColumnRenamed("item", "b"), 3, 1).toDF("text", "item")
+    within = contained_pairs(rest.filter(F.length("text") > 3).select(F.col("text").alias("a"), "text"), strings.withColumnRenamed("item", "b"), 3).toDF("text", "item")
     around = contained_pairs(strings.withColumnRenamed("item", "a"), rest.select(F.col("text").alias("b"), "text"), 3, 1).toDF("item", "text")
-    held = within.unionByName(around).filter(F.length("text") >= F.col("item.least"))
-    held = best(held.select("text", F.col("item.item_id").alias("item_id"))).withColumn("how", F.lit("substring"))
+    held = within.unionByName(around).filter(F.length("text") >= F.col("item.least")).select("text", F.col("item.item_id").alias("item_id"))
+    held = written(best(held.unionByName(short)).withColumn("how", F.lit("substring")), "search-held")
     rest = rest.join(held, "text", "left_anti")
-    near = similar_pairs(rest.select(F.col("text").alias("a"), tokens_for_match(F.col("text")).alias("words")),
-                         both.select(F.col("item_id").alias("b"), tokens_for_match(F.col("name")).alias("words")), least)
-    near = near.groupBy(F.col("a").alias("text")).agg(F.min_by("b", F.struct(-F.col("near"), "b")).alias("item_id")).withColumn("how", F.lit("fuzzy"))
+    near = nearest_sets(rest.select(F.col("text").alias("a"), tokens_for_match(F.col("text")).alias("words")),
+                        both.select(F.col("item_id").alias("b"), tokens_for_match(F.col("name")).alias("words")), least)
+    near = near.select(F.col("a").alias("text"), F.col("b").alias("item_id"), F.lit("fuzzy").alias("how"))
     return asked.join(exact.unionByName(held).unionByName(near), "text").select("query_id", "item_id", "how")

@@ -10,10 +10,11 @@ from quantloom.functions.numeric import power_of_ten_ratio, round_half, to_numbe
 from quantloom.functions.text import company_key, normalize_text, tokens
 from quantloom.operators import state
 from quantloom.operators.html import links
-from quantloom.operators.resolve import resolve, search, similar_pairs, tokens_for_match
+from quantloom.operators.resolve import nearest_sets, resolve, search, tokens_for_match
 from quantloom.plans.registry import query
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
+from quantloom.sources.store import written
 
 
 _TEXT_SQL = """trim(regexp_replace(regexp_replace(replace(translate({x}, 'يىكۀةأإؤ۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', 'ییکههااو01234567890123456789'), chr(160), ' '),
@@ -230,9 +231,10 @@ JOIN (SELECT name_id, max(share) AS share FROM near GROUP BY 1) USING (name_id)
 def unmatched_by_score(t: Tables) -> DataFrame:
     """Names that no stage matched, with the similarity of the nearest company; the 200 nearest, a top-k report."""
     lost = _asked(t).join(_resolved(t), "name_id", "left_anti").select("name_id", "name", tokens_for_match(F.col("name")).alias("words"))
+    lost = written(lost, "unmatched")
     words = lost.select(F.col("name").alias("a"), "words").distinct()
     have = t("supplier").select(F.col("s_suppkey").alias("b"), tokens_for_match(_company_name(F.col("s_suppkey"))).alias("words"))
-    best = similar_pairs(words, have, 0.1).groupBy(F.col("a").alias("name")).agg(F.max("near").alias("near"))
+    best = nearest_sets(words, have, 0.1).select(F.col("a").alias("name"), "near")
     return lost.join(best, "name").select("name_id", "name", round_half(F.col("near"), 3).alias("score")).orderBy(F.desc("score"), "name_id").limit(200)
 
 
@@ -277,9 +279,8 @@ def token_jaccard(t: Tables) -> DataFrame:
     text = F.when(F.col("p_partkey") % 3 == 0, words[0]).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", words[1], words[0], F.lit("new"))).otherwise(
         F.concat(F.lit("brand new "), F.col("p_name"), F.lit(" here")))
     asked = t("part").select("p_partkey", text.alias("text"))
-    near = similar_pairs(asked.select(F.col("text").alias("a"), tokens(F.col("text"), ()).alias("words")).distinct(),
-                         t("part").select(F.col("p_name").alias("b"), tokens(F.col("p_name"), ()).alias("words")).distinct(), 0.4)
-    best = near.groupBy(F.col("a").alias("text")).agg(F.min_by("b", F.struct(-F.col("near"), "b")).alias("name"), F.max("near").alias("near"))
+    best = nearest_sets(asked.select(F.col("text").alias("a"), tokens(F.col("text"), ()).alias("words")).distinct(),
+                        t("part").select(F.col("p_name").alias("b"), tokens(F.col("p_name"), ()).alias("words")).distinct(), 0.4).toDF("text", "name", "near")
     return asked.join(best, "text").select("p_partkey", "name", round_half(F.col("near"), 4).alias("near"))
 
 

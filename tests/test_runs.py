@@ -153,3 +153,35 @@ def test_clear_removes_the_tables_of_the_session(spark):
     store.clear(spark)
     folder = spark._jvm.org.apache.hadoop.fs.Path(store.session_folder(spark))
     assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+@pytest.mark.parametrize("least", [0.1, 0.4, 0.75, 1.0])
+def test_nearest_sets(spark, least):
+    """Against all pairs, with sets of many words and of none; candidates grow with the sets, not with their square."""
+    from quantloom.operators.resolve import nearest_sets
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12)] + ["all"]
+    make = lambda: ["all"] * (rnd.random() < 0.8) + rnd.sample(words, rnd.choice([0, 1, 2, 3, 4, 5, 10, 12]))
+    left, right = [(i, make()) for i in range(120)], [(i, make()) for i in range(150)]
+    a, b = spark.createDataFrame(left, "a int, words array<string>"), spark.createDataFrame(right, "b int, words array<string>")
+    got = {r["a"]: (r["b"], r["near"]) for r in nearest_sets(a, b, least).collect()}
+    want = {}
+    for i, x in left:
+        near = [(-len(set(x) & set(y)) / len(set(x) | set(y)), j) for j, y in right if set(x) & set(y)]
+        if near and -min(near)[0] >= least - 1e-12:
+            want[i] = (min(near)[1], pytest.approx(-min(near)[0]))
+    assert got == want
+
+
+def test_search_forms_no_pairs_of_common_words(spark):
+    """A thousand names share a word and a letter: what a text is held against stays a row a text."""
+    from quantloom.operators import resolve
+
+    listed = spark.createDataFrame([(i, f"S{i}", f"common house {i}") for i in range(1000)], "item_id int, symbol string, name string")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["S", "common", "s5 common", "house common", "S7", "zz", "", None, "mm common house 9 oo"])], "query_id int, text string")
+    got = {r["query_id"]: (r["item_id"], r["how"]) for r in resolve.search(queries, listed).collect()}
+    assert got == {0: (0, "substring"), 1: (0, "substring"), 3: (0, "fuzzy"), 4: (7, "exact"), 8: (9, "substring")}
+    sets = lambda k, n: spark.createDataFrame([(i, ["common", "house", f"x{i}"]) for i in range(n)], f"{k} int, words array<string>")
+    plan = resolve.nearest_sets(sets("a", 500), sets("b", 500), 0.1)
+    assert plan.count() == 500 and "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
