@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from quantloom.plans import backtest, crosssection, ingest, market, portfolio, reports, runs, score, screening, statements, weights  # noqa: F401
+    from quantloom.plans import backtest, crosssection, ingest, market, portfolio, reports, runs, score, screening, shown, statements, weights  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -55,12 +55,6 @@ def score_export_csv_shape(t: Tables) -> DataFrame:
                                 F.when(F.col("sg_raw") < 0, "yes").otherwise("no").alias("weak"))
 
 
-def write_csv(df: DataFrame, folder: str, header: bool = True) -> None:
-    """Files with a header; each begins with the byte order mark that spreadsheet programs look for."""
-    first, *rest = df.columns
-    df.withColumnRenamed(first, "﻿" + first).select("﻿" + first, *rest).write.option("header", header).option("encoding", "UTF-8").mode("overwrite").csv(folder)
-
-
 @query("prompt_payload", _view(*_FINAL, then="""
 SELECT '[' || string_agg('{"company_id":' || company_id || ',"company_name":"' || company_name || '"}', ',' ORDER BY quant_score DESC, company_id) || ']' AS payload
 FROM (SELECT * FROM final ORDER BY quant_score DESC, company_id LIMIT 8)"""))

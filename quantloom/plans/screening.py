@@ -185,11 +185,12 @@ def ingest_outcomes(t: Tables) -> DataFrame:
 @query("text_marks", """
 SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, page_id % 2 = 0 AS md5_like, page_id % 3 <> 0 AS identifier,
        'https://a.example/list?PageNumber=' || page_id AS next_page, 'https://a.example/b/' || page_id AS link, replace('كيك' || page_id, 'كيك', 'کیک') AS letters,
-       CASE WHEN page_id < 1000 THEN page_id || '.0M' END AS compact, '+' || page_id || '.0%' AS percent FROM pages WHERE page_id BETWEEN 1 AND 999""")
+       CASE WHEN page_id = 0 THEN '0' WHEN page_id < 1000 THEN page_id || '.0M' WHEN page_id < 1000000 THEN printf('%.1fB', page_id / 1e3) ELSE printf('%.1fT', page_id / 1e6) END AS compact,
+       '+' || page_id || '.0%' AS percent FROM pages""")
 def text_marks(t: Tables) -> DataFrame:
     """Small text functions over all pages: parameters and page numbers of addresses, links, identifiers, numbers in words."""
     k, text = F.col("page_id"), F.col("page_id").cast("string")
-    return t("pages").filter(k.between(1, 999)).select(
+    return t("pages").select(
         "page_id", F.coalesce(url_parameter(F.col("url"), "page"), F.lit("")).alias("page"), is_md5(F.when(k % 2 == 0, F.md5(text)).otherwise(text)).alias("md5_like"),
         is_identifier(F.concat(F.when(k % 3 == 0, "9t").otherwise("t"), text)).alias("identifier"), with_page(F.lit("https://a.example/list?PageNumber=1"), k).alias("next_page"),
         url_join(F.lit("https://a.example/b/c?d=1"), text).alias("link"), normalize_letters(F.concat(F.lit("كيك"), text)).alias("letters"),

@@ -185,3 +185,31 @@ def test_search_forms_no_pairs_of_common_words(spark):
     sets = lambda k, n: spark.createDataFrame([(i, ["common", "house", f"x{i}"]) for i in range(n)], f"{k} int, words array<string>")
     plan = resolve.nearest_sets(sets("a", 500), sets("b", 500), 0.1)
     assert plan.count() == 500 and "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marked_csv(spark, tmp_path):
+    from quantloom.sources import files
+
+    rows = spark.createDataFrame([("a, \"b\"\r\nc", 1.25, 3.0), (None, None, 0.5), ("d", -2.0, None)], "name string, x double, y double").repartition(2)
+    files.write_marked_csv(rows, f"{tmp_path}/csv", {"name": ("نام", None), "x": ("X", 1), "y": ("Y", 0)})
+    lines = []
+    for path in Path(tmp_path).glob("csv/*.csv"):
+        raw = path.read_bytes()
+        assert raw.startswith(b"\xef\xbb\xbf" + "نام,X,Y\n".encode())
+        lines += raw.decode("utf-8-sig").splitlines()[1:]
+    assert sorted(lines) == sorted(["\"a, 'b' c\",1.3,3", ",,1", "d,-2.0,"])
+
+
+def test_a_failed_replacement_changes_nothing(spark, tmp_path):
+    from quantloom.sources import files
+
+    folder = f"{tmp_path}/t"
+    first = files.replace_table(spark.range(3), folder)
+    second = files.replace_table(spark.range(5), folder)
+    with pytest.raises(Exception, match="stopped"):
+        files.replace_table(spark.range(2).withColumn("id", F.when(F.col("id") == 1, F.raise_error(F.lit("stopped")).cast("long")).otherwise(F.col("id"))), folder)
+    assert (first.count(), second.count()) == (3, 5)  # the version before stays for its readers
+    assert files.replace_table(spark.range(7), folder).count() == 7
+    assert files.ensure_table(spark, f"{tmp_path}/e", "a int, b string").count() == 0
+    spark.createDataFrame([(1,)], "a int").write.mode("append").parquet(f"{tmp_path}/e")
+    assert [tuple(r) for r in files.ensure_table(spark, f"{tmp_path}/e", "a int, b string").collect()] == [(1, None)]
