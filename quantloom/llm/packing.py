@@ -13,7 +13,6 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
