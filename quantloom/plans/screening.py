@@ -185,7 +185,7 @@ def ingest_outcomes(t: Tables) -> DataFrame:
 @query("text_marks", """
 SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, page_id % 2 = 0 AS md5_like, page_id % 3 <> 0 AS identifier,
        'https://a.example/list?PageNumber=' || page_id AS next_page, 'https://a.example/b/' || page_id AS link, replace('كيك' || page_id, 'كيك', 'کیک') AS letters,
-       CASE WHEN page_id = 0 THEN '0' WHEN page_id < 1000 THEN page_id || '.0M' WHEN page_id < 1000000 THEN printf('%.1fB', page_id / 1e3) ELSE printf('%.1fT', page_id / 1e6) END AS compact,
+       CASE WHEN page_id = 0 THEN '0' WHEN page_id < 1000 THEN page_id || '.0M' WHEN page_id < 1000000 THEN printf('%.1fB', floor(page_id / 1e2 + 5e-1) / 1e1) ELSE printf('%.1fT', floor(page_id / 1e5 + 5e-1) / 1e1) END AS compact,
        '+' || page_id || '.0%' AS percent FROM pages""")
 def text_marks(t: Tables) -> DataFrame:
     """Small text functions over all pages: parameters and page numbers of addresses, links, identifiers, numbers in words."""
