@@ -13,8 +13,10 @@ _SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of the tables as a query, with the SQL that gives the same rows."""
+    """Register a function of the tables as a query, with the SQL that gives the same rows; a name can be given once."""
     def add(function: Callable[[Tables], DataFrame]):
+        if name in _QUERIES:
+            raise ValueError(f"a query named {name} is registered already")
         _QUERIES[name] = lambda spark, folder: function(Tables(spark, folder))
         if sql:
             _SQL[name] = sql

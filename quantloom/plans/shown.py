@@ -102,9 +102,9 @@ def report_date(page: Column, header: Column) -> Column:
     return F.coalesce(own, F.nullif(F.regexp_extract(normalize_text(header), DATE, 0), F.lit("")))
 
 
-@query("report_dates", """
+@query("page_report_dates", """
 SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN '1402/06/31' WHEN page_id % 4 = 2 THEN '1401/12/29' END AS report_date FROM pages""")
-def report_dates(t: Tables) -> DataFrame:
+def page_report_dates(t: Tables) -> DataFrame:
     """The date of each page's report: of its element, or of the header where the element is missing or says something else."""
     k = F.col("page_id") % 4
     own = F.when(k < 2, '<b id="ctl00_lblPeriodEndToDate">۱۴۰۲/۰۶/۳۱</b>').when(k == 2, '<b id="ctl00_lblPeriodEndToDate">not yet</b>').otherwise("")
