@@ -41,6 +41,11 @@ def normalize_company_name(x: Column) -> Column:
     return F.when(F.coalesce(F.length(name), F.lit(0)) == 0, F.raise_error(F.lit("company name is empty"))).otherwise(name)
 
 
+def normalize_header(x: Column) -> Column:
+    """A table's header on one line: letters and digits in one form, single spaces."""
+    return normalize_text(x)
+
+
 def currency_unit(x: Column) -> Column:
     """million_rial, thousand_rial, rial or unknown, by the words of a text."""
     plain = F.coalesce(normalize_label(x), F.lit(""))
@@ -106,6 +111,22 @@ def csv_text(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, '"', "'"), "[\\r\\n]+", " ")
 
 
+def csv_quoted(x: Column) -> Column:
+    """A text in quotes, those inside made single ones, line feeds blanks, and carriage returns left out; null is an empty text."""
+    return F.concat(F.lit('"'), F.coalesce(F.translate(x, '"\n\r', "' "), F.lit("")), F.lit('"'))
+
+
+def csv_number(x: Column, digits: int) -> Column:
+    """A number with fixed digits, halves to even; nothing for zero and null."""
+    shown = F.call_function("format_number", x.cast("double"), F.lit("0" + ("." + "0" * digits if digits else "")))
+    return F.when(F.coalesce(x, F.lit(0.0)) == 0, "").otherwise(shown)
+
+
+def csv_flag(x: Column) -> Column:
+    """Yes in the users' language, nothing for no and null."""
+    return F.when(F.coalesce(x, F.lit(False)), "بله").otherwise("")
+
+
 def compact_number(x: Column) -> Column:
     """Thousands, millions, billions, trillions with one digit."""
     size = F.abs(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import ratio, round_half
+from quantloom.functions.numeric import cents, ratio, round_half
 from quantloom.operators.asof import asof_join, asof_one
 from quantloom.plans.registry import query
 from quantloom.sources import domain
@@ -185,6 +185,38 @@ def family_history_delta(t: Tables) -> DataFrame:
     return rows.select("person_id", "day", "total", change.alias("change_value"), round_half(ratio(change, F.col("before")), 6).alias("change_share"))
 
 
+@query("family_history_recorded", with_tables("held", then=f"""-- more{_FAMILY_SQL},
+recorded AS (SELECT max(o_orderdate::DATE) AS day, sum(floor(o_totalprice * 100.0 + 0.5)) AS total FROM orders GROUP BY date_trunc('month', o_orderdate)),
+seen AS (
+  SELECT p.asset_id, r.day, coalesce(max_by(p.price, p.day) FILTER (p.day <= r.day), min_by(p.price, p.day)) AS price FROM prices p CROSS JOIN recorded r GROUP BY 1, 2),
+worth AS (SELECT person_id, day, sum(floor(quantity * price * (1e0 - rate) + 5e-1)) AS worth FROM fam JOIN seen USING (asset_id) JOIN assets USING (asset_id) GROUP BY 1, 2),
+people AS (SELECT c_nationkey AS person_id, sum(floor(c_acctbal * 100.0 + 0.5)) AS cash FROM customer GROUP BY 1)
+SELECT r.day, p.person_id, coalesce(worth, 0e0) + cash AS worth, total FROM recorded r CROSS JOIN people p LEFT JOIN worth w ON w.day = r.day AND w.person_id = p.person_id"""))
+def family_history_recorded(t: Tables) -> DataFrame:
+    """Each person's holdings and cash on every date that has a recorded total, beside that total: what somebody holds counts at the
+    price of the date, or the earliest price before there is one.
+
+    No holding meets all dates. A price changes what a holding is worth by a difference; the differences of a person and day
+    add up before they meet the dates, and run on over them, the first price's from the beginning of time.
+    """
+    month = F.date_trunc("month", "o_orderdate")
+    recorded = t("orders").groupBy(month.alias("m")).agg(F.max(F.to_date("o_orderdate")).alias("day"), F.sum(cents(F.col("o_totalprice"))).alias("total")).drop("m")
+    before = F.lag("price").over(Window.partitionBy("asset_id").orderBy("day"))
+    prices = asset_prices(t).withColumn("before", before)
+    held = family_holdings(t).join(assets(t), "asset_id").select("person_id", "asset_id", "quantity", "rate")
+    worth = lambda price: F.floor(F.col("quantity") * price * (1.0 - F.col("rate")) + 0.5).cast("double")
+    start = F.when(F.col("before").isNotNull(), F.col("day")).otherwise(F.lit("0001-01-01").cast("date"))
+    moves = held.join(prices, "asset_id").select("person_id", start.alias("day"), (worth(F.col("price")) - F.coalesce(worth(F.col("before")), F.lit(0.0))).alias("change"))
+    moves = moves.groupBy("person_id", "day").agg(F.sum("change").alias("change"))
+    accounts = t("customer").groupBy(F.col("c_nationkey").alias("person_id")).agg(F.sum(cents(F.col("c_acctbal"))).alias("cash"))
+    people = accounts.join(moves.select("person_id").distinct(), "person_id", "full")
+    asked = people.crossJoin(F.broadcast(recorded))  # a row a month; the rows of the result
+    both = moves.withColumn("asked", F.lit(0)).unionByName(asked.withColumn("asked", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("person_id").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("worth", F.coalesce(F.sum("change").over(so_far), F.lit(0.0)) + F.coalesce("cash", F.lit(0.0))).filter("asked = 1")
+    return rows.select("day", "person_id", "worth", "total")
+
+
 _PROBES_SQL = """
 probes AS (SELECT o_orderkey AS probe_id, o_custkey % (SELECT count(*) FROM supplier) + 1 AS company_id, o_orderdate::DATE AS day FROM orders)"""
 

@@ -24,8 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for the SQL of one that keeps its rows elsewhere."""
+    return _SQL[name]
+
+
 def queries() -> dict:
-    from quantloom.plans import backtest, crosssection, ingest, market, portfolio, reports, runs, score, screening, shown, statements, weights  # noqa: F401
+    from quantloom.plans import backtest, crosssection, exports, ingest, lookups, market, portfolio, reports, runs, score, screening, shown, statements, weights  # noqa: F401
 
     return dict(_QUERIES)
 

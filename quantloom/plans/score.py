@@ -100,7 +100,7 @@ def market_summary(prices: DataFrame) -> DataFrame:
     c = F.col("close")
     return rows.groupBy("company_id").agg(
         at_row(c, 1).alias("price"), at_row(c, 7).alias("c7"), at_row(c, 30).alias("c30"), at_row(c, 90).alias("c90"),
-        over_rows(F.avg, F.col("trade_value"), 1, 30).alias("avg_value"), over_rows(F.stddev_samp, F.col("change"), 1, 30).alias("volatility"),
+        over_rows(F.avg, F.col("trade_value"), 1, 30).alias("avg_value"), over_rows(F.avg, F.col("volume"), 1, 30).alias("avg_volume"), over_rows(F.stddev_samp, F.col("change"), 1, 30).alias("volatility"),
         over_rows(F.max, F.col("high"), 1, 90).alias("high90"), over_rows(F.min, F.col("low"), 1, 90).alias("low90"),
         F.max("day").alias("last_day"), F.count(F.lit(1)).alias("market_count"))
 
@@ -285,7 +285,7 @@ price_rows AS (
   FROM market WINDOW d AS (PARTITION BY company_id ORDER BY day DESC)),
 traded AS (
   SELECT company_id, max(close) FILTER (rn = 1) AS price, max(close) FILTER (rn = 7) AS c7, max(close) FILTER (rn = 30) AS c30,
-         max(close) FILTER (rn = 90) AS c90, avg(trade_value) FILTER (rn <= 30) AS avg_value, stddev_samp(change) FILTER (rn <= 30) AS volatility,
+         max(close) FILTER (rn = 90) AS c90, avg(trade_value) FILTER (rn <= 30) AS avg_value, avg(volume) FILTER (rn <= 30) AS avg_volume, stddev_samp(change) FILTER (rn <= 30) AS volatility,
          max(high) FILTER (rn <= 90) AS high90, min(low) FILTER (rn <= 90) AS low90, max(day) AS last_day, count(*) AS market_count
   FROM price_rows GROUP BY 1)"""
 _COVER = "op / nullif(abs(finance_costs), 0)"

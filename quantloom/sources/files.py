@@ -63,6 +63,15 @@ def write_marked_csv(rows: DataFrame, folder: str, columns: dict[str, tuple[str,
     rows.select(*named).write.options(header=True, encoding="UTF-8", emptyValue="", nullValue="").mode("overwrite").csv(folder)
 
 
+def write_headed_lines(lines: DataFrame, folder: str, headers: Sequence[str]) -> str:
+    """Lines made already, in their column line, as files under folder in the rows' order; each file begins with the mark and the
+    headers. Gives that first line. A task without rows writes no headers."""
+    head = MARK + ",".join(headers)
+    first = F.monotonically_increasing_id() % F.lit(1 << 33) == 0
+    lines.select(F.when(first, F.concat(F.lit(head + "\n"), F.col("line"))).otherwise(F.col("line")).alias("value")).write.mode("overwrite").text(folder)
+    return head
+
+
 def ensure_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The table under folder with the columns of schema: made empty where there is none, and read with nulls for columns that its
     older files lack. Nothing that is there is written again."""
