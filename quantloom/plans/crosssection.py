@@ -352,9 +352,12 @@ SELECT h, top, count(*) AS n, {_r("avg(ret)", 6)} AS mean_return, {_r("avg(ret -
        {_r("sum(ln(1e0 + ret)) FILTER (i % h = 0)", 4)} AS log_total, {_r("(exp(sum(ln(1e0 + ret)) FILTER (i % h = 0) * 12e0 / (h * count(*) FILTER (i % h = 0))) - 1e0) * 1e2", 3)} AS cagr_pct
 FROM numbered GROUP BY 1, 2"""))
 def backtest_summary(t: Tables) -> DataFrame:
+    return book_summary(portfolios(scored(_section(t))))
+
+
+def book_summary(rows: DataFrame) -> DataFrame:
     """Of each horizon and size: mean return and excess, share of dates above all companies, and the yearly rate of every h-th
     date, so that holding times don't overlap."""
-    rows = portfolios(scored(_section(t)))
     rows = rows.select("day", "h", "bench", F.explode(F.array(*(F.struct(F.lit(k).alias("top"), F.col(f"top{k}").alias("ret")) for k in TOPS))).alias("x")).select("day", "h", "bench", "x.top", "x.ret")
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("h", "top").orderBy("day")) - 1)
     kept = F.col("i") % F.col("h") == 0
@@ -376,9 +379,12 @@ ics AS (SELECT day, series, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) TH
 SELECT series, count(ic) AS n, {_r("avg(ic)", 5)} AS mean, {_r("avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0)", 3)} AS t, {_r("count(*) FILTER (ic > 1e-9) * 1e2 / count(ic)", 2)} AS positive
 FROM ics GROUP BY 1 HAVING count(ic) >= {MIN_DATES}"""))
 def backtest_ic(t: Tables) -> DataFrame:
+    return mean_correlations(scored(_section(t)))
+
+
+def mean_correlations(rows: DataFrame) -> DataFrame:
     """The mean rank correlation of each factor, part and the score with the return of three months, its t value and how often it
     is positive."""
-    rows = scored(_section(t))
     long = rows.select("day", F.col("fwd3").alias("y"), *(round_half(F.col(c), 6).alias(c) for c in _SERIES)).unpivot(["day", "y"], list(_SERIES), "series", "x")
     long = long.withColumn("__n", F.count("y").over(Window.partitionBy("day", "series"))).filter(F.col("__n") >= MIN_FORWARD)
     ic = F.col("ic")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import clip, round_away
 from quantloom.functions.text import csv_flag, csv_number, csv_quoted
-from quantloom.plans.crosssection import TOPS, backtest_ic, backtest_portfolios, backtest_summary
+from quantloom.plans.crosssection import TOPS, _section, backtest_portfolios, book_summary, mean_correlations, portfolios, scored
 from quantloom.plans.market import _away
 from quantloom.plans.registry import query, sql_of
 from quantloom.plans.score import _FLAGS, WEIGHTS, _view, score_view
 from quantloom.plans.shown import _FINAL, CUT, CUT_HIGH, CUT_LOW, DIGITS, _cut_sql
 from quantloom.sources.domain import Tables
 from quantloom.sources.files import read_json, write_headed_lines, write_marked_csv
-from quantloom.sources.store import fresh_folder
+from quantloom.sources.store import fresh_folder, written
 
 # ---- the score as a list ----------------------------------------------------------------------------------------------
 #: Price over sales, known for a sound P/E and a margin above zero, at most a hundred.
@@ -80,9 +80,11 @@ def backtest_portfolio_file(t: Tables) -> DataFrame:
 SELECT 'ic' AS part, series AS name, n, mean, t, positive FROM ({sql_of("backtest_ic")})
 UNION ALL SELECT 'portfolio', h || '/' || top, n, mean_excess, NULL, hit_rate FROM ({sql_of("backtest_summary")})""")
 def backtest_results_file(t: Tables) -> DataFrame:
-    """The backtest's summary as one JSON document, correlations by series and portfolios by horizon and size, and read from it."""
-    ic = backtest_ic(t).select(F.col("series").alias("name"), F.struct("n", "mean", "t", "positive").alias("v"))
-    books = backtest_summary(t).select(F.concat_ws("/", "h", "top").alias("name"), F.struct("n", F.col("mean_excess").alias("mean"), F.lit(None).cast("double").alias("t"), F.col("hit_rate").alias("positive")).alias("v"))
+    """The backtest's summary as one JSON document, correlations by series and portfolios by horizon and size, and read from it.
+    Companies are scored once for both."""
+    rows = written(scored(_section(t)), "scored")
+    ic = mean_correlations(rows).select(F.col("series").alias("name"), F.struct("n", "mean", "t", "positive").alias("v"))
+    books = book_summary(portfolios(rows)).select(F.concat_ws("/", "h", "top").alias("name"), F.struct("n", F.col("mean_excess").alias("mean"), F.lit(None).cast("double").alias("t"), F.col("hit_rate").alias("positive")).alias("v"))
     # some twenty series and a handful of portfolios, however many companies there are
     both = ic.withColumn("part", F.lit("ic")).unionByName(books.withColumn("part", F.lit("portfolio")))
     parts = both.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("m"))
