@@ -37,6 +37,27 @@ def water_fill(sources: DataFrame, weights: Sequence[float], cap: float) -> Data
     return placed.crossJoin(F.broadcast(level)).select("key", "size", "n", F.least(F.col("level") * F.col("weight"), F.col("cap")).alias("target"))
 
 
+def split_buckets(dealt: DataFrame, bucket: Sequence[str], part: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """dealt with the part of its bucket, and the rows of each part as __mix_rows, a table.
+
+    A bucket of up to twice bucket_rows is one part. One that is larger holds rows of one id and text, which no hash takes
+    apart; its rows are dealt over parts in turn and written with their part, so that both readings of them agree. Which of
+    equal rows falls into which part doesn't matter.
+    """
+    counts = materialize(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__mix_rows")), "mix-buckets")
+    whole = F.lit(0).cast("long")
+    large = counts.filter(F.col("__mix_rows") > 2 * bucket_rows).select(*bucket, F.ceil(F.col("__mix_rows") / bucket_rows).alias("__mix_parts"))
+    n = large.count()
+    if not n:
+        return dealt.withColumn(part, whole), counts.withColumn(part, whole)
+    near = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    turn = F.monotonically_increasing_id() % F.col("__mix_parts")
+    taken = materialize(dealt.join(near, [*bucket]).withColumn(part, turn).drop("__mix_parts"), "mix-large")
+    rest = lambda df: df.join(near, [*bucket], "left_anti").withColumn(part, whole)
+    parts = taken.groupBy(*bucket, part).agg(F.count(F.lit(1)).alias("__mix_rows"))
+    return rest(dealt).unionByName(taken), rest(counts).unionByName(parts)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, seed: str = "",
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Return docs with mix_size, mix_source_size, mix_target and mix_copies.
@@ -44,8 +65,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
     Every document of a source has the same expected copies, target over source size. Their prefix sums run in a fixed
     order, and a document is taken once for each whole number that its step crosses after one offset per source, drawn
     by the seed and the source's name, is added. A source is cut into buckets of about bucket_rows by a hash of id and
-    text, so a source that holds a third of all rows is many window groups; bucket totals carry the prefix sum on. Within
-    a bucket the order is by size, downwards, with every second stretch of one step's length turned round (balanced
+    text, so a source that holds a third of all rows is many window groups; bucket totals carry the prefix sum on. Rows of one
+    id and text that overfill a bucket are dealt over parts of it. Within a bucket or part the order is by size, downwards, with every second stretch of one step's length turned round (balanced
     systematic sampling), so that long documents are taken in proportion whatever the offset.
 
     Null text: size 0. Null source: a source of its own, sorted last. Null ids come first among equal sizes. Repeated
@@ -53,7 +74,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
     the new names are replaced. An empty table gives no rows. Sources, however many, are handled as a table.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    key, bucket = "__mix_source", "__mix_bucket"
+    key, bucket, part = "__mix_source", "__mix_bucket", "__mix_part"
     name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("null"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sized = docs.withColumns({  # all that needs the text, so that it isn't shuffled where the result doesn't have it
@@ -69,14 +90,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
     plan = materialize(plan, "mix-plan")
     dealt = sized.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, key).withColumn(
         bucket, F.col("__mix_deal") % F.col("__mix_buckets"))
-    counts = dealt.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__mix_rows"))
+    dealt, counts = split_buckets(dealt, [key, bucket], part, bucket_rows)
     before = counts.withColumn(
-        "__mix_before", F.sum("__mix_rows").over(Window.partitionBy(key).orderBy(bucket)) - F.col("__mix_rows"))
-    at = F.row_number().over(Window.partitionBy(key, bucket).orderBy(F.desc("mix_size"), F.col(id_col).asc_nulls_first(), "__mix_tie"))
+        "__mix_before", F.sum("__mix_rows").over(Window.partitionBy(key).orderBy(bucket, part)) - F.col("__mix_rows"))
+    at = F.row_number().over(Window.partitionBy(key, bucket, part).orderBy(F.desc("mix_size"), F.col(id_col).asc_nulls_first(), "__mix_tie"))
     rate = F.col("__mix_rate")
     fraction = rate - F.floor(rate)
     step = F.greatest(F.lit(1), F.when(fraction > 0, F.floor(1.0 / F.greatest(fraction, F.lit(1e-9)) + 0.5)).otherwise(1)).cast("long")
-    ranked = dealt.join(before, [key, bucket]).withColumn("__mix_rank", at - 1).withColumn("__mix_step", step)
+    ranked = dealt.join(before, [key, bucket, part]).withColumn("__mix_rank", at - 1).withColumn("__mix_step", step)
     rank, step, stretch = F.col("__mix_rank"), F.col("__mix_step"), F.floor(F.col("__mix_rank") / F.col("__mix_step"))
     turned = (stretch % 2 == 1) & ((stretch + 1) * step <= F.col("__mix_rows"))
     place = F.when(turned, (2 * stretch + 1) * step - 1 - rank).otherwise(rank)

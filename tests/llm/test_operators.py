@@ -826,3 +826,26 @@ def test_training_is_bounded_with_repeated_ids(spark):
 def test_netpbm_numbers_with_leading_zeros():
     got = media.decode(b"P2 2 1 255 0000255 00000001")
     assert np.asarray(got).reshape(-1).tolist() == [255, 1]
+
+
+@pytest.mark.parametrize("bucket_rows", [30, 50_000])
+def test_mixing_of_very_many_equal_rows(spark, bucket_rows):
+    """Rows that no hash takes apart are dealt over parts of a bucket, and the mix keeps its sums."""
+    rows = [(None, "same words here", "a", k) for k in range(700)] + [(k, " ".join(["w"] * (k % 9)), "ab"[k % 2], k) for k in range(300)] + [(None, None, None, k) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    got = mixing.mix(docs, weights=(1, 3), bucket_rows=bucket_rows)
+    assert got.columns == [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    got = got.collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(r[:3] for r in rows)
+    assert sorted(r["extra"] for r in got) == sorted(r[3] for r in rows)  # each row once
+    for source in ("a", "b"):
+        own = [r for r in got if r["source"] == source]
+        assert {r["mix_source_size"] for r in own} == {sum(r["mix_size"] for r in own)}
+        target, taken = own[0]["mix_target"], sum(r["mix_size"] * r["mix_copies"] for r in own)
+        assert abs(taken - target) <= 0.1 * target + 9
+        assert max(r["mix_copies"] for r in own) <= 3
+    dealt = docs.select(F.lit("s").alias("k"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("doc_id") % 7 + 1).alias("b"), "extra")
+    laid, counts = mixing.split_buckets(dealt, ["k", "b"], "p", bucket_rows)
+    sizes = Counter((r["k"], r["b"], r["p"]) for r in laid.collect())
+    assert sizes == {(r["k"], r["b"], r["p"]): r["__mix_rows"] for r in counts.collect()}
+    assert max(sizes.values()) <= 2 * bucket_rows and sum(sizes.values()) == len(rows)
