@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.functions.numeric import ratio
 
@@ -41,25 +45,46 @@ def back_adjust(prices: DataFrame, threshold_pct: float = 12.0, least_effect: fl
     time; yesterday is then the adjusted close of the row before.
 
     An event with a close of zero has no factor, and one that changes prices by less than least_effect is none. Values that
-    are null or not above zero stay. One sort of each instrument's rows serves all: its factors in order are one short
-    list, of which a row folds the part behind it.
+    are null or not above zero stay. A value is rounded after each factor, so factors can't be put together: an instrument's
+    events go over the rows before them as arrays, one after another.
     """
     order = _order()
     before = F.lag("close").over(order)
     factor = F.col("close") / before
     event = is_event((F.col("close") - before) / before * 100.0, F.datediff("day", F.lag("day").over(order)), threshold_pct)
     real = F.when((before > 0) & (F.col("close") > 0) & event & (F.abs(factor - 1.0) >= least_effect), factor)
-    rows = prices.withColumn("__factor", real)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"__all": F.collect_list("__factor").over(whole), "__done": F.count("__factor").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    later = F.slice("__all", (F.col("__done") + 1).cast("int"), F.size("__all"))
-    fold = lambda c: F.aggregate(later, F.col(c).cast("double"), lambda x, f: F.when(x > 0, F.rint(x * f)).otherwise(x))
-    rows = rows.withColumns({c: fold(c) for c in columns})
-    if "yesterday" in columns:
-        last = F.lag("close").over(order)
-        redone = F.when(F.col("close").isNull(), F.col("yesterday")).otherwise(F.when(last > 0, last))
-        rows = rows.withColumn("yesterday", F.when(F.size("__all") > 0, redone).otherwise(F.col("yesterday")))
-    return rows.drop("__factor", "__all", "__done")
+    names = list(columns)
+    kept = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in names else f.dataType) for f in prices.schema.fields])
+    rows = prices.withColumns({c: F.col(c).cast("double") for c in names} | {"__factor": real})
+
+    def adjusted(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("day", "ascending")], null_placement="at_start"))
+        factors = table["__factor"].to_numpy()
+        table = table.drop_columns(["__factor"])
+        events = np.flatnonzero(~np.isnan(factors))
+        if not len(events):
+            return table
+        was = np.stack([table[c].to_numpy() for c in names])
+        positive = (was > 0) | np.isnan(was)
+        now = np.where(positive, was, 0.0)
+        for e in events.tolist():
+            head = now[:, :e]
+            head *= factors[e]
+            np.rint(head, out=head)
+        now = np.where(positive, now, was)
+        missing = {c: table[c].is_null().to_numpy() for c in names}
+        if "yesterday" in names:
+            own, k = table["close"].to_numpy(), names.index("yesterday")
+            close, none = (now[names.index("close")], missing["close"]) if "close" in names else (own, table["close"].is_null().to_numpy())
+            last, known = np.append(np.nan, close[:-1]), np.append(False, ~none[:-1])
+            last_fine = known & ((last > 0) | np.isnan(last))
+            now[k] = np.where(none, now[k], last)
+            missing["yesterday"] = np.where(none, missing["yesterday"], ~last_fine)
+        for c, x in zip(names, now):
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(x, pa.float64(), mask=missing[c]))
+        return table
+
+    return rows.groupBy("company_id").applyInArrow(adjusted, kept)
 
 
 def yesterday(prices: DataFrame, value: str = "close") -> DataFrame:

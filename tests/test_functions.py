@@ -321,3 +321,26 @@ def test_identifiers_units_and_links(spark):
 def test_csv_and_compact(spark):
     assert one(spark, text.csv_text(F.lit('a "b"\nc'))) == "a 'b' c" and one(spark, text.compact_number(F.lit(2.5e6))) == "2.5M"
     assert one(spark, text.url_parameter(F.lit("http://x/y?a=1&i=77"), "i")) == "77"
+
+
+def test_back_adjust_long_series_of_events(spark):
+    """An event every day: a row's list of later events is not kept with each row, and the result is that of plain folding."""
+    from quantloom.operators.corporate import back_adjust
+
+    closes = [float(100 + (k * 7919) % 400) if k % 17 else None for k in range(300)]
+    rows = spark.createDataFrame([(1, k, c, -5.0 if k == 3 else c) for k, c in enumerate(closes)], "company_id long, k int, close double, low double")
+    rows = rows.selectExpr("company_id", "date_add(DATE'2000-01-01', k) AS day", "close", "low", "CAST(NULL AS double) AS yesterday")
+    out = back_adjust(rows, columns=("close", "low", "yesterday"))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    factors = {k: b / a for k, (a, b) in enumerate(zip(closes, closes[1:]), 1) if a and b and abs(b / a - 1) * 100 > 12.36}
+
+    def fold(x, k):
+        for e in sorted(factors):
+            if x is not None and e > k and x > 0:
+                x = float(round(x * factors[e]))
+        return x
+
+    want = [fold(c, k) for k, c in enumerate(closes)]
+    got = out.orderBy("day").collect()
+    assert [r["close"] for r in got] == want and got[3]["low"] == -5.0
+    assert [r["yesterday"] for r in got] == [None if c is None or k == 0 or not want[k - 1] else want[k - 1] for k, c in enumerate(want)]
