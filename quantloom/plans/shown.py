@@ -91,9 +91,14 @@ def first_name_with(t: Tables) -> DataFrame:
     f"SELECT '{f}' AS factor, count({f}) AS known, count(DISTINCT day) FILTER ({f} IS NOT NULL) AS dates, count(DISTINCT company_id) FILTER ({f} IS NOT NULL) AS companies FROM section" for f in FACTORS)))
 def factor_counts(t: Tables) -> DataFrame:
     """How often each of the sixteen factors is known, on how many dates and of how many companies."""
-    long = _section(t).select("company_id", "day", *FACTORS).unpivot(["company_id", "day"], list(FACTORS), "factor", "value")
-    there = F.col("value").isNotNull()
-    return long.groupBy("factor").agg(F.count("value").alias("known"), F.countDistinct(F.when(there, F.col("day"))).alias("dates"), F.countDistinct(F.when(there, F.col("company_id"))).alias("companies"))
+    rows = _section(t)
+    counts = [F.count(f).alias(f) for f in FACTORS]
+    companies = rows.groupBy("company_id").agg(*counts).agg(*(x for f in FACTORS for x in (F.sum(f).alias(f), F.count_if(F.col(f) > 0).alias(f"{f}_companies"))))
+    dates = rows.groupBy("day").agg(*counts).agg(*(F.count_if(F.col(f) > 0).alias(f"{f}_dates") for f in FACTORS))
+    both = companies.crossJoin(F.broadcast(dates))  # a row each
+    known = lambda f: F.coalesce(f, F.lit(0).cast("long")).alias("known")
+    listed = F.array(*(F.struct(F.lit(f).alias("factor"), known(f), F.col(f"{f}_dates").alias("dates"), F.col(f"{f}_companies").alias("companies")) for f in FACTORS))
+    return both.select(F.inline(listed))
 
 
 def report_date(page: Column, header: Column) -> Column:
