@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +74,75 @@ def numbered_all(df: DataFrame, order: Sequence[Column], name: str = "place") ->
     return with_running(df, [], order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition's rows (key, g, value) with the place in its group at which a row's equal values begin, and how many these
+    are, both within the partition. Rows of one value wait until it has ended."""
+    part = TaskContext.get().partitionId()
+    held: list[np.ndarray] = []
+    group, seen = None, 0  # the last group, and its rows that have been passed on
+
+    def passed(rows: list[np.ndarray]) -> pa.RecordBatch:
+        nonlocal group, seen
+        key, g, value = rows
+        starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (value[1:] != value[:-1])]))
+        sizes = np.diff(np.append(starts, len(g)))
+        heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        at = np.where(np.arange(len(heads)) > 0, heads, -seen if g[0] == group else 0)
+        below = starts - at[np.searchsorted(heads, starts, "right") - 1]
+        group, seen = g[-1], len(g) - at[-1]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(g), pa.array(value), pa.array(np.repeat(below, sizes)), pa.array(np.repeat(sizes, sizes)),
+                                           pa.array(np.full(len(g), part, np.int64))], ["key", "g", "value", "below", "same", "part"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held and (new[1][-1], new[2][-1]) == (held[0][1][-1], held[0][2][-1]):  # the batch goes on with the same value
+            held.append(new)
+            continue
+        rows = [np.concatenate(c) for c in zip(*held, new)]
+        end = np.flatnonzero((rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+        cut = end[-1] + 1 if len(end) else 0
+        if cut:
+            yield passed([c[:cut] for c in rows])
+        held = [[c[cut:] for c in rows]]
+    if held:
+        yield passed([np.concatenate(c) for c in zip(*held)])
+
+
+def with_places(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
+    """Rows key, group, below, same, n of df (whole numbers key and group, a double value, no nulls): how many rows of the group have
+    a lesser value and how many the same, itself included, and the rows of the group.
+
+    Rows are cut by ranges of (group, value, key) and written, so neither a group nor a value is one task, and no row is
+    joined with the rows of its group. A row for each group in each range, and for the values at a range's ends, passes
+    through the driver.
+    """
+    names = [F.col(key).cast("long").alias("key"), F.col(group).cast("long").alias("g"), (F.col(value) + 0.0).alias("value")]  # no zero below zero
+    order = ["g", "value", "key"]
+    cut = df.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = written(cut.mapInArrow(_placed, "key long, g long, value double, below long, same long, part long"), "places")
+    ends = F.struct("value", "same")
+    sums = laid.groupBy("part", "g").agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("low"), F.max(ends).alias("high")).collect()
+    total, equal = Counter(), Counter()
+    for r in sums:
+        total[r["g"]] += r["n"]
+        for x in {r["low"], r["high"]}:
+            equal[r["g"], x["value"]] += x["same"]
+    ahead, met, rows = Counter(), Counter(), []
+    for r in sorted(sums, key=lambda r: r["part"]):
+        g, low, high = r["g"], r["low"], r["high"]
+        rows.append((r["part"], g, ahead[g], total[g], low["value"], met[g, low["value"]], equal[g, low["value"]], high["value"], equal[g, high["value"]]))
+        ahead[g] += r["n"]
+        for x in {low, high}:
+            met[g, x["value"]] += x["same"]
+    offsets = df.sparkSession.createDataFrame(rows, "part long, g long, __ahead long, n long, __low double, __met long, __low_same long, __high double, __high_same long")
+    c, at_low = F.col, F.col("value") == F.col("__low")  # a range's first value may have begun before it
+    out = laid.join(F.broadcast(offsets), ["part", "g"])
+    return out.select(c("key").alias(key), c("g").alias(group), (c("__ahead") + c("below") - F.when(at_low, c("__met")).otherwise(0)).alias("below"),
+                      F.when(at_low, c("__low_same")).when(c("value") == c("__high"), c("__high_same")).otherwise(c("same")).alias("same"), "n")
+
+
 def percentiles(df: DataFrame, key: str, factors: Mapping[str, Factor]) -> DataFrame:
     """df with `<factor>_rank` for each factor column: the mid-rank percentile among all rows.
 

@@ -65,7 +65,7 @@ def forward_returns(t: Tables) -> DataFrame:
 def rank_correlation(rows: DataFrame, by: str | list[str], x: str, y: str, least: int = 6) -> DataFrame:
     """Spearman's correlation of each group: average ranks, then Pearson; null where a side does not vary."""
     by = [by] if isinstance(by, str) else by
-    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y).repartition(*by)  # one shuffle for all four windows
     mean_rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / F.lit(2.0)
     ranked = known.select(*by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
     varied = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))

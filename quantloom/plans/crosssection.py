@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import clip, pct_of, ratio, round_half, within
-from quantloom.operators.asof import asof_join
 from quantloom.operators.corporate import price_index
-from quantloom.operators.joins import spread_join
-from quantloom.operators.ranking import with_running
+from quantloom.operators.ranking import with_places
 from quantloom.plans.backtest import LAG_DAYS, STALE_DAYS, month_ends, rank_correlation
 from quantloom.plans.registry import query
 from quantloom.plans.score import PROFIT_SQL, reports, tiers
@@ -51,16 +49,27 @@ def steady_prices(t: Tables) -> DataFrame:
     return domain.market_prices(t).withColumns({c: F.col(c) + float(BASE_PRICE) for c in ("close", "first")})
 
 
+def _month(day: Column) -> Column:
+    """A day's month as one number."""
+    return F.year(day) * 12 + F.month(day)
+
+
+def _month_end(month: Column) -> Column:
+    return F.last_day(F.make_date(F.floor((month - 1) / 12).cast("int"), (month - 1) % 12 + 1, F.lit(1)))
+
+
 def _prices(t: Tables) -> DataFrame:
-    """company_id, day, p: each day's close, its number, the price index, and momentum, volatility and value of thirty rows."""
+    """company_id, day, p of the last day of each month with prices: its close, its number, the price index, and momentum, volatility
+    and value of thirty rows."""
     order = Window.partitionBy("company_id").orderBy("day")
     last = order.rowsBetween(-29, 0)
     i, c = F.row_number().over(order), F.col("close")
-    rows = price_index(steady_prices(t)).withColumns({"i": i, "c0": F.lag("close", 30).over(order)})
+    rows = price_index(steady_prices(t)).withColumns({"i": i, "c0": F.lag("close", 30).over(order), "next": F.lead("day").over(order)})
     late = lambda x: F.when(F.col("i") >= 31, x)
     mom = F.when(F.col("c0") > 0, clip((c / F.col("c0") - 1.0) * 100.0, -50, 40))
     rows = rows.withColumns({"mom": late(mom), "vol": late(F.stddev_samp(F.col("day_return") * 100.0).over(last)), "liq": late(F.avg("trade_value").over(last))})
-    return rows.select("company_id", "day", F.struct("close", "i", "log_index", "mom", "vol", "liq").alias("p"))
+    rows = rows.filter(F.col("next").isNull() | (_month(F.col("next")) > _month(F.col("day"))))
+    return rows.select("company_id", "day", F.struct("day", "close", "i", "log_index", "mom", "vol", "liq").alias("p"))
 
 
 #: What a report says itself of profits, cash and its balance sheet.
@@ -68,16 +77,17 @@ FILED = ("npa", "npa_ly", "npa_fyprev", "op_raw", "op_ly_raw", "op_fyprev", "rev
          "total_assets", "current_assets", "total_liabilities", "current_liabilities", "total_equity")
 
 
-def _reports(t: Tables) -> DataFrame:
-    """company_id, day (of publication), r: each report with last year's and the year before's figures."""
+def _reports(t: Tables, filed: Iterable[str] = FILED) -> DataFrame:
+    """company_id, day (of publication), r: each report with last year's and the year before's figures, and its own in filed. A company
+    has a report a month, so one range of months or years finds each of them."""
     rows = reports(domain.interim_reports(t)).withColumn("k", F.col("jyear") * 12 + F.col("jmonth"))
-    whole = Window.partitionBy("company_id")
-    kept = F.struct("p1", "op", "revenue")
-    rows = rows.withColumns({"n": F.row_number().over(whole.orderBy("k")), "all": F.map_from_entries(F.collect_list(F.struct("k", kept)).over(whole))})
-    at = {"lyp": F.col("k") - 12, "fy": (F.col("jyear") - 1) * 12 + 12, "lyp2": F.col("k") - 24, "fy2": (F.col("jyear") - 2) * 12 + 12}
-    rows = rows.withColumns({name: F.try_element_at("all", k) for name, k in at.items()})
+    whole, kept = Window.partitionBy("company_id"), F.struct("p1", "op", "revenue")
+    back = lambda by, n, x: F.max(x).over(whole.orderBy(by).rangeBetween(-n, -n))
+    full = F.when(F.col("jmonth") == 12, kept)
+    at = {"lyp": back("k", 12, kept), "fy": back("jyear", 1, full), "lyp2": back("k", 24, kept), "fy2": back("jyear", 2, full)}
+    rows = rows.withColumns({"n": F.row_number().over(whole.orderBy("k")), **at})
     out = F.date_add(F.last_day(F.make_date("jyear", "jmonth", F.lit(1))), LAG_DAYS)
-    return rows.select("company_id", out.alias("day"), F.struct("k", "jmonth", "n", "eps", "p1", "op", "op_ly", "revenue", "revenue_ly", "finance_costs", "other_non_op", *FILED, *at).alias("r"))
+    return rows.select("company_id", out.alias("day"), F.struct("k", "jmonth", "n", "eps", "p1", "op", "op_ly", "revenue", "revenue_ly", "finance_costs", "other_non_op", *filed, *at).alias("r"))
 
 
 def _sales(t: Tables) -> DataFrame:
@@ -96,24 +106,38 @@ def _growth(now: Column, before: Column, most: float) -> Column:
     return F.when(F.abs(share) <= most, share * 100.0)
 
 
-def cross_sections(t: Tables) -> DataFrame:
+def _known(t: Tables, filed: Iterable[str]) -> DataFrame:
+    """company_id, day (month end), key (its month), and the latest price p, report r and sales s of that time; later3 and so on, the
+    price index as many months on, null where its price is older than STALE_DAYS.
+
+    Prices, reports and sales come one a company and month at most, and run on over the months in one shuffle; the price of a
+    horizon is that of the month so many rows on.
+    """
+    span = month_ends(t).select(_month(F.col("day")).alias("m")).agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    months = span.select("last", F.explode(F.sequence("first", F.col("last") + max(HORIZONS))).alias("key"))  # a fixed list
+    marks = domain.companies(t).select("company_id").distinct().crossJoin(F.broadcast(months)).withColumns({"probe": F.lit(1), "day": F.lit(None).cast("date")})
+    dated = lambda df: df.withColumns({"key": _month(F.col("day")), "probe": F.lit(0)})
+    sold = _sales(t).withColumnRenamed("k", "key").withColumn("probe", F.lit(0))
+    rows = marks
+    for seen in (dated(_prices(t)), dated(_reports(t, filed)), sold):
+        rows = rows.unionByName(seen, allowMissingColumns=True)
+    group = Window.partitionBy("company_id")
+    so_far = group.orderBy("key", "probe", "day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("p", "r", "s")}).filter("probe = 1")
+    ahead = {f"next{h}": F.lead(F.struct("p.day", "p.log_index"), h).over(group.orderBy("key")) for h in HORIZONS}
+    rows = rows.withColumns(ahead).filter("key <= last").withColumn("day", _month_end(F.col("key")))
+    fresh = lambda h: F.datediff(_month_end(F.col("key") + h), F.col(f"next{h}.day")) <= STALE_DAYS
+    return rows.select("company_id", "day", "key", "p", "r", "s", F.datediff("day", "p.day").alias("price_age"),
+                       *(F.when(fresh(h), F.col(f"next{h}.log_index")).alias(f"later{h}") for h in HORIZONS))
+
+
+def cross_sections(t: Tables, filed: Iterable[str] = ()) -> DataFrame:
     """A row a company and month end: factors, ages and counts as known on that day, and returns over three horizons.
 
-    Prices of the day and of all horizons are found in one as-of pass, reports and sales in one each. Reports are known
-    LAG_DAYS after their period; a price older than STALE_DAYS at a horizon gives no return. The latest report itself is
-    in column r.
+    Reports are known LAG_DAYS after their period; a price older than STALE_DAYS at a horizon gives no return. The latest
+    report itself, with the figures in filed, is in column r.
     """
-    ends = month_ends(t).withColumn("key", F.year("day") * 12 + F.month("day"))  # a fixed list of days
-    base = domain.companies(t).select("company_id").crossJoin(F.broadcast(ends))
-    probes = base.select("company_id", F.col("day").alias("from"), "key", F.explode(F.array(*map(F.lit, (0, *HORIZONS)))).alias("h"))
-    probes = probes.withColumn("day", F.last_day(F.add_months("from", F.col("h"))))
-    seen = asof_join(probes, _prices(t), "company_id", "day", "p")
-    here = lambda h, x: F.max(F.when(F.col("h") == h, x))
-    fresh = F.datediff("day", "p_at") <= STALE_DAYS
-    rows = seen.groupBy("company_id", "from", "key").agg(here(0, F.col("p")).alias("p"), here(0, F.datediff("day", "p_at")).alias("price_age"),
-                                                         *(here(h, F.when(fresh, F.col("p.log_index"))).alias(f"later{h}") for h in HORIZONS)).filter("p.close > 0")
-    rows = asof_join(rows.withColumnRenamed("from", "day"), _reports(t), "company_id", "day", "r").filter("r IS NOT NULL").withColumn("key2", F.col("key"))
-    rows = asof_join(rows, _sales(t).withColumnRenamed("k", "key"), "company_id", "key", "s").filter("s.n >= 12 AND p.i >= 30")
+    rows = _known(t, filed).filter("p.close > 0 AND r IS NOT NULL AND s.n >= 12 AND p.i >= 30")
     c, r, s, december = F.col, (lambda x: F.col(f"r.{x}")), (lambda x: F.col(f"s.{x}")), F.col("r.jmonth") == 12
     near = lambda *xs: (F.greatest(*map(F.abs, xs)) <= 100.0 * F.least(*map(F.abs, xs))) | (F.least(*map(F.abs, xs)) == 0)
     known = lambda *xs: sum((x.isNotNull().cast("int") for x in xs), F.lit(0)) == len(xs)
@@ -142,27 +166,28 @@ def cross_sections(t: Tables) -> DataFrame:
                              "pe": F.when((c("pe_any") > 0) & (c("pe_any") <= 60), c("pe_any"))})
     rows = rows.withColumn("ps", F.when(c("nm12") > 0, c("pe") * c("nm12") / 100.0)).withColumn("ps", F.when(c("ps") <= 100, c("ps")))
     return rows.select("company_id", "day", "ttm_np", *(round_half(c(f), 6).alias(f) for f in FACTORS), *(round_half(c(f"fwd{h}"), 8).alias(f"fwd{h}") for h in HORIZONS), "price_age",
-                       (c("key2") - r("k")).alias("report_age"), r("n").alias("n_reports"), s("n").alias("n_sales"), c("p.i").alias("n_days"), F.lit(True).alias("priced"), "r")
+                       (c("key") - r("k")).alias("report_age"), r("n").alias("n_reports"), s("n").alias("n_sales"), c("p.i").alias("n_days"), F.lit(True).alias("priced"), "r")
 
 
 def ranks(rows: DataFrame, factors: Mapping[str, Rule]) -> DataFrame:
     """rows, a table with a row a company and day, with the rank of each factor among the day's companies: the mid-rank share.
 
-    Days with fewer than MIN_UNIVERSE companies are left out. Equal values of a day combine, the counts below a value run on
-    by ranges of (day, factor, value), and a value that many companies share is dealt over several tasks.
+    Days with fewer than MIN_UNIVERSE companies are left out. Places are counted by ranges of (day and factor, value, company), so a
+    value that many companies share is several tasks, and go back to their rows in one shuffle.
     """
     c = F.col
     many = rows.groupBy("day").agg(F.count(F.lit(1)).alias("__many")).filter(c("__many") >= MIN_UNIVERSE)
-    rows = rows.join(many.drop("__many"), "day")  # a row a day
-    keys = rows.select("company_id", "day", *(clip(c(f), *rule.bounds).alias(f) for f, rule in factors.items()))
-    long = keys.unpivot(["company_id", "day"], list(factors), "factor", "value").filter("value IS NOT NULL")
-    same = long.groupBy("day", "factor", "value").agg(F.count(F.lit(1)).alias("same"))
-    placed = with_running(same, ["day", "factor"], [c("value").asc()], c("same"), "below", "n")
+    rows = rows.join(F.broadcast(many.drop("__many")), "day")  # a row a day
+    values = F.posexplode(F.array(*(clip(c(f), *rule.bounds) for f, rule in factors.items()))).alias("f", "value")
+    long = rows.select("company_id", F.unix_date("day").alias("d"), values).filter("value IS NOT NULL")
+    placed = with_places(long.select("company_id", (c("d") * len(factors) + c("f")).alias("g"), "value"), "g", "value", "company_id")
     p = (2.0 * c("below") + c("same") - 1.0) / F.nullif(2.0 * (c("n") - 1.0), F.lit(0.0))
-    lower = [f for f, rule in factors.items() if rule.less_is_better]
-    placed = placed.select("day", "factor", "value", F.when(c("n") == 1, 0.5).otherwise(F.when(c("factor").isin(*lower), 1.0 - p).otherwise(p)).alias("rank"))
-    long = spread_join(long, placed, ["day", "factor", "value"], ["company_id"])
-    wide = long.groupBy("company_id", "day").pivot("factor", list(factors)).agg(F.max("rank")).select("company_id", "day", *(c(f).alias(f"r_{f}") for f in factors))
+    f = F.pmod("g", F.lit(len(factors)))
+    lower = [i for i, rule in enumerate(factors.values()) if rule.less_is_better]
+    rank = F.when(c("n") == 1, 0.5).otherwise(F.when(f.isin(*lower), 1.0 - p).otherwise(p))
+    # dealt before they are put together: ranks of a company and day lie far apart, so there is nothing to combine
+    dealt = placed.select("company_id", F.date_from_unix_date(F.floor(c("g") / len(factors)).cast("int")).alias("day"), f.alias("f"), rank.alias("rank")).repartition("company_id", "day")
+    wide = dealt.groupBy("company_id", "day").agg(*(F.max(F.when(c("f") == i, c("rank"))).alias(f"r_{name}") for i, name in enumerate(factors)))
     return rows.join(wide, ["company_id", "day"], "left").withColumns({f"r_{f}": F.coalesce(f"r_{f}", F.lit(rule.missing)) for f, rule in factors.items()})
 
 
@@ -200,10 +225,13 @@ def scored(rows: DataFrame) -> DataFrame:
 def portfolios(rows: DataFrame) -> DataFrame:
     """day, h, n, bench, and of the first ten and twenty by score the mean return and what it is over all: days with at least
     MIN_UNIVERSE returns over a horizon."""
+    rows = written(rows.select("day", "company_id", "score", *(f"fwd{h}" for h in HORIZONS)), "scores")
     long = rows.select("day", "company_id", "score", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"fwd{h}").alias("fwd")) for h in HORIZONS))).alias("f"))
     long = long.select("day", "company_id", "score", "f.h", "f.fwd").filter("fwd IS NOT NULL")
+    means = long.groupBy("day", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("bench"))
     place = F.row_number().over(Window.partitionBy("day", "h").orderBy(F.desc("score"), "company_id"))
-    means = long.withColumn("rn", place).groupBy("day", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("bench"), *(F.avg(F.when(F.col("rn") <= k, F.col("fwd"))).alias(f"top{k}") for k in TOPS))
+    first = long.withColumn("rn", place).filter(F.col("rn") <= max(TOPS))  # each task passes on no more than these
+    means = means.join(first.groupBy("day", "h").agg(*(F.avg(F.when(F.col("rn") <= k, F.col("fwd"))).alias(f"top{k}") for k in TOPS)), ["day", "h"])
     means = means.filter(F.col("n") >= MIN_UNIVERSE)
     return means.withColumns({f"top{k}_excess": F.col(f"top{k}") - F.col("bench") for k in TOPS})
 
@@ -385,10 +413,13 @@ def backtest_ic(t: Tables) -> DataFrame:
 def mean_correlations(rows: DataFrame) -> DataFrame:
     """The mean rank correlation of each factor, part and the score with the return of three months, its t value and how often it
     is positive."""
-    long = rows.select("day", F.col("fwd3").alias("y"), *(round_half(F.col(c), 6).alias(c) for c in _SERIES)).unpivot(["day", "y"], list(_SERIES), "series", "x")
-    long = long.withColumn("__n", F.count("y").over(Window.partitionBy("day", "series"))).filter(F.col("__n") >= MIN_FORWARD)
+    names = F.array(*map(F.lit, _SERIES))
+    values = F.posexplode(F.array(*(round_half(F.col(c), 6) for c in _SERIES))).alias("k", "x")
+    # days of few returns are left out, whatever a series holds
+    enough = F.broadcast(rows.groupBy("day").agg(F.count("fwd3").alias("__n")).filter(F.col("__n") >= MIN_FORWARD).select("day"))
+    long = rows.join(enough, "day").filter("fwd3 IS NOT NULL").select("day", F.col("fwd3").alias("y"), values)
     ic = F.col("ic")
-    ics = rank_correlation(long, ["day", "series"], "x", "y", MIN_VALUES)
+    ics = rank_correlation(long, ["day", "k"], "x", "y", MIN_VALUES).withColumn("series", names[F.col("k")])
     out = ics.groupBy("series").agg(F.count(ic).alias("n"), round_half(F.avg(ic), 5).alias("mean"), round_half(ratio(F.avg(ic), F.stddev_samp(ic) / F.sqrt(F.count(ic))), 3).alias("t"),
                                     round_half(F.count_if(ic > 1e-9) * 100.0 / F.count(ic), 2).alias("positive"))
     return out.filter(F.col("n") >= MIN_DATES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import ratio, round_half, within
 from quantloom.plans.backtest import rank_correlation
-from quantloom.plans.crosssection import _PEN, _SECTION_SQL, MIN_FORWARD, MIN_UNIVERSE, RULES, Rule, _cap, _r, _sql, _step, cross_sections, part_scores, ranks, with_quality
+from quantloom.plans.crosssection import _PEN, _SECTION_SQL, FILED, MIN_FORWARD, MIN_UNIVERSE, RULES, Rule, _cap, _r, _sql, _step, cross_sections, part_scores, ranks, with_quality
 from quantloom.plans.registry import query
 from quantloom.sources.domain import Tables
 from quantloom.sources.store import written
@@ -69,7 +69,7 @@ def scores(t: Tables) -> DataFrame:
 
     The table of configurations, a few rows, becomes a column a factor and meets every ranked row.
     """
-    rows = written(with_balance(cross_sections(t)), "cross-sections")
+    rows = written(with_balance(cross_sections(t, FILED)), "cross-sections")
     ranked = with_quality(ranks(rows, RULES | BALANCE_RULES))
     wide = configurations(t.spark).groupBy("config", "stale").pivot("factor", FACTORS).agg(F.max("weight"))
     wide = wide.select("config", "stale", *(F.col(f).alias(f"w_{f}") for f in FACTORS))
@@ -82,6 +82,7 @@ def books(rows: DataFrame, tops: tuple[int, ...], least: int) -> DataFrame:
 
     Only the first of a date are placed, so that each task passes on no more than these.
     """
+    rows = written(rows.select("config", "day", "company_id", "score", *(f"fwd{h}" for h in HORIZONS)), "scores")
     long = rows.select("config", "day", "company_id", "score", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"fwd{h}").alias("fwd")) for h in HORIZONS))).alias("f"))
     long = long.select("config", "day", "company_id", "score", "f.h", "f.fwd").filter("fwd IS NOT NULL")
     means = long.groupBy("config", "day", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("bench")).filter(F.col("n") >= least)
@@ -204,7 +205,7 @@ def weights_ic(t: Tables) -> DataFrame:
 @query("balance_factors", _sql(f"{_BALANCE_SQL}\nSELECT company_id, day, {', '.join(f'{_r(f, 4)} AS {f}' for f in REPORTED)} FROM balance"))
 def balance_factors(t: Tables) -> DataFrame:
     """What the latest report that was out says of each company at each month end."""
-    return with_balance(cross_sections(t)).select("company_id", "day", *(round_half(F.col(f), 4).alias(f) for f in REPORTED))
+    return with_balance(cross_sections(t, FILED)).select("company_id", "day", *(round_half(F.col(f), 4).alias(f) for f in REPORTED))
 
 
 _SCORED_SERIES = ("plain", "balance")

@@ -44,12 +44,13 @@ def interim_reports(t: Tables) -> DataFrame:
         F.sum(cents(price)).alias("revenue"), F.sum(cents(price * (tax - off + F.lit(0.02)))).alias("net_profit"),
         F.sum(cents(price * (F.lit(0.06) - off))).alias("operating_profit"), F.sum(cents(price * F.lit(0.01))).alias("finance_costs"),
         F.sum(cents(price * tax * F.lit(0.1))).alias("other_non_op"))
+    quarter = quarter.repartition("company_id")  # some quarters each; one shuffle for all that follows
     so_far = Window.partitionBy("company_id", "jyear").orderBy("jmonth").rowsBetween(Window.unboundedPreceding, 0)
     cum = quarter.select("company_id", "jyear", "jmonth", *(F.sum(c).over(so_far).alias(c) for c in AMOUNTS))
-    # one range by year stands for two self joins: the same month and the last month of the year before
-    year = Window.partitionBy("company_id", "jmonth").orderBy("jyear").rangeBetween(-1, -1)
-    ends = cum.filter("jmonth = 12").select("company_id", (F.col("jyear") + 1).alias("jyear"), *(F.col(c).alias(f"{c}_fyprev") for c in AMOUNTS))
-    full = cum.select("*", *(F.max(c).over(year).alias(f"{c}_ly") for c in AMOUNTS)).join(ends, ["company_id", "jyear"], "left")
+    # ranges by year stand for two self joins: the same month and the last month of the year before
+    month = Window.partitionBy("company_id", "jmonth").orderBy("jyear").rangeBetween(-1, -1)
+    year = Window.partitionBy("company_id").orderBy("jyear").rangeBetween(-1, -1)
+    full = cum.select("*", *(F.max(c).over(month).alias(f"{c}_ly") for c in AMOUNTS), *(F.max(F.when(F.col("jmonth") == 12, F.col(c))).over(year).alias(f"{c}_fyprev") for c in AMOUNTS))
     shares = 1000.0 + F.col("company_id")
     size = 0.5 + 0.25 * (F.col("company_id") % 3)
     return full.withColumns({

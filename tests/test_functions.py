@@ -344,3 +344,29 @@ def test_back_adjust_long_series_of_events(spark):
     got = out.orderBy("day").collect()
     assert [r["close"] for r in got] == want and got[3]["low"] == -5.0
     assert [r["yesterday"] for r in got] == [None if c is None or k == 0 or not want[k - 1] else want[k - 1] for k, c in enumerate(want)]
+
+
+def test_places_of_values_that_fill_several_ranges(spark):
+    """Equal values that fill whole ranges, and groups that begin within one, get the places that plain counting gives; rows are not
+    joined with the rows of their group."""
+    from pyspark.sql import functions as F
+
+    from quantloom.operators.ranking import with_places
+
+    value = lambda k: -0.0 if k % 10 < 8 else float(k % 7) - 3.0
+    rows = [(k, k % 3 if k < 30000 else 3, value(k)) for k in range(30050)]
+    df = spark.createDataFrame(rows, "key long, g long, value double").repartition(4)
+    got = {r["key"]: (r["g"], r["below"], r["same"], r["n"]) for r in with_places(df, "g", "value", "key").collect()}
+    want = {r["key"]: (r["g"], r["below"], r["same"], r["n"]) for r in spark.createDataFrame(rows, "key long, g long, value double").withColumn("value", F.col("value") + 0.0).selectExpr(
+        "key", "g", "rank() OVER (PARTITION BY g ORDER BY value) - 1 AS below", "count(*) OVER (PARTITION BY g, value) AS same", "count(*) OVER (PARTITION BY g) AS n").collect()}
+    assert got == want and len(got) == len(rows)
+
+
+def test_cross_sections_deal_by_company_alone(spark):
+    """What is known at a month end comes without cutting rows by ranges of company and time and writing them."""
+    from quantloom.plans.crosssection import cross_sections
+    from quantloom.sources.domain import Tables
+    from tests.conftest import SMALL
+
+    plan = cross_sections(Tables(spark, SMALL))._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "as-of" not in plan
