@@ -26,8 +26,13 @@ SCALE = 2_000_000
 ABSORBED = 80
 #: Candidates of one trie: the bound of what is broadcast at a time.
 TRIE_PHRASES = 500_000
-#: Positions of one vector of codes, and words that a task remembers at a time.
-VECTOR, WORDS = 1 << 20, 500_000
+#: Positions of one vector of codes, and words that a task remembers at a time. A vector is a row, and tables are written and
+#: read a hundred rows at a time and more, so it is small.
+VECTOR, WORDS = 1 << 16, 500_000
+#: Positions that go through a trie at once, and places of extensions that a task counts together.
+AT_ONCE, PLACES = 1 << 18, 1 << 21
+#: Vectors whose words are counted together.
+VECTORS_COUNTED = 16
 FAN = 256
 BREAK = b"\xff"  # in no UTF-8 text
 #: Lower-cases A-Z and turns what ends a piece into a break.
@@ -59,19 +64,29 @@ def encode(texts: DataFrame, seed: int) -> DataFrame:
     A code belongs to a word of a language. A vector ends at the end of a piece, after about VECTOR positions.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, langs, held, size, counts = array("q", [0]), {}, [], 0, np.zeros(1, np.int64)
+        codes, langs, held, size, counts, uncounted = array("q", [0]), {}, [], 0, np.zeros(1, np.int64), []
 
         def vector() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, counts
+            nonlocal held, size
             if held:
                 ids = np.concatenate(held)
-                own = np.bincount(ids, minlength=len(codes))
-                own[:len(counts)] += counts
-                counts, held, size = own, [], 0
+                held, size = [], 0
+                uncounted.append(ids)
+                if len(uncounted) >= VECTORS_COUNTED:
+                    count()
                 yield rows(codes=[np.frombuffer(codes, np.int64)[ids].tobytes()])
 
+        def count() -> None:
+            nonlocal counts
+            if uncounted:
+                own = np.bincount(np.concatenate(uncounted), minlength=len(codes))
+                own[:len(counts)] += counts
+                counts = own
+                uncounted.clear()
+
         def words() -> Iterator[pa.RecordBatch]:
             nonlocal codes, langs, counts
+            count()
             for lang, known in langs.items():
                 names, at = list(known)[1:], np.fromiter(known.values(), np.int64, len(known))[1:]
                 for k in range(0, len(names), 50_000):
@@ -178,11 +193,19 @@ class Trie:
                 position, state, now = position[on], following[on], now[on]
             yield position, state
 
+    def phrases(self) -> int:
+        return int(self.entry.max(initial=0))
+
+    def add_counts(self, codes: np.ndarray, total: np.ndarray) -> None:
+        """Add how often each entry occurs; entry 0 is what is no phrase."""
+        found = [self.entry[state] for _, state in self.advance(codes, self.depth)]
+        if found:
+            total += np.bincount(np.concatenate(found), minlength=len(total))
+
     def counts(self, codes: np.ndarray) -> np.ndarray:
         """How often each phrase occurs."""
-        total = np.zeros(int(self.entry.max(initial=0)) + 1, np.int64)
-        for _, state in self.advance(codes, self.depth):
-            total += np.bincount(self.entry[state], minlength=len(total))
+        total = np.zeros(self.phrases() + 1, np.int64)
+        self.add_counts(codes, total)
         return total[1:]
 
 
@@ -251,6 +274,56 @@ def broadcast_tries(phrases: DataFrame, most: int):
             yield spark.sparkContext.broadcast((*arrays, row["depth"])), k * most, count
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The codes of vectors, several together; each ends at a break, so no phrase crosses from one to the next."""
+    held, size = [], 0
+    for batch in batches:
+        for raw in batch.column(0):
+            held.append(np.frombuffer(raw.as_py(), np.int64))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+class Extensions:
+    """Counts of which phrase is followed by which word, of PLACES places together."""
+
+    def __init__(self, of: Trie, size: int, low: int, single: bool) -> None:
+        self.of, self.size, self.low, self.single = of, size, low, single
+        self.tail = np.zeros(of.phrases() + 1, np.int64)  # the last word of each phrase, as far as it has come
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.places = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        at = np.zeros(len(codes) + 1, np.int64)
+        for level, (position, state) in enumerate(self.of.advance(codes, self.size)):
+            if level == self.size - 1:
+                at[position] = self.of.entry[state]
+        last = np.append(codes[self.size:], np.zeros(self.size, np.int64))
+        on = np.flatnonzero((at[:-1] > 0) & (last != 0) & ((at[1:] > 0) | (not self.single)))
+        if self.single:  # the phrase after the first word tells the word
+            self.tail[at[on + 1]] = last[on]
+            self.held.append((at[on] * len(self.tail) + at[on + 1], last[:0]))
+        else:
+            self.held.append((at[on], last[on]))
+        self.places += len(on)
+
+    def counted(self) -> pa.RecordBatch:
+        first, last = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.places = [], 0
+        if self.single:
+            key, n = np.unique(first, return_counts=True)
+            entry, code = key // len(self.tail), self.tail[key % len(self.tail)]
+        else:
+            names, number = np.unique(last, return_inverse=True)
+            key, n = np.unique(first * max(1, len(names)) + number, return_counts=True)
+            entry, code = key // max(1, len(names)), names[key % max(1, len(names))] if len(names) else key
+        return pa.RecordBatch.from_arrays([pa.array(self.low - 1 + entry), pa.array(code), pa.array(n)], ["id", "code", "n"])
+
+
 def longer(vectors: DataFrame, phrases: DataFrame, size: int, most: int) -> DataFrame:
     """Rows id, code, n: how often a word follows a phrase of `size` words, of the phrases (id, codes).
 
@@ -260,20 +333,13 @@ def longer(vectors: DataFrame, phrases: DataFrame, size: int, most: int) -> Data
     found = None
     for trie, low, count in broadcast_tries(phrases, most):
         def task(batches: Iterator[pa.RecordBatch], trie=trie, low=low, single=count == 1) -> Iterator[pa.RecordBatch]:
-            of = Trie(*trie.value)
-            for batch in batches:
-                for raw in batch.column(0):
-                    codes = np.frombuffer(raw.as_buffer(), np.int64)
-                    at = np.zeros(len(codes) + 1, np.int64)
-                    for level, (position, state) in enumerate(of.advance(codes, size)):
-                        if level == size - 1:
-                            at[position] = of.entry[state]
-                    last = np.append(codes[size:], np.zeros(size, np.int64))
-                    on = np.flatnonzero((at[:-1] > 0) & (last != 0) & ((at[1:] > 0) | (not single)))
-                    names, number = np.unique(last[on], return_inverse=True)
-                    key, n = np.unique((at[on] - 1) * max(1, len(names)) + number, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(low + key // max(1, len(names))), pa.array(names[key % max(1, len(names))] if len(names) else key), pa.array(n)], ["id", "code", "n"])
+            seen = Extensions(Trie(*trie.value), size, low, single)
+            for codes in stretches(batches):
+                seen.add(codes)
+                if seen.places >= PLACES:
+                    yield seen.counted()
+            if seen.places:
+                yield seen.counted()
 
         own = vectors.mapInArrow(task, "id long, code long, n long")
         found = own if found is None else found.unionAll(own)
@@ -285,13 +351,13 @@ def counted(vectors: DataFrame, phrases: DataFrame, most: int) -> DataFrame:
     found = None
     for trie, low, _ in broadcast_tries(phrases, most):
         def task(batches: Iterator[pa.RecordBatch], trie=trie, low=low) -> Iterator[pa.RecordBatch]:
-            of, total = Trie(*trie.value), 0
-            for batch in batches:
-                for raw in batch.column(0):
-                    total = total + of.counts(np.frombuffer(raw.as_buffer(), np.int64))
-            if not isinstance(total, int):
-                on = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(low + on), pa.array(total[on])], ["id", "n"])
+            of = Trie(*trie.value)
+            total = np.zeros(of.phrases() + 1, np.int64)
+            for codes in stretches(batches):
+                of.add_counts(codes, total)
+            on = np.flatnonzero(total[1:])
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array(low + on), pa.array(total[on + 1])], ["id", "n"])
 
         own = vectors.mapInArrow(task, "id long, n long")
         found = own if found is None else found.unionAll(own)
@@ -332,7 +398,8 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
         pairs = longer(vectors, known.select("id", "codes"), size, most)
         if pairs is None:
             break
-        pairs = materialize(pairs.groupBy("id", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("id", "code"), f"phrase-pairs-{size}")
+        # tasks have counted already, so rows are dealt before they are added up: nearly all pairs are rare
+        pairs = materialize(pairs.repartition("id", "code").groupBy("id", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("id", "code"), f"phrase-pairs-{size}")
         named = materialize(join_split(pairs, known, ["id"], ["code"]).drop("id"), f"phrase-heads-{size}")
         named = join_split(named, frequent.select("code", "word"), ["code"], ["codes"])
         level = materialize(named.select("lang", F.concat("words", F.array("word")).alias("words"), F.concat("codes", F.array("code")).alias("codes")), f"phrase-level-{size + 1}")

@@ -255,3 +255,28 @@ def test_long_texts_are_cut_at_breaks():
     ids = np.array([1, 2, 0, 3, 4, 5, 6, 0, 0, 7, 8], np.int32)
     assert [p.tolist() for p in phrases.parts(ids, 3)] == [[1, 2, 0, 3, 4, 5, 6], [0, 7, 8]]
     assert [p.tolist() for p in phrases.parts(ids, 100)] == [ids.tolist()]
+
+
+def test_vectors_are_small_rows(spark):
+    """Tables are written and read a hundred rows at a time and more, so a vector of codes stays under a megabyte."""
+    docs = spark.createDataFrame([("en", "one two. " * 20_000)] * 20, "lang string, text string").coalesce(1)
+    sizes = [len(r["codes"]) for r in phrases.encode(docs, 0).filter("codes IS NOT NULL").collect()]
+    words = phrases.encode(docs, 0).filter("codes IS NULL").collect()
+    assert max(sizes) < 1 << 20 and sum(sizes) >= 8 * 20 * 60_000
+    assert {(r["word"], r["n"]) for r in words} == {("one", 400_000), ("two", 400_000)}
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_extensions_over_stretches(single):
+    """What follows a phrase is counted over stretches together, and again from nothing after each count."""
+    rnd = random.Random(5)
+    some = [(1,), (2,), (3,)]
+    trie = phrases.Trie.of(np.array([c for p in some for c in p], np.int64), np.array([1, 1, 1]))
+    seen = phrases.Extensions(trie, 1, 10, single)
+    for _ in range(2):
+        texts = [[rnd.choice([0, 1, 2, 3, 9]) for _ in range(500)] + [0] for _ in range(3)]
+        for text in texts:
+            seen.add(np.array(text, np.int64))
+        want = Counter((10 + a - 1, b) for t in texts for a, b in zip(t, t[1:]) if a in (1, 2, 3) and b and (b != 9 or not single))
+        got = seen.counted().to_pylist()
+        assert {(r["id"], r["code"]): r["n"] for r in got} == want and len(got) == len(want) and seen.places == 0
