@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.functions.numeric import clip, pct_of, ratio, round_half, within
 from quantloom.operators.corporate import price_index
@@ -16,7 +20,7 @@ from quantloom.plans.registry import query
 from quantloom.plans.score import PROFIT_SQL, reports, tiers
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
-from quantloom.sources.store import written
+from quantloom.sources.store import small_methods, written
 
 HORIZONS, TOPS = (3, 6, 12), (10, 20)
 MIN_UNIVERSE, MIN_FORWARD, MIN_VALUES, MIN_DATES = 30, 20, 10, 6
@@ -46,7 +50,7 @@ BASE_PRICE = 3_000_000
 
 
 def steady_prices(t: Tables) -> DataFrame:
-    return domain.market_prices(t).withColumns({c: F.col(c) + float(BASE_PRICE) for c in ("close", "first")})
+    return domain.market_prices(t, ["company_id"]).withColumns({c: F.col(c) + float(BASE_PRICE) for c in ("close", "first")})
 
 
 def _month(day: Column) -> Column:
@@ -58,17 +62,36 @@ def _month_end(month: Column) -> Column:
     return F.last_day(F.make_date(F.floor((month - 1) / 12).cast("int"), (month - 1) % 12 + 1, F.lit(1)))
 
 
+#: Rows over which volatility and traded value go.
+RECENT = 30
+
+
+def _month_rows(prices: pa.Table) -> pa.Table:
+    """Of a company's rows, in any order, those of month ends, with vol and liq of RECENT rows; null where there are no more rows."""
+    prices = prices.sort_by("i")
+    ends = np.flatnonzero(prices["end"].to_numpy())
+    out = prices.select(["company_id", "day", "close", "i", "log_index", "mom"]).take(ends)
+    late = ends >= RECENT
+    vol, liq = np.full(len(ends), np.nan), np.full(len(ends), np.nan)
+    if late.any():
+        over = lambda c: sliding_window_view(prices[c].to_numpy(), RECENT)[ends[late] - RECENT + 1]
+        value = over("trade_value")
+        n = np.count_nonzero(~np.isnan(value), axis=1)
+        vol[late], liq[late] = over("change").std(axis=1, ddof=1), np.where(n > 0, np.nansum(value, axis=1) / np.maximum(n, 1), np.nan)
+    return out.append_column("vol", pa.array(vol, mask=np.isnan(vol))).append_column("liq", pa.array(liq, mask=np.isnan(liq)))
+
+
 def _prices(t: Tables) -> DataFrame:
     """company_id, day, p of the last day of each month with prices: its close, its number, the price index, and momentum, volatility
-    and value of thirty rows."""
+    and value of thirty rows, which are worked out for these days alone."""
     order = Window.partitionBy("company_id").orderBy("day")
-    last = order.rowsBetween(-29, 0)
     i, c = F.row_number().over(order), F.col("close")
-    rows = price_index(steady_prices(t)).withColumns({"i": i, "c0": F.lag("close", 30).over(order), "next": F.lead("day").over(order)})
-    late = lambda x: F.when(F.col("i") >= 31, x)
-    mom = F.when(F.col("c0") > 0, clip((c / F.col("c0") - 1.0) * 100.0, -50, 40))
-    rows = rows.withColumns({"mom": late(mom), "vol": late(F.stddev_samp(F.col("day_return") * 100.0).over(last)), "liq": late(F.avg("trade_value").over(last))})
-    rows = rows.filter(F.col("next").isNull() | (_month(F.col("next")) > _month(F.col("day"))))
+    rows = price_index(steady_prices(t)).withColumns({"i": i, "c0": F.lag("close", RECENT).over(order), "next": F.lead("day").over(order)})
+    mom = F.when((F.col("c0") > 0) & (F.col("i") > RECENT), clip((c / F.col("c0") - 1.0) * 100.0, -50, 40))
+    end = F.coalesce(F.col("next").isNull() | (_month(F.col("next")) > _month(F.col("day"))), F.lit(False))
+    rows = rows.select("company_id", "day", "close", "i", "log_index", mom.alias("mom"), (F.col("day_return") * 100.0).alias("change"), "trade_value", end.alias("end"))
+    kept = T.StructType([*rows.drop("change", "trade_value", "end").schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("vol", "liq"))])
+    rows = rows.groupBy("company_id").applyInArrow(_month_rows, kept)
     return rows.select("company_id", "day", F.struct("day", "close", "i", "log_index", "mom", "vol", "liq").alias("p"))
 
 
@@ -137,6 +160,7 @@ def cross_sections(t: Tables, filed: Iterable[str] = ()) -> DataFrame:
     Reports are known LAG_DAYS after their period; a price older than STALE_DAYS at a horizon gives no return. The latest
     report itself, with the figures in filed, is in column r.
     """
+    small_methods(t.spark)  # factors are one projection of hundreds of expressions
     rows = _known(t, filed).filter("p.close > 0 AND r IS NOT NULL AND s.n >= 12 AND p.i >= 30")
     c, r, s, december = F.col, (lambda x: F.col(f"r.{x}")), (lambda x: F.col(f"s.{x}")), F.col("r.jmonth") == 12
     near = lambda *xs: (F.greatest(*map(F.abs, xs)) <= 100.0 * F.least(*map(F.abs, xs))) | (F.least(*map(F.abs, xs)) == 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +61,16 @@ def interim_reports(t: Tables) -> DataFrame:
         "cash_flow": F.col("net_profit") * 1.25, "cash_flow_ly": F.col("net_profit_ly") * 1.25, "cash_flow_fyprev": F.col("net_profit_fyprev") * 1.25})
 
 
-def market_prices(t: Tables) -> DataFrame:
-    """Daily prices in cents: close is the day's mean unit price, first and last are those of its first and last line."""
+def market_prices(t: Tables, deal: Sequence[str] = ("company_id", "day")) -> DataFrame:
+    """Daily prices in cents: close is the day's mean unit price, first and last are those of its first and last line.
+
+    A company's lines of a day are few, so nothing is combined before the shuffle, which would sort all lines once more. Lines
+    are dealt by deal; by the company alone where windows over companies follow, which then need no other shuffle."""
     unit = F.floor(F.col("l_extendedprice") * 100.0 / F.col("l_quantity") + 0.5).cast("double")
     line = F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), unit.alias("unit"))
     value, volume = F.sum(cents(F.col("l_extendedprice"))), F.sum("l_quantity")
-    return t("lineitem").groupBy(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("day")).agg(
+    lines = t("lineitem").select(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return lines.repartition(*deal).groupBy("company_id", "day").agg(
         F.floor(value / volume + 0.5).cast("double").alias("close"), F.max(unit).alias("high"), F.min(unit).alias("low"),
         F.min(line)["unit"].alias("first"), F.max(line)["unit"].alias("last"), value.alias("trade_value"), volume.alias("volume"), F.count(F.lit(1)).alias("trade_count"))
 

@@ -59,3 +59,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(_LIMIT)
         elif unset:
             spark.conf.set(_LIMIT, before)
+
+
+#: Bytes of code from which the JVM interprets a method and never compiles it.
+METHOD_BYTES = 8000
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def small_methods(spark: SparkSession) -> None:
+    """Have stages whose generated method would be too long to be compiled run operator by operator, whose methods are short: for
+    projections of very many expressions. A session that has its own limit keeps it; results depend on neither."""
+    if int(spark.conf.get(_METHOD_LIMIT, "65535")) == 65535:
+        spark.conf.set(_METHOD_LIMIT, str(METHOD_BYTES))
