@@ -154,13 +154,26 @@ def family_total_asof(t: Tables) -> DataFrame:
     return family_holdings(t).join(assets(t), "asset_id").join(past, "asset_id").agg(F.coalesce(F.sum(net_value()), F.lit(0.0)).alias("total"))
 
 
+def half_years() -> list[str]:
+    """A fixed list of days."""
+    ends = [(f"{year}-06-30", f"{year}-12-30") for year in range(1995, 2002)]
+    return [day for both in ends for day in both]
+
+
 def family_history(t: Tables) -> DataFrame:
-    """person_id, day, total: holdings at each half year's price, or the earliest price before there is one."""
-    days = t.spark.sql("SELECT explode(sequence(DATE'1995-06-30', DATE'2001-12-31', INTERVAL 6 MONTH)) AS day")
-    probes = asset_prices(t).select("asset_id").distinct().crossJoin(F.broadcast(days))  # a fixed list of days
-    at = asof_join(probes, asset_prices(t), "asset_id", "day", "price", or_earliest=True).select("asset_id", "day", "price")
-    worth = family_holdings(t).join(at, "asset_id").join(assets(t), "asset_id")
-    return worth.groupBy("person_id", "day").agg(F.sum(net_value()).alias("total"))
+    """person_id, day, total: holdings at each half year's price, or the earliest price before there is one.
+
+    Of each asset the prices of all days are columns of one row, so a holding meets one row and no day, and is added up to
+    all days' totals at once; prices are grouped once."""
+    days = half_years()
+    known = F.when(F.col("price").isNotNull(), F.col("day"))
+    at = lambda d: F.coalesce(F.max_by("price", F.when(F.col("day") <= F.lit(d).cast("date"), known)), F.min_by("price", known))
+    prices = asset_prices(t).groupBy("asset_id").agg(*(at(d).alias(f"price{k}") for k, d in enumerate(days)))
+    held = family_holdings(t).join(assets(t), "asset_id").join(prices, "asset_id")
+    worth = lambda k: F.floor(F.col("quantity") * F.col(f"price{k}") * (1.0 - F.col("rate")) + 0.5).cast("double")
+    totals = held.groupBy("person_id").agg(*(F.sum(worth(k)).alias(f"total{k}") for k in range(len(days))))
+    rows = F.inline(F.array(*(F.struct(F.lit(d).cast("date").alias("day"), F.col(f"total{k}").alias("total")) for k, d in enumerate(days))))
+    return totals.select("person_id", rows)
 
 
 _HISTORY_SQL = f"""{_FAMILY_SQL},

@@ -213,3 +213,13 @@ def test_a_failed_replacement_changes_nothing(spark, tmp_path):
     assert files.ensure_table(spark, f"{tmp_path}/e", "a int, b string").count() == 0
     spark.createDataFrame([(1,)], "a int").write.mode("append").parquet(f"{tmp_path}/e")
     assert [tuple(r) for r in files.ensure_table(spark, f"{tmp_path}/e", "a int, b string").collect()] == [(1, None)]
+
+
+def test_history_meets_no_day_with_a_holding_and_groups_prices_once(spark):
+    from quantloom.plans.portfolio import family_history
+    from quantloom.sources.domain import Tables
+
+    plan = family_history(Tables(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") and plan.count("date_trunc(month") == 1
+    generated = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(generated) == 1 and plan.splitlines()[0] == generated[0]  # days come last, of totals
