@@ -31,7 +31,7 @@ arrivals AS (
 def _arrivals(t: Tables) -> list[DataFrame]:
     """What comes in turn: all days; later days again; late rows, older than some that are kept; corrections at an equal time; and
     the first delivery once more."""
-    rows = domain.market_prices(t).select("company_id", "day", "close")
+    rows = written(domain.market_prices(t).select("company_id", "day", "close"), "arrivals")  # read by each delivery
     sent = lambda df, add, at: df.select("company_id", "day", (F.col("close") + add).alias("close"), at.cast("int").alias("collected_at"))
     first = sent(rows, 0, F.lit(10) + F.col("company_id") % 3)
     return [first, sent(rows.filter("day >= DATE'1996-01-01'"), 1, F.lit(20)), sent(rows, -7, F.lit(11)), sent(rows.filter("company_id % 2 = 1"), 2, F.lit(20)), first]

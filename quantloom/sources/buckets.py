@@ -46,9 +46,20 @@ def current(spark: SparkSession, target: str, before: int | None = None, buckets
     return spark.read.parquet(*paths) if paths else None
 
 
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the column bucket, each bucket in one task."""
+    return rows.withColumn("bucket", bucket(keys)).repartition("bucket")
+
+
+def put_dealt(rows: DataFrame, target: str, number: int) -> None:
+    """Write rows that are dealt as version `number` of the buckets that they fall into. A change that is repeated writes the same
+    folder."""
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number:09d}")
+
+
 def put(rows: DataFrame, target: str, number: int, keys: Sequence[str]) -> None:
-    """Write rows as version `number` of the buckets that they fall into. A change that is repeated writes the same folder."""
-    rows.withColumn("bucket", bucket(keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number:09d}")
+    """The same for rows as they are."""
+    put_dealt(dealt(rows, keys), target, number)
 
 
 def rewrite(spark: SparkSession, target: str, number: int, keys: Sequence[str], touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.sources.buckets import bucket, current, drop_older, put
+from quantloom.sources.buckets import bucket, current, dealt, drop_older, put_dealt
 
 
 def newest(batch: DataFrame, keys: Sequence[str], collected_at: str) -> DataFrame:
@@ -29,7 +29,8 @@ def upsert_stream(spark: SparkSession, source: str, schema, target: str, checkpo
         touched = [r["bucket"] for r in arrived.select(bucket(keys).alias("bucket")).distinct().collect()]  # BUCKETS at most
         if touched:
             old = current(batch.sparkSession, target, number, touched)
-            put(arrived if old is None else newest(old.unionByName(arrived), keys, collected_at), target, number, keys)
+            both = dealt(arrived if old is None else old.unionByName(arrived), keys)  # one shuffle for the choice and the files
+            put_dealt(newest(both, ["bucket", *keys], collected_at), target, number)
             drop_older(batch.sparkSession, target, number, touched)
         arrived.unpersist()
 

@@ -223,3 +223,11 @@ def test_history_meets_no_day_with_a_holding_and_groups_prices_once(spark):
     assert plan.count("l_shipdate") and plan.count("date_trunc(month") == 1
     generated = [line for line in plan.splitlines() if "Generate" in line]
     assert len(generated) == 1 and plan.splitlines()[0] == generated[0]  # days come last, of totals
+
+
+def test_deliveries_read_prices_that_are_written_once(spark):
+    from quantloom.plans.runs import _arrivals
+
+    for rows in _arrivals(Tables(spark, SMALL)):
+        files = rows.inputFiles()
+        assert files and not any("lineitem" in f for f in files)
