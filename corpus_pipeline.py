@@ -23,7 +23,9 @@ NEAR_WORDS = 5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are more likely toxic than not. All others stay, null and empty texts, null ids and repeated rows
     among them; columns keep their names, but those named like the scores with the prefix __stage_, which are replaced."""
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), prefix="__stage_")
+    with scratch(spark):  # the sample goes when the model is trained
+        model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, prefix="__stage_")
     return scored.filter(F.col("__stage_p_toxic") < REJECT).select(*docs.columns)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import WORD, join_split, materialize, small_batches, table
+from quantloom.llm.common import WORD, join_split, materialize, scratch, small_batches, table
 
 MIN_LINES = 3
 LONG_WORDS = 50
@@ -106,19 +106,20 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
                         values += got
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    places = slim.mapInArrow(fingerprints, "id long, tie long, row long, start long, size long, mark long, lines array<bigint>, checks array<int>")
-    places = materialize(places, "line-places")
-    marks = places.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    near = join_split(places, marks, ["mark"], ["row", "start"])
-    part = lambda c, k: F.slice(c, k + 1, F.col("size").cast("int"))
-    windows = F.transform(F.sequence(F.lit(0), F.size("lines") - F.col("size").cast("int")), lambda k: F.struct(
-        (F.col("start") + k).alias("start"), F.xxhash64("mark", part("lines", k)).alias("stretch"), F.xxhash64(part("checks", k), part("lines", k)).alias("check")))
-    grown = near.select("id", "tie", "row", "size", F.explode(windows).alias("w")).select("id", "tie", "row", "w.start", "size", "w.stretch", "w.check")
-    grown = materialize(grown, "line-stretches")
-    place = F.struct("id", "tie", "row", "start")
-    firsts = grown.groupBy("stretch", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("stretch", "check", "first")
-    later = join_split(grown, firsts, ["stretch", "check"], ["row", "start"]).filter(place != F.col("first"))
-    cut = later.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("cut"))
+    with scratch(docs.sparkSession) as keep:  # what is written on the way goes before the rows are shuffled
+        places = slim.mapInArrow(fingerprints, "id long, tie long, row long, start long, size long, mark long, lines array<bigint>, checks array<int>")
+        places = materialize(places, "line-places")
+        marks = places.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+        near = join_split(places, marks, ["mark"], ["row", "start"])
+        part = lambda c, k: F.slice(c, k + 1, F.col("size").cast("int"))
+        windows = F.transform(F.sequence(F.lit(0), F.size("lines") - F.col("size").cast("int")), lambda k: F.struct(
+            (F.col("start") + k).alias("start"), F.xxhash64("mark", part("lines", k)).alias("stretch"), F.xxhash64(part("checks", k), part("lines", k)).alias("check")))
+        grown = near.select("id", "tie", "row", "size", F.explode(windows).alias("w")).select("id", "tie", "row", "w.start", "size", "w.stretch", "w.check")
+        grown = materialize(grown, "line-stretches")
+        place = F.struct("id", "tie", "row", "start")
+        firsts = grown.groupBy("stretch", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("stretch", "check", "first")
+        later = join_split(grown, firsts, ["stretch", "check"], ["row", "start"]).filter(place != F.col("first"))
+        cut = keep(materialize(later.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("cut")), "line-cut"))
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

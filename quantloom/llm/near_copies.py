@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import join_split, materialize, small_batches
+from quantloom.llm.common import join_split, materialize, scratch, small_batches
 from quantloom.llm.simhash import SEED, components, majority, shingle_hashes, trie_walk
 
 WORDS = 5
@@ -121,8 +121,10 @@ def _apart(members: DataFrame, budget: int, group_rows: int, least: float) -> Da
     """
     bytes_ = F.sum(F.octet_length("own"))
     sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / group_rows, bytes_ / F.lit(GROUP_BYTES))).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    dealt = join_split(members, sizes, ["key"], ["node"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = sizes.filter("parts > 1")  # a row for so many rows or bytes of members at least, so that members stay where they are
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("node"), parts)
+    dealt = members.join(F.broadcast(large), "key", "left").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp", "node", "root", "sketch", "own")
     dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "fp")
 
@@ -203,28 +205,30 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST, budget:
     small_batches(docs.sparkSession)
     plain = [f"c{i}" for i in range(len(docs.columns))]  # no column of docs can clash with ours
     text, key = plain[docs.columns.index(text_col)], plain[docs.columns.index(id_col)]
-    rows = docs.toDF(*plain).withColumn(text, F.col(text).cast("string"))
-    rows = materialize(_sketches(rows, words, text).withColumn("row", F.monotonically_increasing_id()), "near-texts")
-    first = rows.groupBy("set1", "set2").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("first"))
-    first = materialize(first.select(F.col("first.row").alias("node"), "first"), "near-nodes")
-    alone = rows.select(F.col("row").alias("node"), "keys", "fp").join(first.select("node"), "node", "left_semi")
-    bands = materialize(alone.select("node", "fp", F.explode("keys").alias("key")), "near-keys")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("hub")).filter("n > 1")
-    bands = materialize(join_split(bands, shared.select("key", F.col("hub.node").alias("hub")), ["key"], ["node"]), "near-bands")
-    near = bands.select("node").distinct()
-    bodies = rows.select(F.col("row").alias("node"), F.col(text).alias("text"), "sketch").join(near, "node", "left_semi")
-    bodies = materialize(bodies, "near-bodies")
-    texts = bodies.select("node", "text")
-
-    tried = bands.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tried = materialize(tried, "near-pairs")
-    edges = _verified(tried, texts, words, least, "near-edges")
-    placed = materialize(_roots(bands.select("node", "key", "fp"), edges), "near-placed")
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    mixed = materialize(join_split(placed, split, ["key"], ["node"]).select("key", "node", "root", "fp"), "near-mixed")
-    sets = _with_sets(bodies.join(mixed.select("node").distinct(), "node", "left_semi"), words)
-    mixed = materialize(mixed.join(sets, "node").select("key", "node", "root", "fp", "sketch", "own"), "near-sets")
-    edges = edges.unionByName(materialize(_apart(mixed, budget, group_rows, least), "near-edges"))
-
-    kept = _roots(first, edges).groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col("first.row").alias("row")), "row", "left_semi").select(*plain).toDF(*docs.columns)
+    with scratch(docs.sparkSession) as keep:  # what is written on the way goes before the rows are shuffled
+        rows = docs.toDF(*plain).withColumn(text, F.col(text).cast("string"))
+        rows = keep(materialize(_sketches(rows, words, text).withColumn("row", F.monotonically_increasing_id()), "near-texts"))
+        first = rows.groupBy("set1", "set2").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "row")).alias("first"))
+        first = materialize(first.select(F.col("first.row").alias("node"), "first"), "near-nodes")
+        alone = rows.select(F.col("row").alias("node"), "keys", "fp").join(first.select("node"), "node", "left_semi")
+        bands = materialize(alone.select("node", "fp", F.explode("keys").alias("key")), "near-keys")
+        shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("hub")).filter("n > 1")
+        bands = materialize(join_split(bands, shared.select("key", F.col("hub.node").alias("hub")), ["key"], ["node"]), "near-bands")
+        near = bands.select("node").distinct()
+        bodies = rows.select(F.col("row").alias("node"), F.col(text).alias("text"), "sketch").join(near, "node", "left_semi")
+        bodies = materialize(bodies, "near-bodies")
+        texts = bodies.select("node", "text")
+
+        tried = bands.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        tried = materialize(tried, "near-pairs")
+        edges = _verified(tried, texts, words, least, "near-edges")
+        placed = materialize(_roots(bands.select("node", "key", "fp"), edges), "near-placed")
+        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        mixed = materialize(join_split(placed, split, ["key"], ["node"]).select("key", "node", "root", "fp"), "near-mixed")
+        sets = _with_sets(bodies.join(mixed.select("node").distinct(), "node", "left_semi"), words)
+        mixed = materialize(mixed.join(sets, "node").select("key", "node", "root", "fp", "sketch", "own"), "near-sets")
+        edges = edges.unionByName(materialize(_apart(mixed, budget, group_rows, least), "near-edges"))
+
+        kept = _roots(first, edges).groupBy("root").agg(F.min("first").alias("first"))
+        kept = keep(materialize(kept.select(F.col("first.row").alias("row")), "near-kept"))
+    return rows.join(kept, "row", "left_semi").select(*plain).toDF(*docs.columns)

@@ -27,6 +27,18 @@ def test_tables_on_the_way_are_removed(spark):
     assert len(left) == 1 and "stage-mixing" in left[0] and out.count() > 0
 
 
+def test_stages_leave_only_what_their_results_read(spark):
+    from quantloom.llm import common
+
+    docs, stages = spark.read.parquet(f"{SMALL}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    wanted = {"toxicity": [], "line_dedup": ["line-cut", "line-texts"], "near_dedup": ["near-kept", "near-texts"]}
+    for name, tables in wanted.items():
+        before = len(common._made)
+        out = stages[name](spark, docs, SMALL)
+        left = [p.split("/")[-1].rpartition("-")[0] for p in common._made[before:]]
+        assert sorted(left) == tables and out.count() > 0
+
+
 def test_each_stage_is_what_a_plain_version_gives(spark):
     """On the smallest documents, every stage after the other, each on what its predecessor gave."""
     from collections import Counter
