@@ -153,12 +153,17 @@ def worker_state(key, make: Callable):
     memory goes back to the machine first. Workers outlive stages, so what they hold would add up."""
     if key not in _state:
         _state.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
         _state[key] = make()
-        gc.collect()
+        give_back()  # what only the making took
     return _state[key]
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

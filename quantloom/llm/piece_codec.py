@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from array import array
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import small_batches, table, worker_state
+from quantloom.llm.common import give_back, small_batches, table, worker_state
 
 MARK = "▁"
-CACHE_UNITS = 200_000
+#: Units that a worker keeps, and of those before them as many again.
+CACHE_UNITS = 60_000
 TEXTS_AT_ONCE = 100
 JOINED_UNITS = 128
+#: Units that are learnt at once.
+LEARNT_UNITS = 32 * JOINED_UNITS
 #: Kinds of pieces in the model's protobuf, fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -76,8 +80,8 @@ class PieceCodec:
     """Encodes and decodes with the tokenizer rebuilt from one model file; the sentencepiece library only judges parity.
 
     A unit is a run of markers with the text up to the next marker. Where no piece goes on past such a border, or over a
-    line end, a text's ids are its units' ids one after another; each new unit is encoded once, in a multithreaded
-    batch, and compared with the sentencepiece library. Models whose pieces do cross borders, or that change text
+    line end, a text's ids are its units' ids one after another; each new unit is encoded once, among
+    others, and compared with the sentencepiece library. Models whose pieces do cross borders, or that change text
     otherwise than by the marker, are encoded and compared text by text.
     """
 
@@ -95,6 +99,7 @@ class PieceCodec:
         self.by_unit = self.by_unit and len(self.line_end) == 1 and self.judge.encode("x\n")[-1:] == self.line_end
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.prefix = spec.add_dummy_prefix
         self.sizes, self.starts, self.flat = self.piece_bytes(proto)
@@ -161,12 +166,16 @@ class PieceCodec:
         split = [self.units(t) if t else [] for t in texts]
         need = set().union(*split)
         new = need.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache.clear()
-            self.odd.clear()
+        if len(self.cache) + len(new) > CACHE_UNITS:  # what came since the last time stays within reach, what came before goes
+            self.older, self.cache = self.cache, {}
+            self.odd.intersection_update(self.older)
+            give_back()
             new = need
-        if new:
-            self.learn(list(new))
+        seen = new.intersection(self.older)
+        self.cache.update((u, self.older[u]) for u in seen)
+        unknown = list(new - seen)
+        for at in range(0, len(unknown), LEARNT_UNITS):
+            self.learn(unknown[at:at + LEARNT_UNITS])
         known = self.cache.__getitem__
         return [b"".join(map(known, units)) for units in split], [not self.odd or self.odd.isdisjoint(units) for units in split]
 
@@ -197,7 +206,8 @@ class PieceCodec:
 
 
 def codec(path: str) -> PieceCodec:
-    """One codec a Python worker, kept between tasks."""
+    """One codec a Python worker, kept between tasks. A task has one core; threads of the library's own would each keep memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return worker_state(("pieces", path), lambda: PieceCodec(path))
 
 

@@ -141,6 +141,22 @@ def test_ids_and_texts_come_from_the_rebuilt_tokenizer(monkeypatch):
     assert fine.encode(["a zebra", "a lion"])[1] == [False, True]
 
 
+def test_units_that_were_seen_lately_outlast_a_full_cache(pieces, monkeypatch):
+    """What came since the last turn is not learnt again, units are learnt some at a time, and two caches of units are kept at most."""
+    monkeypatch.setattr(piece_codec, "CACHE_UNITS", 60)
+    monkeypatch.setattr(piece_codec, "LEARNT_UNITS", 10)
+    monkeypatch.setattr(piece_codec, "TEXTS_AT_ONCE", 1)
+    small = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    learnt, learn = [], small.learn
+    monkeypatch.setattr(small, "learn", lambda units: (learnt.append(list(units)), learn(units)))
+    always = " ".join(f"w{i}" for i in range(20))
+    texts = [x for k in range(30) for x in (always, " ".join(f"{k}x{i}" for i in range(15)))]
+    assert small.encode(texts)[0] == pieces.encode(texts)[0]
+    assert max(map(len, learnt)) <= 10
+    assert sum(u.lstrip(piece_codec.MARK) == "w7" for units in learnt for u in units) == 1
+    assert len(small.cache) + len(small.older) <= 2 * 60 + 2 * 2
+
+
 @pytest.mark.parametrize("squeeze", [False, True])
 def test_unigram_models(tmp_path, squeeze):
     """A unigram model written out by hand: scores decide, bytes stand for what no piece covers."""
