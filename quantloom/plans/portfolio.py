@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import cents, ratio, round_half
@@ -28,9 +28,9 @@ def value_holdings(held: DataFrame, live: DataFrame) -> DataFrame:
 _LIVE_SQL = "live AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 <> 0 THEN floor(p_retailprice * 100.0 + 0.5) ELSE 0e0 END AS price FROM part)"
 
 
-def live_prices(t: Tables) -> DataFrame:
+def live_prices(t: Tables, *more: Column) -> DataFrame:
     price = F.floor(F.col("p_retailprice") * 100.0 + 0.5).cast("double")
-    return t("part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 5 != 0, price).otherwise(0.0).alias("price"))
+    return t("part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 5 != 0, price).otherwise(0.0).alias("price"), *more)
 
 
 @query("portfolio_valuation", with_tables("held", then=f"""-- more{_LIVE_SQL},

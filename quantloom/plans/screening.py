@@ -9,7 +9,7 @@ from quantloom.functions import calendar
 from quantloom.functions.numeric import ratio, round_half, to_amount, to_decimal, to_whole
 from quantloom.functions.text import compact_number, is_identifier, is_md5, normalize_letters, normalize_name, percent_text, url_join, url_parameter, with_page
 from quantloom.operators import elements, state
-from quantloom.operators.ranking import latest_per
+from quantloom.operators.ranking import latest_per, numbered_all
 from quantloom.plans.market import profit_history, steady_growth
 from quantloom.plans.portfolio import _LIVE_SQL, _valued, live_prices, value_holdings
 from quantloom.plans.registry import query
@@ -17,7 +17,7 @@ from quantloom.plans.score import AS_OF_DATE, DERIVED_SQL, FACTORS, MARKET_SQL,
 from quantloom.sources import domain
 from quantloom.sources.domain import Tables, with_tables
 from quantloom.sources.files import first_present, read_documents, read_fields, read_json, read_overrides
-from quantloom.sources.store import fresh_folder
+from quantloom.sources.store import fresh_folder, written
 
 _FINAL = (SALES_SQL, PROFIT_SQL, MARKET_SQL, DERIVED_SQL, RANKED_SQL)
 #: Default and greatest number of rows of each list, fixed values.
@@ -414,11 +414,19 @@ valued AS (SELECT h.*, quantity * coalesce(price, 0) AS value FROM held h LEFT J
 SELECT user_id, sum(cost) AS cost, sum(value) AS value, sum(value) - sum(cost) AS gain, floor((sum(value) - sum(cost)) / nullif(sum(cost), 0) * 1e2 * 1e4 + 5e-1) / 1e4 AS gain_pct,
        count(*) FILTER (value > 0) AS priced, max(CASE WHEN p_name <> '' THEN p_name END) AS last_name FROM valued LEFT JOIN part ON p_partkey = item_id GROUP BY 1"""))
 def portfolio_totals(t: Tables) -> DataFrame:
-    """Each user's cost, market value and gain, and the last of the live names of what they hold."""
-    rows = value_holdings(domain.holdings(t), live_prices(t)).join(t("part").select(F.col("p_partkey").alias("item_id"), "p_name"), "item_id", "left")
+    """Each user's cost, market value and gain, and the last of the live names of what they hold.
+
+    Names are numbered in their order, one row a part, so that what users hold is added up in numbers alone: no rows with texts are
+    sorted by user, and parts are joined once."""
+    name, price = F.nullif("p_name", F.lit("")), F.when(F.col("price") > 0, F.col("price"))
+    parts = live_prices(t, name.alias("last_name")).withColumn("price", price)
+    parts = written(numbered_all(parts, [F.col("last_name").asc(), F.col("item_id").asc()], "k"), "names")
+    named = parts.select("item_id", "price", F.when(F.col("last_name").isNotNull(), F.col("k")).alias("k"))
+    rows = domain.holdings(t).join(named, "item_id", "left").withColumn("value", F.col("quantity") * F.coalesce("price", F.lit(0.0)))
     gain = F.sum("value") - F.sum("cost")
-    return rows.groupBy("user_id").agg(F.sum("cost").alias("cost"), F.sum("value").alias("value"), gain.alias("gain"), round_half(ratio(gain, F.sum("cost")) * 100.0, 4).alias("gain_pct"),
-                                       F.count_if(F.col("value") > 0).alias("priced"), F.max(F.nullif("p_name", F.lit(""))).alias("last_name"))
+    totals = rows.groupBy("user_id").agg(F.sum("cost").alias("cost"), F.sum("value").alias("value"), gain.alias("gain"), round_half(ratio(gain, F.sum("cost")) * 100.0, 4).alias("gain_pct"),
+                                         F.count_if(F.col("value") > 0).alias("priced"), F.max("k").alias("k"))
+    return totals.join(parts.select("k", "last_name"), "k", "left").drop("k")
 
 
 @query("price_deletions", with_tables("market", then="""

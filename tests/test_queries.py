@@ -65,3 +65,11 @@ def test_top_growth_orders_by_what_is_shown(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert [tuple(r) for r in got] == con.sql(SQL["sales_growth_top20"]).fetchall()
+
+
+def test_portfolio_totals_sorts_no_texts_by_user(spark, duck):
+    """What users hold is added up in numbers: in hash tables, with one join to the parts, and names come back by their number."""
+    out = QUERIES["portfolio_totals"](spark, SMALL)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("part.parquet") == 0
+    assert plain(out.toPandas()) == plain(duck.sql(SQL["portfolio_totals"]).df())
