@@ -370,3 +370,17 @@ def test_cross_sections_deal_by_company_alone(spark):
 
     plan = cross_sections(Tables(spark, SMALL))._jdf.queryExecution().toString()
     assert "rangepartitioning" not in plan and "as-of" not in plan
+
+
+def test_cells_of_many_pages_are_one_batch(spark, monkeypatch):
+    """A batch of pages gives a batch of cells, not one a page; pages without cells in between and at the end give none."""
+    import pyarrow as pa
+
+    pages, held = spark.createDataFrame([], "page_id long, html string"), []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, task, schema: held.append(task))
+    html.cells(pages)
+    page = "<table><tr><td>a</td><td>b</td></tr></table>"
+    out = list(held[0]([pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4, 5], "html": [page, None, "<p>x", page, ""]})]))
+    assert len(out) == 1 and out[0].column("page_id").to_pylist() == [1, 1, 4, 4] and out[0].column("cell").to_pylist() == ["a", "b"] * 2
+    many = pa.RecordBatch.from_pydict({"page_id": list(range(15_000)), "html": [page] * 15_000})
+    assert [b.num_rows for b in held[0]([many])] == [html.CELLS_AT_ONCE] * 3
